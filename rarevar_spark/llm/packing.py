@@ -23,53 +23,97 @@ from .shared import keep
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, cached_words: int = 400_000) -> DataFrame:
-    """Each document's token ids plus ``end_id``, cut into pieces of at most ``capacity``.
+class PartEncoder:
+    """Ids, as little-endian bytes, of the blank-separated parts of texts; encodes each part once while it is remembered.
 
-    ``vocabulary`` is the path of a tokenizers file whose pre-tokens never span white space, so that a
-    text's ids are those of its blank-separated parts in turn; each part is encoded once while it is
-    among ``cached_words`` of a task's cache. Null text counts as empty: one piece of the end id.
+    A part of letters with a full stop or comma behind it, or with an ASCII capital in front, has the ids of the plain word (the
+    vocabulary is lower-case, and takes runs of letters and of signs apart), so only plain words are encoded, many in one call.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, vocabulary: str, remembered: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(vocabulary)
-        cache: dict[str, bytes] = {}
-        end = np.array([end_id], dtype="<u4").tobytes()
+        self.tok = Tokenizer.from_file(vocabulary)
+        self.remembered = remembered
+        self.parts: dict[str, bytes] = {}
+        self.signs = {c: self._one(c) for c in ".,"}
+
+    def _one(self, part: str) -> bytes:
+        return np.array(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Encodes words of letters alone, each of which is one run for the tokenizer."""
+        for s in range(0, len(words), 1000):
+            some = words[s : s + 1000]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(e.ids, dtype="<u4").tobytes(), e.word_ids
+            cut = np.flatnonzero(np.diff(of, prepend=-1)).tolist() if len(of) else []
+            if len(cut) != len(some):
+                self.parts.update((w, self._one(w)) for w in some)
+                continue
+            for w, i, j in zip(some, cut, cut[1:] + [len(of)]):
+                self.parts[w] = ids[4 * i : 4 * j]
+
+    def learn(self, new: set[str]) -> None:
+        plain, dressed, other = set(), [], []
+        for p in new:
+            sign = p[-1:] if p[-1:] in self.signs else ""
+            word = p[:-1] if sign else p
+            if not word.isalpha():
+                other.append(p)
+                continue
+            if "A" <= word[0] <= "Z":
+                word = word[0].lower() + word[1:]
+            if word not in self.parts:
+                plain.add(word)
+            if word != p:
+                dressed.append((p, word, sign))
+        self._words(list(plain))
+        for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False) if other else []):
+            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+        for p, word, sign in dressed:
+            self.parts[p] = self.parts[word] + self.signs[sign] if sign else self.parts[word]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        new = {p for ps in split for p in ps if p not in self.parts}
+        if len(self.parts) + 2 * len(new) > self.remembered:
+            self.parts.clear()
+            new = {p for ps in split for p in ps}
+        self.learn(new)
+        parts = self.parts
+        for ps in split:
+            yield b"".join([parts[p] for p in ps])
+
+
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, remembered: int = 800_000) -> DataFrame:
+    """Each document's token ids plus ``end_id``, cut into pieces of at most ``capacity``.
 
-        def learn(parts: list[str]) -> None:
-            if len(cache) + len(parts) > cached_words:
-                cache.clear()
-            for p, e in zip(parts, tok.encode_batch_fast(parts, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
+    ``vocabulary`` is the path of a lower-casing tokenizers file whose pre-tokens never span white space, so that a
+    text's ids are those of its blank-separated parts in turn; a task remembers the ids of at most
+    ``remembered`` parts. Null text counts as empty: one piece of the end id.
+    """
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = PartEncoder(vocabulary, remembered)
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            ids_col, text_col = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 256):
-                texts = [x or "" for x in text_col.slice(lo, 256).to_pylist()]
-                parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-                new = {p for ps in parts for p in ps if p not in cache}
-                if new:
-                    if len(cache) + len(new) > cached_words:
-                        cache.clear()
-                        new = {p for ps in parts for p in ps}
-                    learn(list(new))
-                for doc_id, ps in zip(ids_col.slice(lo, 256).to_pylist(), parts):
-                    got = b"".join([cache[p] for p in ps]) + end
-                    n = len(got) // 4
-                    for i, s in enumerate(range(0, n, capacity)):
-                        cut = got[4 * s : 4 * (s + capacity)]
+                texts = [x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).slice(lo, 256).to_pylist(), encoder.encode(texts)):
+                    ids += end
+                    for i, s in enumerate(range(0, len(ids) // 4, capacity)):
+                        cut = ids[4 * s : 4 * (s + capacity)]
                         rows.append((doc_id, i, s, len(cut) // 4, zlib.crc32(cut)))
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
