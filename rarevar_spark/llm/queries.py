@@ -8,13 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, language_id, line_dedup, ngram_join, packing, quality_mil
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, quality_mil
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file <source>/<doc_id div 64>/<doc_id div 8>/<doc_id>.txt."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.expr("doc_id div 64"), F.expr("doc_id div 8"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
+#: The tool that conversations are taken to call: the assistant's turns are its calls.
+ANSWER_SCHEMA = [("answer", "text", "string", True), ("answer", "n_words", "integer", True), ("answer", "final", "boolean", False)]
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as a call of the tool answer, waiting for the call two turns before; the user turn after it as its result.
+
+    In conversations whose id is divisible by 10, n_words is given as text, which the schema rejects.
+    """
+    t = _table(spark, sf_dir, "conversations")
+    n_words = "size(split(text, ' '))"
+    arguments = F.expr(
+        f"case when conv_id % 10 = 0 then to_json(named_struct('text', text, 'n_words', cast({n_words} as string)))"
+        f" else to_json(named_struct('text', text, 'n_words', {n_words})) end"
+    )
+    is_call, is_result = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 0)
+    messages = t.select(
+        "conv_id", "turn", F.when(is_call, "call").when(is_result, "result").otherwise("text").alias("kind"), "role",
+        F.when(is_call, F.concat(F.lit("c"), F.col("turn"))).when(is_result, F.concat(F.lit("c"), F.col("turn") - 1)).alias("call_id"),
+        F.when(is_call, "answer").alias("name"), F.when(is_call, arguments).alias("arguments"), F.col("text").alias("content"),
+        F.when(is_call & (F.col("turn") > 2), F.array(F.concat(F.lit("c"), F.col("turn") - 2))).alias("after"),
+    )
+    schemas = spark.createDataFrame(ANSWER_SCHEMA, "tool string, param string, type string, required boolean")
+    out = chat_format.format_chats(messages, schemas)
+    return out.withColumn("problems", F.array_join("problems", "; "))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
