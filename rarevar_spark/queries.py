@@ -1,15 +1,570 @@
-"""The registered queries of the association library and their DuckDB equivalents."""
+"""The registered queries of the association library, each over the whole test tables, and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .functions.pvalues import wilson_hilferty_z
+from .operators import association, checks, compare, resource, samples, variants
+from .plans import jobs
+from .tables import keep
+from .testtables import Tables, oracle
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+THRESHOLDS = [0.001, 0.01, 0.1, 0.5]
+PHENOTYPES = ["acctbal", "totalprice"]
+SEED = 7
+
+
+def query(sql: str | None = None):
+    """Registers a function of the test tables under its name."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = oracle(sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _thresholds(t: Tables) -> DataFrame:
+    return t.part.sparkSession.createDataFrame([(x,) for x in THRESHOLDS], "maf_threshold double")
+
+
+def _present(t: Tables) -> DataFrame:
+    return t.available.select("site", "variant_key")
+
+
+def _counts(t: Tables) -> DataFrame:
+    return variants.allele_counts(t.calls, _present(t), t.eligible)
+
+
+COUNTS = """SELECT a.site, a.variant_key, CAST(coalesce(sum(c.dosage), 0) AS BIGINT) AS ac FROM {available} a
+    LEFT JOIN (SELECT * FROM {calls} SEMI JOIN {eligible} USING (site, sample_id)) c ON c.site = a.site AND c.variant_key = a.variant_key GROUP BY a.site, a.variant_key"""
+KEPT = f"""SELECT variant_key, t.maf_threshold FROM (SELECT variant_key, CAST(sum(ac) AS BIGINT) AS ac FROM counts WHERE NOT (site = 'A' AND variant_key NOT IN (SELECT variant_key FROM {{available}} WHERE site = 'A')) GROUP BY variant_key) p
+    CROSS JOIN (SELECT unnest([{', '.join(f'{x}::DOUBLE' for x in THRESHOLDS)}]) AS maf_threshold) t CROSS JOIN (SELECT count(*) AS n FROM {{eligible}}) s
+    WHERE maf_threshold = 0.5 OR ac <= floor(maf_threshold * (2 * n)) OR ac >= ceil((1 - maf_threshold) * (2 * n))"""
+
+
+@query(COUNTS)
+def allele_counts(t: Tables) -> DataFrame:
+    return _counts(t)
+
+
+@query("""SELECT a.site, a.variant_key, CAST(s.n - count(*) FILTER (WHERE NOT c.called) AS BIGINT) AS called FROM {available} a
+    JOIN (SELECT site, count(*) AS n FROM {eligible} GROUP BY site) s ON s.site = a.site
+    LEFT JOIN {calls} c ON c.site = a.site AND c.variant_key = a.variant_key GROUP BY a.site, a.variant_key, s.n""")
+def called_counts(t: Tables) -> DataFrame:
+    return variants.called_counts(t.calls, samples.cohort_sizes(t.eligible), _present(t))
+
+
+def _kept(t: Tables) -> DataFrame:
+    n = t.eligible.agg(F.count(F.lit(1)).alias("n"))
+    pooled = _counts(t).groupBy("variant_key").agg(F.sum("ac").alias("ac"))
+    return pooled.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(_thresholds(t))).where(C.maf_keep("ac", "n", F.col("maf_threshold"))).select("variant_key", "maf_threshold")
+
+
+@query(f"WITH counts AS ({COUNTS}) {KEPT}")
+def maf_keep(t: Tables) -> DataFrame:
+    return _kept(t)
+
+
+@query(f"""WITH counts AS ({COUNTS}) SELECT variant_key FROM counts CROSS JOIN (SELECT count(*) AS n FROM {{eligible}} WHERE site = 'A') s
+    WHERE site = 'A' AND variant_key IN (SELECT variant_key FROM {{annotations}}) AND NOT least(ac, 2 * n - ac) / (2.0 * n) <= 0.01""")
+def local_cut(t: Tables) -> DataFrame:
+    return variants.local_cut_variants(t.annotations, _counts(t).where("site = 'A'"), t.eligible.where("site = 'A'").count(), 0.01)
+
+
+def _people(t: Tables) -> DataFrame:
+    y = F.array("y0", F.coalesce("y1", F.lit(float("nan"))))
+    return t.people.select("sample_id", "ord", "site", "ancestry", y.alias("y"), F.array("x0").alias("x"))
+
+
+@query("SELECT 'ALL' AS ancestry, sample_id, y0, y1 FROM {people} WHERE y1 IS NOT NULL UNION ALL SELECT ancestry, sample_id, y0, y1 FROM {people} WHERE y1 IS NOT NULL AND ancestry = 'ASIA'")
+def eligible_samples(t: Tables) -> DataFrame:
+    p = _people(t)
+    parts = [samples.eligible_samples(p.select("sample_id", "ord"), p, p.select("sample_id", "x"), p, a).select(F.lit(a).alias("ancestry"), "sample_id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1")) for a in ("ALL", "ASIA")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT sample_id, CAST((row_number() OVER (ORDER BY ancestry, sample_id) - 1) % 2 AS INT) AS party FROM {people}")
+def sample_split(t: Tables) -> DataFrame:
+    return samples.split_samples(t.people).select("sample_id", "party")
+
+
+@query("SELECT ancestry, sample_id FROM {people} UNION ALL SELECT 'ALL' AS ancestry, sample_id FROM {people}")
+def ancestry_expansion(t: Tables) -> DataFrame:
+    return samples.expand_ancestries(t.people.select("ancestry", "sample_id"))
+
+
+@query(f"""SELECT ancestry, site, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY ancestry, site ORDER BY sha256(concat('{SEED}:', sample_id)), sample_id) AS r FROM {{eligible}}) WHERE r <= 5""")
+def sample_cohort(t: Tables) -> DataFrame:
+    return samples.sample_cohort(t.eligible, 5, SEED).select("ancestry", "site", "sample_id")
+
+
+@query("SELECT ancestry, count(*) AS samples, 1 AS covariates, 2 AS phenotypes, 22 AS chromosomes FROM {eligible} GROUP BY ancestry")
+def dataset_table(t: Tables) -> DataFrame:
+    return samples.dataset_table(_people(t).where(C.finite_rows("y")), 22)
+
+
+U = "CAST(concat('0x', substr(sha256(variant_key), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0"
+
+
+@query(f"SELECT variant_key, CASE WHEN u < 0.6 THEN 'shared' WHEN u < 0.6 + (1 - 0.6) / 2 THEN 'public_only' ELSE 'private' END AS role FROM (SELECT variant_key, {U} AS u FROM {{variants}})")
+def hash_roles(t: Tables) -> DataFrame:
+    return t.variants.select("variant_key", C.split_role("variant_key", 0.6).alias("role"))
+
+
+GENE_VARIANTS = """SELECT g.chrom, g.gene_id, g.order_index, v.variant_key, v.pos, v.ord FROM {genes} g LEFT JOIN
+    (SELECT a.gene_id, v.* FROM {annotations} a JOIN {variants} v ON a.variant_key = v.variant_key WHERE v.filter IN ('PASS', '.')) v ON v.gene_id = g.gene_id AND v.chrom = g.chrom"""
+
+
+def _gene_variants(t: Tables) -> DataFrame:
+    return variants.gene_variants(t.genes, t.variants, t.annotations)
+
+
+@query(f"SELECT chrom, gene_id, variant_key, CAST(CASE WHEN variant_key IS NULL THEN NULL ELSE row_number() OVER (PARTITION BY chrom, gene_id ORDER BY ord, variant_key) - 1 END AS INT) AS col_index FROM ({GENE_VARIANTS})")
+def gene_variants(t: Tables) -> DataFrame:
+    return _gene_variants(t).select("chrom", "gene_id", "variant_key", "col_index")
+
+
+@query("SELECT chrom, gene_id, CAST(row_number() OVER (PARTITION BY chrom ORDER BY order_index, gene_id) - 1 AS INT) AS gene_index FROM {genes}")
+def gene_index(t: Tables) -> DataFrame:
+    return variants.gene_index(t.genes).select("chrom", "gene_id", "gene_index")
+
+
+@query(f"""SELECT chrom, gene_id, variant_key, CASE WHEN r <= round_even(0.6 * n, 0) THEN 'shared' WHEN r <= round_even(0.6 * n, 0) + round_even((1 - 0.6) / 2 * n, 0) THEN 'public_only' ELSE 'private' END AS role
+    FROM (SELECT *, row_number() OVER (PARTITION BY chrom, gene_id ORDER BY sha256(concat('{SEED}:', variant_key)), variant_key) AS r, count(*) OVER (PARTITION BY chrom, gene_id) AS n FROM ({GENE_VARIANTS}) WHERE variant_key IS NOT NULL)""")
+def random_roles(t: Tables) -> DataFrame:
+    return variants.random_roles(_gene_variants(t), 0.6, SEED).select("chrom", "gene_id", "variant_key", "role")
+
+
+ROLES = f"""SELECT g.chrom, g.gene_id, g.variant_key, CASE WHEN a.k IS NULL THEN 'private' WHEN b.k IS NULL THEN 'public_only' ELSE 'shared' END AS role FROM ({GENE_VARIANTS}) g
+    LEFT JOIN (SELECT DISTINCT variant_key AS k FROM {{available}} WHERE site = 'A') a ON a.k = g.variant_key LEFT JOIN (SELECT DISTINCT variant_key AS k FROM {{available}} WHERE site = 'B') b ON b.k = g.variant_key WHERE g.variant_key IS NOT NULL"""
+
+
+def _roles(t: Tables) -> DataFrame:
+    at = lambda s: t.available.where(F.col("site") == s)
+    public = variants.gene_variants(t.genes, t.variants, t.annotations, at("A"))
+    return variants.site_roles_b(public, at("B"), variants.gene_variants(t.genes, t.variants, t.annotations, at("B")))
+
+
+@query(ROLES)
+def site_roles(t: Tables) -> DataFrame:
+    return _roles(t)
+
+
+@query(f"""SELECT chrom, count(*) FILTER (WHERE role != 'private') AS public_cols, count(*) FILTER (WHERE role = 'shared') AS shared, count(*) FILTER (WHERE role = 'public_only') AS public_only,
+    count(*) FILTER (WHERE role = 'private') AS private FROM ({ROLES}) GROUP BY chrom""")
+def overlap_summary(t: Tables) -> DataFrame:
+    return variants.overlap_summary(_roles(t))
+
+
+@query(f"SELECT chrom, gene_id, count(*) FILTER (WHERE role != 'private') AS public, count(*) FILTER (WHERE role = 'private') AS private FROM ({ROLES}) GROUP BY chrom, gene_id")
+def block_sizes(t: Tables) -> DataFrame:
+    return variants.block_sizes(_roles(t))
+
+
+@query("""SELECT site, variant_key, n, round(missing / n, 9) AS missing_rate, round(mean, 9) AS mean, round(sd, 9) AS sd, missing / n < 0.15 AND sd > 0 AS keep FROM
+    (SELECT *, sqrt(greatest(s2 - s1 * mean, 0) / (n - 1)) AS sd FROM (SELECT *, CASE WHEN n > missing THEN s1 / (n - missing) ELSE 0.0 END AS mean FROM
+    (SELECT a.site, a.variant_key, s.n, CAST(coalesce(sum(c.dosage) FILTER (WHERE c.called), 0) AS DOUBLE) AS s1, CAST(coalesce(sum(c.dosage * c.dosage) FILTER (WHERE c.called), 0) AS DOUBLE) AS s2,
+    CAST(count(*) FILTER (WHERE NOT c.called) AS DOUBLE) AS missing FROM {available} a JOIN (SELECT site, count(*) AS n FROM {people} GROUP BY site) s ON s.site = a.site
+    LEFT JOIN {calls} c ON c.site = a.site AND c.variant_key = a.variant_key GROUP BY a.site, a.variant_key, s.n)))""")
+def variant_qc(t: Tables) -> DataFrame:
+    q = variants.variant_qc(t.calls, samples.cohort_sizes(t.people), _present(t))
+    return q.select("site", "variant_key", "n", *(F.round(c, 9).alias(c) for c in ("missing_rate", "mean", "sd")), "keep")
+
+
+@query("SELECT variant_key, concat('chr', key_chrom, ':', pos, ':', ref, ':', alt) AS canonical, pos, alt FROM (SELECT variant_key, chrom AS key_chrom, pos, ref, alt FROM {variants})")
+def variant_keys(t: Tables) -> DataFrame:
+    bare = t.variants.select("variant_key", C.bare_variant_key("variant_key").alias("k"))
+    return bare.select("variant_key", C.canonical_variant_key("k").alias("canonical"), C.variant_alleles("k")["pos"].alias("pos"), C.variant_alleles("k")["alt"].alias("alt"))
+
+
+@query(f"""SELECT chrom, gene_id FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY sha256(concat('{SEED}:', gene_id)), gene_id) AS r FROM
+    (SELECT DISTINCT chrom, gene_id FROM ({GENE_VARIANTS}) WHERE variant_key IS NOT NULL)) WHERE r <= 3""")
+def sample_genes(t: Tables) -> DataFrame:
+    return variants.sample_genes(_gene_variants(t), 3, SEED).select("chrom", "gene_id")
+
+
+# Null model, moments and statistics, with the intercept alone: what SQL can say plainly.
+
+PEOPLE2 = "SELECT sample_id, ancestry, y0, y1 FROM {eligible} UNION ALL SELECT sample_id, 'ALL' AS ancestry, y0, y1 FROM {eligible}"
+
+
+def _analysed(t: Tables) -> DataFrame:
+    p = samples.expand_ancestries(t.eligible.select("sample_id", "ancestry", "y0", "y1"))
+    return p.select("ancestry", "sample_id", F.array().cast("array<double>").alias("x"), F.array("y0", "y1").alias("y"))
+
+
+def _gene_calls(t: Tables) -> DataFrame:
+    labels = samples.expand_ancestries(t.eligible.select("sample_id", "ancestry"))
+    return variants.extract_calls(t.calls, labels, _gene_variants(t)).select("ancestry", "chrom", "gene_id", "site", "sample_id", "variant_key", "dosage", "called")
+
+
+@query(f"SELECT ancestry, count(*) AS n, round(sum(y0), 4) AS sum_y0, round(sum(y1), 4) AS sum_y1, round(sum(y0 * y0) / 1e6, 6) AS yy0, round(sum(y1 * y1) / 1e6, 6) AS yy1 FROM ({PEOPLE2}) GROUP BY ancestry")
+def null_moments(t: Tables) -> DataFrame:
+    m = association.null_model_moments(_analysed(t), 0, 2)
+    return m.select("ancestry", "n", F.round(F.col("xty")[0], 4).alias("sum_y0"), F.round(F.col("xty")[1], 4).alias("sum_y1"), F.round(F.col("yty")[0] / 1e6, 6).alias("yy0"), F.round(F.col("yty")[1] / 1e6, 6).alias("yy1"))
+
+
+GENE_CALLS = f"SELECT p.ancestry, g.chrom, g.gene_id, c.sample_id, c.variant_key, c.dosage, p.y0, p.y1 FROM {{calls}} c JOIN ({PEOPLE2}) p ON p.sample_id = c.sample_id JOIN ({GENE_VARIANTS}) g ON g.variant_key = c.variant_key WHERE c.dosage > 0"
+MOMENTS = f"SELECT ancestry, chrom, gene_id, variant_key, CAST(sum(dosage) AS BIGINT) AS ac, sum(dosage * y0) AS gty0, sum(dosage * y1) AS gty1 FROM ({GENE_CALLS}) GROUP BY ancestry, chrom, gene_id, variant_key"
+
+
+@query(f"SELECT ancestry, chrom, gene_id, variant_key, ac, round(gty0 / 7, 7) AS gty0, round(gty1 / 7, 7) AS gty1 FROM ({MOMENTS})")
+def gene_moments(t: Tables) -> DataFrame:
+    m = association.gene_moments(_gene_calls(t), _analysed(t), 0, 2)
+    return m.select("ancestry", "chrom", "gene_id", "variant_key", "ac", F.round(F.col("gty")[0] / 7, 7).alias("gty0"), F.round(F.col("gty")[1] / 7, 7).alias("gty1"))
+
+
+PAIRS = f"WITH gc AS ({GENE_CALLS}) SELECT a.ancestry, a.chrom, a.gene_id, a.variant_key AS a, b.variant_key AS b, CAST(sum(a.dosage * b.dosage) AS BIGINT) AS gtg FROM gc a JOIN gc b ON a.ancestry = b.ancestry AND a.chrom = b.chrom AND a.gene_id = b.gene_id AND a.sample_id = b.sample_id AND a.variant_key <= b.variant_key GROUP BY 1, 2, 3, 4, 5"
+
+
+@query(PAIRS)
+def carrier_pairs(t: Tables) -> DataFrame:
+    return association.carrier_pairs(_gene_calls(t))
+
+
+NULL = f"SELECT ancestry, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, var_samp(y0) AS v0, var_samp(y1) AS v1 FROM ({PEOPLE2}) GROUP BY ancestry"
+WEIGHTED = """SELECT m.*, nul.n, nul.m0, nul.m1, nul.v0, nul.v1, CASE WHEN ac > nul.n THEN -1 ELSE 1 END * 25 * pow(1 - least(ac, 2 * nul.n - ac) / (2.0 * nul.n), 24) AS w FROM moments m JOIN nul ON m.ancestry = nul.ancestry"""
+STATS = f"""WITH counts AS ({COUNTS}), kept AS ({KEPT}), moments AS ({MOMENTS}), nul AS ({NULL}), weighted AS ({WEIGHTED}),
+    s AS (SELECT w.*, k.maf_threshold, w * (gty0 - ac * m0) AS s0, w * (gty1 - ac * m1) AS s1 FROM weighted w JOIN kept k ON k.variant_key = w.variant_key),
+    l AS (SELECT ancestry, maf_threshold, chrom, gene_id, 0 AS phenotype_index, s0 AS s, v0 AS v FROM s UNION ALL SELECT ancestry, maf_threshold, chrom, gene_id, 1 AS phenotype_index, s1 AS s, v1 AS v FROM s)"""
+
+
+def _model(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    null = association.fit_null_model(association.null_model_moments(_analysed(t), 0, 2))
+    weighted = association.variant_weights(association.gene_moments(_gene_calls(t), _analysed(t), 0, 2), null)
+    return null, weighted, _kept(t)
+
+
+@query(f"""{STATS} SELECT ancestry, maf_threshold, chrom, gene_id, phenotype_index, count(*) AS variants, round(sum(s) / 1e3, 5) AS l, round(sum(s) * sum(s) / (2 * any_value(v)) / 1e3, 5) AS q_burden,
+    round(sum(s * s) / (2 * any_value(v)) / 1e3, 5) AS q_skat FROM l GROUP BY ancestry, maf_threshold, chrom, gene_id, phenotype_index""")
+def burden_stat(t: Tables) -> DataFrame:
+    null, weighted, kept = _model(t)
+    s = association.score_statistics(weighted, null, kept)
+    return s.select("ancestry", "maf_threshold", "chrom", "gene_id", "phenotype_index", "variants", *(F.round(F.col(c) / 1e3, 5).alias(c) for c in ("l", "q_burden", "q_skat")))
+
+
+VARIANCE = f"""WITH counts AS ({COUNTS}), kept AS ({KEPT}), moments AS ({MOMENTS}), nul AS ({NULL}), weighted AS ({WEIGHTED}), pairs AS ({PAIRS}),
+    wk AS (SELECT w.*, k.maf_threshold FROM weighted w JOIN kept k ON k.variant_key = w.variant_key),
+    k2 AS (SELECT a.ancestry, a.maf_threshold, a.chrom, a.gene_id, a.variant_key AS a, b.variant_key AS b, a.w AS wa, b.w AS wb,
+        a.w * b.w * (coalesce(p.gtg, q.gtg, 0) - a.ac::DOUBLE * b.ac / a.n) / 2 AS k FROM wk a JOIN wk b ON a.ancestry = b.ancestry AND a.maf_threshold = b.maf_threshold AND a.chrom = b.chrom AND a.gene_id = b.gene_id
+        LEFT JOIN pairs p ON p.ancestry = a.ancestry AND p.chrom = a.chrom AND p.gene_id = a.gene_id AND p.a = a.variant_key AND p.b = b.variant_key
+        LEFT JOIN pairs q ON q.ancestry = a.ancestry AND q.chrom = a.chrom AND q.gene_id = a.gene_id AND q.b = a.variant_key AND q.a = b.variant_key)"""
+
+
+@query(f"{VARIANCE} SELECT ancestry, maf_threshold, chrom, gene_id, round(2 * sum(k) / 1e3, 5) AS v FROM k2 GROUP BY 1, 2, 3, 4")
+def burden_variance(t: Tables) -> DataFrame:
+    null, weighted, kept = _model(t)
+    v = association.burden_variance(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+    return v.withColumn("v", F.round(F.col("v") / 1e3, 5))
+
+
+def _kernels(t: Tables) -> DataFrame:
+    null, weighted, kept = _model(t)
+    return association.gene_kernels(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+
+
+@query(f"{VARIANCE} SELECT ancestry, maf_threshold, chrom, gene_id, round(sum(k) FILTER (WHERE a = b) / 1e3, 5) AS s1, round(sum(k * k) / 1e6, 5) AS s2 FROM k2 GROUP BY 1, 2, 3, 4")
+def kernel_s1_s2(t: Tables) -> DataFrame:
+    return _kernels(t).select("ancestry", "maf_threshold", "chrom", "gene_id", F.round(F.col("s1") / 1e3, 5).alias("s1"), F.round(F.col("s2") / 1e6, 5).alias("s2"))
+
+
+@query(f"""{VARIANCE}, tr AS (SELECT ancestry, maf_threshold, chrom, gene_id, sum(k) FILTER (WHERE a = b) AS s1, sum(k * k) AS s2 FROM k2 GROUP BY 1, 2, 3, 4),
+    cube AS (SELECT x.ancestry, x.maf_threshold, x.chrom, x.gene_id, sum(x.k * y.k * z.k) AS s3 FROM k2 x JOIN k2 y ON x.ancestry = y.ancestry AND x.maf_threshold = y.maf_threshold AND x.chrom = y.chrom AND x.gene_id = y.gene_id AND x.b = y.a
+        JOIN k2 z ON z.ancestry = y.ancestry AND z.maf_threshold = y.maf_threshold AND z.chrom = y.chrom AND z.gene_id = y.gene_id AND z.a = y.b AND z.b = x.a GROUP BY 1, 2, 3, 4),
+    q AS (SELECT w.ancestry, w.maf_threshold, w.chrom, w.gene_id, sum(pow(w * (gty0 - ac * m0), 2)) / (2 * any_value(v0)) AS q FROM wk w GROUP BY 1, 2, 3, 4)
+    SELECT ancestry, maf_threshold, chrom, gene_id, round(CASE WHEN s1 > 0 AND s2 > 0 AND s3 > 0 THEN (cbrt(1 + (q - s1) * g / sqrt(s2)) - 1 + 2 * g * g / 9) / sqrt(2 * g * g / 9) ELSE -9 END, 5) AS z
+    FROM (SELECT *, s3 / pow(s2, 1.5) AS g FROM tr JOIN cube USING (ancestry, maf_threshold, chrom, gene_id) JOIN q USING (ancestry, maf_threshold, chrom, gene_id))""")
+def skat_wh_z(t: Tables) -> DataFrame:
+    null, weighted, kept = _model(t)
+    k = association.gene_kernels(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+    s = association.score_statistics(weighted, null, kept).where("phenotype_index = 0")
+    j = s.join(k, ["ancestry", "maf_threshold", "chrom", "gene_id"])
+    return j.select("ancestry", "maf_threshold", "chrom", "gene_id", F.round(wilson_hilferty_z(F.col("q_skat"), F.col("s1"), F.col("s2"), F.col("s3")), 5).alias("z"))
+
+
+# Two-site resource statistics.
+
+SITE = f"""WITH counts AS ({COUNTS}), kept AS ({KEPT}), labels AS (SELECT sample_id, site, ancestry FROM {{eligible}} UNION ALL SELECT sample_id, site, 'ALL' AS ancestry FROM {{eligible}}),
+    sizes AS (SELECT ancestry, site, count(*) AS n FROM labels GROUP BY 1, 2), cc AS (SELECT l.ancestry, c.* FROM {{calls}} c JOIN labels l ON l.sample_id = c.sample_id),
+    gv AS (SELECT chrom, gene_id, variant_key FROM ({GENE_VARIANTS}) WHERE variant_key IS NOT NULL),
+    sc AS (SELECT s.ancestry, a.site, a.variant_key, any_value(a.chrom) AS chrom, CAST(coalesce(sum(c.dosage) FILTER (WHERE c.called), 0) AS BIGINT) AS ac, any_value(s.n) - count(*) FILTER (WHERE NOT c.called) AS called
+        FROM {{available}} a JOIN sizes s ON s.site = a.site LEFT JOIN cc c ON c.ancestry = s.ancestry AND c.site = a.site AND c.variant_key = a.variant_key GROUP BY 1, 2, 3),
+    minor AS (SELECT sc.ancestry, k.maf_threshold, sc.chrom, sc.variant_key, sc.site, CASE WHEN f.flip THEN 2 * called - ac ELSE ac END AS minor FROM sc JOIN kept k ON k.variant_key = sc.variant_key
+        JOIN (SELECT sc.ancestry, variant_key, sum(ac) > any_value(t.n) AS flip FROM sc JOIN (SELECT ancestry, sum(n) AS n FROM sizes GROUP BY 1) t ON t.ancestry = sc.ancestry GROUP BY 1, 2) f ON f.ancestry = sc.ancestry AND f.variant_key = sc.variant_key),
+    cmac AS (SELECT ancestry, maf_threshold, m.chrom, gene_id, site, CAST(sum(minor) AS BIGINT) AS cmac FROM minor m JOIN gv ON gv.variant_key = m.variant_key GROUP BY 1, 2, 3, 4, 5),
+    carriers AS (SELECT c.ancestry, m.maf_threshold, gv.chrom, gv.gene_id, c.site, count(DISTINCT c.sample_id) AS carriers FROM cc c JOIN gv ON gv.variant_key = c.variant_key
+        JOIN minor m ON m.ancestry = c.ancestry AND m.site = c.site AND m.variant_key = c.variant_key WHERE c.called AND c.dosage > 0 GROUP BY 1, 2, 3, 4, 5),
+    cells AS (SELECT DISTINCT ancestry, maf_threshold, chrom, gene_id FROM labels CROSS JOIN (SELECT unnest([0.001::DOUBLE, 0.01, 0.1, 0.5]) AS maf_threshold) CROSS JOIN {{genes}}),
+    bg AS (SELECT c.*, coalesce(a.carriers, 0) AS a, coalesce(b.carriers, 0) AS b, coalesce(x.cmac, 0) AS cmac_a, coalesce(y.cmac, 0) AS cmac_b FROM cells c
+        LEFT JOIN carriers a ON a.site = 'A' AND (a.ancestry, a.maf_threshold, a.chrom, a.gene_id) = (c.ancestry, c.maf_threshold, c.chrom, c.gene_id) LEFT JOIN carriers b ON b.site = 'B' AND (b.ancestry, b.maf_threshold, b.chrom, b.gene_id) = (c.ancestry, c.maf_threshold, c.chrom, c.gene_id)
+        LEFT JOIN cmac x ON x.site = 'A' AND (x.ancestry, x.maf_threshold, x.chrom, x.gene_id) = (c.ancestry, c.maf_threshold, c.chrom, c.gene_id) LEFT JOIN cmac y ON y.site = 'B' AND (y.ancestry, y.maf_threshold, y.chrom, y.gene_id) = (c.ancestry, c.maf_threshold, c.chrom, c.gene_id))"""
+CARRIERS, EDGES = [5, 20, 50], [5, 20, 80]
+
+
+def _site_parts(t: Tables) -> dict[str, DataFrame]:
+    labels = samples.expand_ancestries(t.eligible.select("sample_id", "site", "ancestry"))
+    sizes = labels.groupBy("ancestry", "site").agg(F.count(F.lit(1)).alias("n"))
+    calls = t.calls.join(labels.select("ancestry", "sample_id"), "sample_id")
+    sums = calls.groupBy("ancestry", "site", "variant_key").agg(F.sum(F.when(F.col("called"), F.col("dosage").cast("long"))).alias("ac"), F.count_if(~F.col("called")).alias("missing"))
+    sc = t.available.join(sizes, "site").join(sums, ["ancestry", "site", "variant_key"], "left")
+    sc = sc.select("ancestry", "chrom", "site", "variant_key", F.coalesce("ac", F.lit(0)).alias("ac"), (F.col("n") - F.coalesce("missing", F.lit(0))).alias("called"))
+    minor = resource.variant_minor(sc, sizes, _kept(t))
+    gv = _gene_variants(t).where("variant_key is not null")
+    strata = labels.select("ancestry").distinct().crossJoin(F.broadcast(_thresholds(t)))
+    return {"sizes": sizes, "calls": calls, "minor": minor, "gv": gv, "strata": strata}
+
+
+@query(SITE + " SELECT * FROM carriers")
+def carrier_counts(t: Tables) -> DataFrame:
+    p = _site_parts(t)
+    return resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"]).where("carriers > 0")
+
+
+@query(SITE + " SELECT * FROM cmac")
+def cmac(t: Tables) -> DataFrame:
+    p = _site_parts(t)
+    return resource.cumulative_mac(p["minor"], p["gv"])
+
+
+def _by_gene(t: Tables) -> DataFrame:
+    p = _site_parts(t)
+    return resource.by_gene(t.genes, p["strata"], resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"]), resource.cumulative_mac(p["minor"], p["gv"]))
+
+
+_PANEL = "SELECT ancestry, maf_threshold, chrom, '{panel}' AS panel, s.series, s.lower, s.upper, count(*) FILTER (WHERE {cond}) AS count FROM {source} CROSS JOIN ({cells}) s GROUP BY 1, 2, 3, 4, 5, 6, 7"
+_A = _PANEL.format(panel="A", source="bg", cond="CASE s.series WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'joint' THEN a + b ELSE greatest(a, b) END >= CAST(s.lower AS BIGINT)", cells="SELECT series, CAST(lower AS STRING) AS lower, 'NA' AS upper FROM (SELECT unnest(['A', 'B', 'local_any', 'joint']) AS series) CROSS JOIN (SELECT unnest([5, 20, 50]) AS lower)")
+_V = "CASE s.series WHEN 'A' THEN cmac_a WHEN 'B' THEN cmac_b ELSE cmac_a + cmac_b END"
+_B = _PANEL.format(panel="B", source="bg", cond=f"a >= 5 AND b >= 5 AND {_V} >= CAST(s.lower AS BIGINT) AND (s.upper = 'Inf' OR {_V} < TRY_CAST(s.upper AS BIGINT))", cells="SELECT series, lower, upper FROM (SELECT unnest(['A', 'B', 'joint']) AS series) CROSS JOIN (VALUES ('5', '20'), ('20', '80'), ('80', 'Inf')) b(lower, upper)")
+_C = """SELECT c.ancestry, c.maf_threshold, c.chrom, 'C' AS panel, s.series, 'NA' AS lower, 'NA' AS upper, count(*) FILTER (WHERE CASE s.series WHEN 'shared' THEN a > 0 AND b > 0 WHEN 'A_only' THEN a > 0 AND b = 0 ELSE a = 0 AND b > 0 END) AS count
+    FROM (SELECT DISTINCT ancestry, maf_threshold, chrom FROM cells) c CROSS JOIN (SELECT unnest(['shared', 'A_only', 'B_only']) AS series) s
+    LEFT JOIN (SELECT ancestry, maf_threshold, chrom, variant_key, coalesce(max(minor) FILTER (WHERE site = 'A'), 0) AS a, coalesce(max(minor) FILTER (WHERE site = 'B'), 0) AS b FROM minor WHERE variant_key IN (SELECT variant_key FROM gv) GROUP BY 1, 2, 3, 4) m
+    ON (m.ancestry, m.maf_threshold, m.chrom) = (c.ancestry, c.maf_threshold, c.chrom) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(f"{SITE} {_A}")
+def panel_a(t: Tables) -> DataFrame:
+    return resource.carrier_coverage(_by_gene(t), CARRIERS)
+
+
+@query(f"{SITE} {_B}")
+def panel_b(t: Tables) -> DataFrame:
+    return resource.cmac_histogram(_by_gene(t), EDGES)
+
+
+@query(f"{SITE} {_C}")
+def panel_c(t: Tables) -> DataFrame:
+    p = _site_parts(t)
+    return resource.variant_overlap(p["minor"], p["gv"], p["strata"], t.genes)
+
+
+@query(f"{SITE} SELECT ancestry, maf_threshold, 'all' AS annotation, 'all' AS gene_set, panel, series, lower, upper, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT chrom) AS chromosomes FROM ({_A}) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")
+def resource_stats_sum(t: Tables) -> DataFrame:
+    s = resource.carrier_coverage(_by_gene(t), CARRIERS).withColumnsRenamed({"chrom": "chromosome"})
+    return resource.sum_chromosomes(keep(s, "panel-a").withColumns({"annotation": F.lit("all"), "gene_set": F.lit("all"), "status": F.lit("released")}))
+
+
+# Annotation.
+
+RANKED = """SELECT variant_key, gene_id, count(*) AS n_rows, bool_or(trim(mane) != '') AS mane, arg_min(lof, ord) FILTER (WHERE trim(mane) != '') AS lof, arg_min(gene_symbol, ord) FILTER (WHERE trim(mane) != '') AS gene_symbol FROM {consequences} GROUP BY 1, 2"""
+
+
+@query(f"SELECT variant_key, gene_id, gene_symbol FROM ({RANKED}) WHERE mane AND lof = 'HC'")
+def first_consequence(t: Tables) -> DataFrame:
+    return variants.first_consequence(t.consequences)
+
+
+@query(f"SELECT count(*) AS pairs, count(*) FILTER (WHERE NOT mane) AS without_mane, count(*) FILTER (WHERE mane) AS mane, count(*) FILTER (WHERE mane AND lof = 'HC') AS mane_hc, count(*) FILTER (WHERE mane AND lof != 'HC') AS mane_not_hc, count(*) FILTER (WHERE mane AND lof = 'HC') AS retained FROM ({RANKED})")
+def annotation_summary(t: Tables) -> DataFrame:
+    return variants.annotation_summary(variants.ranked_consequences(t.consequences))
+
+
+@query("""SELECT gene_id, gene_symbol, chrom, CAST(row_number() OVER (PARTITION BY chrom ORDER BY pos, gene_id) - 1 AS INT) AS order_index FROM
+    (SELECT v.chrom, a.gene_id, arg_min(a.gene_symbol, v.pos) AS gene_symbol, min(v.pos) AS pos FROM {annotations} a JOIN {variants} v ON v.variant_key = a.variant_key GROUP BY 1, 2)""")
+def gene_panel(t: Tables) -> DataFrame:
+    return variants.gene_panel_from_annotations(t.annotations.join(t.variants.select("variant_key", "chrom", "pos", "ord"), "variant_key"))
+
+
+OVERLAP = "SELECT v.variant_key, v.pos, v.chrom, i.gene_id FROM {variants} v JOIN {intervals} i ON i.chrom = v.chrom AND v.pos BETWEEN i.start AND i.\"end\""
+
+
+@query(OVERLAP)
+def gene_overlap_range(t: Tables) -> DataFrame:
+    return variants.variant_gene_overlap(t.variants, t.intervals, 1000).select("variant_key", "pos", "chrom", "gene_id")
+
+
+@query(f"""SELECT chrom, block, arg_min(variant_key, h) AS variant_key, arg_min(gene_id, h) AS gene_id FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY chrom ORDER BY variant_key, gene_id) - 1) / 100) AS BIGINT) AS block,
+    sha256(concat('{SEED}:', variant_key, ':', gene_id)) AS h FROM {{annotations}} JOIN (SELECT variant_key, chrom FROM {{variants}}) USING (variant_key)) GROUP BY chrom, block HAVING count(*) = 100""")
+def thin_blocks(t: Tables) -> DataFrame:
+    pairs = t.annotations.join(t.variants.select("variant_key", "chrom"), "variant_key").select("chrom", "variant_key", "gene_id")
+    return variants.thin_blocks(pairs, ["variant_key", "gene_id"], seed=SEED).select("chrom", F.col("block").cast("long").alias("block"), "variant_key", "gene_id")
+
+
+# Comparison of results and run metrics.
+
+KEY = ["ancestry", *compare.RESULT_KEY]
+X, Y = "CASE WHEN p_a >= 0 AND isfinite(p_a) THEN -log10(greatest(p_a, 1e-300)) END", "CASE WHEN p_b >= 0 AND isfinite(p_b) THEN -log10(greatest(p_b, 1e-300)) END"
+R2 = "CASE WHEN count(y) >= 2 AND var_pop(y) > 0 THEN round(1 - sum((x - y) * (x - y)) / (var_pop(y) * count(y)), 6) END"
+XY = f"SELECT *, CASE WHEN x0 IS NOT NULL AND y0 IS NOT NULL THEN x0 END AS x, CASE WHEN x0 IS NOT NULL AND y0 IS NOT NULL THEN y0 END AS y FROM (SELECT *, {X} AS x0, {Y} AS y0 FROM {{results}})"
+
+
+def _compared(t: Tables) -> DataFrame:
+    a, b = t.results.select(*KEY, F.col("p_a").cast("double").alias("p_a"), "converged"), t.results.select(*KEY, F.col("p_b").cast("double").alias("p_b"))
+    return compare.match_results(a, b, KEY)
+
+
+@query("SELECT ancestry, chromosome, gene_index, gene_id, phenotype_index, phenotype_name, CAST(p_a AS DOUBLE) AS p_a, CASE WHEN isfinite(p_b) THEN round(abs(p_a - p_b), 9) END AS error FROM {results}")
+def compare_results(t: Tables) -> DataFrame:
+    return _compared(t).select(*KEY, "p_a", F.round(C.abs_error("p_a", "p_b"), 9).alias("error"))
+
+
+ROLLUP = f"SELECT ancestry, phenotype_index, phenotype_name, chromosome, count(y) AS n, {R2} AS r2 FROM ({XY}) GROUP BY GROUPING SETS ((ancestry), (ancestry, phenotype_index, phenotype_name), (ancestry, phenotype_index, phenotype_name, chromosome))"
+
+
+@query(ROLLUP)
+def r2_grouping_sets(t: Tables) -> DataFrame:
+    return compare.accuracy_rollup(_compared(t), "p_a", "p_b").withColumn("r2", F.round("r2", 6))
+
+
+@query(f"SELECT ancestry, phenotype_index, phenotype_name, chromosome, n, r2 FROM (SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY r2, phenotype_index, phenotype_name, chromosome, n) AS k FROM ({ROLLUP}) WHERE chromosome IS NOT NULL AND r2 IS NOT NULL) WHERE k = 1")
+def worst_stratum(t: Tables) -> DataFrame:
+    r = compare.accuracy_rollup(_compared(t), "p_a", "p_b").where("chromosome is not null").withColumn("r2", F.round("r2", 6))
+    return compare.worst_stratum(r, ["ancestry"], ["phenotype_index", "phenotype_name", "chromosome", "n"])
+
+
+@query(f"""SELECT a.ancestry, a.total, a.failed, a.r2, b.r2_converged FROM (SELECT ancestry, count(*) AS total, count(*) FILTER (WHERE converged = '0') AS failed, {R2} AS r2 FROM ({XY}) GROUP BY ancestry) a
+    JOIN (SELECT ancestry, {R2} AS r2_converged FROM ({XY}) WHERE converged != '0' GROUP BY ancestry) b ON a.ancestry = b.ancestry""")
+def convergence_split(t: Tables) -> DataFrame:
+    return compare.convergence_split(_compared(t), "p_a", "p_b", "converged", ["ancestry"]).withColumns({c: F.round(c, 6) for c in ("r2", "r2_converged")})
+
+
+@query("""SELECT ancestry, 'p_b' AS "column", count(*) AS count, count(*) FILTER (WHERE NOT isfinite(p_b)) AS nonfinite, count(*) FILTER (WHERE isfinite(p_b) AND NOT p_b BETWEEN 0 AND 1) AS outside, count(*) FILTER (WHERE p_b = 0) AS zeros,
+    count(*) FILTER (WHERE p_b = 1) AS ones, min(p) AS min, round(quantile_cont(p, 0.25), 9) AS q1, round(quantile_cont(p, 0.5), 9) AS median, round(quantile_cont(p, 0.75), 9) AS q3, max(p) AS max
+    FROM (SELECT *, CASE WHEN isfinite(p_b) AND p_b BETWEEN 0 AND 1 THEN p_b END AS p FROM {results}) GROUP BY ancestry""")
+def pvalue_summary(t: Tables) -> DataFrame:
+    return compare.pvalue_summary(t.results, ["p_b"], ["ancestry"]).withColumns({c: F.round(c, 9) for c in ("q1", "median", "q3")})
+
+
+@query("""SELECT ancestry, chromosome, gene_index, gene_id, phenotype_index, phenotype_name FROM (SELECT *, count(*) OVER (PARTITION BY ancestry, phenotype_index) AS n FROM {results}) WHERE p_a >= 0 AND p_a <= 20.0 / n""")
+def bonferroni_hits(t: Tables) -> DataFrame:
+    return compare.bonferroni_hits(t.results, "p_a", alpha=20.0).select(*KEY)
+
+
+@query("""SELECT ancestry, chromosome, gene_index, gene_id, phenotype_index, phenotype_name FROM (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY ancestry, phenotype_index ORDER BY CASE WHEN isfinite(p_b) THEN p_b END NULLS LAST, CAST(chromosome AS INT), gene_index, gene_id) AS k
+    FROM {results} WINDOW w AS (PARTITION BY ancestry, phenotype_index)) WHERE p_a <= 5.0 / n OR (isfinite(p_b) AND p_b <= 5.0 / n) OR (k <= 10 AND isfinite(p_b))""")
+def label_genes(t: Tables) -> DataFrame:
+    return compare.label_genes(_compared(t), "p_a", "p_b", alpha=5.0).select(*KEY)
+
+
+@query("SELECT chromosome, gene_index, row_number() OVER (ORDER BY CAST(chromosome AS INT), gene_index) - 1 AS x FROM (SELECT DISTINCT chromosome, gene_index FROM {results})")
+def manhattan_positions(t: Tables) -> DataFrame:
+    return compare.manhattan_positions(t.results)[0]
+
+
+_SUMS = "round(coalesce(sum(d) FILTER (WHERE stage = 'view'), 0), 4) AS view, round(coalesce(sum(d) FILTER (WHERE stage = 'click'), 0), 4) AS click, round(coalesce(sum(d) FILTER (WHERE stage = 'chromosome_total'), 0), 4) AS chromosome_total"
+
+
+@query(f"""WITH m AS (SELECT *, duration_seconds AS d FROM {{metrics}}), done AS (SELECT DISTINCT ancestry, chromosome FROM m WHERE stage = 'chromosome_total' AND chromosome != '0'),
+    per AS (SELECT * FROM m SEMI JOIN done USING (ancestry, chromosome) WHERE stage IN ('click', 'chromosome_total')), tot AS (SELECT * FROM per UNION ALL SELECT * FROM m WHERE chromosome = '0' AND stage = 'view')
+    SELECT ancestry, chromosome, {_SUMS}, round(sum(d), 4) AS total FROM per GROUP BY 1, 2 UNION ALL SELECT ancestry, 'TOTAL' AS chromosome, {_SUMS}, round(sum(d), 4) AS total FROM tot GROUP BY 1
+    UNION ALL SELECT 'GRAND_TOTAL' AS ancestry, 'TOTAL' AS chromosome, {_SUMS}, round(sum(d), 4) AS total FROM tot""")
+def metrics_pivot(t: Tables) -> DataFrame:
+    m = compare.metrics_time_table(t.metrics, ["click", "chromosome_total"], ["view"])
+    return m.select("ancestry", "chromosome", *(F.round(c, 4).alias(c) for c in ("view", "click", "chromosome_total", "total")))
+
+
+@query("""SELECT coalesce(ancestry, 'GRAND_TOTAL') AS ancestry, coalesce(chromosome, 'TOTAL') AS chromosome, CAST(sum(sent_bytes) AS BIGINT) AS sent_bytes, CAST(sum(received_bytes) AS BIGINT) AS received_bytes FROM {metrics}
+    WHERE (chromosome = '0' AND stage = 'view') OR (chromosome != '0' AND stage = 'chromosome_total') GROUP BY ROLLUP (ancestry, chromosome)""")
+def metrics_comm(t: Tables) -> DataFrame:
+    return compare.metrics_comm_table(t.metrics, ["view"])
+
+
+@query("""SELECT gene_index, gene_id, phenotype_index, phenotype_name, 'p outside [0, 1]' AS reason FROM {results} WHERE ancestry = 'ASIA' AND NOT isfinite(p_b) AND chromosome = '21'
+    UNION ALL SELECT gene_index, gene_id, 1 AS phenotype_index, 'totalprice' AS phenotype_name, 'missing' AS reason FROM {results} WHERE ancestry = 'ASIA' AND gene_index % 13 = 5 AND chromosome = '21' AND isfinite(p_b) AND phenotype_index = 1""")
+def complete_results(t: Tables) -> DataFrame:
+    r = t.results.where("ancestry = 'ASIA' and chromosome = '21'")
+    have = r.where("not (gene_index % 13 = 5 and phenotype_index = 1 and not isnan(p_b))")
+    return checks.complete_results(have, r.select("gene_index", "gene_id").distinct(), r.select("phenotype_index", "phenotype_name").distinct(), ["p_b"])
+
+
+@query("SELECT sample_id, concat('[', x0, ',null,', round(y0, 2), ']') AS packed, x0 AS pc1, round(y0, 2) AS pc3 FROM {eligible}")
+def packed_covariates(t: Tables) -> DataFrame:
+    packed = t.eligible.select("sample_id", C.encode_packed_covariates(F.array("x0", F.round("y0", 2)), [0, 2], 3).alias("packed"))
+    return packed.select("sample_id", "packed", C.packed_covariate("packed", "PC1").alias("pc1"), C.packed_covariate("packed", "PC3").alias("pc3"))
+
+
+@query("SELECT sample_id, y1 IS NULL AS missing, y1 AS value FROM {people}")
+def parse_missing(t: Tables) -> DataFrame:
+    text = t.people.select("sample_id", F.coalesce(F.col("y1").cast("string"), F.lit("NA")).alias("v"))
+    parsed = text.select("sample_id", C.parse_missing("v").alias("v"))
+    return parsed.select("sample_id", F.isnan("v").alias("missing"), F.when(~F.isnan("v"), F.col("v")).alias("value"))
+
+
+@query("SELECT event_id, CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS INT) AS k FROM events")
+def json_props(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT variant_key, gene_id, gene_symbol FROM {annotations}")
+def annotate_variants(t: Tables) -> DataFrame:
+    source = t.annotations.join(t.variants.select("variant_key", "pos", "ref", "alt"), "variant_key").drop("variant_key")
+    return variants.annotate_variants(source, t.variants)
+
+
+@query(f"WITH counts AS ({COUNTS}) SELECT variant_key, ac, round(maf, 9) AS maf, round(25 * pow(1 - maf, 24), 6) AS weight FROM (SELECT variant_key, CAST(sum(ac) AS BIGINT) AS ac, least(sum(ac), 2 * any_value(n) - sum(ac)) / (2.0 * any_value(n)) AS maf FROM counts CROSS JOIN (SELECT count(*) AS n FROM {{eligible}}) GROUP BY variant_key)")
+def variant_weights(t: Tables) -> DataFrame:
+    pooled = _counts(t).groupBy("variant_key").agg(F.sum("ac").alias("ac")).crossJoin(F.broadcast(t.eligible.agg(F.count(F.lit(1)).alias("n"))))
+    maf = C.minor_allele_frequency("ac", "n")
+    return pooled.select("variant_key", "ac", F.round(maf, 9).alias("maf"), F.round(C.beta_weight(maf), 6).alias("weight"))
+
+
+def _site_inputs(t: Tables, site: str) -> jobs.SiteInputs:
+    p = _people(t).where(F.col("site") == site)
+    v = t.variants.join(t.available.where(F.col("site") == site).select("variant_key"), "variant_key", "left_semi")
+    return jobs.SiteInputs(p.select("sample_id", "ord"), v, t.calls.where(F.col("site") == site), t.genes, t.annotations, p.select("sample_id", "y"), p.select("sample_id", "x"), p.select("sample_id", "ancestry"))
+
+
+def _prepared(t: Tables) -> tuple[jobs.Prepared, jobs.Prepared]:
+    a = jobs.prepare_site(_site_inputs(t, "A"), "A", ["ALL", "ASIA"])
+    return a, jobs.prepare_site(_site_inputs(t, "B"), "B", ["ALL", "ASIA"], public=a.public, cut=a.cut)
+
+
+@query()
+def association_results(t: Tables) -> DataFrame:
+    """Preparing both sites, then Burden and SKAT with one covariate: all p-values."""
+    a, b = _prepared(t)
+    return jobs.run_association(a, b, [0.01, 0.5], PHENOTYPES, 1)
+
+
+@query()
+def resource_statistics(t: Tables) -> DataFrame:
+    a, b = _prepared(t)
+    return jobs.resource_stats(a, b, [0.01, 0.5], CARRIERS, EDGES)
+
+
+@query()
+def ld_pairs(t: Tables) -> DataFrame:
+    v = t.variants.select("variant_key", "chrom", "pos")
+    return variants.window_ld_pairs(t.calls.where("dosage > 0").join(v, "variant_key"), t.people.count(), least_r2=0.05)
+
+
+@query()
+def simulated_phenotypes(t: Tables) -> DataFrame:
+    return samples.simulate_phenotypes(t.people, ["p1", "p2"], SEED)
