@@ -188,6 +188,7 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
                 out.append((key[0], t, key[1], key[2], v_burden, *s, values))
         return pd.DataFrame(out, columns=["ancestry", "maf_threshold", "chrom", "gene_id", "v_burden", "s1", "s2", "s3", "eigenvalues"])
 
+    pairs = pairs.toDF(*pairs.columns)  # columns of its own, where both come from the same calls
     return w.groupBy(*GENE).cogroup(pairs.groupBy(*GENE)).applyInPandas(per_gene, KERNEL_SCHEMA)
 
 

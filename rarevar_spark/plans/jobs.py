@@ -218,25 +218,26 @@ def split_cohort(inputs: SiteInputs, ancestries: list[str], shared_rate: float,
     return out
 
 
-def genotype_pca(dosages: DataFrame, n_samples: int, k: int = 16, driver_samples: int = 10_000) -> DataFrame:
+def genotype_pca(dosages: DataFrame, sample_table: DataFrame, k: int = 16, driver_samples: int = 10_000) -> DataFrame:
     """sample_id, PC1.. of standardised dosages (sparse rows sample_id, variant_key, dosage); components are unit vectors, signs are arbitrary.
 
     The sample-by-sample matrix is summed on the executors, variant by variant; only up to ``driver_samples`` samples are solved
     this way, and more are refused.
     """
+    n_samples = sample_table.count()
     if n_samples > driver_samples:
         raise ValueError(f"{n_samples} samples are too many for a dense relationship matrix")
     d = dosages.where("dosage > 0")
     stats = d.groupBy("variant_key").agg((F.sum("dosage") / F.lit(2.0 * n_samples)).alias("f")).where("f > 0 and f < 1")
-    ids = sorted(r[0] for r in d.select("sample_id").distinct().collect())
+    ids = sorted(r[0] for r in sample_table.select("sample_id").distinct().collect())
     at = {s: i for i, s in enumerate(ids)}
     t = d.join(stats, "variant_key").groupBy("variant_key", "f").agg(F.collect_list(F.struct("sample_id", "dosage")).alias("g"))
 
     def blocks(frames):
-        m = np.zeros((len(at) + 1, len(at) + 1))  # last: a sample without a carried variant
+        m = np.zeros((len(at), len(at)))
         for frame in frames:
             for f, g in zip(frame["f"], frame["g"]):
-                v = np.zeros(len(at) + 1)
+                v = np.zeros(len(at))
                 for x in g:
                     v[at[x["sample_id"]]] = x["dosage"]
                 v = (v - 2 * f) / np.sqrt(2 * f * (1 - f))
@@ -245,10 +246,9 @@ def genotype_pca(dosages: DataFrame, n_samples: int, k: int = 16, driver_samples
         yield pd.DataFrame({"i": i, "j": j, "v": m[i, j]})
 
     sums = t.mapInPandas(blocks, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    m = np.zeros((len(ids) + 1, len(ids) + 1))
+    m = np.zeros((len(ids), len(ids)))
     for r in sums:
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    m = m[: len(ids), : len(ids)]
     value, vector = np.linalg.eigh(m)
     top = vector[:, np.argsort(-value)[:k]]
     spark = dosages.sparkSession
@@ -267,7 +267,7 @@ def public_cohort_inputs(vcf_calls: DataFrame, vcf_variants: DataFrame, sample_t
     pairs = keep(variants.window_ld_pairs(dosages, n), "ld-pairs")
     maf = common.select("chrom", "variant_key", "pos", (F.least(F.col("ac"), 2 * F.col("n") - F.col("ac")) / (2 * F.col("n"))).alias("maf"))
     pruned = variants.ld_prune(maf, pairs)
-    pcs = genotype_pca(dosages.join(pruned.select("variant_key"), "variant_key", "left_semi"), n, k)
+    pcs = genotype_pca(dosages.join(pruned.select("variant_key"), "variant_key", "left_semi"), sample_table, k)
     return {
         "annotations": annotations, "genes": intervals.select("gene_id", "gene_symbol", "chrom", "order_index"),
         "ancestries": samples.ancestry_pc_table(panel, pcs, min(k, len(pcs.columns) - 1)), "phenotypes": samples.simulate_phenotypes(sample_table, phenotype_names, seed),
