@@ -7,7 +7,8 @@ tokens are in that union, and only then is it compared with the group's sets, by
 Which sets may be similar is found without loss: two linked sets whose larger one has at most n tokens differ in at
 most ``2 n (1 - t) / (1 + t)`` tokens. Cut every set by ranges of the tokens' hashes into more parts than that, and at least
 one part is equal in both. Sizes fall into classes that a link spans at most one border of; a set is cut for its own
-class and for the next. A group is named after the smallest set that shares a part with its sets.
+class and for the next. A set joins the group of the set that leads
+most of its shared parts (the smallest set that has the part), and asks the groups that hold as many of its parts as a link needs.
 """
 
 from __future__ import annotations
@@ -26,26 +27,35 @@ from .textkit import BLANK_SEPARATED, distinct_by_doc, list_array, mix, shingle_
 
 
 class SizeClasses:
-    """Lower bounds of the size classes, and for each the most tokens that linked sets differ in and the number of parts."""
+    """Lower bounds of the size classes, and for each the most tokens that linked sets differ in and the number of parts.
 
-    def __init__(self, share: Fraction) -> None:
+    A class is at least so wide that a set's links reach no further than the next class.
+    """
+
+    def __init__(self, share: Fraction, width: Fraction = Fraction(3, 2)) -> None:
+        self.share = share
         low = [1]
         while low[-1] < 1 << 40:
-            low.append(int(low[-1] / share) + 1)
+            low.append(int(low[-1] * max(width, 1 / share)) + 1)
         top = [b - 1 for b in low[1:]]
         self.low = np.array(low[:-1], dtype=np.int64)
         self.differ = np.array([int(2 * n * (1 - share) / (1 + share)) for n in top], dtype=np.int64)
-        self.parts = np.where(self.differ > 0, self.differ * 11 // 10 + 2, 0)
+        self.parts = np.where(self.differ > 0, self.differ * 12 // 10 + 2, 0)
 
 
-def part_signatures(h: np.ndarray, d: np.ndarray, n_docs: int, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures (hash of size class, part number and content) and the document of each, from distinct sorted tokens."""
+def part_signatures(h: np.ndarray, d: np.ndarray, n_docs: int, classes: SizeClasses) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures (hash of size class, part number and content) and the document of each, from distinct sorted tokens; and for
+    each document how many of its parts a linked set has at least: those in use less the most tokens that may differ."""
+    need = np.full(n_docs, np.iinfo(np.int32).max, dtype=np.int64)
     n = np.bincount(d, minlength=n_docs)
     own = np.searchsorted(classes.low, np.maximum(n, 1), side="right") - 1
     sigs, docs = [], []
     for step in (0, 1):
         c = own + step
         m, differ = classes.parts[c], classes.differ[c]
+        if step:  # only sets that a set of the next class may link with
+            reaches = n * classes.share.denominator // classes.share.numerator >= classes.low[c]
+            m = np.where(reaches, m, 0)
         ok = m[d] > 0
         hh, dd = h[ok], d[ok]
         if not len(hh):
@@ -59,62 +69,85 @@ def part_signatures(h: np.ndarray, d: np.ndarray, n_docs: int, classes: SizeClas
         docs.append(dd[at])
         # With as few parts in use as tokens may differ, the equal part may be one that is empty in both.
         in_use = np.bincount(dd[at], minlength=n_docs)
+        need = np.where(m > 0, np.minimum(need, np.maximum(in_use - differ, 1)), need)
         for k in np.flatnonzero((in_use <= differ) & (n > 0) & (m > 0)):
             empty = np.setdiff1d(np.arange(m[k], dtype=np.uint64), part[at][dd[at] == k])
             tag = c[k : k + 1].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + empty * np.uint64(0x165667B19E3779F9)
             sigs.append(mix(mix(tag)))
             docs.append(np.full(len(empty), k))
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), need
     sig, doc = np.concatenate(sigs), np.concatenate(docs)
     order = np.argsort(doc, kind="stable")
-    return sig[order], doc[order]
+    return sig[order], doc[order], need
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shingle_sets(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
-    """doc_id, n_shingles, two sums that identify the set, and its part signatures."""
+def _set_ids(h: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
+    """A 64-bit hash of each document's set of tokens."""
+    s = np.bincount(d, minlength=n_docs).astype(np.uint64)
+    if len(h):
+        at = np.flatnonzero(np.diff(d, prepend=-1))
+        s[d[at]] += np.add.reduceat(h, at) + mix(np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at))
+    return mix(s)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: int, words: int) -> Iterator[tuple]:
+    for batch in batches:
+        for i, j, raw, off in slices(batch.column(column)):
+            yield batch.slice(i, j - i), j - i, *distinct_by_doc(*shingle_hashes(*word_hashes(raw, off, BLANK_SEPARATED), j - i, words))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles and set_id, a hash of the set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, n, h, d in _sliced(batches, 1, words):
+            cols = [batch.column(0), pa.array(np.bincount(d, minlength=n).astype(np.int64)), pa.array(_set_ids(h, d, n).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_id"])
+
+    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_id long")
+
+
+def set_parts(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """rep (the set's id), sig and need: the part signatures of every set; a task leaves out the sets it has seen before."""
     classes = SizeClasses(share)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, raw, off in slices(batch.column(1)):
-                h, d = distinct_by_doc(*shingle_hashes(*word_hashes(raw, off, BLANK_SEPARATED), j - i, words))
-                n = np.bincount(d, minlength=j - i)
-                s1, s2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                if len(h):
-                    at = np.flatnonzero(np.diff(d, prepend=-1))
-                    s1[d[at]], s2[d[at]] = np.add.reduceat(h, at), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
-                sig, doc = part_signatures(h, d, j - i, classes)
-                cols = [
-                    batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                    list_array(sig.view(np.int64), np.bincount(doc, minlength=j - i), pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "s1", "s2", "sigs"])
-
-    return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, s1 long, s2 long, sigs array<long>")
+        seen: set[int] = set()
+        for _, n, h, d in _sliced(batches, 1, words):
+            ids = _set_ids(h, d, n)
+            new = np.zeros(n, dtype=bool)
+            for k, x in enumerate(ids.tolist()):
+                new[k] = x not in seen
+                seen.add(x)
+            use = new[d]
+            sig, doc, need = part_signatures(h[use], d[use], n, classes)
+            cols = [pa.array(ids[doc].view(np.int64)), pa.array(sig.view(np.int64)), pa.array(need[doc].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "sig", "need"])
+
+    return _texts(docs).mapInArrow(rows, "rep long, sig long, need int")
 
 
 def _tokens(texts: DataFrame, words: int) -> DataFrame:
-    """doc_id and the distinct shingle hashes of its text."""
+    """rep and the distinct shingle hashes of its text, of a table (rep, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, raw, off in slices(batch.column(1)):
-                h, d = distinct_by_doc(*shingle_hashes(*word_hashes(raw, off, BLANK_SEPARATED), j - i, words))
-                cols = [batch.column(0).slice(i, j - i), list_array(h.view(np.int64), np.bincount(d, minlength=j - i), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tokens"])
+        for batch, n, h, d in _sliced(batches, 1, words):
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(h.view(np.int64), np.bincount(d, minlength=n), pa.int64())], ["rep", "tokens"])
 
-    return texts.mapInArrow(rows, "doc_id long, tokens array<long>")
+    return texts.mapInArrow(rows, "rep long, tokens array<long>")
 
 
 def _open_groups(share: Fraction):
     """Function of a cell's rows (members and queries of some groups) to the links found there."""
 
     def links(table: pa.Table) -> pa.Table:
+        keys = np.rec.fromarrays([table.column(c).to_numpy() for c in ("rep", "grp", "role")])
+        table = table.take(np.unique(keys, return_index=True)[1])  # a repeated doc_id counts once
         rep, grp, home, size, role = (table.column(c).to_numpy() for c in ("rep", "grp", "home", "size", "role"))
         tokens = table.column("tokens").combine_chunks()
         count = tokens.value_lengths().to_numpy().astype(np.int64)
@@ -178,24 +211,22 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     groups share one.
     """
     share = Fraction(str(threshold))
-    sets = keep(shingle_sets(docs, words, share), "sets")
-    key = ["n_shingles", "s1", "s2"]
-    classes = keep(sets.where("n_shingles > 0").groupBy(key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    parts = reps.select(F.col("doc_id").alias("rep"), F.explode("sigs").alias("sig")).repartition("sig")
+    sets = keep(shingle_sets(docs, words), "sets")
+    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "set_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size"))
+    classes = keep(classes.withColumnRenamed("set_id", "rep"), "classes")
+    parts = set_parts(docs, words, share).repartition("sig")
     shared = parts.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("sig", "lead")
     parts = keep(parts.join(shared, "sig").distinct(), "parts")
-    home = parts.groupBy("rep").agg(F.min("lead").alias("home"))
-    homes = keep(home.join(classes.select("rep", "size", F.col("n_shingles").alias("n")), "rep"), "homes")
-    placed = parts.select("sig", "rep").join(homes.select("rep", "home"), "rep")
+    home = parts.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("rep").agg(F.min_by("lead", F.struct(-F.col("k"), "lead")).alias("home"))
+    homes = keep(home.join(classes.select("rep", "size", "first_doc", F.col("n_shingles").alias("n")), "rep"), "homes")
+    placed = parts.select("sig", "rep", "need").join(homes.select("rep", "home"), "rep")
     present = placed.select("sig", F.col("home").alias("grp")).distinct()
-    asked = placed.join(present, "sig").where("grp <= home").select("rep", "home", "grp").distinct()
+    met = placed.join(present, "sig").where("grp <= home").groupBy("rep", "home", "grp").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need"))
+    asked = met.where("met >= need").select("rep", "home", "grp")
     asked = asked.join(homes.select("rep", "n", "size"), "rep")
     asked = keep(asked, "asked")
-    tokens = keep(
-        _tokens(_texts(docs).join(homes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]),
-        "tokens",
-    )
+    texts = _texts(docs).join(homes.select(F.col("first_doc").alias("doc_id"), "rep"), "doc_id").select("rep", "text")
+    tokens = keep(_tokens(texts, words), "tokens")
     cut = lambda total: F.ceil(F.col(total) / F.lit(cell_tokens)).cast("int")
     grid = (
         homes.groupBy(F.col("home").alias("grp")).agg(F.sum("n").alias("m_total"))
@@ -216,12 +247,13 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     links = keep(cells.groupBy("cell").applyInArrow(_open_groups(share), "rep long, root long, links long"), "links")
     found = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     labelled = (
-        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         .join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-        .select(*key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
-    )
-    return sets.select("doc_id", *key).join(labelled, key, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
+    )
+    smallest = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    labelled = labelled.join(smallest, "component").select("n_shingles", F.col("rep").alias("set_id"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"))
+    return sets.join(labelled, ["n_shingles", "set_id"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
     )
 
 
