@@ -69,9 +69,9 @@ def order_keys(edges: DataFrame) -> DataFrame:
         if step.limit(1).count() == 0:
             return moved.withColumn("cyclic", F.lit(False)).unionByName(cyclic.select(*ID, F.col("turn").cast("long").alias("pos"), F.lit(0).alias("level"), F.lit(True).alias("cyclic")))
         moved = step.unionByName(moved.join(step, ID, "left_anti"))
-        # a chain at one position needs as many messages there as it has levels: more levels are a circle
-        crowd = moved.groupBy("conv_id", "pos").agg(F.count(F.lit(1)).alias("crowd"))
-        round_ = moved.join(crowd, ["conv_id", "pos"]).select(*ID, "pos", "level", (F.col("level") > F.col("crowd")).alias("circle"))
+        # a chain has no more levels than its conversation has moved messages, and those of a circle keep within as many of each other
+        crowd = moved.groupBy("conv_id").agg(F.count(F.lit(1)).alias("crowd"), F.max("level").alias("top"))
+        round_ = moved.join(crowd, "conv_id").select(*ID, "pos", "level", ((F.col("top") > 2 * F.col("crowd")) & (F.col("level") > F.col("crowd"))).alias("circle"))
         round_ = keep(round_, "order-moved")
         cyclic = keep(cyclic.unionByName(round_.where("circle").select(*ID)).distinct(), "order-cyclic")
         moved = round_.where("not circle").select(*ID, "pos", "level")

@@ -95,11 +95,11 @@ def next_ids(ids: DataFrame) -> DataFrame:
     low, high = ids.agg(F.min("id"), F.max("id")).first()
 
     def following(k: DataFrame, low: int, high: int) -> DataFrame:
+        if high - low < 2 << _GROUP_BITS:
+            return k.select("id", F.lead("id").over(Window.orderBy("id")).alias("next_id"))
         group = F.shiftright("id", _GROUP_BITS)
         inside = k.select("id", group.alias("g")).withColumn("next_id", F.lead("id").over(Window.partitionBy("g").orderBy("id")))
-        if low >> _GROUP_BITS == high >> _GROUP_BITS:
-            return inside.select("id", "next_id")
-        first = k.groupBy(group.alias("g")).agg(F.min("id").alias("first"))
+        first = keep(k.groupBy(group.alias("g")).agg(F.min("id").alias("first")), "id-groups")
         above = following(first.select(F.col("g").alias("id")), low >> _GROUP_BITS, high >> _GROUP_BITS)
         after = above.join(first, above["next_id"] == first["g"]).select(above["id"].alias("g"), "first")
         return inside.join(after, "g", "left").select("id", F.coalesce("next_id", "first").alias("next_id"))

@@ -16,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file <source>/<doc_id div 64>/<doc_id div 8>/<doc_id>.txt."""
+    """Every document as a file <source>/<doc_id div 4000>/<doc_id div 400>/<doc_id>.txt."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", F.expr("doc_id div 64"), F.expr("doc_id div 8"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.expr("doc_id div 4000"), F.expr("doc_id div 400"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
@@ -89,5 +89,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+def _license_sql() -> str:
+    values = ", ".join(f"({k}, '{t}', {n})" for k, c in enumerate(license_scan.template_terms(license_scan.TEMPLATES)) for t, n in sorted(c.items()))
+    spdx = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(license_scan.TEMPLATES))
+    rare = license_scan.RARE
+    return f"""
+    WITH tt(k, term, n) AS (VALUES {values}), spdx(k, license) AS (VALUES {spdx}),
+    line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    tok AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM line) GROUP BY ALL),
+    tf AS (SELECT * FROM tok UNION ALL SELECT doc_id, -1 AS line, term, sum(tf) AS tf FROM tok GROUP BY doc_id, term),
+    idf AS (SELECT t.term, -ln((coalesce(d.n, 0) / (SELECT count(*)::DOUBLE FROM documents) + {rare}) / (1 + {rare})) AS idf FROM (SELECT DISTINCT term FROM tt) t
+        LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS n FROM tok GROUP BY term) d ON d.term = t.term),
+    v AS (SELECT k, term, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY k)) AS v FROM tt JOIN idf USING (term)),
+    norm AS (SELECT doc_id, line, sqrt(sum(pow(tf * coalesce(idf, -ln({rare} / (1 + {rare}))), 2))) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY doc_id, line),
+    dot AS (SELECT doc_id, line, k, round(sum(tf * idf * v), 9) AS dot FROM tf JOIN idf USING (term) JOIN v USING (term) GROUP BY doc_id, line, k),
+    best AS (SELECT doc_id, line, k, round(dot / norm, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dot DESC, k) AS r FROM dot) JOIN norm USING (doc_id, line) WHERE r = 1 AND round(dot / norm, 6) >= 0.6),
+    header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS r FROM best WHERE line >= 0) WHERE r = 1),
+    whole AS (SELECT * FROM best WHERE line = -1),
+    f AS (SELECT doc_id, concat(source, '/', doc_id // 4000, '/', doc_id // 400, '/', doc_id, '.txt') AS path, source AS d1, concat(source, '/', doc_id // 4000) AS d2, concat(source, '/', doc_id // 4000, '/', doc_id // 400) AS d3 FROM documents),
+    near AS (SELECT * FROM (SELECT g.doc_id, l.d3 AS above, w.score, w.k, row_number() OVER (PARTITION BY g.doc_id ORDER BY w.score DESC, l.path, l.doc_id) AS r FROM f g JOIN f l ON l.d3 = g.d3 JOIN whole w ON w.doc_id = l.doc_id) WHERE r = 1)
+    SELECT f.doc_id, f.path, s.license, CASE WHEN w.k IS NOT NULL THEN 'file' WHEN h.k IS NOT NULL THEN 'header' WHEN n.k IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+        coalesce(w.score, h.score, n.score) AS score, CASE WHEN w.k IS NULL AND h.k IS NULL THEN n.above END AS from_dir
+    FROM f LEFT JOIN whole w ON w.doc_id = f.doc_id LEFT JOIN header h ON h.doc_id = f.doc_id LEFT JOIN near n ON n.doc_id = f.doc_id LEFT JOIN spdx s ON s.k = coalesce(w.k, h.k, n.k)"""
+
+
+CHAT_SQL = """
+    WITH m AS (SELECT *, CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND turn > 0 THEN 'result' ELSE 'text' END AS kind,
+        len(string_split(text, ' ')) AS n FROM conversations),
+    x AS (SELECT m.*, CASE kind WHEN 'call' THEN concat('c', turn) WHEN 'result' THEN concat('c', turn - 1) END AS call_id,
+        EXISTS (SELECT 1 FROM m r WHERE r.conv_id = m.conv_id AND r.turn = m.turn + 1 AND r.kind = 'result') AS answered,
+        EXISTS (SELECT 1 FROM m c WHERE c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND c.kind = 'call') AS called,
+        EXISTS (SELECT 1 FROM m c WHERE c.conv_id = m.conv_id AND c.turn = m.turn - 2 AND c.kind = 'call') AS before FROM m)
+    SELECT conv_id, turn, kind, call_id, CASE kind WHEN 'call' THEN answered WHEN 'result' THEN called END AS linked,
+        concat_ws('; ', CASE WHEN kind = 'call' AND conv_id % 10 = 0 THEN 'type n_words' END, CASE WHEN kind = 'call' AND NOT answered THEN 'no result' END,
+            CASE WHEN kind = 'result' AND NOT called THEN 'no call' END, CASE WHEN kind = 'call' AND turn > 2 AND NOT before THEN 'waits for unknown call' END) AS problems,
+        turn AS pos, 0 AS level,
+        concat('{', CASE WHEN kind = 'call' THEN concat('"arguments":{"n_words":', CASE WHEN conv_id % 10 = 0 THEN concat('"', n, '"') ELSE n::VARCHAR END, ',"text":', to_json(text), '},') END,
+            CASE WHEN kind != 'text' THEN concat('"call_id":"', call_id, '",') END, CASE WHEN kind != 'call' THEN concat('"content":', to_json(text), ',') END,
+            '"conv_id":', conv_id, ',"kind":"', kind, '",', CASE WHEN kind = 'call' THEN '"name":"answer",' END, '"role":"', role, '","turn":', turn, '}') AS json FROM x"""
+
+
+#: The other operators have no SQL equivalent that runs on whole tables; tests hold them against brute force.
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scans": _license_sql(), "op2_chat_formatting": CHAT_SQL}
