@@ -1,6 +1,6 @@
 """License scans: TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory.
 
-A file is licensed by its own header, the line nearest to a template, or by the nearest of its directories (its own first)
+Terms weigh by how few of the files hold them. A file is licensed by its own header, the line nearest to a template, or by the nearest of its directories (its own first)
 that holds a licence file, one whose whole text is near a template. All of it is joins, sums and column expressions.
 """
 
@@ -31,28 +31,42 @@ TEMPLATES = [
 TERM = "[a-z0-9]+"
 
 
-def template_weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], list[dict[str, float]], float]:
-    """idf of every template term, each template's unit TF-IDF vector, and the idf of a term that is in none."""
-    counts = [Counter(re.findall(TERM, text.lower())) for _, text in templates]
-    n = len(templates)
-    idf = {t: math.log((1 + n) / (1 + sum(t in c for c in counts))) + 1 for t in sorted({t for c in counts for t in c})}
+#: Added to the share of files that hold a term: the idf of a term that no file holds is then -ln(RARE), whatever their number.
+RARE = 0.001
+
+
+def template_terms(templates: list[tuple[str, str]]) -> list[Counter]:
+    return [Counter(re.findall(TERM, text.lower())) for _, text in templates]
+
+
+def term_shares(files: DataFrame, terms: list[str]) -> dict[str, float]:
+    """The share of all files that hold each of the given terms, which are those of the templates: a short list."""
+    held = F.array_intersect(F.expr("split(lower(coalesce(text, '')), '[^a-z0-9]+')"), F.array(*map(F.lit, terms)))
+    n = files.count()
+    rows = files.select(F.explode(held).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {t: 0.0 for t in terms} | {r["term"]: r["n"] / n for r in rows}
+
+
+def template_weights(templates: list[tuple[str, str]], shares: dict[str, float]) -> tuple[dict[str, float], list[dict[str, float]], float]:
+    """idf of every template term over the files, each template's unit TF-IDF vector, and the idf of any other term."""
+    idf = {t: -math.log((s + RARE) / (1 + RARE)) for t, s in sorted(shares.items())}
     vectors = []
-    for c in counts:
-        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in sorted(c.items())))
+    for c in template_terms(templates):
+        norm = math.sqrt(sum((k * idf[t]) ** 2 for t, k in sorted(c.items()))) or 1.0
         vectors.append({t: k * idf[t] / norm for t, k in sorted(c.items())})
-    return idf, vectors, math.log(1 + n) + 1
+    return idf, vectors, -math.log(RARE / (1 + RARE))
 
 
 def anchor_terms(idf: dict[str, float], vectors: list[dict[str, float]], threshold: float) -> list[str]:
     """Terms of which a text has at least one if its cosine to a template is at least ``threshold``.
 
-    Of each template, its rarest terms, as many as leave terms whose vector is shorter than the threshold: without
-    the anchors the cosine cannot reach it.
+    Of each template, its rarest terms (the longest of equals, since short words are common in texts), as many as leave terms whose
+    vector is shorter than the threshold: without the anchors the cosine cannot reach it.
     """
     anchors = set()
     for v in vectors:
         rest = 1.0
-        for t in sorted(v, key=lambda t: (-idf[t], -v[t], t)):
+        for t in sorted(v, key=lambda t: (-idf[t], -len(t), -v[t], t)):
             if rest < threshold**2 - 1e-9:
                 break
             anchors.add(t)
@@ -66,7 +80,8 @@ def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold
     Of equal scores the first template wins.
     """
     spark = files.sparkSession
-    idf, vectors, unknown = template_weights(templates)
+    shares = term_shares(files, sorted({t for c in template_terms(templates) for t in c}))
+    idf, vectors, unknown = template_weights(templates, shares)
     anchors = "(?<![a-z0-9])(?:" + "|".join(anchor_terms(idf, vectors, threshold)) + ")(?![a-z0-9])"
     table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in idf], "term string, idf double, w array<double>")
     held = files.select("file_id", F.lower("text").alias("text")).where(F.col("text").rlike(anchors))
@@ -96,7 +111,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     spdx = F.array(*(F.lit(name) for name, _ in templates))
     directory = F.regexp_replace(F.coalesce("path", F.lit("")), "/?[^/]*$", "")
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    scores = keep(segment_scores(files.where("text is not null"), templates, threshold).distinct(), "licence-scores")
+    scores = keep(segment_scores(files, templates, threshold).distinct(), "licence-scores")
     per_file = scores.groupBy("file_id").agg(
         F.max(F.when(F.col("line") >= 0, F.struct("score", (-F.col("line")).alias("line"), "template"))).alias("header"),
         F.max(F.when(F.col("line") < 0, F.struct("score", "template"))).alias("whole"),
