@@ -32,7 +32,7 @@ def test_learning_raises_likelihood():
     for rounds in (1, 2, 4):
         p = L.learn_pieces(counts, ["x", "y"], vocabulary, rounds=rounds, smoothing=1e-9)
         assert p.sum(axis=0) == pytest.approx([1, 1])
-        scores.append(sum(n * L.log_likelihoods([w], vocabulary, p)[0, lang == "y"] for (lang, w), n in counts.items()))
+        scores.append(sum(n * L.log_likelihoods([w], vocabulary, p)[0, int(lang == "y")] for (lang, w), n in counts.items()))
     assert scores == sorted(scores)
 
 
