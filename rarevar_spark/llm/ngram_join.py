@@ -32,7 +32,7 @@ class SizeClasses:
     A class is at least so wide that a set's links reach no further than the next class.
     """
 
-    def __init__(self, share: Fraction, width: Fraction = Fraction(3, 2)) -> None:
+    def __init__(self, share: Fraction, width: Fraction = Fraction(1)) -> None:
         self.share = share
         low = [1]
         while low[-1] < 1 << 40:
@@ -112,9 +112,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).mapInArrow(rows, "doc_id long, n_shingles long, set_id long")
 
 
-def set_parts(docs: DataFrame, words: int, share: Fraction) -> DataFrame:
+def set_parts(docs: DataFrame, words: int, share: Fraction, width: Fraction) -> DataFrame:
     """rep (the set's id), sig and need: the part signatures of every set; a task leaves out the sets it has seen before."""
-    classes = SizeClasses(share)
+    classes = SizeClasses(share, width)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -197,7 +197,7 @@ def _open_groups(share: Fraction):
     return links
 
 
-def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_tokens: int = 200_000) -> DataFrame:
+def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_tokens: int = 200_000, class_width: float = 1.0) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links.
 
     Words are runs between blanks (space, \\t..\\r), A-Z lower-cased; a document's set is its distinct shingles of
@@ -208,13 +208,13 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     An empty table gives no rows; other columns are ignored.
 
     Comparisons run in cells of about ``cell_tokens`` tokens on either side: a large group is a grid of cells, small
-    groups share one.
+    groups share one. Size classes are at least ``class_width`` wide: wider ones make fewer parts, of fewer tokens, which suits longer shingles.
     """
     share = Fraction(str(threshold))
     sets = keep(shingle_sets(docs, words), "sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "set_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size"))
     classes = keep(classes.withColumnRenamed("set_id", "rep"), "classes")
-    parts = set_parts(docs, words, share).repartition("sig")
+    parts = set_parts(docs, words, share, Fraction(str(class_width))).repartition("sig")
     shared = parts.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("sig", "lead")
     parts = keep(parts.join(shared, "sig").distinct(), "parts")
     home = parts.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("rep").agg(F.min_by("lead", F.struct(-F.col("k"), "lead")).alias("home"))
@@ -259,5 +259,5 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document, the one of smallest doc_id, of each group of linked documents."""
-    dropped = similar_sets(docs, words, threshold).where("doc_id != component_id").select(F.col("doc_id").alias("drop_id_")).distinct()
+    dropped = similar_sets(docs, words, threshold, class_width=1.5).where("doc_id != component_id").select(F.col("doc_id").alias("drop_id_")).distinct()
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped["drop_id_"], "left_anti")
