@@ -127,10 +127,21 @@ def trace_probes(apply, width: int, probes: int, seed: int) -> tuple[float, floa
     return float((z * k1).sum() / probes), float((k1 * k1).sum() / probes), float((k1 * k2).sum() / probes)
 
 
-def kernel(w: np.ndarray, gtg: np.ndarray, gtx: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """K = D (GtG - GtX Omega XtG) D / 2."""
-    k = gtg - gtx @ omega @ gtx.T
-    return w[:, None] * k * w[None, :] / 2
+def kernel(w: np.ndarray, gtg: np.ndarray, gtx: np.ndarray, omega: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """K = D (GtG - GtX Omega XtG) D / 2, in the place of ``gtg``, by blocks of ``rows``."""
+    right = omega @ gtx.T
+    for i in range(0, len(gtg), rows):
+        block = gtg[i : i + rows]
+        block -= gtx[i : i + rows] @ right
+        block *= w[i : i + rows, None]
+        block *= w / 2
+    return gtg
+
+
+def kernel_traces(k: np.ndarray, rows: int = 1024) -> tuple[float, float, float]:
+    """tr K, tr K^2, tr K^3 by blocks of ``rows``."""
+    blocks = [k[i : i + rows] for i in range(0, len(k), rows)]
+    return float(np.trace(k)), sum(float((b * b).sum()) for b in blocks), sum(float(((b @ k) * b).sum()) for b in blocks)
 
 
 def kernel_eigenvalues(k: np.ndarray) -> np.ndarray:
@@ -143,11 +154,12 @@ def kernel_eigenvalues(k: np.ndarray) -> np.ndarray:
 KERNEL_SCHEMA = "ancestry string, maf_threshold double, chrom string, gene_id string, v_burden double, s1 double, s2 double, s3 double, eigenvalues array<double>"
 
 
-def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame, widest: int = 2000, probes: int = 50, seed: int = 1) -> DataFrame:
+def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame, widest: int | None = None, probes: int = 50, seed: int = 1) -> DataFrame:
     """ancestry, maf_threshold, chrom, gene_id, v_burden, s1, s2, s3 (traces of K, K^2, K^3) and eigenvalues of K.
 
-    A gene wider than ``widest`` variants gets its traces by random probes of the sparse form and no eigenvalues. A group
-    is one gene's moments: m columns and at most m (m + 1) / 2 pairs, whatever the number of samples.
+    A group is one gene's moments: m columns and at most m (m + 1) / 2 pairs, whatever the number of samples; every gene is
+    solved as a dense m x m matrix, of which a task holds two. Only where a caller sets ``widest``, a gene of more
+    variants gets its traces by random probes of the sparse form and null eigenvalues.
     """
     w = weighted.join(kept.groupBy("variant_key").agg(F.collect_set("maf_threshold").alias("thresholds")), "variant_key")
     w = w.join(F.broadcast(null.select("ancestry", "omega")), "ancestry").select(*GENE, "variant_key", "w", "gtx", "thresholds", "omega")
@@ -167,13 +179,13 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
                 a, b, gg = index[i[both]], index[j[both]], g[both]
                 weight, x, m = v["w"].to_numpy()[on], gtx[on], int(on.sum())
                 values = None
-                if m <= widest:
+                if widest is None or m <= widest:
                     gtg = np.zeros((m, m))
                     gtg[a, b] = gtg[b, a] = gg
                     k = kernel(weight, gtg, x, omega)
-                    s = (float(np.trace(k)), float((k * k).sum()), float((k @ k * k).sum()))
-                    values = kernel_eigenvalues(k).tolist()
+                    s = kernel_traces(k)
                     v_burden = 2 * float(k.sum())
+                    values = kernel_eigenvalues(k).tolist()
                 else:
                     def apply(z: np.ndarray) -> np.ndarray:
                         y = weight[:, None] * z
@@ -195,7 +207,7 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
 def skat_pvalues(stats: DataFrame) -> DataFrame:
     """``stats`` (with q_skat, eigenvalues) plus p_skat_liu, p_skat_davies, davies_converged.
 
-    Without eigenvalues p is 1 and convergence null.
+    A kernel of zeros has an empty list of eigenvalues: p is 1 and convergence null. Null eigenvalues were not computed: all three are null.
     """
     schema = stats.drop("eigenvalues").schema
     for name, kind in (("p_skat_liu", "double"), ("p_skat_davies", "double"), ("davies_converged", "integer")):
@@ -207,11 +219,12 @@ def skat_pvalues(stats: DataFrame) -> DataFrame:
             liu, davies, ok = [], [], []
             for q, e in zip(d["q_skat"], d["eigenvalues"]):
                 if e is None or len(e) == 0:
-                    liu.append(1.0), davies.append(1.0), ok.append(None)
+                    p = None if e is None else 1.0
+                    liu.append(p), davies.append(p), ok.append(None)
                     continue
                 e = np.array(e, dtype=float)
                 p, c = davies_p(q, e)
                 liu.append(liu_p(q, e, False)), davies.append(p), ok.append(c)
-            yield d.drop(columns="eigenvalues").assign(p_skat_liu=liu, p_skat_davies=davies, davies_converged=pd.array(ok, dtype="Int32"))[names]
+            yield d.drop(columns="eigenvalues").assign(p_skat_liu=pd.array(liu, dtype="Float64"), p_skat_davies=pd.array(davies, dtype="Float64"), davies_converged=pd.array(ok, dtype="Int32"))[names]
 
     return stats.mapInPandas(rows, schema)

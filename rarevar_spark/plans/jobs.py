@@ -115,7 +115,7 @@ def kept_variants(a: Prepared, b: Prepared | None, thresholds: list[float]) -> D
 def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], phenotypes: list[str], covariates: int) -> DataFrame:
     """One row for each ancestry, threshold, gene and phenotype: statistics and Burden, SKAT-WH, SKAT-Liu and SKAT-Davies p-values.
 
-    ``b`` null analyses site A alone. Genes without kept variants are there with p = 1 and convergence null.
+    ``b`` null analyses site A alone. Genes without kept variants are there with p = 1 and convergence null; a p-value that could not be computed is null.
     """
     thresholds = check_thresholds(thresholds)
     for t in thresholds:
@@ -140,7 +140,7 @@ def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], ph
     cells = null.select("ancestry").crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in thresholds], "maf_threshold double"))).crossJoin(F.broadcast(names))
     genes = variants.gene_index(a.gene_variants.select("chrom", "gene_id", "order_index").distinct())
     full = genes.crossJoin(F.broadcast(cells)).join(t, [*key, "phenotype_index"], "left")
-    one = lambda c: F.coalesce(c, F.lit(1.0)).alias(c)
+    one = lambda c: F.when(F.col("variants").isNull(), 1.0).otherwise(F.col(c)).alias(c)
     return full.select(
         "ancestry", "maf_threshold", "chrom", "gene_index", "gene_id", "phenotype_index", "phenotype_name", F.coalesce("variants", F.lit(0)).alias("variants"),
         "q_burden", "v_burden", "q_skat", "s1", "s2", "s3", one("p_burden"), one("p_skat_wh"), one("p_skat_liu"), one("p_skat_davies"), "davies_converged",

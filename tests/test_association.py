@@ -141,3 +141,28 @@ def test_two_sites_equal_their_union(spark, random_case):
             assert 0 <= r[c] <= 1
         if k[1] == "empty":
             assert (r.p_burden, r.p_skat_davies, r.davies_converged, r.variants) == (1, 1, None, 0)
+
+
+def test_wide_gene_has_eigenvalues_and_p_values(spark):
+    rng = np.random.default_rng(8)
+    n, m = 60, 2100
+    x, y = rng.normal(0, 1, (n, 1)), rng.normal(0, 1, (n, 1))
+    g = np.zeros((n, m), dtype=int)
+    for j in range(m):
+        g[rng.choice(n, 2, replace=False), j] = 1
+    y[:, 0] += 0.05 * g[:, ::3].sum(axis=1)
+    null, weighted, pairs, kept = fitted(spark, (g, x, y, tables(spark, g, x, y, {"g": range(m)})), 1)
+    q, _, v, k = dense(g, x, y)
+    kernels = A.gene_kernels(weighted, pairs, null, kept)
+    r = A.skat_pvalues(A.score_statistics(weighted, null, kept).join(kernels.withColumn("e", F.col("eigenvalues")), ["ancestry", "maf_threshold", "chrom", "gene_id"])).first()
+    e = A.kernel_eigenvalues(k)
+    assert r.variants == m and np.allclose(sorted(r.e), sorted(e), rtol=1e-6)
+    assert (r.s1, r.s2, r.s3, r.v_burden) == pytest.approx((np.trace(k), (k @ k).trace(), (k @ k @ k).trace(), v), rel=1e-8)
+    assert r.p_skat_liu == pytest.approx(P.liu_p(q[0], e, False), rel=1e-6) and r.p_skat_davies == pytest.approx(P.davies_p(q[0], e)[0], abs=1e-6) and r.p_skat_davies < 1
+
+
+def test_p_values_that_were_not_computed_are_null(spark):
+    stats = spark.createDataFrame([(3.0, None), (0.0, []), (3.0, [1.0])], "q_skat double, eigenvalues array<double>")
+    missing, zero, one = A.skat_pvalues(stats).collect()
+    assert (missing.p_skat_liu, missing.p_skat_davies, missing.davies_converged) == (None, None, None)
+    assert (zero.p_skat_liu, zero.p_skat_davies, zero.davies_converged) == (1, 1, None) and 0 < one.p_skat_davies < 1
