@@ -129,6 +129,14 @@ def test_line_dedup_of_many_copies(spark):
     assert all(got[i] == rows[i][1] for i in range(0, 200, 2)), "a common line that is no long block stays"
 
 
+@pytest.mark.parametrize("size", [1300, 2600])
+def test_line_dedup_is_the_same_at_any_size(spark, size):
+    often, everywhere = "a repeated line of one in twenty-five", "a notice on every tenth page here"
+    rows = [(i, f"page {i} alone\n{often if i % 25 == 1 else everywhere if i % 10 == 0 else i}") for i in range(size)]
+    got = {r.doc_id: r.n_lines_removed for r in line_dedup.delete_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {i for i in range(2, size) if i % 25 == 1}
+
+
 def brute_spans(rows, span):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
