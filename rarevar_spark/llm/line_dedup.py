@@ -7,6 +7,10 @@ the lines that they have first. A line's n-th occurrence in a document counts as
 in a document and every shared line can be an anchor.
 The patience diff of a pair keeps the longest run of shared lines that come in the same order in both documents, and
 joins neighbours into blocks.
+
+Long blocks don't hang on the pairing or on the order of blocks: every line opens and closes a window, the shortest run of
+adjacent lines with ``block_words`` words, and a window that an earlier document has goes. Windows cover all lines of a block of that many words.
+A window's n-th occurrence in a document counts as a window of its own too.
 """
 
 from __future__ import annotations
@@ -23,10 +27,49 @@ from .shared import keep
 from .textkit import BLANK_SEPARATED, list_array, mix, slices, span_hashes, word_bounds
 
 NEWLINE = 10
-
-
-def document_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (line number), key (hash of the line and of how often it came before) and words of each line with a word."""
+ODD = 0x9E3779B97F4A7C15
+
+
+def occurrences(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """How often each hash came before in its document."""
+    order = np.lexsort((pos, h, doc))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    at = np.flatnonzero(new)
+    times = np.zeros(len(h), dtype=np.uint64)
+    times[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    return times
+
+
+def block_windows(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, words: np.ndarray, block_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, number of lines and hash of each window, the shortest run of adjacent lines from or up to a line that has
+    ``block_words`` words; lines are in order of document and position."""
+    n = len(h)
+    opens = np.ones(n, dtype=bool)
+    opens[1:] = (np.diff(doc) != 0) | (np.diff(pos) != 1)
+    run = np.cumsum(opens)
+    total = np.concatenate([[0], np.cumsum(words)])
+    i = np.arange(n)
+    stop = np.searchsorted(total, total[:-1] + block_words, side="left")
+    begin = np.searchsorted(total, total[1:] - block_words, side="right") - 1
+    forward, backward = stop <= n, begin >= 0
+    forward[forward] = run[stop[forward] - 1] == run[forward]
+    backward[backward] = run[begin[backward]] == run[backward]
+    first, end = np.concatenate([i[forward], begin[backward]]), np.concatenate([stop[forward], i[backward] + 1])
+    first, end = np.unique(np.stack([first, end]), axis=1) if len(first) else (first, end)
+    with np.errstate(over="ignore"):  # a polynomial of the lines' hashes modulo 2^64
+        power, inverse = np.ones(n + 1, dtype=np.uint64), np.ones(n + 1, dtype=np.uint64)
+        power[1:], inverse[1:] = np.cumprod(np.full(n, ODD, dtype=np.uint64)), np.cumprod(np.full(n, pow(ODD, -1, 1 << 64), dtype=np.uint64))
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        sums[1:] = np.cumsum(h * power[:-1])
+        value = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+        value = mix(value + occurrences(value, doc[first], pos[first]) * np.uint64(ODD))
+    return first, end - first, value
+
+
+def document_lines(docs: DataFrame, block_words: int = 20) -> DataFrame:
+    """doc_id, pos (line number), key (hash of the line and of how often it came before), words of each line with a word, and
+    windows: number of lines and hash of each window that begins there."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,18 +89,16 @@ def document_lines(docs: DataFrame) -> DataFrame:
                 some = words > 0
                 start, end, doc, pos, words = (x[some] for x in (start, end, doc, pos, words))
                 h = span_hashes(raw, start, end, lower=False)
-                order = np.lexsort((pos, h, doc))
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                at = np.flatnonzero(new)
-                times = np.zeros(len(h), dtype=np.uint64)
-                times[order] = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-                key = mix(h + times * np.uint64(0x9E3779B97F4A7C15))
-                cols = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(words.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "key", "words"])
+                times = occurrences(h, doc, pos)
+                key = mix(h + times * np.uint64(ODD))
+                first, n, value = block_windows(h, doc, pos, words, block_words)
+                windows = pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(value.view(np.int64))], ["n", "window"])
+                windows = list_array(windows, np.bincount(first, minlength=len(h)), windows.type)
+                cols = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(words.astype(np.int32)), windows]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "key", "words", "windows"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, pos int, key long, words int")
+    return texts.mapInArrow(rows, "doc_id long, pos int, key long, words int, windows array<struct<n:int,window:long>>")
 
 
 def patience(other: np.ndarray) -> np.ndarray:
@@ -97,11 +138,11 @@ def aligned_lines(owner: np.ndarray, pos: np.ndarray, other: np.ndarray, rare: n
 
 def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
     """doc_id and the numbers of the lines that go, for documents with any."""
-    lines = keep(document_lines(docs), "lines")
+    lines = keep(document_lines(docs, block_words), "lines")
     total = lines.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("total"))
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     first = first.where("at.doc_id < last").select("key", F.col("at.doc_id").alias("owner"), F.col("at.pos").alias("other"), "n")
-    known = keep(lines.join(first, "key"), "known")
+    known = keep(lines.drop("windows").join(first, "key"), "known")
     shared = known.where("owner < doc_id")
     met = shared.groupBy("doc_id", "owner").agg(F.sum("words").alias("words"))
     main = keep(met.groupBy("doc_id").agg(F.max_by("owner", F.struct("words", -F.col("owner"))).alias("main")), "main")
@@ -125,7 +166,17 @@ def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int =
             cols = [batch.column(0), list_array(values.astype(np.int32), np.array([len(x) for x in found], dtype=np.int64), pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "gone"])
 
-    return by_doc.mapInArrow(rows, "doc_id long, gone array<int>").where("size(gone) > 0")
+    aligned = by_doc.mapInArrow(rows, "doc_id long, gone array<int>").select("doc_id", F.explode("gone").alias("pos"))
+    gone = aligned.unionByName(repeated_windows(lines))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))  # at most the lines of one document
+
+
+def repeated_windows(lines: DataFrame) -> DataFrame:
+    """doc_id and pos of the lines in windows that an earlier document has; positions may come more than once."""
+    at = lines.select("doc_id", "pos", F.explode("windows").alias("w")).select("doc_id", "pos", "w.n", "w.window")
+    first = at.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
+    later = at.join(first, "window").where("owner < doc_id")
+    return later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
 
 
 def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:

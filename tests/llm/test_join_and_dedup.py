@@ -137,6 +137,20 @@ def test_line_dedup_is_the_same_at_any_size(spark, size):
     assert {i for i, n in got.items() if n} == {i for i in range(2, size) if i % 25 == 1}
 
 
+def test_line_dedup_finds_every_long_block(spark):
+    p, q = ([f"{w} {i} of the passage" for i in range(5)] for w in ("upper", "lower"))
+    short = [f"bit {i} here now" for i in range(6)]  # too few words to be rare
+    rows = [(1, p + ["between"] + q), (2, q + ["other"] + p)]  # both passages, in the other order
+    rows += [(10 + i, [f"start of {i}", x, f"end of {i}"]) for i, x in enumerate(short)]  # each line has an earlier holder of its own
+    rows += [(20, short), (21, [f"long line {i} of the main relative alone" for i in range(9)])]
+    rows += [(22, [f"long line {i} of the main relative alone" for i in range(9)] + ["own"] + short)]
+    rows += [(30, ["one long line of " + "many " * 20, "tail"]), (31, ["lead", "one long line of " + "many " * 20, "tail", "", "tail"]), (32, short[:3] + ["own line"] + short[3:])]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_lines(docs).collect()}
+    assert got[2] == "other" and got[20] == "\n".join(short), "single lines of few words stay"
+    assert got[22] == "own" and got[31] == "lead\n\ntail" and got[32] == "\n".join(rows[-1][1])
+
+
 def brute_spans(rows, span):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
