@@ -1,7 +1,8 @@
 """Removal of byte strings that an earlier document has as well.
 
 A byte goes if a string of ``SPAN`` bytes covers it that also starts in a document of smaller doc_id.
-Every position's string is hashed; a hash's smallest document is found by partial sums before the shuffle, and a position
+Every position's string is hashed twice, with two seeds, and strings count as equal if both hashes of 64 bits are: one alone has collisions
+at some 1e10 positions, and can be forged. A string's smallest document is found by partial sums before the shuffle, and a position
 is marked when that document is an earlier one. Marked positions are rows until they are merged into runs, of which a
 document gets one list.
 """
@@ -18,9 +19,10 @@ def removed_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id and runs (array of start, end; zero-based, end exclusive, ascending) of the bytes to remove, for documents with any."""
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("b"))
     at = data.where(F.length("b") >= span).select("doc_id", "b", F.explode(F.expr(f"sequence(1, length(b) - {span - 1})")).alias("pos"))
-    grams = at.select("doc_id", F.xxhash64(F.expr(f"substring(b, pos, {span})")).alias("h"), (F.col("pos") - 1).alias("pos"))
-    first = grams.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    marked = grams.join(first, "h").where("first < doc_id").select("doc_id", "pos").distinct()
+    gram = F.expr(f"substring(b, pos, {span})")
+    grams = at.select("doc_id", F.xxhash64(gram).alias("h"), F.xxhash64(F.lit("second"), gram).alias("h2"), (F.col("pos") - 1).alias("pos"))
+    first = grams.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "h2", "first")
+    marked = grams.join(first, ["h", "h2"]).where("first < doc_id").select("doc_id", "pos").distinct()
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     opens = (F.col("pos") - F.lag("pos", 1, -(1 << 30)).over(by_pos)) > span  # adjacent runs are one
     run = marked.withColumn("run", F.sum(opens.cast("int")).over(by_pos))

@@ -176,3 +176,10 @@ def test_repeated_spans(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeated_spans.remove_repeats(docs).collect()}
     assert got == brute_spans(rows, 50)
     assert repeated_spans.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_unequal_spans_of_one_hash_stay(spark):
+    a, b = "dwtgmlqucavltalsfyxaaoyjfkaflmggflhavoqezwdissykvr", "slqcjtwbnpchtyxfmpxiuuoyvheiewoyJ`@&uTR(zwdissykvr"
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert len({r[0] for r in docs.selectExpr("xxhash64(cast(text as binary))").collect()}) == 1
+    assert {r.doc_id: r.n_removed for r in repeated_spans.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 50}
