@@ -76,13 +76,15 @@ def inconsistent_variants(counts: DataFrame, columns: list[str], strict: bool =
     return violations(bad, "a variant's counts differ", strict)
 
 
-def complete_results(results: DataFrame, genes: DataFrame, phenotypes: DataFrame, p_columns: list[str], strict: bool = False) -> DataFrame:
-    """What keeps ``results`` from being one row with p-values in [0, 1] for each gene and phenotype, with a reason.
+def complete_results(results: DataFrame, genes: DataFrame, phenotypes: DataFrame, p_columns: list[str], strict: bool = False, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """What keeps ``results`` from being one row with p-values in [0, 1] for each stratum, gene and phenotype, with a reason.
 
     ``genes`` has gene_index and gene_id, ``phenotypes`` phenotype_index and phenotype_name; phenotypes are few.
+    ``by`` names the further columns of the key, such as ancestry and chromosome; each is a column of ``genes`` or of ``phenotypes``.
     """
-    key = ["gene_index", "gene_id", "phenotype_index", "phenotype_name"]
-    expected = genes.select("gene_index", "gene_id").crossJoin(F.broadcast(phenotypes.select("phenotype_index", "phenotype_name"))).withColumn("wanted", F.lit(True))
+    of = lambda df, own: df.select(*(c for c in by if c in df.columns), *own)
+    key = [*by, "gene_index", "gene_id", "phenotype_index", "phenotype_name"]
+    expected = of(genes, ["gene_index", "gene_id"]).crossJoin(F.broadcast(of(phenotypes, ["phenotype_index", "phenotype_name"]))).withColumn("wanted", F.lit(True))
     bad_p = reduce(lambda a, b: a | b, (~F.coalesce(F.col(c).try_cast("double").between(0, 1), F.lit(False)) for c in p_columns))
     found = results.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(bad_p).alias("bad_p"))
     diff = expected.join(found, key, "full")

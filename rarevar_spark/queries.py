@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,17 @@ def eligible_samples(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _ancestries(t: Tables) -> list[str]:
+    return ["ALL", *sorted(r[0] for r in t.people.select("ancestry").distinct().collect())]
+
+
+@query("SELECT 'ALL' AS ancestry, sample_id, y0, y1 FROM {people} WHERE y1 IS NOT NULL UNION ALL SELECT ancestry, sample_id, y0, y1 FROM {people} WHERE y1 IS NOT NULL")
+def eligible_samples_all_ancestries(t: Tables) -> DataFrame:
+    p = _people(t)
+    parts = [samples.eligible_samples(p.select("sample_id", "ord"), p, p.select("sample_id", "x"), p, a).select(F.lit(a).alias("ancestry"), "sample_id", F.col("y")[0].alias("y0"), F.col("y")[1].alias("y1")) for a in _ancestries(t)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("SELECT sample_id, CAST((row_number() OVER (ORDER BY ancestry, sample_id) - 1) % 2 AS INT) AS party FROM {people}")
 def sample_split(t: Tables) -> DataFrame:
     return samples.split_samples(t.people).select("sample_id", "party")
@@ -381,6 +393,15 @@ def resource_stats_sum(t: Tables) -> DataFrame:
     return resource.sum_chromosomes(keep(s, "panel-a").withColumns({"annotation": F.lit("all"), "gene_set": F.lit("all"), "status": F.lit("released")}))
 
 
+@query(f"{SITE} SELECT ancestry, maf_threshold, 'all' AS annotation, 'all' AS gene_set, panel, series, lower, upper, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT chrom) AS chromosomes FROM ({_A} UNION ALL {_B} UNION ALL {_C}) GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")
+def resource_stats_sum_all_panels(t: Tables) -> DataFrame:
+    p = _site_parts(t)
+    genes = keep(_by_gene(t), "by-gene")
+    s = resource.carrier_coverage(genes, CARRIERS).unionByName(resource.cmac_histogram(genes, EDGES)).unionByName(resource.variant_overlap(p["minor"], p["gv"], p["strata"], t.genes))
+    s = keep(s.withColumnsRenamed({"chrom": "chromosome"}), "panels")
+    return resource.sum_chromosomes(s.withColumns({"annotation": F.lit("all"), "gene_set": F.lit("all"), "status": F.lit("released")}))
+
+
 # Annotation.
 
 RANKED = """SELECT variant_key, gene_id, count(*) AS n_rows, bool_or(trim(mane) != '') AS mane, arg_min(lof, ord) FILTER (WHERE trim(mane) != '') AS lof, arg_min(gene_symbol, ord) FILTER (WHERE trim(mane) != '') AS gene_symbol FROM {consequences} GROUP BY 1, 2"""
@@ -504,6 +525,14 @@ def complete_results(t: Tables) -> DataFrame:
     return checks.complete_results(have, r.select("gene_index", "gene_id").distinct(), r.select("phenotype_index", "phenotype_name").distinct(), ["p_b"])
 
 
+@query("""SELECT ancestry, chromosome, gene_index, gene_id, phenotype_index, phenotype_name, 'p outside [0, 1]' AS reason FROM {results} WHERE NOT (isfinite(p_b) AND p_b BETWEEN 0 AND 1)""")
+def complete_results_all_strata(t: Tables) -> DataFrame:
+    genes = t.genes.select(F.col("chrom").alias("chromosome"), F.col("order_index").alias("gene_index"), "gene_id")
+    names = t.genes.sparkSession.createDataFrame(list(enumerate(PHENOTYPES)), "phenotype_index int, phenotype_name string")
+    phenotypes = t.region.select(F.col("r_name").alias("ancestry")).distinct().crossJoin(names)
+    return checks.complete_results(t.results, genes, phenotypes, ["p_b"], by=["ancestry", "chromosome"])
+
+
 @query("SELECT sample_id, concat('[', x0, ',null,', round(y0, 2), ']') AS packed, x0 AS pc1, round(y0, 2) AS pc3 FROM {eligible}")
 def packed_covariates(t: Tables) -> DataFrame:
     packed = t.eligible.select("sample_id", C.encode_packed_covariates(F.array("x0", F.round("y0", 2)), [0, 2], 3).alias("packed"))
@@ -542,8 +571,9 @@ def _site_inputs(t: Tables, site: str) -> jobs.SiteInputs:
 
 
 def _prepared(t: Tables) -> tuple[jobs.Prepared, jobs.Prepared]:
-    a = jobs.prepare_site(_site_inputs(t, "A"), "A", ["ALL", "ASIA"])
-    return a, jobs.prepare_site(_site_inputs(t, "B"), "B", ["ALL", "ASIA"], public=a.public, cut=a.cut)
+    ancestries = _ancestries(t)
+    a = jobs.prepare_site(_site_inputs(t, "A"), "A", ancestries)
+    return a, jobs.prepare_site(_site_inputs(t, "B"), "B", ancestries, public=a.public, cut=a.cut)
 
 
 @query()

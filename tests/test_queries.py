@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from rarevar_spark import queries as Q
+from rarevar_spark.operators import checks
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -41,3 +42,19 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
 def test_runs(spark, name):
     assert Q.queries()[name](spark, DIR).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["association_results", "resource_statistics"])
+def test_every_ancestry_has_its_strata(spark, name):
+    want = {r[0] for r in spark.read.parquet(f"{DIR}/region.parquet").select("r_name").collect()} | {"ALL"}
+    assert {r[0] for r in Q.queries()[name](spark, DIR).select("ancestry").distinct().collect()} == want
+
+
+def test_complete_results_names_what_every_stratum_lacks(spark):
+    cells = [(a, c, g, f"g{c}{g}", 0, "p", 0.5) for a in "XY" for c in ("21", "22") for g in (0, 1)]
+    have = [r for r in cells if r[:3] != ("Y", "22", 1)] + [cells[0], ("Z", *cells[0][1:])]
+    columns = "ancestry string, chromosome string, gene_index int, gene_id string, phenotype_index int, phenotype_name string, p double"
+    genes = spark.createDataFrame(cells, columns).select("chromosome", "gene_index", "gene_id").distinct()
+    phenotypes = spark.createDataFrame([("X", 0, "p"), ("Y", 0, "p")], "ancestry string, phenotype_index int, phenotype_name string")
+    got = checks.complete_results(spark.createDataFrame(have, columns), genes, phenotypes, ["p"], by=["ancestry", "chromosome"])
+    assert {(r.ancestry, r.chromosome, r.gene_index, r.reason) for r in got.collect()} == {("Y", "22", 1, "missing"), ("X", "21", 0, "repeated"), ("Z", "21", 0, "unexpected")}
