@@ -564,16 +564,16 @@ def variant_weights(t: Tables) -> DataFrame:
     return pooled.select("variant_key", "ac", F.round(maf, 9).alias("maf"), F.round(C.beta_weight(maf), 6).alias("weight"))
 
 
-def _site_inputs(t: Tables, site: str) -> jobs.SiteInputs:
-    p = _people(t).where(F.col("site") == site)
+def _site_inputs(t: Tables, people: DataFrame, site: str) -> jobs.SiteInputs:
+    p = people.where(F.col("site") == site)
     v = t.variants.join(t.available.where(F.col("site") == site).select("variant_key"), "variant_key", "left_semi")
     return jobs.SiteInputs(p.select("sample_id", "ord"), v, t.calls.where(F.col("site") == site), t.genes, t.annotations, p.select("sample_id", "y"), p.select("sample_id", "x"), p.select("sample_id", "ancestry"))
 
 
 def _prepared(t: Tables) -> tuple[jobs.Prepared, jobs.Prepared]:
-    ancestries = _ancestries(t)
-    a = jobs.prepare_site(_site_inputs(t, "A"), "A", ancestries)
-    return a, jobs.prepare_site(_site_inputs(t, "B"), "B", ancestries, public=a.public, cut=a.cut)
+    ancestries, people = _ancestries(t), keep(_people(t), "people")  # each ancestry reads it several times
+    a = jobs.prepare_site(_site_inputs(t, people, "A"), "A", ancestries)
+    return a, jobs.prepare_site(_site_inputs(t, people, "B"), "B", ancestries, public=a.public, cut=a.cut)
 
 
 @query()
