@@ -191,8 +191,8 @@ def _open_groups(share: Fraction):
                 x, y = find(a), find(b)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-        found = sorted(degree)
-        return pa.table({"rep": pa.array(found, pa.int64()), "root": pa.array([find(r) for r in found], pa.int64()), "links": pa.array([degree[r] for r in found], pa.int64())})
+        found = sorted(r for r in parent if r in degree or find(r) != r)  # a member that others join may have no links counted here
+        return pa.table({"rep": pa.array(found, pa.int64()), "root": pa.array([find(r) for r in found], pa.int64()), "links": pa.array([degree.get(r, 0) for r in found], pa.int64())})
 
     return links
 

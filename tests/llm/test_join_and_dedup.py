@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 from rarevar_spark.llm import components, line_dedup, ngram_join, repeated_spans
@@ -55,13 +57,27 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("k, threshold, num, den", [(3, 0.9, 9, 10), (5, 0.8, 4, 5), (2, 0.5, 1, 2)])
-def test_join_equals_brute_force(spark, corpus, k, threshold, num, den):
+@pytest.mark.parametrize(
+    "k, threshold, num, den, cell_tokens", [(3, 0.9, 9, 10, 3000), (5, 0.8, 4, 5, 3000), (2, 0.5, 1, 2, 3000), (3, 0.9, 9, 10, 700), (3, 0.9, 9, 10, 200_000)]
+)
+def test_join_equals_brute_force(spark, corpus, k, threshold, num, den, cell_tokens):
+    """Cells of 700 tokens cut the group of near copies into a grid of more than 20 by 20."""
     docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
-    got = [tuple(r) for r in ngram_join.similar_sets(docs, k, threshold, cell_tokens=3000).collect()]
+    got = [tuple(r) for r in ngram_join.similar_sets(docs, k, threshold, cell_tokens=cell_tokens).collect()]
     assert len(got) == len(corpus) and set(got) == brute_join(corpus, k, num, den)
 
 
+def test_cells_report_every_member_of_a_class():
+    """A links with B and C, which don't link with each other, and only the cell where A asks sees that."""
+    a, b, c = list(range(20)), list(range(20)) + [90, 91], [95, 96] + list(range(20))
+    cell = lambda asks: pa.table({
+        "rep": pa.array([1, 2, 3, asks]), "grp": pa.array([1] * 4), "home": pa.array([1] * 4), "size": pa.array([1] * 4), "role": pa.array([0, 0, 0, 1]),
+        "tokens": pa.array([a, b, c, (a, b, c)[asks - 1]], pa.list_(pa.int64())),
+    })
+    found = ngram_join._open_groups(Fraction(9, 10))(cell(1)).to_pylist()
+    assert found == [{"rep": 1, "root": 1, "links": 2}, {"rep": 2, "root": 1, "links": 0}, {"rep": 3, "root": 1, "links": 0}]
+
+
 def test_join_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_sets(empty).count() == 0
