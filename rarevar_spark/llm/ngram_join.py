@@ -18,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -133,11 +133,12 @@ def set_parts(docs: DataFrame, words: int, share: Fraction, width: Fraction) ->
 
 
 def _tokens(texts: DataFrame, words: int) -> DataFrame:
-    """rep and the distinct shingle hashes of its text, of a table (rep, text)."""
+    """rep and the distinct shingle hashes of its text, of a table (rep, text); other texts under the id of a set's first document are left out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, n, h, d in _sliced(batches, 1, words):
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(h.view(np.int64), np.bincount(d, minlength=n), pa.int64())], ["rep", "tokens"])
+            found = pa.RecordBatch.from_arrays([batch.column(0), list_array(h.view(np.int64), np.bincount(d, minlength=n), pa.int64())], ["rep", "tokens"])
+            yield found.filter(pa.array(_set_ids(h, d, n).view(np.int64) == batch.column(0).to_numpy()))
 
     return texts.mapInArrow(rows, "rep long, tokens array<long>")
 
@@ -204,7 +205,8 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     ``words`` words, or its whole sequence where it has fewer. Two documents link when the Jaccard similarity of
     their sets is at least ``threshold``; component_id is the smallest doc_id reachable by links, n_links the number of
     documents linked directly. Null, empty and blank texts have no shingles and link with nothing. Equal sets link whatever
-    their number and are never paired with each other. doc_id is a key: rows that repeat one with its text give repeated rows.
+    their number and are never paired with each other. doc_id is a key: rows that repeat one give
+    repeated rows, each judged by its own text.
     An empty table gives no rows; other columns are ignored.
 
     Comparisons run in cells of about ``cell_tokens`` tokens on either side: a large group is a grid of cells, small
@@ -214,9 +216,9 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     sets = keep(shingle_sets(docs, words), "sets")
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "set_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("size"))
     classes = keep(classes.withColumnRenamed("set_id", "rep"), "classes")
-    parts = set_parts(docs, words, share, Fraction(str(class_width))).repartition("sig")
-    shared = parts.groupBy("sig").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("sig", "lead")
-    parts = keep(parts.join(shared, "sig").distinct(), "parts")
+    by_sig = Window.partitionBy("sig")  # one scan and one exchange; a frequent signature's rows spill
+    parts = set_parts(docs, words, share, Fraction(str(class_width))).withColumns({"lead": F.min("rep").over(by_sig), "last": F.max("rep").over(by_sig)})
+    parts = keep(parts.where("lead < last").select("rep", "sig", "need", "lead").distinct(), "parts")
     home = parts.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("k")).groupBy("rep").agg(F.min_by("lead", F.struct(-F.col("k"), "lead")).alias("home"))
     homes = keep(home.join(classes.select("rep", "size", "first_doc", F.col("n_shingles").alias("n")), "rep"), "homes")
     placed = parts.select("sig", "rep", "need").join(homes.select("rep", "home"), "rep")
@@ -225,7 +227,8 @@ def similar_sets(docs: DataFrame, words: int = 3, threshold: float = 0.9, cell_t
     asked = met.where("met >= need").select("rep", "home", "grp")
     asked = asked.join(homes.select("rep", "n", "size"), "rep")
     asked = keep(asked, "asked")
-    texts = _texts(docs).join(homes.select(F.col("first_doc").alias("doc_id"), "rep"), "doc_id").select("rep", "text")
+    # by sorting at every size: which sets come here grows with the input
+    texts = _texts(docs).join(homes.select(F.col("first_doc").alias("doc_id"), "rep").hint("merge"), "doc_id").select("rep", "text")
     tokens = keep(_tokens(texts, words), "tokens")
     cut = lambda total: F.ceil(F.col(total) / F.lit(cell_tokens)).cast("int")
     grid = (

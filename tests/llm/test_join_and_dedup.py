@@ -84,6 +84,9 @@ def test_join_edges(spark):
     rows = [(1, "a b c d", 7, 1), (1, "a b c d", 8, 2), (2, "a b c d", 9, 3)]
     named = spark.createDataFrame(rows, "doc_id int, text string, rep int, sig int")
     assert sorted(tuple(r)[:3] for r in ngram_join.similar_sets(named).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+    two = [(1, "a b c d"), (1, "x y z x"), (2, "a b c d"), (3, "x y z x"), (4, "x y z x")]  # an id with two texts
+    got = sorted(tuple(r) for r in ngram_join.similar_sets(spark.createDataFrame(two, "doc_id long, text string")).collect())
+    assert got == [(1, 2, 1, 1), (1, 2, 1, 2), (2, 2, 1, 1), (3, 2, 1, 2), (4, 2, 1, 2)]
     kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows[1:], "doc_id int, text string, rep int, sig int"))
     assert kept.columns == ["doc_id", "text", "rep", "sig"] and [r.doc_id for r in kept.collect()] == [1]
 
