@@ -1,47 +1,406 @@
-"""Removal of byte strings that an earlier document has as well.
+"""Removal of byte strings that an earlier document has as well, by suffix grouping in bounded pieces.
 
-A byte goes if a string of ``SPAN`` bytes covers it that also starts in a document of smaller doc_id.
-Every position's string is hashed twice, with two seeds, and strings count as equal if both hashes of 64 bits are: one alone has collisions
-at some 1e10 positions, and can be forged. A string's smallest document is found by partial sums before the shuffle, and a position
-is marked when that document is an earlier one. Marked positions are rows until they are merged into runs, of which a
-document gets one list.
+A byte goes if a string of ``span`` bytes covers it that also starts in a document of smaller doc_id.
+
+Texts are cut at content: of the grams (``span // 2 + 1`` bytes) inside a string, the one of least hash is its anchor, so equal strings
+have equal anchors. The strings of one anchor stand next to each other and make a piece, of which a document has one for
+every dozen bytes. Only pieces whose gram is also in another text are looked at; texts that are equal as a whole are one from the
+start. Such pieces meet by their gram in one task, which orders the suffixes of the unequal ones by linear grouping (``suffix_order``) and
+compares neighbours in that order, symbol by symbol: no decision hangs on a hash. What many documents have is settled before each
+shuffle: of a gram that several texts of a batch have two witnesses travel, and of equal pieces of a batch the first document's.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textkit import _R, _R_INV, _power, list_array, mix, slices
+
 SPAN = 50
+#: Symbols that are ordered at once, and bytes of text whose grams are compared before they are sent.
+ORDERED, BATCH_BYTES = 1 << 16, 1 << 25
+
+
+def pieces(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Document, first string, number of strings, place of the gram and hash of the gram of each piece."""
+    gram, n = span // 2 + 1, len(raw)
+    if n < span:
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    body = raw.astype(np.uint64) + np.uint64(1)
+    body *= _power(_R, n)[:n]
+    np.cumsum(body, out=total[1:])
+    h = total[gram:] - total[:-gram]
+    h *= _power(_R_INV, n + 1)[: len(h)]
+    h = mix(h)
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the first
+    width, wide = span - gram + 1, 1
+    while wide < width:
+        step = min(wide, width - wide)
+        least = np.minimum(least[:-step], least[step:])
+        wide += step
+    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    whole = doc[: len(anchor)] == doc[span - 1 :]  # strings don't cross documents
+    new = np.ones(len(anchor), dtype=bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(anchor)))
+    first, count = first[whole[first]], count[whole[first]]
+    return doc[first], first, count, anchor[first], h[anchor[first]]
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """The suffixes of ``symbols`` in order, by linear grouping; the last symbol is smaller than all others.
+
+    Groups of suffixes with a common Lyndon prefix are taken in descending order. A suffix's pointer goes to the nearest one before it in a lower
+    group; those pointed at leave their group for a new one right above it, the more pointers the higher. Afterwards every group's
+    place is known, and a walk in ascending order, from each suffix to the one before it and along the pointers, fills the groups.
+    """
+    n = len(symbols)
+    order = np.argsort(symbols, kind="stable")
+    begin = np.flatnonzero(np.diff(symbols[order], prepend=-1))
+    bounds = np.append(begin, n)
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(np.arange(len(begin)), np.diff(bounds))
+    group, start, size = rank.tolist(), begin.tolist(), np.diff(bounds).tolist()
+    members = [order[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    ending = [0] * (n + 1)  # the group that ends there
+    for g, e in enumerate(bounds[1:].tolist()):
+        ending[e] = g
+    back, done = [-1] * n, bytearray(n + 1)
+
+    def split(g: int, some: list[int]) -> None:
+        """Puts ``some`` of a group into a new one right above what is left of it."""
+        if len(some) == size[g]:
+            return
+        new, end = len(start), start[g] + size[g]
+        size[g] -= len(some)
+        start.append(end - len(some))
+        size.append(len(some))
+        members.append(some)
+        ending[end], ending[end - len(some)] = new, g
+        for p in some:
+            group[p] = new
+
+    end = n
+    while end:
+        g = ending[end]
+        own = members[g]
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
+        end = start[g]
+        if len(own) == 1:
+            i = own[0]
+            done[i] = 1
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = back[p]
+            back[i] = p
+            if p >= 0 and size[group[p]] > 1:
+                split(group[p], [p])
+            continue
+        own.sort()
+        times: dict[int, int] = {}
+        for i in own:
+            done[i] = 1
+            p = i - 1
+            while p >= 0 and done[p]:
+                p = back[p]
+            back[i] = p
+            if p >= 0:
+                times[p] = times.get(p, 0) + 1
+        moved: dict[tuple[int, int], list[int]] = {}
+        for p, k in times.items():
+            moved.setdefault((-k, group[p]), []).append(p)
+        for (_, q), some in sorted(moved.items()) if len(moved) > 1 else moved.items():
+            split(q, some)
+    out, free, put = [-1] * n, start, bytearray(n)
+    out[0] = n - 1
+    put[n - 1] = 1
+    for i in range(n):
+        p = out[i] - 1
+        while p >= 0 and not put[p]:
+            g = group[p]
+            out[free[g]] = p
+            free[g] += 1
+            put[p] = 1
+            p = back[p]
+    return np.array(out, dtype=np.int64)
+
+
+def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder: np.ndarray, span: int) -> np.ndarray:
+    """For every string of distinct pieces (``at``: place of the gram, ``count``: number of strings) the least ``holder`` of a piece that has it."""
+    gram = span // 2 + 1
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, gram)[off[:-1] + at]).view(f"S{gram}").ravel()
+    _, gram_id, alike = np.unique(grams, return_inverse=True, return_counts=True)
+    first = np.repeat(holder, count)
+    many = np.flatnonzero(alike[gram_id] > 1)  # a piece alone with its gram has nothing to be ordered with
+    if not len(many):
+        return first
+    # each piece: bytes before the gram, the gram as one symbol, bytes after it, an end of its own
+    n = size[many] - gram + 2
+    begin = np.concatenate([[0], np.cumsum(n)])
+    of = np.repeat(np.arange(len(many)), n)
+    k = np.arange(begin[-1]) - begin[of]
+    where = at[many][of]
+    source = np.minimum(off[many][of] + np.where(k <= where, k, k + gram - 1), len(raw) - 1)
+    symbols = raw[source].astype(np.int64) + len(many) + 1
+    symbols[begin[:-1] + at[many]] = gram_id[many] + len(many) + 257
+    symbols[begin[1:] - 1] = len(many) - np.arange(len(many))
+    is_start = k < count[many][of]
+    order = suffix_order(symbols)
+    order = order[is_start[order]]
+    depth = span - gram + 1
+    heads = np.lib.stride_tricks.sliding_window_view(symbols, depth)
+    new = np.ones(len(order), dtype=bool)
+    for a in range(1, len(order), 1 << 14):
+        x = order[a - 1 : a + (1 << 14)]
+        new[a : a + len(x) - 1] = (heads[x[1:]] != heads[x[:-1]]).any(axis=1)
+    cut = np.flatnonzero(new)
+    least = np.minimum.reduceat(holder[many][of[order]], cut)
+    found = np.empty(len(symbols), dtype=holder.dtype)
+    found[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
+    string = np.concatenate([[0], np.cumsum(count)])[many][of] + k
+    first[string[is_start]] = found[is_start]
+    return first
+
+
+def solve(doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray, texts: list[bytes], span: int, most: int = 64 * ORDERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end (exclusive) of runs of bytes that go, among the pieces of some grams.
+
+    Where unequal pieces have more than ``most`` bytes (very many near copies of one place), their strings are
+    dealt to several orders by a hash of the string.
+    """
+    index: dict[bytes, int] = {}
+    kind = np.array([index.setdefault(t, len(index)) for t in texts], dtype=np.int64)
+    holder = np.full(len(index), np.iinfo(np.int64).max)
+    np.minimum.at(holder, kind, doc)
+    one = np.empty(len(index), dtype=np.int64)
+    one[kind] = np.arange(len(kind))
+    distinct = list(index)
+    size = sum(map(len, distinct))
+    offset = np.concatenate([[0], np.cumsum(count[one])])
+    if size <= most:
+        first = _first_holders(distinct, at[one], count[one], holder, span)
+    else:
+        shares: dict[int, tuple[dict[bytes, int], list[int], list[int]]] = defaultdict(lambda: ({}, [], []))
+        gram = span // 2 + 1
+        parts = int(size * (span - gram) // most) + 1
+        for p, t in enumerate(distinct):
+            for w in range(int(count[one[p]])):
+                s = t[w : w + span]
+                strings, of, place = shares[hash(s) % parts]
+                of.append(strings.setdefault(s, len(strings)))
+                place.append(int(offset[p]) + w)
+        first = np.empty(int(offset[-1]), dtype=np.int64)
+        string_at = np.repeat(at[one], count[one]) - (np.arange(offset[-1]) - np.repeat(offset[:-1], count[one]))
+        string_holder = np.repeat(holder, count[one])
+        for strings, of, place in shares.values():
+            of, place = np.array(of), np.array(place)
+            least = np.full(len(strings), np.iinfo(np.int64).max)
+            np.minimum.at(least, of, string_holder[place])
+            where = np.empty(len(strings), dtype=np.int64)
+            where[of] = string_at[place]
+            first[place] = _first_holders(list(strings), where, np.ones(len(strings), dtype=np.int64), least, span)[of]
+    n = count
+    row = np.repeat(np.arange(len(doc)), n)
+    w = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+    gone = np.flatnonzero(first[offset[kind][row] + w] < doc[row])
+    if not len(gone):
+        return gone, gone, gone
+    row, pos = row[gone], start[row[gone]] + w[gone]
+    opens = np.ones(len(gone), dtype=bool)
+    opens[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
+    head = np.flatnonzero(opens)
+    tail = np.append(head[1:], len(gone)) - 1
+    return row[head], pos[head], pos[tail] + span
+
+
+def _data(docs: DataFrame) -> DataFrame:
+    """doc_id, t (64 bits of the text's SHA-256, as a name of the text), sha and b (bytes)."""
+    b = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), b.alias("b")).withColumn("sha", F.sha2("b", 256))
+    return data.withColumn("t", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
+
+
+def shared_grams(data: DataFrame, span: int) -> DataFrame:
+    """t and h for the pieces of a text whose gram another text has too.
+
+    In a batch, a gram that several texts have is known to be shared: these rows go by their text, and two of the
+    texts as witnesses by the gram; the others go by the gram.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(t: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((t, h))
+            t, h = t[order], h[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+            t, h = t[new], h[new]
+            opens = np.ones(len(h), dtype=bool)
+            opens[1:] = h[1:] != h[:-1]
+            begin = np.flatnonzero(opens)
+            end = np.append(begin[1:], len(h))
+            known = np.repeat(end - begin > 1, end - begin)
+            last = end[end - begin > 1] - 1
+            k = np.concatenate([h[begin], h[last], t[known]])
+            v = np.concatenate([t[begin], t[last], h[known]])
+            own = np.zeros(len(k), dtype=bool)
+            own[len(k) - int(known.sum()) :] = True
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(v), pa.array(own)], ["k", "v", "known"])
+
+        ts, hs, held = [], [], 0
+        for batch in batches:
+            t = batch.column(0).to_numpy()
+            for i, _, raw, off in slices(batch.column(1)):
+                doc, _, _, _, h = pieces(raw, off, span)
+                ts.append(t[i:][doc])
+                hs.append(h.view(np.int64))
+                held += len(raw)
+                if held >= BATCH_BYTES:
+                    yield flush(np.concatenate(ts), np.concatenate(hs))
+                    ts, hs, held = [], [], 0
+        if ts:
+            yield flush(np.concatenate(ts), np.concatenate(hs))
+
+    by_key = Window.partitionBy("k")
+    sent = data.where(F.length("b") >= span).select("t", "b").mapInArrow(rows, "k long, v long, known boolean")
+    sent = sent.withColumns({"least": F.min("v").over(by_key), "most": F.max("v").over(by_key)}).where("known or least < most")
+    return sent.select(F.when(F.col("known"), F.col("k")).otherwise(F.col("v")).alias("t"), F.when(F.col("known"), F.col("v")).otherwise(F.col("k")).alias("h"))
+
+
+PIECES = "k long, doc_id long, t long, start int, n int, place int, piece binary"
+
+
+def _shared_pieces(span: int):
+    """Function of (doc_id, t, b, hs) to the pieces with a gram in hs; of equal ones in a batch only the first document's,
+    the others are settled: without a piece, n is the number of bytes that go."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            flat, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+            bound = np.concatenate([[0], np.cumsum(size)])
+            held: dict[bytes, list[tuple]] = {}
+            out: list[tuple] = []
+            for i, j, raw, off in slices(batch.column(2)):
+                doc, first, count, anchor, h = pieces(raw, off, span)
+                salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))
+                wanted = flat[bound[i] : bound[j]] + salt(np.repeat(np.arange(j - i), size[i:j]))
+                ok = np.isin(h + salt(doc), wanted)
+                text = raw.tobytes()
+                for d, a, n, x, k in zip(doc[ok].tolist(), first[ok].tolist(), count[ok].tolist(), anchor[ok].tolist(), h[ok].view(np.int64).tolist()):
+                    piece = text[a : a + n + span - 1]
+                    begin = int(off[d])
+                    row = (k, int(ids[i + d]), int(ts[i + d]), a - begin, n, x - a, piece)
+                    seen = held.setdefault(piece, [])
+                    if not seen or seen[0][1] == row[1]:
+                        seen.append(row)
+                        continue
+                    later = [row]
+                    if row[1] < seen[0][1]:
+                        later, held[piece] = seen, [row]
+                    out += [(r[2], r[1], r[2], r[3], r[4] + span - 1, 0, None) for r in later]
+            out += [r for some in held.values() for r in some]
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, kinds)], ["k", "doc_id", "t", "start", "n", "place", "piece"])
+
+    return rows
+
+
+RUNS = "doc_id long, t long, begin int, end int"
+
+
+def _runs(span: int):
+    """Function of pieces, in order of k, to runs of bytes that go."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        doc, t, start, n, at = (table.column(c).to_numpy() for c in ("doc_id", "t", "start", "n", "place"))
+        row, begin, end = solve(doc, start.astype(np.int64), n.astype(np.int64), at.astype(np.int64), table.column("piece").to_pylist(), span)
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(t[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "t", "begin", "end"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            open_ = pa.compute.is_valid(table.column("piece"))
+            settled = table.filter(pa.compute.invert(open_))
+            if settled.num_rows:
+                end = pa.compute.add(settled.column("start"), settled.column("n"))
+                yield from pa.table([settled.column("doc_id"), settled.column("t"), settled.column("start"), end], names=["doc_id", "t", "begin", "end"]).combine_chunks().to_batches()
+            table = table.filter(open_)
+            k = table.column("k").to_numpy()
+            weight = np.cumsum(pa.compute.binary_length(table.column("piece")).to_numpy())
+            opens = np.flatnonzero(np.diff(k, prepend=held[-1].column("k")[-1].as_py() if held else k[:1] - 1))
+            cut = 0
+            for o in opens.tolist():  # a gram's pieces stay together
+                before = int(weight[o - 1]) if o else 0
+                if size + before - (int(weight[cut - 1]) if cut else 0) >= ORDERED:
+                    yield found(pa.concat_tables([*held, table.slice(cut, o - cut)]))
+                    held, size, cut = [], 0, o
+            if cut < table.num_rows:
+                held.append(table.slice(cut))
+                size += int(weight[-1]) - (int(weight[cut - 1]) if cut else 0)
+        if held:
+            yield found(pa.concat_tables(held))
+
+    return rows
+
+
+def removed_runs(data: DataFrame, span: int) -> DataFrame:
+    """doc_id, t and runs (array of begin, end; they may overlap) of the bytes to remove, for texts with any; of ``_data``."""
+    ids = data.select("doc_id", "t", "sha", F.length("b").alias("size"))
+    texts = ids.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("t").alias("t"))
+    copies = ids.where(F.col("size") >= span).join(texts.where("first < last").select("sha", "first"), "sha").where("doc_id > first")
+    whole = copies.select("doc_id", "t", F.lit(0).alias("begin"), F.col("size").alias("end")).distinct()
+    grams = shared_grams(data, span).groupBy("t").agg(F.collect_list("h").alias("hs"))  # at most the pieces of a text
+    grams = grams.join(texts.select(F.col("first").alias("doc_id"), "t"), "t").hint("merge")
+    asked = data.select("doc_id", "t", "b").join(grams, ["doc_id", "t"]).select("doc_id", "t", "b", "hs")
+    met = asked.mapInArrow(_shared_pieces(span), PIECES).repartition("k").sortWithinPartitions("k")
+    runs = met.mapInArrow(_runs(span), RUNS).unionByName(whole)
+    return runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))  # at most the bytes of a text
 
 
-def removed_runs(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id and runs (array of start, end; zero-based, end exclusive, ascending) of the bytes to remove, for documents with any."""
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("b"))
-    at = data.where(F.length("b") >= span).select("doc_id", "b", F.explode(F.expr(f"sequence(1, length(b) - {span - 1})")).alias("pos"))
-    gram = F.expr(f"substring(b, pos, {span})")
-    grams = at.select("doc_id", F.xxhash64(gram).alias("h"), F.xxhash64(F.lit("second"), gram).alias("h2"), (F.col("pos") - 1).alias("pos"))
-    first = grams.groupBy("h", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "h2", "first")
-    marked = grams.join(first, ["h", "h2"]).where("first < doc_id").select("doc_id", "pos").distinct()
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    opens = (F.col("pos") - F.lag("pos", 1, -(1 << 30)).over(by_pos)) > span  # adjacent runs are one
-    run = marked.withColumn("run", F.sum(opens.cast("int")).over(by_pos))
-    runs = run.groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + span).alias("end"))
-    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+def _without_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, lists = batch.column(1), batch.column(2)
+        removed, spans = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
+        kept: list = [None] * batch.num_rows
+        for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            run = lists[i].values
+            begin, end = run.field(0).to_numpy(), run.field(1).to_numpy()
+            text = texts[i].as_py()
+            change = np.zeros(len(text) + 1, dtype=np.int64)
+            np.add.at(change, begin, 1)
+            np.add.at(change, end, -1)
+            gone = np.cumsum(change[:-1]) > 0
+            removed[i] = np.count_nonzero(gone)
+            spans[i] = np.count_nonzero(gone[1:] & ~gone[:-1]) + int(gone[0])
+            kept[i] = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
+        left = pa.compute.coalesce(pa.array(kept, pa.binary()), texts.cast(pa.binary()))
+        cols = [batch.column(0), pa.compute.binary_length(texts).cast(pa.int64()), pa.array(removed), pa.array(spans), left]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of every document.
 
     Texts are UTF-8 bytes, null ones empty; strings are judged on the input and never cross documents. Texts shorter than ``span``
-    bytes lose nothing. doc_id is a key: the rows of a repeated one are judged together and not against each other. An empty
+    bytes lose nothing. Rows of a repeated doc_id are judged each by its own text and not against each other. An empty
     table gives no rows; other columns are ignored.
     """
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("b"))
-    joined = data.join(removed_runs(docs, span), "doc_id", "left").withColumn("runs", F.expr("coalesce(runs, cast(array() as array<struct<start:int,end:int>>))"))
-    # what stands before each run and after the last
-    pieces = "transform(sequence(0, size(runs)), i -> hex(substring(b, if(i = 0, 0, get(runs, i - 1).end) + 1, if(i = size(runs), length(b), get(runs, i).start) - if(i = 0, 0, get(runs, i - 1).end))))"
-    return joined.select(
-        "doc_id", F.length("b").cast("long").alias("n_bytes"), F.expr("aggregate(runs, 0L, (n, r) -> n + r.end - r.start)").alias("n_removed"),
-        F.size("runs").cast("long").alias("n_spans"), F.when(F.size("runs") == 0, F.col("b")).otherwise(F.expr(f"unhex(array_join({pieces}, ''))")).alias("kept"),
-    )
+    data = _data(docs)
+    joined = data.select("doc_id", "t", "b").join(removed_runs(data, span).hint("merge"), ["doc_id", "t"], "left")
+    return joined.select("doc_id", "b", "runs").mapInArrow(_without_runs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
