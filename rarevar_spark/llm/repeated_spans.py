@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``span`` bytes covers it that also starts in a document of smaller doc_id.
 
-Texts are cut at content: of the grams (``span // 2 + 1`` bytes) inside a string, the one of least hash is its anchor, so equal strings
+Texts are cut at content: of the grams (``gram_bytes(span)`` bytes) inside a string, the one of least hash is its anchor, so equal strings
 have equal anchors. The strings of one anchor stand next to each other and make a piece, of which a document has one for
 every dozen bytes. Only pieces whose gram is also in another text are looked at; texts that are equal as a whole are one from the
 start. Such pieces meet by their gram in one task, which orders the suffixes of the unequal ones by linear grouping (``suffix_order``) and
@@ -20,18 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import keep
 from .textkit import _R, _R_INV, _power, list_array, mix, slices
 
 SPAN = 50
+#: Bits that name a text or a gram where they are only looked for; what is found is compared as bytes.
+NAME_BITS = 48
 #: Symbols that are ordered at once, and bytes of text whose grams are compared before they are sent.
 ORDERED, BATCH_BYTES = 1 << 16, 1 << 25
 
 
+def gram_bytes(span: int) -> int:
+    """Shorter grams give fewer pieces, and more of them meet by chance."""
+    return max(1, span * 2 // 5)
+
+
 def pieces(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """Document, first string, number of strings, place of the gram and hash of the gram of each piece."""
-    gram, n = span // 2 + 1, len(raw)
+    """Document, first string, number of strings, place of the gram and name of the gram (of ``NAME_BITS``) of each piece."""
+    gram, n = gram_bytes(span), len(raw)
     if n < span:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     total = np.zeros(n + 1, dtype=np.uint64)
     body = raw.astype(np.uint64) + np.uint64(1)
     body *= _power(_R, n)[:n]
@@ -53,7 +61,7 @@ def pieces(raw: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(anchor)))
     first, count = first[whole[first]], count[whole[first]]
-    return doc[first], first, count, anchor[first], h[anchor[first]]
+    return doc[first], first, count, anchor[first], (h[anchor[first]] >> np.uint64(64 - NAME_BITS)).view(np.int64)
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -137,7 +145,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 
 def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder: np.ndarray, span: int) -> np.ndarray:
     """For every string of distinct pieces (``at``: place of the gram, ``count``: number of strings) the least ``holder`` of a piece that has it."""
-    gram = span // 2 + 1
+    gram = gram_bytes(span)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     off = np.concatenate([[0], np.cumsum(size)])
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -194,7 +202,7 @@ def solve(doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray,
         first = _first_holders(distinct, at[one], count[one], holder, span)
     else:
         shares: dict[int, tuple[dict[bytes, int], list[int], list[int]]] = defaultdict(lambda: ({}, [], []))
-        gram = span // 2 + 1
+        gram = gram_bytes(span)
         parts = int(size * (span - gram) // most) + 1
         for p, t in enumerate(distinct):
             for w in range(int(count[one[p]])):
@@ -227,10 +235,11 @@ def solve(doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray,
 
 
 def _data(docs: DataFrame) -> DataFrame:
-    """doc_id, t (64 bits of the text's SHA-256, as a name of the text), sha and b (bytes)."""
+    """doc_id, t (the first bits of the text's SHA-256, as a name of the text), sha and b (bytes)."""
     b = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), b.alias("b")).withColumn("sha", F.sha2("b", 256))
-    return data.withColumn("t", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
+    data = data.withColumn("t", F.conv(F.substring("sha", 1, NAME_BITS // 4), 16, 10).cast("long"))
+    return data.select("doc_id", "t", F.unhex("sha").alias("sha"), "b")
 
 
 def shared_grams(data: DataFrame, span: int) -> DataFrame:
@@ -265,7 +274,7 @@ def shared_grams(data: DataFrame, span: int) -> DataFrame:
             for i, _, raw, off in slices(batch.column(1)):
                 doc, _, _, _, h = pieces(raw, off, span)
                 ts.append(t[i:][doc])
-                hs.append(h.view(np.int64))
+                hs.append(h)
                 held += len(raw)
                 if held >= BATCH_BYTES:
                     yield flush(np.concatenate(ts), np.concatenate(hs))
@@ -279,7 +288,7 @@ def shared_grams(data: DataFrame, span: int) -> DataFrame:
     return sent.select(F.when(F.col("known"), F.col("k")).otherwise(F.col("v")).alias("t"), F.when(F.col("known"), F.col("v")).otherwise(F.col("k")).alias("h"))
 
 
-PIECES = "k long, doc_id long, t long, start int, n int, place int, piece binary"
+PIECES = "k int, doc_id long, t long, start int, n int, place int, piece binary"
 
 
 def _shared_pieces(span: int):
@@ -288,18 +297,18 @@ def _shared_pieces(span: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(3).is_valid())
             ids, ts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            flat, size = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().astype(np.int64)
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
             bound = np.concatenate([[0], np.cumsum(size)])
             held: dict[bytes, list[tuple]] = {}
             out: list[tuple] = []
             for i, j, raw, off in slices(batch.column(2)):
                 doc, first, count, anchor, h = pieces(raw, off, span)
-                salt = lambda d: mix(d.astype(np.uint64) + np.uint64(1))
-                wanted = flat[bound[i] : bound[j]] + salt(np.repeat(np.arange(j - i), size[i:j]))
-                ok = np.isin(h + salt(doc), wanted)
+                own = lambda h, d: h.view(np.uint64) ^ mix(d.astype(np.uint64) + np.uint64(1))
+                ok = np.isin(own(h, doc), own(flat[bound[i] : bound[j]], np.repeat(np.arange(j - i), size[i:j])))
                 text = raw.tobytes()
-                for d, a, n, x, k in zip(doc[ok].tolist(), first[ok].tolist(), count[ok].tolist(), anchor[ok].tolist(), h[ok].view(np.int64).tolist()):
+                for d, a, n, x, k in zip(doc[ok].tolist(), first[ok].tolist(), count[ok].tolist(), anchor[ok].tolist(), (h[ok] >> (NAME_BITS - 31)).tolist()):
                     piece = text[a : a + n + span - 1]
                     begin = int(off[d])
                     row = (k, int(ids[i + d]), int(ts[i + d]), a - begin, n, x - a, piece)
@@ -310,10 +319,10 @@ def _shared_pieces(span: int):
                     later = [row]
                     if row[1] < seen[0][1]:
                         later, held[piece] = seen, [row]
-                    out += [(r[2], r[1], r[2], r[3], r[4] + span - 1, 0, None) for r in later]
+                    out += [(r[2] & 0x7FFFFFFF, r[1], r[2], r[3], r[4] + span - 1, 0, None) for r in later]
             out += [r for some in held.values() for r in some]
             cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, kinds)], ["k", "doc_id", "t", "start", "n", "place", "piece"])
 
     return rows
@@ -366,8 +375,9 @@ def removed_runs(data: DataFrame, span: int) -> DataFrame:
     copies = ids.where(F.col("size") >= span).join(texts.where("first < last").select("sha", "first"), "sha").where("doc_id > first")
     whole = copies.select("doc_id", "t", F.lit(0).alias("begin"), F.col("size").alias("end")).distinct()
     grams = shared_grams(data, span).groupBy("t").agg(F.collect_list("h").alias("hs"))  # at most the pieces of a text
-    grams = grams.join(texts.select(F.col("first").alias("doc_id"), "t"), "t").hint("merge")
-    asked = data.select("doc_id", "t", "b").join(grams, ["doc_id", "t"]).select("doc_id", "t", "b", "hs")
+    grams = keep(grams.join(texts.select(F.col("first").alias("doc_id"), "t"), "t").select("doc_id", "t", "hs"), "grams")
+    # by sorting at every size, and all documents, as in the last join: one exchange of the texts serves both
+    asked = data.select("doc_id", "t", "b").join(grams.hint("merge"), ["doc_id", "t"], "left").select("doc_id", "t", "b", "hs")
     met = asked.mapInArrow(_shared_pieces(span), PIECES).repartition("k").sortWithinPartitions("k")
     runs = met.mapInArrow(_runs(span), RUNS).unionByName(whole)
     return runs.groupBy("doc_id", "t").agg(F.collect_list(F.struct("begin", "end")).alias("runs"))  # at most the bytes of a text
