@@ -9,6 +9,9 @@ take the slots of their length in turn.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,76 +20,115 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .shared import keep
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A word of Latin letters that are their own normal form, and the signs behind it; these tokenizers take the two apart.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD_END = "\0"
+
+
+def word_ranks(vocabulary: str) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """The merges of a lower-casing BPE file with an end-of-word suffix as (bytes: rank), and the id of each rank.
+
+    The end of a word is a byte of its own that joins the last letter before all other merges. Ranks give the ids of
+    the merges if every token comes out of its own symbols alone as one token; the tests check that for the file. None for files of another form.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not end or model.get("dropout"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file; others follow from 256 on
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    made = {"".join(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    ranks, ids = {}, {}
+    for token, i in model["vocab"].items():
+        core = token.removesuffix(end)
+        if not all(c in byte for c in core):
+            continue
+        key = bytes(byte[c] for c in core)
+        if token in made:
+            rank = 512 + made[token]
+        elif len(core) == 1:
+            rank = key[0] + (256 if core == token else 0)  # a letter and the end of its word come together first
+        else:
+            continue
+        ranks[key + (b"" if core == token else WORD_END.encode())] = rank
+        ids[rank] = i
+    back = np.zeros(max(ranks.values(), default=0) + 1, dtype="<u4")
+    back[list(ids)] = list(ids.values())
+    return ranks, back
+
+
 class PartEncoder:
     """Ids, as little-endian bytes, of the blank-separated parts of texts; encodes each part once while it is remembered.
 
-    A part of letters with a full stop or comma behind it, or with an ASCII capital in front, has the ids of the plain word (the
-    vocabulary is lower-case, and takes runs of letters and of signs apart), so only plain words are encoded, many in one call.
+    A part that is a plain word with signs behind it has the ids of the lower-cased word and those of the signs. New words are encoded
+    many in one call by ranks of the same merges, all other parts by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str, remembered: int) -> None:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(vocabulary)
         self.remembered = remembered
         self.parts: dict[str, bytes] = {}
-        self.signs = {c: self._one(c) for c in ".,"}
-
-    def _one(self, part: str) -> bytes:
-        return np.array(self.tok.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _words(self, words: list[str]) -> None:
-        """Encodes words of letters alone, each of which is one run for the tokenizer."""
-        for s in range(0, len(words), 1000):
-            some = words[s : s + 1000]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(e.ids, dtype="<u4").tobytes(), e.word_ids
-            cut = np.flatnonzero(np.diff(of, prepend=-1)).tolist() if len(of) else []
-            if len(cut) != len(some):
-                self.parts.update((w, self._one(w)) for w in some)
-                continue
-            for w, i, j in zip(some, cut, cut[1:] + [len(of)]):
-                self.parts[w] = ids[4 * i : 4 * j]
+        self.signs: dict[str, bytes] = {"": b""}
+        self.words = None
+        if found := word_ranks(vocabulary):
+            ranks, self.ids = found
+            self.words = tiktoken.Encoding("words", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
+            self.last = np.zeros(len(self.ids), dtype=bool)
+            self.last[[r for t, r in ranks.items() if t.endswith(WORD_END.encode())]] = True
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain lower-cased words."""
+        out: list[bytes] = []
+        for s in range(0, len(words), 10_000):
+            ranks = np.array(self.words.encode_ordinary(WORD_END.join(words[s : s + 10_000]) + WORD_END), dtype=np.int64)
+            ids, cut = self.ids[ranks].tobytes(), (4 * (np.flatnonzero(self.last[ranks]) + 1)).tolist()
+            out += [ids[i:j] for i, j in zip([0, *cut], cut)]
+        return out
+
+    def _any(self, parts: list[str]) -> list[bytes]:
+        found = self.tok.encode_batch_fast(parts, add_special_tokens=False) if parts else []
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def learn(self, new: set[str]) -> None:
-        plain, dressed, other = set(), [], []
+        plain, other = [], []
         for p in new:
-            sign = p[-1:] if p[-1:] in self.signs else ""
-            word = p[:-1] if sign else p
-            if not word.isalpha():
+            m = PLAIN.fullmatch(p) if self.words else None
+            if m:
+                plain.append((p, m[1].lower(), m[2]))
+            else:
                 other.append(p)
-                continue
-            if "A" <= word[0] <= "Z":
-                word = word[0].lower() + word[1:]
-            if word not in self.parts:
-                plain.add(word)
-            if word != p:
-                dressed.append((p, word, sign))
-        self._words(list(plain))
-        for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False) if other else []):
-            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-        for p, word, sign in dressed:
-            self.parts[p] = self.parts[word] + self.signs[sign] if sign else self.parts[word]
+        self.parts.update(zip(other, self._any(other)))
+        signs = list({s for _, _, s in plain} - self.signs.keys())
+        if len(self.signs) + len(signs) > 10_000:
+            self.signs, signs = {"": b""}, list({s for _, _, s in plain} - {""})
+        self.signs.update(zip(signs, self._any(signs)))
+        words = list({w for _, w, _ in plain})
+        ids = dict(zip(words, self._words(words)))
+        signs = self.signs
+        self.parts.update([(p, ids[w] + signs[s]) for p, w, s in plain])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = {p for ps in split for p in ps if p not in self.parts}
-        if len(self.parts) + 2 * len(new) > self.remembered:
-            self.parts.clear()
-            new = {p for ps in split for p in ps}
+        found = [list(map(self.parts.get, ps)) for ps in split]
+        new = {p for ps, ids in zip(split, found) if None in ids for p, x in zip(ps, ids) if x is None}
+        if len(self.parts) + len(new) > self.remembered:
+            self.parts = {}  # what has been found stays in ``found``
         self.learn(new)
-        parts = self.parts
-        for ps in split:
-            yield b"".join([parts[p] for p in ps])
+        learned = self.parts
+        for ps, ids in zip(split, found):
+            yield b"".join(x if x is not None else learned[p] for p, x in zip(ps, ids)) if None in ids else b"".join(ids)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, remembered: int = 800_000) -> DataFrame:
@@ -258,21 +300,21 @@ def place(pieces: DataFrame, capacity: int = 4096, rows_per_rank_task: int = 20_
     starts = per.select("length", "share_", (F.sum("n_").over(by_length) - F.col("n_")).alias("before_"))
     rank = F.row_number().over(Window.partitionBy("length", "share_").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("rank_", rank).join(starts, ["length", "share_"]).withColumn("rank_", F.col("rank_") + F.col("before_"))
-    by_n: dict[int, list[tuple[int, int, int, int]]] = {}
-    for n, *rest in slots:
-        by_n.setdefault(n, []).append(tuple(rest))
-    # A length's slots are one row, found by a search in the list of first ranks.
-    table = spark.createDataFrame(
-        [(n, [list(s) for s in by_n[n]]) for n in sorted(by_n)], "length long, slots_ array<array<long>>"
-    )
-    hit = F.expr("element_at(filter(slots_, s -> s[0] <= rank_ and rank_ < s[0] + s[1]), 1)")
-    return (
-        ranked.join(F.broadcast(table), "length")  # at most one row for each length up to the capacity
-        .withColumn("slot_", hit)
-        .withColumn("sequence_id", F.expr("slot_[2] + rank_ - slot_[0]"))
-        .withColumn("offset", F.expr("slot_[3]"))
-        .drop("share_", "rank_", "before_", "slots_", "slot_")
-    )
+    # Slots in order of length and first rank. Their number depends on the histogram's lengths, not on the pieces: each step
+    # of the fit uses up a length or a pattern, so that they are a few for each length up to the capacity.
+    table = np.array(sorted(slots), dtype=np.int64).reshape(-1, 5)
+    sent = spark.sparkContext.broadcast(((table[:, 0] << 40) + table[:, 1], table[:, 1], table[:, 3], table[:, 4]))
+    own = [f.name for f in pieces.schema]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, sequence, offset = sent.value
+        for batch in batches:
+            n, r = batch.column("length").to_numpy(), batch.column("rank_").to_numpy()
+            at = np.searchsorted(key, (n.astype(np.int64) << 40) + r, side="right") - 1
+            cols = [batch.column(c) for c in own]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence[at] + r - first[at]), pa.array(offset[at])], [*own, "sequence_id", "offset"])
+
+    return ranked.select(*own, "rank_").mapInArrow(rows, StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())]))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -183,8 +183,8 @@ def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder
     return first
 
 
-def solve(doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray, texts: list[bytes], span: int, most: int = 64 * ORDERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, begin and end (exclusive) of runs of bytes that go, among the pieces of some grams.
+def solve(doc: np.ndarray, count: np.ndarray, at: np.ndarray, texts: list[bytes], span: int, most: int = 64 * ORDERED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end (exclusive, in the piece) of runs of bytes that go, among the pieces of some grams.
 
     Where unequal pieces have more than ``most`` bytes (very many near copies of one place), their strings are
     dealt to several orders by a hash of the string.
@@ -226,7 +226,7 @@ def solve(doc: np.ndarray, start: np.ndarray, count: np.ndarray, at: np.ndarray,
     gone = np.flatnonzero(first[offset[kind][row] + w] < doc[row])
     if not len(gone):
         return gone, gone, gone
-    row, pos = row[gone], start[row[gone]] + w[gone]
+    row, pos = row[gone], w[gone]
     opens = np.ones(len(gone), dtype=bool)
     opens[1:] = (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)
     head = np.flatnonzero(opens)
@@ -288,12 +288,12 @@ def shared_grams(data: DataFrame, span: int) -> DataFrame:
     return sent.select(F.when(F.col("known"), F.col("k")).otherwise(F.col("v")).alias("t"), F.when(F.col("known"), F.col("v")).otherwise(F.col("k")).alias("h"))
 
 
-PIECES = "k int, doc_id long, t long, start int, n int, place int, piece binary"
+PIECES = "k int, doc_id long, t long, starts array<int>, n int, place int, piece binary"
 
 
 def _shared_pieces(span: int):
-    """Function of (doc_id, t, b, hs) to the pieces with a gram in hs; of equal ones in a batch only the first document's,
-    the others are settled: without a piece, n is the number of bytes that go."""
+    """Function of (doc_id, t, b, hs) to the pieces with a gram in hs, each once for a document with all its starts; of equal ones in a batch
+    only the first document's, the others are settled: without a piece, n is the number of bytes that go."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +301,7 @@ def _shared_pieces(span: int):
             ids, ts, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
             bound = np.concatenate([[0], np.cumsum(size)])
-            held: dict[bytes, list[tuple]] = {}
+            held: dict[bytes, tuple] = {}
             out: list[tuple] = []
             for i, j, raw, off in slices(batch.column(2)):
                 doc, first, count, anchor, h = pieces(raw, off, span)
@@ -311,19 +311,21 @@ def _shared_pieces(span: int):
                 for d, a, n, x, k in zip(doc[ok].tolist(), first[ok].tolist(), count[ok].tolist(), anchor[ok].tolist(), (h[ok] >> (NAME_BITS - 31)).tolist()):
                     piece = text[a : a + n + span - 1]
                     begin = int(off[d])
-                    row = (k, int(ids[i + d]), int(ts[i + d]), a - begin, n, x - a, piece)
-                    seen = held.setdefault(piece, [])
-                    if not seen or seen[0][1] == row[1]:
-                        seen.append(row)
+                    row = (k, int(ids[i + d]), int(ts[i + d]), [a - begin], n, x - a, piece)
+                    seen = held.setdefault(piece, row)
+                    if seen is row:
                         continue
-                    later = [row]
-                    if row[1] < seen[0][1]:
-                        later, held[piece] = seen, [row]
-                    out += [(r[2] & 0x7FFFFFFF, r[1], r[2], r[3], r[4] + span - 1, 0, None) for r in later]
-            out += [r for some in held.values() for r in some]
+                    if seen[1:3] == row[1:3]:
+                        seen[3].append(a - begin)
+                        continue
+                    if row[1] < seen[1]:
+                        held[piece], row = row, seen
+                    # rows of one doc_id are not judged against each other
+                    out.append(row if row[1] == held[piece][1] else (row[2] & 0x7FFFFFFF, row[1], row[2], row[3], row[4] + span - 1, 0, None))
+            out += held.values()
             cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, kinds)], ["k", "doc_id", "t", "start", "n", "place", "piece"])
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, kinds)], ["k", "doc_id", "t", "starts", "n", "place", "piece"])
 
     return rows
 
@@ -334,10 +336,20 @@ RUNS = "doc_id long, t long, begin int, end int"
 def _runs(span: int):
     """Function of pieces, in order of k, to runs of bytes that go."""
 
+    def at_starts(table: pa.Table, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        """Runs inside pieces, at every start of their pieces."""
+        lists = table.column("starts").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        first = np.cumsum(size) - size
+        again = np.repeat(np.arange(len(row)), size[row])
+        k = np.arange(len(again)) - np.repeat(np.cumsum(size[row]) - size[row], size[row])
+        start = lists.flatten().to_numpy()[first[row][again] + k]
+        doc, t = table.column("doc_id").to_numpy()[row][again], table.column("t").to_numpy()[row][again]
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(t), pa.array((start + begin[again]).astype(np.int32)), pa.array((start + end[again]).astype(np.int32))], ["doc_id", "t", "begin", "end"])
+
     def found(table: pa.Table) -> pa.RecordBatch:
-        doc, t, start, n, at = (table.column(c).to_numpy() for c in ("doc_id", "t", "start", "n", "place"))
-        row, begin, end = solve(doc, start.astype(np.int64), n.astype(np.int64), at.astype(np.int64), table.column("piece").to_pylist(), span)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(t[row]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "t", "begin", "end"])
+        doc, n, at = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n", "place"))
+        return at_starts(table, *solve(doc, n, at, table.column("piece").to_pylist(), span))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -347,8 +359,8 @@ def _runs(span: int):
             open_ = pa.compute.is_valid(table.column("piece"))
             settled = table.filter(pa.compute.invert(open_))
             if settled.num_rows:
-                end = pa.compute.add(settled.column("start"), settled.column("n"))
-                yield from pa.table([settled.column("doc_id"), settled.column("t"), settled.column("start"), end], names=["doc_id", "t", "begin", "end"]).combine_chunks().to_batches()
+                row = np.arange(settled.num_rows)
+                yield at_starts(settled, row, np.zeros(len(row), dtype=np.int64), settled.column("n").to_numpy())
             table = table.filter(open_)
             k = table.column("k").to_numpy()
             weight = np.cumsum(pa.compute.binary_length(table.column("piece")).to_numpy())

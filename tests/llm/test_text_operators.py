@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -35,6 +36,37 @@ def test_nnls():
     assert packing.nnls(a, a @ x, 20_000) == pytest.approx(x, abs=0.05)
 
 
+def test_ranks_give_the_ids_of_the_merges():
+    """Every token comes out of its own symbols alone as one token, by merges of pairs, and no merge is of a lower rank than its parts'."""
+    with open(WORD_BPE, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    made = {"".join(m): i for m, i in rank.items()}
+    assert len(made) == len(rank)
+    assert all(made.get(part, -1) < i for m, i in rank.items() for part in m)
+    end = model["end_of_word_suffix"]
+    for token in made:
+        core = token.removesuffix(end)
+        s = [*core[:-1], core[-1] + token[len(core) :]]
+        while len(s) > 1:
+            best = min(range(len(s) - 1), key=lambda i: rank.get((s[i], s[i + 1]), 1 << 30))
+            assert (s[best], s[best + 1]) in rank, token
+            s[best : best + 2] = [s[best] + s[best + 1]]
+        assert s == [token]
+    ranks, ids = packing.word_ranks(WORD_BPE)
+    assert len(ranks) >= len(made) + 512 and len(set(ranks.values())) == len(ranks)
+
+
+def test_part_encoder_forgets(tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdeéßñthing", k=rng.randint(1, 12))) + rng.choice(["", ".", ",", "***", "!?", "'s", "1"]) for _ in range(30)) for _ in range(300)]
+    tok, encoder = Tokenizer.from_file(WORD_BPE), packing.PartEncoder(WORD_BPE, remembered=200)
+    got = [b for i in range(0, 300, 7) for b in encoder.encode(texts[i : i + 7])]
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("capacity", [16, 4096])
 def test_pack_documents(spark, capacity):
     from tokenizers import Tokenizer
@@ -53,6 +85,9 @@ def test_pack_documents(spark, capacity):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= capacity
     assert packing.pack_documents(docs.limit(0), WORD_BPE).count() == 0
+    twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "another"), (2, "a b c")], "doc_id long, text string")
+    got = packing.pack_documents(twice, WORD_BPE).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in got) == [(1, 0, 2), (1, 0, 4), (1, 0, 4), (2, 0, 4)] and sorted(r.offset for r in got) == [0, 4, 8, 12]
 
 
 def test_decontamination(spark):
