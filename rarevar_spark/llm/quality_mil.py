@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
 from .textkit import BLANK_SEPARATED, slices, span_hashes, word_bounds
 
 PASSAGE_WORDS = 64
@@ -88,6 +89,20 @@ def score(w: dict[str, np.ndarray], x: np.ndarray, of: np.ndarray, n: int) -> np
     return _forward(w, x, of, n)["p"]
 
 
+def gradient(w: dict[str, np.ndarray], f: dict[str, np.ndarray], of: np.ndarray, err: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives by the weights of a loss whose derivatives by the documents' logits are ``err``, after a forward pass ``f``."""
+    d_bag = err[:, None] * w["c"]
+    d_a = (d_bag[of] * f["h"]).sum(axis=1)
+    mean_a = np.bincount(of, weights=f["a"] * d_a, minlength=len(err))
+    d_s = f["a"] * (d_a - mean_a[of])
+    d_tg = d_s[:, None] * w["a"]
+    d_t = d_tg * f["g"] * (1 - f["t"] ** 2)
+    d_g = d_tg * f["t"] * f["g"] * (1 - f["g"])
+    d_h = f["a"][:, None] * d_bag[of] + d_t @ w["V"].T + d_g @ w["U"].T
+    d_e = d_h * (1 - f["h"] ** 2)
+    return {"E": f["z"].T @ d_e, "e": d_e.sum(axis=0), "V": f["h"].T @ d_t, "U": f["h"].T @ d_g, "a": (f["t"] * f["g"]).T @ d_s, "c": f["bag"].T @ err, "d": np.array([err.sum()])}
+
+
 def fit(x: np.ndarray, of: np.ndarray, y: np.ndarray, width: int = 24, gates: int = 12, epochs: int = 25, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights learned by Adam on the documents' log loss, classes weighed alike."""
     rng = np.random.default_rng(seed)
@@ -108,16 +123,7 @@ def fit(x: np.ndarray, of: np.ndarray, y: np.ndarray, width: int = 24, gates: in
             bag_of = np.repeat(np.arange(len(docs)), begin[docs + 1] - begin[docs])
             f = _forward(w, x[rows], bag_of, len(docs))
             err = (f["p"] - y[docs]) * weight[docs] / len(docs)
-            d_bag = err[:, None] * w["c"]
-            d_a = (d_bag[bag_of] * f["h"]).sum(axis=1)
-            mean_a = np.bincount(bag_of, weights=f["a"] * d_a, minlength=len(docs))
-            d_s = f["a"] * (d_a - mean_a[bag_of])
-            d_tg = d_s[:, None] * w["a"]
-            d_t = d_tg * f["g"] * (1 - f["t"] ** 2)
-            d_g = d_tg * f["t"] * f["g"] * (1 - f["g"])
-            d_h = f["a"][:, None] * d_bag[bag_of] + d_t @ w["V"].T + d_g @ w["U"].T
-            d_e = d_h * (1 - f["h"] ** 2)
-            grad = {"E": f["z"].T @ d_e, "e": d_e.sum(axis=0), "V": f["h"].T @ d_t, "U": f["h"].T @ d_g, "a": (f["t"] * f["g"]).T @ d_s, "c": f["bag"].T @ err, "d": np.array([err.sum()])}
+            grad = gradient(w, f, bag_of, err)
             step += 1
             for k in learned:
                 g = grad[k] + decay * w[k]
@@ -154,13 +160,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 3000, sample_pa
 
     # text goes to the tasks of the chosen ids; the ids are at most sample_docs rows
     sample = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(rows, "doc_id long, y int, x binary")
-    bags, y, total = [], [], 0
-    for r in sorted(sample.collect(), key=lambda r: r["doc_id"]):
-        bag = np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES)
-        if total + len(bag) <= sample_passages:
-            bags.append(bag)
-            y.append(r["y"])
-            total += len(bag)
+    sample = keep(sample, "quality-sample")
+    total, ids = 0, []  # sizes first, so that no more passages than wanted come to the driver
+    for r in sorted(sample.select("doc_id", (F.octet_length("x") / (4 * N_FEATURES)).cast("long").alias("n")).collect()):
+        if total + r["n"] <= sample_passages:
+            total += r["n"]
+            ids.append(r["doc_id"])
+    bags, y = [], []
+    for r in sorted(sample.where(F.col("doc_id").isin(ids)).collect(), key=lambda r: r["doc_id"]) if ids else []:
+        bags.append(np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES))
+        y.append(r["y"])
     if len(set(y)) < 2:
         return None
     return fit(np.concatenate(bags).astype(float), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array(y, dtype=float))

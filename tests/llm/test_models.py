@@ -17,12 +17,19 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not s else sum(p[i, lang] * total(s[len(k) :], lang) for k, i in vocabulary.items() if s.startswith(k))
 
     words = ["a", "ab", "aba", "abab", "bbab"]
-    got = L.log_likelihoods(words, vocabulary, p)
+    pieces = L.Pieces(vocabulary)
+    got = L.log_likelihoods(words, pieces, p)
     for w, row in zip(words, got):
         assert np.exp(row) == pytest.approx([total(b" " + w.encode(), k) for k in (0, 1)])
-    # a run of letters beyond the longest unit is cut, not dropped
-    long = "ab" * 200
-    assert L.log_likelihoods([long], vocabulary, p)[0, 0] < L.log_likelihoods([long[:100]], vocabulary, p)[0, 0]
+    # a run of letters of any length, beyond what a double holds unscaled
+    long = "ab" * 3000
+    whole = b" " + long.encode()
+    logs = np.full((len(whole) + 1, 2), -np.inf)
+    logs[0] = 0
+    for e in range(1, len(whole) + 1):
+        steps = [logs[e - len(k)] + np.log(p[i]) for k, i in vocabulary.items() if whole[:e].endswith(k)]
+        logs[e] = np.logaddexp.reduce(steps, axis=0)
+    assert (logs[-1] < -800).any() and L.log_likelihoods(["a", long, "b"], pieces, p)[1] == pytest.approx(logs[-1], rel=1e-9)
 
 
 def test_learning_raises_likelihood():
@@ -32,7 +39,7 @@ def test_learning_raises_likelihood():
     for rounds in (1, 2, 4):
         p = L.learn_pieces(counts, ["x", "y"], vocabulary, rounds=rounds, smoothing=1e-9)
         assert p.sum(axis=0) == pytest.approx([1, 1])
-        scores.append(sum(n * L.log_likelihoods([w], vocabulary, p)[0, int(lang == "y")] for (lang, w), n in counts.items()))
+        scores.append(sum(n * L.log_likelihoods([w], L.Pieces(vocabulary), p)[0, int(lang == "y")] for (lang, w), n in counts.items()))
     assert scores == sorted(scores)
 
 
@@ -49,17 +56,60 @@ def test_language_edges(spark):
     kept = L.keep_identified(docs, VOCABULARY)
     assert kept.columns == docs.columns and kept.count() == 122
     assert L.language_of(docs.limit(0), VOCABULARY).count() == 0
+    twice = spark.createDataFrame([*rows[:120], rows[0], (300, "ab " * 9, "xx", "s"), (301, "straße" * 2000, None, "s"), (302, "the straße", None, "s")], "doc_id long, text string, lang string, score string")
+    again = L.language_of(twice, VOCABULARY).collect()  # repeated rows, a language of one text, a very long run, a clashing name
+    assert len(again) == 124 and {r.lang_pred for r in again if r.doc_id == 0} == {"de"}
+    assert {r.doc_id: r.lang_pred for r in again}[301] == "de"
     assert {r.lang_pred for r in L.language_of(docs.where("lang is null"), VOCABULARY).collect()} == {"und"}, "no language learned"
 
 
+def test_languages_are_learned_each_from_its_own_words(spark):
+    """A language of few documents keeps its words beside one of many, ties go to the language first by name."""
+    rows = [(i, " ".join(f"thing{chr(97 + i % 26)}{chr(97 + k)}" for k in range(26)), "en") for i in range(400)] + [(1000 + i, "fjord skål", "no") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, p = L.train(docs, L.read_vocabulary(VOCABULARY), words=100)
+    assert languages == ["en", "no"]
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs, languages, p, L.read_vocabulary(VOCABULARY)).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    even = np.repeat(p[:, :1], 2, axis=1)
+    assert {r.lang_pred for r in L.identify(docs.limit(3), languages, even, L.read_vocabulary(VOCABULARY)).collect()} == {"en"}
+
+
+def plain_score(w, bag):
+    """The probability of one document, passage by passage and unit by unit."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    encoded, weight = [], []
+    for x in bag:
+        z = [(x[i] - w["mean"][i]) / w["scale"][i] for i in range(len(x))]
+        h = [np.tanh(sum(z[i] * w["E"][i, j] for i in range(len(z))) + w["e"][j]) for j in range(w["E"].shape[1])]
+        gate = [np.tanh(sum(h[j] * w["V"][j, k] for j in range(len(h)))) * sigmoid(sum(h[j] * w["U"][j, k] for j in range(len(h)))) for k in range(w["V"].shape[1])]
+        encoded.append(h)
+        weight.append(np.exp(sum(gate[k] * w["a"][k] for k in range(len(gate)))))
+    pooled = [sum(a * h[j] for a, h in zip(weight, encoded)) / sum(weight) for j in range(len(encoded[0]))]
+    return sigmoid(sum(p * c for p, c in zip(pooled, w["c"])) + w["d"][0])
+
+
 def test_gradient():
     rng = np.random.default_rng(3)
-    x, of, y = rng.normal(size=(12, Q.N_FEATURES)), np.repeat([0, 1, 2], 4), np.array([1.0, 0.0, 1.0])
+    x, of, y = rng.normal(size=(12, Q.N_FEATURES)), np.repeat([0, 1, 2], [4, 7, 1]), np.array([1.0, 0.0, 1.0])
     w = Q.fit(x, of, y, width=5, gates=4, epochs=200)
-    assert ((Q.score(w, x, of, 3) > 0.5) == (y == 1)).all()
+    p = Q.score(w, x, of, 3)
+    assert ((p > 0.5) == (y == 1)).all()
+    assert p == pytest.approx([plain_score(w, x[of == k]) for k in range(3)])
     # a bag's score doesn't depend on the order of its passages
     turned = np.concatenate([np.arange(4)[::-1], np.arange(4, 12)])
-    assert Q.score(w, x[turned], of, 3) == pytest.approx(Q.score(w, x, of, 3))
+    assert Q.score(w, x[turned], of, 3) == pytest.approx(p)
+    w = Q.fit(x, of, y, width=5, gates=4, epochs=1)
+    loss = lambda: -(y * np.log(q := Q.score(w, x, of, 3)) + (1 - y) * np.log(1 - q)).sum()
+    f = Q._forward(w, x, of, 3)
+    for name, g in Q.gradient(w, f, of, f["p"] - y).items():
+        for at in [np.unravel_index(i, w[name].shape) for i in range(min(w[name].size, 15))]:
+            was, side = w[name][at], []
+            for step in (1e-6, -1e-6):
+                w[name][at] = was + step
+                side.append(loss())
+            w[name][at] = was
+            assert g[at] == pytest.approx((side[0] - side[1]) / 2e-6, rel=1e-4, abs=1e-8), name
 
 
 def test_quality(spark):
@@ -73,6 +123,10 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(3)
     got = {r.doc_id: r for r in Q.quality(docs, labels).collect()}
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    twice = Q.quality(docs.unionByName(docs.where("doc_id < 9")), labels).collect()  # repeated rows are scored each, and alike
+    assert len(twice) == len(rows) + 9 and len({(r.doc_id, round(r.score, 9)) for r in twice}) == len(rows)
+    few = Q.train(docs.where(~Q.held_out()), labels, sample_passages=40)  # the long documents don't fit in
+    assert few is not None and Q.train(docs.where(~Q.held_out()), labels, sample_passages=0) is None
     held = [r for i, r in got.items() if r.held_out and i < 300]
     assert held and np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in held]) > 0.95
     import zlib
