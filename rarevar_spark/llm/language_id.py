@@ -15,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textkit import prefix_hashes, span_hashes
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: A longer run of letters is taken as several words.
-MAX_WORD_BYTES = 64
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -34,58 +34,112 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def lattice(words: list[str], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (unit, start, end, piece) of the segmentation lattices, each unit's length, and the word of each unit."""
-    unit, start, end, piece, length, of = [], [], [], [], [], []
-    longest = max(map(len, vocabulary))
-    get = vocabulary.get
-    for w, word in enumerate(words):
-        whole = b" " + word.encode("utf-8", "surrogatepass")
-        for s in range(0, len(whole), MAX_WORD_BYTES):
-            b = whole[s : s + MAX_WORD_BYTES]
-            u, n = len(length), len(b)
-            length.append(n)
-            of.append(w)
-            for i in range(n):
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    p = get(b[i:j])
-                    if p is not None:
-                        unit.append(u)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
-    return tuple(np.array(x, dtype=np.int64) for x in (unit, start, end, piece, length, of))
-
-
-def _forward(edges: tuple, order: np.ndarray, cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[unit, position, language]."""
-    unit, start, _, piece, length, _ = edges
-    alpha = np.zeros((len(length), int(length.max()) + 1, p.shape[1]))
-    alpha[:, 0] = 1.0
-    for e in range(1, alpha.shape[1]):
-        k = order[cuts[e] : cuts[e + 1]]
-        if len(k):
-            step = alpha[unit[k], start[k]] * p[piece[k]]
-            for lang in range(p.shape[1]):
-                alpha[:, e, lang] = np.bincount(unit[k], weights=step[:, lang], minlength=len(length))
-    return alpha
-
-
-def log_likelihoods(words: list[str], vocabulary: dict[bytes, int], p: np.ndarray) -> np.ndarray:
-    """log P(word | language) for every word, shape (words, languages)."""
-    out = np.zeros((len(words), p.shape[1]))
-    for s in range(0, len(words), 2000):
-        edges = lattice(words[s : s + 2000], vocabulary)
-        order = np.argsort(edges[2], kind="stable")
-        cuts = np.searchsorted(edges[2][order], np.arange(int(edges[4].max()) + 2))
-        alpha = _forward(edges, order, cuts, p)
-        np.add.at(out, edges[5] + s, np.log(np.maximum(alpha[np.arange(len(edges[4])), edges[4]], 1e-300)))
+class Pieces:
+    """The pieces of a vocabulary that a word can have, by length: sorted hashes and the pieces' numbers."""
+
+    def __init__(self, vocabulary: dict[bytes, int]) -> None:
+        by_length: dict[int, list[bytes]] = {}
+        for piece in vocabulary:
+            if piece.removeprefix(b" ").translate(None, _SPELLING) == b"":
+                by_length.setdefault(len(piece), []).append(piece)
+        self.hashes, self.numbers = {}, {}
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        for n, pieces in by_length.items():
+            raw = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+            h = span_hashes(raw, np.arange(len(pieces)) * n, np.arange(1, len(pieces) + 1) * n, lower=False)
+            order = np.argsort(h)
+            self.hashes[n], self.numbers[n] = h[order], np.array([vocabulary[x] for x in pieces], dtype=np.int64)[order]
+            self.maybe[(h >> np.uint64(42)).astype(np.int64)] = True
+        self.longest = max(by_length)
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start, end and piece of every edge of the words' segmentation lattices, and the words' lengths in bytes."""
+        spelt = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.array([len(b) for b in spelt], dtype=np.int64)
+        raw = np.frombuffer(b"".join(spelt), dtype=np.uint8)
+        stop = np.cumsum(length)
+        word = np.repeat(np.arange(len(words)), length)
+        room = stop[word] - np.arange(len(raw))  # bytes from here to the end of the word
+        hash_from = prefix_hashes(raw)
+        at = np.arange(len(raw))
+        starts, ends, pieces = [], [], []
+        for n in range(1, self.longest + 1):
+            at = at[room[at] >= n]
+            if not len(at):
+                break
+            if n not in self.hashes:
+                continue
+            h = hash_from(at, n)
+            near = self.maybe[(h >> np.uint64(42)).astype(np.int64)]
+            i, h = at[near], h[near]
+            k = np.minimum(np.searchsorted(self.hashes[n], h), len(self.hashes[n]) - 1)
+            ok = self.hashes[n][k] == h
+            starts.append(i[ok])
+            ends.append(i[ok] + n)
+            pieces.append(self.numbers[n][k[ok]])
+        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, pieces))
+        of = word[start]
+        begin = (stop - length)[of]
+        return of, start - begin, end - begin, piece, length
+
+
+#: Bytes of lower-cased letters: small ASCII ones, and all of characters beyond ASCII.
+_SPELLING = bytes([*range(97, 123), *range(128, 256)])
+
+
+def _by(position: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(position, kind="stable")
+    return order, np.searchsorted(position[order], np.arange(last + 2))
+
+
+def log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """log P(word | language) for every word, shape (words, languages).
+
+    Words of a like length go together. Of the forward sums the last ``pieces.longest`` positions are held, and scaled before they get
+    too small, so that a run of letters may have any length.
+    """
+    n_lang = p.shape[1]
+    out = np.zeros((len(words), n_lang))
+    by_length = sorted(range(len(words)), key=lambda i: len(words[i]))
+    held = pieces.longest + 1
+    while by_length:
+        # some 40,000 letters at once, a longer run alone
+        some = by_length[-max(1, min(4000, 40_000 // (len(words[by_length[-1]]) + 1))) :]
+        del by_length[-len(some) :]
+        of, start, end, piece, length = pieces.edges([words[i] for i in some])
+        last = int(length.max())
+        order, cuts = _by(end, last)
+        of, start, piece = of[order], start[order] % held, piece[order]
+        alpha = np.zeros((held, len(some), n_lang))
+        alpha[0] = 1.0
+        scale = np.zeros((len(some), n_lang))
+        final = np.zeros((len(some), n_lang))
+        _, ends_at = _by(length, last)
+        by_end = np.argsort(length, kind="stable")
+        for e in range(1, last + 1):
+            k = slice(cuts[e], cuts[e + 1])
+            step = alpha[start[k], of[k]] * p[piece[k]]
+            now = alpha[e % held]
+            for lang in range(n_lang):
+                now[:, lang] = np.bincount(of[k], weights=step[:, lang], minlength=len(some))
+            done = by_end[ends_at[e] : ends_at[e + 1]]
+            if len(done):
+                final[done] = np.log(now[done]) + scale[done]
+            if e % 8 == 0 and e < last:
+                most = alpha.max(axis=0)
+                low = (most < 1e-100) & (most > 0)
+                if low.any():
+                    factor = np.where(low, most, 1.0)
+                    alpha /= factor
+                    scale += np.log(factor)
+        out[some] = final
     return out
 
 
 def learn_pieces(counts: dict[tuple[str, str], int], languages: list[str], vocabulary: dict[bytes, int], rounds: int = 4, smoothing: float = 0.01) -> np.ndarray:
     """Piece probabilities, shape (pieces, languages), by expectation maximisation on word counts per language."""
     size = max(vocabulary.values()) + 1
+    known = Pieces(vocabulary)
     p = np.full((size, len(languages)), 1.0 / size)
     words = sorted({w for _, w in counts})
     weight = np.zeros((len(words), len(languages)))
@@ -94,38 +148,41 @@ def learn_pieces(counts: dict[tuple[str, str], int], languages: list[str], vocab
         weight[at[w], languages.index(lang)] = n
     blocks = []
     for s in range(0, len(words), 2000):
-        edges = lattice(words[s : s + 2000], vocabulary)
-        order = np.argsort(edges[2], kind="stable")
-        cuts = np.searchsorted(edges[2][order], np.arange(int(edges[4].max()) + 2))
-        back = np.argsort(edges[1], kind="stable")
-        back_cuts = np.searchsorted(edges[1][back], np.arange(int(edges[4].max()) + 2))
-        blocks.append((s, edges, order, cuts, back, back_cuts))
+        edges = known.edges(words[s : s + 2000])
+        last = int(edges[4].max())
+        blocks.append((s, edges, last, _by(edges[2], last), _by(edges[1], last)))
     for _ in range(rounds):
         seen = np.zeros_like(p)
-        for s, edges, order, cuts, back, back_cuts in blocks:
-            unit, start, end, piece, length, of = edges
-            alpha = _forward(edges, order, cuts, p)
+        for s, (of, start, end, piece, length), last, (ahead, ahead_cuts), (back, back_cuts) in blocks:
+            every = np.arange(len(length))
+            alpha = np.zeros((len(length), last + 1, len(languages)))
             beta = np.zeros_like(alpha)
-            beta[np.arange(len(length)), length] = 1.0
-            for i in range(alpha.shape[1] - 2, -1, -1):
+            alpha[:, 0] = 1.0
+            beta[every, length] = 1.0
+            for e in range(1, last + 1):
+                k = ahead[ahead_cuts[e] : ahead_cuts[e + 1]]
+                step = alpha[of[k], start[k]] * p[piece[k]]
+                for lang in range(len(languages)):
+                    alpha[:, e, lang] = np.bincount(of[k], weights=step[:, lang], minlength=len(length))
+            for i in range(last - 1, -1, -1):
                 k = back[back_cuts[i] : back_cuts[i + 1]]
-                if len(k):
-                    step = beta[unit[k], end[k]] * p[piece[k]]
-                    for lang in range(p.shape[1]):
-                        beta[:, i, lang] += np.bincount(unit[k], weights=step[:, lang], minlength=len(length))
-            total = np.maximum(alpha[np.arange(len(length)), length], 1e-300)
-            share = alpha[unit, start] * p[piece] * beta[unit, end] / total[unit] * weight[of[unit] + s]
-            for lang in range(p.shape[1]):
+                step = beta[of[k], end[k]] * p[piece[k]]
+                for lang in range(len(languages)):
+                    beta[:, i, lang] += np.bincount(of[k], weights=step[:, lang], minlength=len(length))
+            total = np.maximum(alpha[every, length], 1e-300)
+            share = alpha[of, start] * p[piece] * beta[of, end] / total[of] * weight[of + s]
+            for lang in range(len(languages)):
                 seen[:, lang] += np.bincount(piece, weights=share[:, lang], minlength=size)
         p = (seen + smoothing) / (seen.sum(axis=0) + smoothing * size)
     return p
 
 
-def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language: int = 1000, words: int = 30_000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language: int = 1000, words: int = 8000, word_bytes: int = 64) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from the text and lang of ``docs``.
 
     Counts the words of about ``documents_per_language`` documents of each language, chosen by a hash of
-    doc_id, and keeps the ``words`` most frequent pairs of language and word: what reaches the driver is bounded.
+    doc_id, and keeps each language's ``words`` most frequent ones of at most ``word_bytes`` bytes: what reaches the driver is bounded
+    for each language, and a language is learned from its own words however few documents it has.
     """
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -133,7 +190,8 @@ def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language:
     if not languages:
         return [], np.zeros((0, 0))
     chosen = rows.join(F.broadcast(sizes), "lang")  # a row for each language
-    chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * documents_per_language)).select("lang", "text")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1).cast("double") / F.lit(float(1 << 63))
+    chosen = chosen.where(place * F.col("n") < F.lit(float(documents_per_language))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +201,8 @@ def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "word": pa.array([k[1] for k in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
     counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "lang", "word").limit(words).collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.where(F.octet_length("word") <= word_bytes).withColumn("rank", rank).where(F.col("rank") <= words).collect()
     return languages, learn_pieces({(r["lang"], r["word"]): r["n"] for r in top}, languages, vocabulary)
 
 
@@ -157,6 +216,7 @@ def identify(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: d
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, p, vocabulary = sent.value
+        pieces = Pieces(vocabulary)
         cache: dict[str, int] = {}
         known = np.zeros((cached_words, max(len(languages), 1)))
         for batch in batches:
@@ -172,7 +232,7 @@ def identify(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: d
                         known = np.zeros((len(new), len(languages)))
                 if new:
                     fresh = list(new)
-                    known[len(cache) : len(cache) + len(fresh)] = log_likelihoods(fresh, vocabulary, p)
+                    known[len(cache) : len(cache) + len(fresh)] = log_likelihoods(fresh, pieces, p)
                     cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh))))
                 for ws in parts:
                     if not languages or not any(c.isalpha() for w in ws for c in w):

@@ -7,7 +7,7 @@ modulo 2^64 that a finalizer mixes; they depend on the bytes of the words alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,18 +87,28 @@ def word_bounds(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans."""
+def prefix_hashes(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray | int], np.ndarray]:
+    """Function of starts and lengths to the 64-bit hashes of these spans of ``raw``, which has what they need summed once."""
     n = len(raw)
     total = np.zeros(n + 1, dtype=np.uint64)
-    body = (LOWER[raw] if lower else raw).astype(np.uint64)
+    body = raw.astype(np.uint64)
     body += np.uint64(1)
     body *= _power(_R, n)[:n]
     np.cumsum(body, out=total[1:])
-    h = total[end] - total[start]
-    h *= _power(_R_INV, n + 1)[start]
-    h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+    inverse = _power(_R_INV, n + 1)
+
+    def hashes(start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        h = total[start + length] - total[start]
+        h *= inverse[start]
+        h += np.asarray(length, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix(h)
+
+    return hashes
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return prefix_hashes(LOWER[raw] if lower else raw)(start, end - start)
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
