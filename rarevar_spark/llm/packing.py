@@ -27,8 +27,10 @@ from .shared import keep
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: A word of Latin letters that are their own normal form, and the signs behind it; these tokenizers take the two apart.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)")
+#: A part a line: a word of Latin letters that are their own normal form, and the signs behind it, which these tokenizers take apart; or anything else.
+PARTS = re.compile("^(?:([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-&(-/:-@\\[-`{-~]*)|.*)$", re.MULTILINE)
+#: ASCII letters in lower case, and a blank for a tab and a newline.
+PLAIN_BYTES = bytes(32 if b in (9, 10) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_END = "\0"
 
 
@@ -68,8 +70,8 @@ def word_ranks(vocabulary: str) -> tuple[dict[bytes, int], np.ndarray] | None:
 class PartEncoder:
     """Ids, as little-endian bytes, of the blank-separated parts of texts; encodes each part once while it is remembered.
 
-    A part that is a plain word with signs behind it has the ids of the lower-cased word and those of the signs. New words are encoded
-    many in one call by ranks of the same merges, all other parts by the tokenizer itself.
+    The vocabulary is lower-case. A part that is a plain word with signs behind it has the ids of the word and those of the signs. New words
+    are encoded many in one call by ranks of the same merges, all other parts by the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str, remembered: int) -> None:
@@ -80,7 +82,7 @@ class PartEncoder:
         self.tok = Tokenizer.from_file(vocabulary)
         self.remembered = remembered
         self.parts: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.signs: dict[str, bytes] = {}
         self.words = None
         if found := word_ranks(vocabulary):
             ranks, self.ids = found
@@ -101,34 +103,34 @@ class PartEncoder:
         found = self.tok.encode_batch_fast(parts, add_special_tokens=False) if parts else []
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, new: set[str]) -> None:
-        plain, other = [], []
-        for p in new:
-            m = PLAIN.fullmatch(p) if self.words else None
-            if m:
-                plain.append((p, m[1].lower(), m[2]))
-            else:
-                other.append(p)
-        self.parts.update(zip(other, self._any(other)))
-        signs = list({s for _, _, s in plain} - self.signs.keys())
+    def learn(self, new: list[bytes]) -> None:
+        if not new:
+            return
+        lines = b"\n".join(new).decode("utf-8", "surrogatepass")
+        split = PARTS.findall(lines.lower()) if self.words else [("", "")] * len(new)
+        other = [p for p, (w, _) in zip(new, split) if not w]
+        self.parts.update(zip(other, self._any([p.decode("utf-8", "surrogatepass") for p in other])))
+        signs = {s for _, s in split} - {""}
         if len(self.signs) + len(signs) > 10_000:
-            self.signs, signs = {"": b""}, list({s for _, _, s in plain} - {""})
-        self.signs.update(zip(signs, self._any(signs)))
-        words = list({w for _, w, _ in plain})
-        ids = dict(zip(words, self._words(words)))
-        signs = self.signs
-        self.parts.update([(p, ids[w] + signs[s]) for p, w, s in plain])
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        found = [list(map(self.parts.get, ps)) for ps in split]
-        new = {p for ps, ids in zip(split, found) if None in ids for p, x in zip(ps, ids) if x is None}
+            self.signs.clear()
+        fresh = list(signs - self.signs.keys())
+        self.signs.update(zip(fresh, self._any(fresh)))
+        words = list({w for w, _ in split if w})
+        ids, known = dict(zip(words, self._words(words))), self.signs
+        self.parts.update([(p, ids[w] + known[s] if s else ids[w]) for p, (w, s) in zip(new, split) if w])
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text, given as UTF-8."""
+        split = [t.translate(PLAIN_BYTES).split(b" ") for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.parts)
         if len(self.parts) + len(new) > self.remembered:
-            self.parts = {}  # what has been found stays in ``found``
-        self.learn(new)
-        learned = self.parts
-        for ps, ids in zip(split, found):
-            yield b"".join(x if x is not None else learned[p] for p, x in zip(ps, ids)) if None in ids else b"".join(ids)
+            self.parts.clear()
+            new = words
+        self.learn(list(new))
+        get = self.parts.__getitem__
+        for ps in split:
+            yield b"".join(map(get, ps))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, remembered: int = 800_000) -> DataFrame:
@@ -145,7 +147,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id:
         for batch in batches:
             rows: list[tuple] = []
             for lo in range(0, batch.num_rows, 256):
-                texts = [x or "" for x in batch.column(1).slice(lo, 256).to_pylist()]
+                texts = [x or b"" for x in batch.column(1).slice(lo, 256).cast(pa.binary()).to_pylist()]
                 for doc_id, ids in zip(batch.column(0).slice(lo, 256).to_pylist(), encoder.encode(texts)):
                     ids += end
                     for i, s in enumerate(range(0, len(ids) // 4, capacity)):

@@ -63,7 +63,7 @@ def test_part_encoder_forgets(tmp_path):
     rng = random.Random(8)
     texts = [" ".join("".join(rng.choices("abcdeéßñthing", k=rng.randint(1, 12))) + rng.choice(["", ".", ",", "***", "!?", "'s", "1"]) for _ in range(30)) for _ in range(300)]
     tok, encoder = Tokenizer.from_file(WORD_BPE), packing.PartEncoder(WORD_BPE, remembered=200)
-    got = [b for i in range(0, 300, 7) for b in encoder.encode(texts[i : i + 7])]
+    got = [b for i in range(0, 300, 7) for b in encoder.encode([t.encode() for t in texts[i : i + 7]])]
     assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
