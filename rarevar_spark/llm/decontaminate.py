@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
 from .textkit import ALPHANUMERIC, distinct_by_doc, shingle_hashes, slices, word_hashes
 
 HITS = "doc_id long, item_id long, n_shared int, n_item int, containment double"
@@ -78,7 +80,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words:
     share = Fraction(str(threshold))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def search(block: list) -> DataFrame:
+    def search(block: list, alone: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast((_index(block, share), np.array([r["item_id"] for r in block]), np.array([len(r["shingles"]) for r in block])))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,19 +109,32 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words:
                     cols = [batch.column(0).take(pa.array(row)), pa.array(item_id[k]), pa.array(shared.astype(np.int32)), pa.array(q[k].astype(np.int32)), pa.array(shared / q[k])]
                     yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
-        return texts.mapInArrow(rows, HITS)
-
-    found, block, size = None, [], 0
-    for row in item_shingles(items, words).toLocalIterator():
-        if block and size + len(row["shingles"]) > block_shingles:
-            part = search(block)
-            found, block, size = part if found is None else found.unionByName(part), [], 0
-        block.append(row)
-        size += len(row["shingles"])
-    if block:
-        part = search(block)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], HITS)
+        hits = texts.mapInArrow(rows, HITS)
+        if not alone:
+            hits = keep(hits, "hits")
+            sent.destroy()
+        return hits
+
+    def blocks() -> Iterator[list]:
+        block, size = [], 0
+        for row in item_shingles(items, words).toLocalIterator():
+            if block and size + len(row["shingles"]) > block_shingles:
+                yield block
+                block, size = [], 0
+            block.append(row)
+            size += len(row["shingles"])
+        if block:
+            yield block
+
+    parts, block = [], None
+    for more in blocks():
+        if block is not None:  # one of several: written out, so that one block at a time is held
+            parts.append(search(block, alone=False))
+        block = more
+    if block is None:
+        return spark.createDataFrame([], HITS)
+    last = search(block, alone=not parts)
+    return reduce(DataFrame.unionByName, [*parts, last])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, words: int = 5) -> DataFrame:

@@ -19,9 +19,11 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .shared import keep
 from .textkit import BLANK_SEPARATED, list_array, mix, slices, span_hashes, word_bounds
@@ -139,9 +141,10 @@ def aligned_lines(owner: np.ndarray, pos: np.ndarray, other: np.ndarray, rare: n
 def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
     """doc_id and the numbers of the lines that go, for documents with any."""
     lines = keep(document_lines(docs, block_words), "lines")
-    total = lines.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("total"))
+    total = lines.agg(F.count_distinct("doc_id")).first()[0]
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    first = first.where("at.doc_id < last").select("key", F.col("at.doc_id").alias("owner"), F.col("at.pos").alias("other"), "n")
+    first = keep(first.where("at.doc_id < last").select("key", F.col("at.doc_id").alias("owner"), F.col("at.pos").alias("other"), "n"), "first-lines")
+    # both sides come straight from tables, so that Spark can split the rows of a line that very many documents have
     known = keep(lines.drop("windows").join(first, "key"), "known")
     shared = known.where("owner < doc_id")
     met = shared.groupBy("doc_id", "owner").agg(F.sum("words").alias("words"))
@@ -151,8 +154,8 @@ def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int =
     cols = ["doc_id", "pos", "words", "n", "owner", "other"]
     aligned = mine.join(theirs, ["main", "key"]).withColumnRenamed("main", "owner").select(cols)
     shared = shared.join(main, "doc_id").where("owner != main").select(cols).unionByName(aligned)
-    rare = (F.col("n") <= F.greatest(F.lit(rare_documents), rare_share * F.col("total"))) & (F.col("words") >= rare_words)
-    shared = shared.crossJoin(F.broadcast(total)).select("doc_id", F.struct("owner", "pos", "other", "words", rare.alias("rare")).alias("line"))
+    rare = (F.col("n") <= max(rare_documents, rare_share * total)) & (F.col("words") >= rare_words)
+    shared = shared.select("doc_id", F.struct("owner", "pos", "other", "words", rare.alias("rare")).alias("line"))
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))  # at most the lines of one document
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +178,23 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     """doc_id and pos of the lines in windows that an earlier document has; positions may come more than once."""
     at = lines.select("doc_id", "pos", F.explode("windows").alias("w")).select("doc_id", "pos", "w.n", "w.window")
     first = at.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
+    first = keep(first, "first-windows")
     later = at.join(first, "window").where("owner < doc_id")
     return later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
 
 
+@F.pandas_udf(StringType())
+def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the numbered lines; in one pass over a text, however many lines go."""
+    out = []
+    for t, numbers in zip(text, gone):
+        if t is not None and numbers is not None:
+            some = set(numbers)
+            t = "\n".join([line for i, line in enumerate(t.split("\n")) if i not in some])
+        out.append(t)
+    return pd.Series(out, dtype=object)
+
+
 def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
     """``docs`` with the deleted lines gone from ``text``, and n_lines_removed.
 
@@ -191,6 +207,6 @@ def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words:
     """
     gone = lines_to_delete(docs, rare_documents, rare_words, block_words, rare_share).select(F.col("doc_id").alias("gone_id_"), F.col("gone").alias("gone_"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id_"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(gone_, i)), '\\n')")
+    kept = _without_lines("text", "gone_")
     cols = [F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_lines_removed"]
     return joined.select(*cols, F.coalesce(F.size("gone_"), F.lit(0)).alias("n_lines_removed"))

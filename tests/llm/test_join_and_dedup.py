@@ -4,6 +4,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -111,7 +112,6 @@ def test_components(spark):
 
 def test_patience_is_longest():
     rng = random.Random(2)
-    import numpy as np
 
     for _ in range(50):
         p = list(range(9))
@@ -170,6 +170,71 @@ def test_line_dedup_finds_every_long_block(spark):
     assert got[22] == "own" and got[31] == "lead\n\ntail" and got[32] == "\n".join(rows[-1][1])
 
 
+def lines_of_all_pairs(texts, rare_documents, rare_words, block_words):
+    """The lines that go if every document is aligned with every earlier one."""
+    known = {i: [(p, x) for p, x in enumerate(t.split("\n")) if x.split()] for i, t in texts.items()}
+    held, own = Counter(), {}
+    for i, lines in known.items():
+        seen = Counter()
+        own[i] = {}
+        for p, x in lines:
+            own[i][x, seen[x]] = p
+            seen[x] += 1
+        held.update(own[i].keys())
+    gone = set()
+    for i in own:
+        for j in own:
+            if j >= i:
+                continue
+            both = sorted((p, own[j][k], k) for k, p in own[i].items() if k in own[j])
+            if not both:
+                continue
+            run = [both[n] for n in line_dedup.patience(np.array([q for _, q, _ in both]))]
+            block = []
+            for n, (p, q, k) in enumerate(run):
+                if n and (p != run[n - 1][0] + 1 or q != run[n - 1][1] + 1):
+                    block = []
+                block.append((p, k))
+                if n + 1 < len(run) and (run[n + 1][0], run[n + 1][1]) == (p + 1, q + 1):
+                    continue
+                words = sum(len(k[0].split()) for _, k in block)
+                if words >= block_words or any(held[k] <= rare_documents and len(k[0].split()) >= rare_words for _, k in block):
+                    gone |= {(i, p) for p, _ in block}
+    return gone
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split())
+    stock = [" ".join(word() for _ in range(rng.randint(1, 12))) + f" {i}" for i in range(150)]
+    passages = [rng.sample(stock, rng.randint(2, 6)) for _ in range(25)]
+    texts = {}
+    for i in range(160):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            lines += rng.choice(passages) if rng.random() < 0.5 else [f"own line {i} {rng.random()} of some more words"]
+        texts[i] = "\n".join(lines)
+    want = lines_of_all_pairs(texts, 50, 5, 20)
+    found = line_dedup.lines_to_delete(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = {(r.doc_id, p) for r in found.collect() for p in r.gone}
+    earlier = {}
+    for i, t in texts.items():
+        for x in t.split("\n"):
+            earlier.setdefault(x, i)
+    assert len(want) > 300 and len(got & want) >= 0.95 * len(want), (len(got & want), len(want))
+    assert all(earlier[texts[i].split("\n")[p]] <= i for i, p in got) and len(got - want) <= 0.05 * len(want)
+
+
+def test_line_dedup_edges(spark):
+    """Rows of a repeated doc_id lose the same lines and don't count against each other; very long texts; ties."""
+    long = "\n".join(f"line {i} of a very long text with words" for i in range(60_000))
+    rows = [(1, long), (2, "own start\n" + long), (3, "a line of five words here"), (3, "a line of five words here"), (4, "a line of five words here\nnew"), (5, None)]
+    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_lines_removed int")
+    got = sorted((r.doc_id, r.text, r.n_lines_removed) for r in line_dedup.delete_repeated_lines(docs).where("text is not null").collect())
+    assert [(i, n) for i, _, n in got] == [(1, 0), (2, 60_000), (3, 0), (3, 0), (4, 1)]
+    assert got[1][1] == "own start" and got[-1][1] == "new"
+
+
 def brute_spans(rows, span):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -195,6 +260,40 @@ def test_repeated_spans(spark):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in repeated_spans.remove_repeats(docs).collect()}
     assert got == brute_spans(rows, 50)
     assert repeated_spans.remove_repeats(docs.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "x" * 60), (1, "y" * 60), (1, "x" * 60), (2, "y" * 55 + "x" * 60), (3, "x" * 60)], "doc_id int, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeated_spans.remove_repeats(twice).collect())
+    assert got == [(1, 60, 0, 0), (1, 60, 0, 0), (1, 60, 0, 0), (2, 115, 115, 1), (3, 60, 60, 1)]
+
+
+def test_suffix_order():
+    rng = random.Random(5)
+    for _ in range(400):
+        s = [rng.randint(1, rng.randint(1, 5)) for _ in range(rng.randint(0, 40))] + [0]
+        assert repeated_spans.suffix_order(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+@pytest.mark.parametrize("most", [1 << 22, 3000])
+def test_pieces_of_one_place(most):
+    """Very many near copies of one place are dealt to several orders and give the same runs."""
+    rng = random.Random(6)
+    base = bytes(rng.choices(range(97, 123), k=400))
+    rows = []
+    for i in range(60):
+        t = bytearray(base)
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(400)] = rng.randrange(97, 123)
+        rows.append((i, bytes(t).decode()))
+    doc, start, n, at, texts = [], [], [], [], []
+    for i, t in rows:
+        raw = np.frombuffer(t.encode(), dtype=np.uint8)
+        for _, a, count, x, _ in zip(*repeated_spans.pieces(raw, np.array([0, 400]), 50)):
+            doc.append(i), start.append(a), n.append(count), at.append(x - a), texts.append(t.encode()[a : a + count + 49])
+    row, begin, end = repeated_spans.solve(np.array(doc), np.array(n), np.array(at), texts, 50, most)
+    gone = {i: bytearray(400) for i, _ in rows}
+    for r, a, b in zip(row.tolist(), begin.tolist(), end.tolist()):
+        gone[doc[r]][start[r] + a : start[r] + b] = b"\1" * (b - a)
+    want = brute_spans(rows, 50)
+    assert {i: sum(g) for i, g in gone.items()} == {i: w[1] for i, w in want.items()} and sum(map(sum, gone.values())) > 5000
 
 
 def test_unequal_spans_of_one_hash_stay(spark):
