@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import PRIVATE, PUBLIC_ONLY, SHARED, clip_missing, local_maf_keep, minor_allele_frequency, split_role, variant_id
+from ..tables import keep
 from .checks import repeated_keys, violations
 from .samples import draw_key
 
@@ -18,6 +21,11 @@ def biallelic_variants(variants: DataFrame) -> DataFrame:
     return variants.where(~F.col("alt").contains(","))
 
 
+def keep_variants(df: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose variant_key ``keep`` has."""
+    return df.join(keep.select("variant_key").distinct(), "variant_key", "left_semi")
+
+
 def set_variant_ids(variants: DataFrame) -> DataFrame:
     return variants.withColumn("variant_key", variant_id("chrom", "pos", "ref", "alt"))
 
@@ -32,7 +40,7 @@ def hide_role(variants: DataFrame, site: str, shared_rate: float) -> DataFrame:
     return variants.where(split_role("variant_key", shared_rate) != (PRIVATE if site == "A" else PUBLIC_ONLY))
 
 
-def dedup_first(variants: DataFrame, key: str = "variant_key", order: str = "ord") -> DataFrame:
+def dedup_first(variants: DataFrame, key: str = "variant_key", order: str | Column = "ord") -> DataFrame:
     """The first row of each key."""
     return variants.withColumn("rank_", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("rank_ = 1").drop("rank_")
 
@@ -214,8 +222,8 @@ def thin_blocks(pairs: DataFrame, order: list[str], block: int = 100, seed: int
 
 
 def annotate_variants(source: DataFrame, variants: DataFrame, strict: bool = True) -> DataFrame:
-    """variant_key, gene_id, gene_symbol: source rows (pos, ref, alt, gene_id, gene_symbol) under the variants' own keys; blank genes go."""
-    out = source.where(F.trim("gene_id") != "").join(variants.select("variant_key", "pos", "ref", "alt"), ["pos", "ref", "alt"])
+    """variant_key, gene_id, gene_symbol: source rows (pos, ref, alt, gene_id, gene_symbol) under the variants' own keys; blank genes and "." go."""
+    out = source.where(named("gene_id")).join(variants.select("variant_key", "pos", "ref", "alt"), ["pos", "ref", "alt"])
     if strict and out.limit(1).count() == 0:
         raise ValueError("no annotation matched a variant")
     return out.select("variant_key", "gene_id", "gene_symbol").distinct()
@@ -230,10 +238,15 @@ def gene_panel_from_annotations(annotations: DataFrame) -> DataFrame:
     return g.select("gene_id", "gene_symbol", "chrom", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "gene_id")) - 1).alias("order_index"))
 
 
+def named(column: str) -> Column:
+    """True where a text is there; consequence tables write missing ones as blanks or as one full stop."""
+    return F.coalesce(~F.trim(column).isin("", "."), F.lit(False))
+
+
 def ranked_consequences(rows: DataFrame) -> DataFrame:
-    """variant_key, gene_id, n_rows, mane, lof: per variant and gene its first row with a MANE transcript (null without)."""
+    """variant_key, gene_id, n_rows, mane, lof: per variant and gene its first row with a MANE transcript (null without; "." is none)."""
     first = F.min_by(F.struct("lof", "gene_symbol"), F.when(F.col("has_mane"), F.col("ord")))
-    return rows.withColumn("has_mane", F.coalesce(F.trim("mane") != "", F.lit(False))).groupBy("variant_key", "gene_id").agg(
+    return rows.withColumn("has_mane", named("mane")).groupBy("variant_key", "gene_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("has_mane").alias("mane"), first.alias("f")
     ).select("variant_key", "gene_id", "n_rows", "mane", F.col("f.lof").alias("lof"), F.col("f.gene_symbol").alias("gene_symbol"))
 
@@ -275,17 +288,20 @@ def ld_prune(variants: DataFrame, pairs: DataFrame) -> DataFrame:
     """``variants`` (chrom, variant_key, pos, maf) without one member of each correlated pair.
 
     Greedy by rounds: of every remaining pair the member of lower MAF (then later position, then later key) goes, unless it is kept by
-    beating all its remaining partners; rounds end when no pair is left. Rounds are joins on the pairs alone.
+    beating all its remaining partners; rounds end when no pair is left. Rounds are joins on the pairs alone, and each is written out.
     """
     key = F.struct((-F.col("maf")).alias("m"), "pos", "variant_key")
     order = variants.select("chrom", "variant_key", key.alias("k"))
     live = pairs.select("chrom", "a", "b").join(order.select("chrom", F.col("variant_key").alias("a"), F.col("k").alias("ka")), ["chrom", "a"]).join(order.select("chrom", F.col("variant_key").alias("b"), F.col("k").alias("kb")), ["chrom", "b"])
     live = live.select("chrom", F.when(F.col("ka") < F.col("kb"), F.col("a")).otherwise(F.col("b")).alias("w"), F.when(F.col("ka") < F.col("kb"), F.col("b")).otherwise(F.col("a")).alias("l")).distinct()
-    gone = live.select("chrom", F.col("l").alias("variant_key")).limit(0)
+    live, gone = keep(live, "ld-live"), []
     while live.limit(1).count():
         winners = live.select("chrom", "w").distinct().join(live.select("chrom", F.col("l").alias("w")), ["chrom", "w"], "left_anti")
-        losers = live.join(winners, ["chrom", "w"], "left_semi").select("chrom", F.col("l").alias("variant_key")).distinct()
-        gone = gone.unionByName(losers).distinct()
-        live = live.join(losers.withColumnRenamed("variant_key", "w"), ["chrom", "w"], "left_anti").join(losers.withColumnRenamed("variant_key", "l"), ["chrom", "l"], "left_anti")
-        live = live.join(winners, ["chrom", "w"], "left_anti")
+        losers = keep(live.join(winners, ["chrom", "w"], "left_semi").select("chrom", F.col("l").alias("variant_key")).distinct(), "ld-losers")
+        gone.append(losers)
+        rest = live.join(losers.withColumnRenamed("variant_key", "w"), ["chrom", "w"], "left_anti").join(losers.withColumnRenamed("variant_key", "l"), ["chrom", "l"], "left_anti")
+        live = keep(rest.join(winners, ["chrom", "w"], "left_anti"), "ld-live")
+    if not gone:
+        return variants
+    gone = reduce(DataFrame.unionByName, gone)  # a variant goes once
     return variants.join(gone, ["chrom", "variant_key"], "left_anti")

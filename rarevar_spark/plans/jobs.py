@@ -193,7 +193,7 @@ def build_annotations(consequences: DataFrame, site_variants: DataFrame, keep_ke
     wanted = variants.biallelic_variants(variants.pass_variants(site_variants))
     if keep_keys is not None:
         wanted = wanted.join(keep_keys, "variant_key", "left_semi")
-    rows = consequences.drop("variant_key").join(wanted.select("variant_key", "chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"]).where(F.trim("gene_id") != "")
+    rows = consequences.drop("variant_key").join(wanted.select("variant_key", "chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"]).where(variants.named("gene_id"))
     ranked = keep(variants.ranked_consequences(rows), "consequences")
     good = ranked.where("mane and lof = 'HC'").join(wanted.select("variant_key", "chrom", "pos", "ord"), "variant_key")
     return {"annotations": good.select("variant_key", "gene_id", "gene_symbol"), "genes": variants.gene_panel_from_annotations(good), "summary": variants.annotation_summary(ranked)}

@@ -404,7 +404,7 @@ def resource_stats_sum_all_panels(t: Tables) -> DataFrame:
 
 # Annotation.
 
-RANKED = """SELECT variant_key, gene_id, count(*) AS n_rows, bool_or(trim(mane) != '') AS mane, arg_min(lof, ord) FILTER (WHERE trim(mane) != '') AS lof, arg_min(gene_symbol, ord) FILTER (WHERE trim(mane) != '') AS gene_symbol FROM {consequences} GROUP BY 1, 2"""
+RANKED = """SELECT variant_key, gene_id, count(*) AS n_rows, bool_or(trim(mane) NOT IN ('', '.')) AS mane, arg_min(lof, ord) FILTER (WHERE trim(mane) NOT IN ('', '.')) AS lof, arg_min(gene_symbol, ord) FILTER (WHERE trim(mane) NOT IN ('', '.')) AS gene_symbol FROM {consequences} GROUP BY 1, 2"""
 
 
 @query(f"SELECT variant_key, gene_id, gene_symbol FROM ({RANKED}) WHERE mane AND lof = 'HC'")
@@ -583,18 +583,29 @@ def association_results(t: Tables) -> DataFrame:
     return jobs.run_association(a, b, [0.01, 0.5], PHENOTYPES, 1)
 
 
-@query()
+@query(f"""{SITE} SELECT ancestry, maf_threshold, 'all' AS annotation, chrom AS chromosome, 'all' AS gene_set, panel, series, lower, upper, count, 'released' AS status
+    FROM ({_A} UNION ALL {_B} UNION ALL {_C}) WHERE maf_threshold IN (0.01, 0.5)""")
 def resource_statistics(t: Tables) -> DataFrame:
     a, b = _prepared(t)
     return jobs.resource_stats(a, b, [0.01, 0.5], CARRIERS, EDGES)
 
 
-@query()
+@query("""WITH d AS (SELECT v.chrom, v.variant_key, v.pos, c.sample_id, c.dosage FROM {calls} c JOIN {variants} v ON v.variant_key = c.variant_key WHERE c.dosage > 0), n AS (SELECT count(*)::DOUBLE AS n FROM {people}),
+    s AS (SELECT chrom, variant_key, sum(dosage)::DOUBLE AS s, sum(dosage * dosage)::DOUBLE AS ss, row_number() OVER (PARTITION BY chrom ORDER BY pos, variant_key) AS r FROM d GROUP BY chrom, variant_key, pos),
+    p AS (SELECT x.chrom, x.variant_key AS a, y.variant_key AS b, sum(x.dosage * y.dosage)::DOUBLE AS xy FROM d x JOIN d y ON x.chrom = y.chrom AND x.sample_id = y.sample_id GROUP BY 1, 2, 3)
+    SELECT chrom, a, b, round(r2, 6) AS r2 FROM (SELECT p.chrom, p.a, p.b, pow(xy - x.s * y.s / n, 2) / ((x.ss - x.s * x.s / n) * (y.ss - y.s * y.s / n)) AS r2 FROM p CROSS JOIN n JOIN s x ON x.chrom = p.chrom AND x.variant_key = p.a
+        JOIN s y ON y.chrom = p.chrom AND y.variant_key = p.b WHERE y.r > x.r AND y.r - x.r < 200) WHERE r2 > 0.05""")
 def ld_pairs(t: Tables) -> DataFrame:
     v = t.variants.select("variant_key", "chrom", "pos")
-    return variants.window_ld_pairs(t.calls.where("dosage > 0").join(v, "variant_key"), t.people.count(), least_r2=0.05)
+    return variants.window_ld_pairs(t.calls.where("dosage > 0").join(v, "variant_key"), t.people.count(), least_r2=0.05).withColumn("r2", F.round("r2", 6))
 
 
-@query()
+def _normal(name: str) -> str:
+    h = f"sha256(concat('{SEED}:', sample_id, ':{name}'))"
+    u = [f"CAST(concat('0x', substr({h}, {1 + 13 * i}, 13)) AS UBIGINT)::DOUBLE / pow(16, 13)" for i in (0, 1)]
+    return f"round(sqrt(-2 * ln(1 - {u[0]})) * cos(2 * pi() * {u[1]}), 7) AS {name}"
+
+
+@query(f"SELECT sample_id, {_normal('p1')}, {_normal('p2')} FROM {{people}}")
 def simulated_phenotypes(t: Tables) -> DataFrame:
-    return samples.simulate_phenotypes(t.people, ["p1", "p2"], SEED)
+    return samples.simulate_phenotypes(t.people, ["p1", "p2"], SEED).withColumns({p: F.round(p, 7) for p in ("p1", "p2")})

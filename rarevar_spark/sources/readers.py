@@ -1,11 +1,12 @@
 """Readers of the text inputs. Columns are found by name, their order is free and further columns are ignored.
 
-Readers that keep file order add ``ord``, which rises with the position in a file read as one or more splits of one file.
+Readers that keep file order add ``ord``, which rises with the position in a file. It is of use for one file only: the files of
+a folder have no order among each other, so what hangs on order (the last row of an id, a panel's place) asks for one file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_variant_key, is_finite, packed_covariate, parse_attribute, parse_missing
@@ -128,11 +129,14 @@ def read_vcf(spark: SparkSession, path: str, keep_samples: list[str] | None = No
     rows = lines.select("ord", F.regexp_replace(c[0], "^chr", "").alias("chrom"), c[1].cast("long").alias("pos"), c[3].alias("ref"), c[4].alias("alt"), c[6].alias("filter"), c.alias("c"))
     rows = rows.where(F.col("filter").isin("PASS", ".") & ~F.col("alt").contains(","))
     rows = rows.withColumn("variant_key", canonical_variant_key(F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")))
-    calls = rows.select("variant_key", F.explode(F.array(*(F.struct(F.lit(names[i]).alias("sample_id"), F.split(F.col("c")[9 + i], ":")[0].alias("gt")) for i in wanted))).alias("g"))
-    alleles = F.split("g.gt", "[/|]")
-    missing = F.col("g.gt").contains(".")
+    # a row for each cell, whatever the number of samples; the plan stays as it is
+    cells = rows.select("variant_key", F.posexplode(F.slice("c", 10, max(len(names), 1))).alias("place", "cell")).where(~F.col("cell").startswith("0/0") & ~F.col("cell").startswith("0|0"))
+    place = spark.createDataFrame([(i, names[i]) for i in wanted], "place int, sample_id string")
+    calls = cells.withColumn("gt", F.split("cell", ":")[0]).join(place, "place")
+    alleles = F.split("gt", "[/|]")
+    missing = F.col("gt").contains(".")
     dosage = F.aggregate(alleles, F.lit(0), lambda s, a: s + a.try_cast("int"))
-    calls = calls.select("variant_key", "g.sample_id", F.when(missing, 0).otherwise(dosage).cast("tinyint").alias("dosage"), (~missing).alias("called"))
+    calls = calls.select("variant_key", "sample_id", F.when(missing, 0).otherwise(dosage).cast("tinyint").alias("dosage"), (~missing).alias("called"))
     return rows.select("variant_key", "chrom", "pos", "ref", "alt", "filter", "ord"), samples, calls.where("dosage != 0 or not called")
 
 
@@ -142,8 +146,6 @@ def read_gene_intervals(spark: SparkSession, path: str) -> DataFrame:
     c = F.split("value", "\t")
     g = t.select("ord", F.regexp_replace(c[0], "^chr", "").alias("chrom"), c[2].alias("type"), c[3].cast("long").alias("start"), c[4].cast("long").alias("end"), c[8].alias("attributes"))
     g = g.where((F.col("type") == "gene") & (parse_attribute("attributes", "gene_type") == "protein_coding"))
-    from pyspark.sql import Window
-
     return g.select(
         "chrom", "start", "end", parse_attribute("attributes", "gene_id").alias("gene_id"), parse_attribute("attributes", "gene_name").alias("gene_symbol"),
         (F.row_number().over(Window.partitionBy("chrom").orderBy("ord")) - 1).alias("order_index"),
@@ -156,11 +158,12 @@ CONSEQUENCE_WIDTH = 110
 
 
 def read_consequences(spark: SparkSession, path: str) -> DataFrame:
-    """ord and the eight wanted columns, by place, with n_columns; rows with fewer than 110 are for the caller to refuse."""
+    """ord and the eight wanted columns, by place, with n_columns; a row with fewer than 110 is an error."""
     t = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
     header = t.orderBy("ord").first()[0]
     c = F.split("value", "\t", -1)
     t = t.where(F.col("value") != header).select("ord", c.alias("c"), F.size(c).alias("n_columns"))
+    violations(t.where(F.col("n_columns") < CONSEQUENCE_WIDTH).select("ord", "n_columns"), f"fewer than {CONSEQUENCE_WIDTH} columns", strict=True)
     return t.select("ord", "n_columns", *(F.get("c", i).alias(name) for name, i in CONSEQUENCE_COLUMNS.items())).withColumn("pos", F.col("pos").try_cast("long"))
 
 
@@ -207,8 +210,6 @@ def read_public_variant_list(spark: SparkSession, path: str) -> DataFrame:
         "ord", F.regexp_replace("chromosome", "^chr", "").alias("chrom"), "gene_id", "gene_symbol", F.col("order_index").cast("int").alias("order_index"),
         F.nullif("variant_key", F.lit("")).alias("variant_key"), F.col("position").try_cast("long").alias("pos"),
     )
-    from pyspark.sql import Window
-
     violations(out.where(~F.coalesce(F.col("chrom").try_cast("int").between(1, 22), F.lit(False))), "not an autosome", strict=True)
     starts = out.withColumn("before", F.lag("gene_id").over(Window.partitionBy("chrom").orderBy("ord"))).where("before is null or before != gene_id")
     violations(starts.groupBy("gene_id").count().where("count > 1"), "a gene in more than one place", strict=True)

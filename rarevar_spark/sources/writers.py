@@ -22,10 +22,10 @@ def _text(df: DataFrame, path: str, sep: str = "\t") -> None:
 
 
 def write_public_variant_list(genes: DataFrame, gene_variants: DataFrame, path: str) -> None:
-    """Genes in panel order with their variants in order; a gene without variants has one row with a blank key."""
+    """Genes in panel order with their variants in order, in one file, since its order counts; a gene without variants has one row with a blank key."""
     v = gene_variants.select("chrom", "gene_id", "variant_key", "pos", "col_index")
     t = genes.join(v, ["chrom", "gene_id"], "left").orderBy(F.col("chrom").cast("int"), "order_index", "gene_id", "col_index")
-    _text(t.select(F.col("chrom").alias("chromosome"), "gene_id", "gene_symbol", "order_index", "variant_key", F.col("pos").alias("position")), path)
+    _text(t.select(F.col("chrom").alias("chromosome"), "gene_id", "gene_symbol", "order_index", "variant_key", F.col("pos").alias("position")).coalesce(1), path)
 
 
 def write_cut_list(keys: DataFrame, path: str) -> None:

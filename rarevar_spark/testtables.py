@@ -32,7 +32,7 @@ VIEWS = {
         FROM {raw_calls} c JOIN {variants} v ON c.l_partkey = v.p_partkey JOIN {available} a ON a.variant_key = v.variant_key AND a.site = c.site""",
     "eligible": "SELECT sample_id, ord, site, ancestry, y0, y1, x0 FROM {people} WHERE y1 IS NOT NULL",
     "consequences": """SELECT concat('v', CAST(l_partkey AS STRING)) AS variant_key, concat('g', CAST(l_suppkey AS STRING)) AS gene_id, concat('s', CAST(l_suppkey AS STRING)) AS gene_symbol,
-        CASE WHEN l_linestatus = 'F' THEN 'NM' ELSE '' END AS mane, CASE WHEN l_returnflag = 'R' THEN 'HC' ELSE 'LC' END AS lof, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS ord FROM {lineitem}""",
+        CASE WHEN l_linestatus = 'F' THEN 'NM' WHEN l_linenumber % 2 = 0 THEN '.' ELSE '' END AS mane, CASE WHEN l_returnflag = 'R' THEN 'HC' ELSE 'LC' END AS lof, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS ord FROM {lineitem}""",
     "intervals": "SELECT CAST(21 + s_suppkey % 2 AS STRING) AS chrom, CAST(100 * s_suppkey AS BIGINT) AS start, CAST(100 * s_suppkey + 250 AS BIGINT) AS \"end\", s_name AS gene_id, s_name AS gene_symbol FROM {supplier}",
     "results": """SELECT a.ancestry, g.chrom AS chromosome, g.order_index AS gene_index, g.gene_id, h.phenotype_index, h.phenotype_name,
         (((g.order_index + 1) * (37 + h.phenotype_index) * length(a.ancestry) + length(g.gene_id) * 13) % 9973 + 1) / 1e4 AS p_a,

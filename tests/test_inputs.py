@@ -145,3 +145,21 @@ def test_build_annotations(spark):
     out = jobs.build_annotations(c, v)
     assert out["annotations"].collect() == [("k2", "G1", "S2")] and out["genes"].first()["order_index"] == 0
     assert tuple(out["summary"].first()) == (2, 0, 2, 1, 1, 1)
+
+
+def test_consequences(spark, tmp_path):
+    """Eight columns by place; a blank and a full stop are missing; short rows are an error."""
+    wide = lambda **own: "\t".join(str(own.get({i: c for c, i in readers.CONSEQUENCE_COLUMNS.items()}.get(i, ""), "")) for i in range(readers.CONSEQUENCE_WIDTH))
+    header = "\t".join(f"c{i}" for i in range(readers.CONSEQUENCE_WIDTH))
+    rows = [dict(gene_id="g1", mane=".", lof="HC"), dict(gene_id="g1", mane="NM_1", lof="LC"), dict(gene_id="g1", mane="NM_2", lof="HC"), dict(gene_id="g2", mane=" ", lof="HC"), dict(gene_id="g3", mane="NM_3", lof="HC"), dict(gene_id=".", mane="NM_4", lof="HC")]
+    path = tmp_path / "consequences.tsv"
+    path.write_text("\n".join([header, *(wide(chrom="21", pos=5, ref="A", alt="G", gene_symbol="s", **r) for r in rows)]) + "\n")
+    t = readers.read_consequences(spark, str(path))
+    assert [(r.pos, r.gene_id, r.mane, r.lof) for r in t.orderBy("ord").collect()] == [(5, r["gene_id"], r["mane"], r["lof"]) for r in rows]
+    site = spark.createDataFrame([("chr21:5:A:G", "21", 5, "A", "G", "PASS", 0)], "variant_key string, chrom string, pos long, ref string, alt string, filter string, ord long")
+    out = jobs.build_annotations(t, site)
+    assert [r.gene_id for r in out["annotations"].collect()] == ["g3"], "g1's first named transcript is LC, g2 has none, and a full stop is no gene"
+    assert out["summary"].first().asDict() == {"pairs": 3, "without_mane": 1, "mane": 2, "mane_hc": 1, "mane_not_hc": 1, "retained": 1}
+    path.write_text("\n".join([header, wide(pos=5), "21\t5"]) + "\n")
+    with pytest.raises(ValueError, match="fewer than 110"):
+        readers.read_consequences(spark, str(path))
