@@ -57,24 +57,23 @@ def order_keys(edges: DataFrame) -> DataFrame:
     other in a circle, or for such, are cyclic and stay at their turns.
     """
     edges = keep(edges.select("conv_id", "turn", "dep_turn").distinct(), "order-edges")
-    none = edges.limit(0).select("conv_id", "turn", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("level"))
-    moved, cyclic = none, none.select(*ID)
+    no = F.lit(False)
+    keys = edges.limit(0).select(*ID, F.lit(0).cast("long").alias("pos"), F.lit(0).alias("level"), no.alias("cyclic"), no.alias("new"))
     while True:
-        live = edges.join(cyclic, ID, "left_anti") if moved is not none else edges
+        moved, live = keys.where("not cyclic").select(*ID, "pos", "level"), edges.join(keys.where("cyclic").select(*ID), ID, "left_anti")
         dep = moved.select("conv_id", F.col("turn").alias("dep_turn"), F.col("pos").alias("dpos"), F.col("level").alias("dlevel"))
         k = live.join(dep, ["conv_id", "dep_turn"], "left").join(moved, ID, "left")
         k = k.select(*ID, F.coalesce("dpos", F.col("dep_turn").cast("long")).alias("dpos"), F.coalesce("dlevel", F.lit(0)).alias("dlevel"), F.coalesce("pos", F.col("turn").cast("long")).alias("pos"), F.coalesce("level", F.lit(0)).alias("level"))
         late = k.where("dpos > pos or (dpos = pos and dlevel >= level)")
-        step = keep(late.groupBy(*ID).agg(F.max(F.struct(F.col("dpos").alias("pos"), (F.col("dlevel") + 1).alias("level"))).alias("k")).select(*ID, "k.pos", "k.level"), "order-step")
-        if step.limit(1).count() == 0:
-            return moved.withColumn("cyclic", F.lit(False)).unionByName(cyclic.select(*ID, F.col("turn").cast("long").alias("pos"), F.lit(0).alias("level"), F.lit(True).alias("cyclic")))
-        moved = step.unionByName(moved.join(step, ID, "left_anti"))
+        step = late.groupBy(*ID).agg(F.max(F.struct(F.col("dpos").alias("pos"), (F.col("dlevel") + 1).alias("level"))).alias("k")).select(*ID, "k.pos", "k.level", no.alias("cyclic"), F.lit(True).alias("new"))
+        now = step.unionByName(keys.withColumn("new", no).join(step.select(*ID), ID, "left_anti"))
         # a chain has no more levels than its conversation has moved messages, and those of a circle keep within as many of each other
-        crowd = moved.groupBy("conv_id").agg(F.count(F.lit(1)).alias("crowd"), F.max("level").alias("top"))
-        round_ = moved.join(crowd, "conv_id").select(*ID, "pos", "level", ((F.col("top") > 2 * F.col("crowd")) & (F.col("level") > F.col("crowd"))).alias("circle"))
-        round_ = keep(round_, "order-moved")
-        cyclic = keep(cyclic.unionByName(round_.where("circle").select(*ID)).distinct(), "order-cyclic")
-        moved = round_.where("not circle").select(*ID, "pos", "level")
+        crowd = now.where("not cyclic").groupBy("conv_id").agg(F.count(F.lit(1)).alias("crowd"), F.max("level").alias("top"))
+        circle = F.coalesce((F.col("top") > 2 * F.col("crowd")) & (F.col("level") > F.col("crowd")), no)
+        keys = keep(now.join(crowd, "conv_id", "left").select(*ID, "pos", "level", (F.col("cyclic") | circle).alias("cyclic"), "new"), "order-keys")
+        if keys.where("new").limit(1).count() == 0:
+            own = F.col("turn").cast("long")
+            return keys.select(*ID, F.when(F.col("cyclic"), own).otherwise(F.col("pos")).alias("pos"), F.when(F.col("cyclic"), 0).otherwise(F.col("level")).alias("level"), "cyclic")
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -85,7 +84,8 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     linked (a call with a result; a result with a call; null for text), problems (of a call's arguments, then 'no result', 'no call',
     'call_id used before', 'waits for unknown call', 'circle'), pos and level (sort by pos, level, turn) and json (keys sorted, nulls left out).
     Of calls that share an identifier the earliest has the results, all of them. Results stand after their calls and
-    calls after what they wait for. Null identifiers link with nothing; an empty table gives no rows; other columns are ignored.
+    calls after what they wait for. Arguments that are no JSON stay as a text. Null identifiers link with nothing; rows that repeat a
+    (conv_id, turn) are repeated, stand at one place and count as one message; an empty table gives no rows; other columns are ignored.
     """
     m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "kind", "role", "call_id", "name", "arguments", "content", "after")
     calls = m.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
@@ -108,7 +108,7 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     linked = F.when(is_call, F.coalesce(own & F.col("answered"), F.lit(False))).when(is_result, F.col("call_turn").isNotNull())
     json = F.expr(
-        "to_json(named_struct('arguments', case when kind = 'call' then try_parse_json(arguments) end, 'call_id', call_id,"
+        "to_json(named_struct('arguments', case when kind = 'call' then coalesce(try_parse_json(arguments), cast(arguments as variant)) end, 'call_id', call_id,"
         " 'content', case when kind = 'call' then null else content end, 'conv_id', conv_id, 'kind', kind, 'name', name, 'role', role, 'turn', turn))"
     )
     return out.select(

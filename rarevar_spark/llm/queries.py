@@ -27,22 +27,30 @@ ANSWER_SCHEMA = [("answer", "text", "string", True), ("answer", "n_words", "inte
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn as a call of the tool answer, waiting for the call two turns before; the user turn after it as its result.
+    """Every assistant turn as a call of the tool answer, every later user turn as a result.
 
-    In conversations whose id is divisible by 10, n_words is given as text, which the schema rejects.
+    Results answer the call before them, or, in every fourth conversation, the one after them. By conv_id mod 5, calls wait for the call two turns
+    before; for the one two turns later (a chain against the turns); in circles of two; for two later ones; or for none. Some calls repeat the
+    identifier of an earlier one or name another tool, and some have arguments that are malformed, of a wrong type, missing or unexpected.
     """
     t = _table(spark, sf_dir, "conversations")
-    n_words = "size(split(text, ' '))"
+    n_words, odd = "size(split(text, ' '))", "conv_id + turn"
     arguments = F.expr(
-        f"case when conv_id % 10 = 0 then to_json(named_struct('text', text, 'n_words', cast({n_words} as string)))"
-        f" else to_json(named_struct('text', text, 'n_words', {n_words})) end"
+        f"case when ({odd}) % 17 = 0 then '{{' when conv_id % 10 = 0 then to_json(named_struct('text', text, 'n_words', cast({n_words} as string)))"
+        f" when ({odd}) % 7 = 0 then to_json(named_struct('extra', text, 'n_words', {n_words})) else to_json(named_struct('text', text, 'n_words', {n_words})) end"
     )
     is_call, is_result = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 0)
+    ident = lambda n: f"concat('c', turn + {n})"
+    own = F.expr(f"case when ({odd}) % 11 = 0 and turn > 2 then {ident(-2)} else {ident(0)} end")
+    answers = F.expr(f"case when conv_id % 4 = 1 then {ident(1)} else {ident(-1)} end")
+    after = F.expr(
+        f"case conv_id % 5 when 0 then if(turn > 2, array({ident(-2)}), null) when 1 then array({ident(2)})"
+        f" when 2 then array(if(turn % 4 in (1, 2), {ident(2)}, {ident(-2)})) when 3 then array({ident(2)}, {ident(4)}) end"
+    )
     messages = t.select(
         "conv_id", "turn", F.when(is_call, "call").when(is_result, "result").otherwise("text").alias("kind"), "role",
-        F.when(is_call, F.concat(F.lit("c"), F.col("turn"))).when(is_result, F.concat(F.lit("c"), F.col("turn") - 1)).alias("call_id"),
-        F.when(is_call, "answer").alias("name"), F.when(is_call, arguments).alias("arguments"), F.col("text").alias("content"),
-        F.when(is_call & (F.col("turn") > 2), F.array(F.concat(F.lit("c"), F.col("turn") - 2))).alias("after"),
+        F.when(is_call, own).when(is_result, answers).alias("call_id"), F.when(is_call, F.expr(f"if(({odd}) % 13 = 0, 'other', 'answer')")).alias("name"),
+        F.when(is_call, arguments).alias("arguments"), F.col("text").alias("content"), F.when(is_call, after).alias("after"),
     )
     schemas = spark.createDataFrame(ANSWER_SCHEMA, "tool string, param string, type string, required boolean")
     out = chat_format.format_chats(messages, schemas)
@@ -113,20 +121,37 @@ def _license_sql() -> str:
     FROM f LEFT JOIN whole w ON w.doc_id = f.doc_id LEFT JOIN header h ON h.doc_id = f.doc_id LEFT JOIN near n ON n.doc_id = f.doc_id LEFT JOIN spdx s ON s.k = coalesce(w.k, h.k, n.k)"""
 
 
+#: A message's place by the paths to all that must come before it: pos is the largest turn among them and its own, level the longest path to that one.
 CHAT_SQL = """
-    WITH m AS (SELECT *, CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND turn > 0 THEN 'result' ELSE 'text' END AS kind,
-        len(string_split(text, ' ')) AS n FROM conversations),
-    x AS (SELECT m.*, CASE kind WHEN 'call' THEN concat('c', turn) WHEN 'result' THEN concat('c', turn - 1) END AS call_id,
-        EXISTS (SELECT 1 FROM m r WHERE r.conv_id = m.conv_id AND r.turn = m.turn + 1 AND r.kind = 'result') AS answered,
-        EXISTS (SELECT 1 FROM m c WHERE c.conv_id = m.conv_id AND c.turn = m.turn - 1 AND c.kind = 'call') AS called,
-        EXISTS (SELECT 1 FROM m c WHERE c.conv_id = m.conv_id AND c.turn = m.turn - 2 AND c.kind = 'call') AS before FROM m)
-    SELECT conv_id, turn, kind, call_id, CASE kind WHEN 'call' THEN answered WHEN 'result' THEN called END AS linked,
-        concat_ws('; ', CASE WHEN kind = 'call' AND conv_id % 10 = 0 THEN 'type n_words' END, CASE WHEN kind = 'call' AND NOT answered THEN 'no result' END,
-            CASE WHEN kind = 'result' AND NOT called THEN 'no call' END, CASE WHEN kind = 'call' AND turn > 2 AND NOT before THEN 'waits for unknown call' END) AS problems,
-        turn AS pos, 0 AS level,
-        concat('{', CASE WHEN kind = 'call' THEN concat('"arguments":{"n_words":', CASE WHEN conv_id % 10 = 0 THEN concat('"', n, '"') ELSE n::VARCHAR END, ',"text":', to_json(text), '},') END,
+    WITH RECURSIVE m AS (SELECT *, CASE WHEN role = 'assistant' THEN 'call' WHEN role = 'user' AND turn > 0 THEN 'result' ELSE 'text' END AS kind,
+        len(string_split(text, ' ')) AS n, conv_id + turn AS odd FROM conversations),
+    x AS (SELECT *, CASE kind WHEN 'call' THEN CASE WHEN odd % 11 = 0 AND turn > 2 THEN concat('c', turn - 2) ELSE concat('c', turn) END
+            WHEN 'result' THEN CASE WHEN conv_id % 4 = 1 THEN concat('c', turn + 1) ELSE concat('c', turn - 1) END END AS call_id,
+        CASE WHEN kind = 'call' THEN CASE conv_id % 5 WHEN 0 THEN CASE WHEN turn > 2 THEN [concat('c', turn - 2)] END WHEN 1 THEN [concat('c', turn + 2)]
+            WHEN 2 THEN [CASE WHEN turn % 4 IN (1, 2) THEN concat('c', turn + 2) ELSE concat('c', turn - 2) END] WHEN 3 THEN [concat('c', turn + 2), concat('c', turn + 4)] END END AS after FROM m),
+    calls AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM x WHERE kind = 'call' GROUP BY 1, 2),
+    answered AS (SELECT DISTINCT conv_id, call_id FROM x WHERE kind = 'result'),
+    waits AS (SELECT w.conv_id, w.turn, c.call_turn FROM (SELECT conv_id, turn, unnest(after) AS call_id FROM x) w LEFT JOIN calls c ON c.conv_id = w.conv_id AND c.call_id = w.call_id),
+    edges AS (SELECT conv_id, turn, call_turn AS dep FROM waits WHERE call_turn != turn UNION SELECT x.conv_id, x.turn, c.call_turn AS dep FROM x JOIN calls c ON c.conv_id = x.conv_id AND c.call_id = x.call_id WHERE x.kind = 'result'),
+    size AS (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY 1),
+    paths AS (SELECT conv_id, turn, dep, 1 AS steps FROM edges UNION SELECT p.conv_id, p.turn, e.dep, p.steps + 1 FROM paths p JOIN edges e ON e.conv_id = p.conv_id AND e.turn = p.dep JOIN size s ON s.conv_id = p.conv_id WHERE p.steps < s.messages),
+    top AS (SELECT x.conv_id, x.turn, greatest(x.turn, coalesce(max(p.dep), x.turn)) AS t FROM x LEFT JOIN paths p ON p.conv_id = x.conv_id AND p.turn = x.turn GROUP BY x.conv_id, x.turn),
+    round AS (SELECT DISTINCT c.conv_id, c.turn, c.t FROM top c JOIN paths p ON p.conv_id = c.conv_id AND p.turn = c.turn AND p.dep = c.turn),
+    cyclic AS (SELECT conv_id, turn FROM round UNION SELECT a.conv_id, a.turn FROM top a JOIN paths p ON p.conv_id = a.conv_id AND p.turn = a.turn JOIN round r ON r.conv_id = p.conv_id AND r.turn = p.dep AND r.t = a.t),
+    place AS (SELECT a.conv_id, a.turn, a.t, max(p.steps) AS steps FROM top a JOIN paths p ON p.conv_id = a.conv_id AND p.turn = a.turn AND p.dep = a.t WHERE a.t != a.turn GROUP BY 1, 2, 3),
+    y AS (SELECT x.*, c.call_turn, c.call_turn = x.turn AND r.call_id IS NOT NULL AS answered, l.turn IS NOT NULL AS lost, z.turn IS NOT NULL AS cyclic, p.t, p.steps FROM x
+        LEFT JOIN calls c ON c.conv_id = x.conv_id AND c.call_id = x.call_id LEFT JOIN answered r ON r.conv_id = x.conv_id AND r.call_id = x.call_id
+        LEFT JOIN (SELECT DISTINCT conv_id, turn FROM waits WHERE call_turn IS NULL) l ON l.conv_id = x.conv_id AND l.turn = x.turn
+        LEFT JOIN cyclic z ON z.conv_id = x.conv_id AND z.turn = x.turn LEFT JOIN place p ON p.conv_id = x.conv_id AND p.turn = x.turn)
+    SELECT conv_id, turn, kind, call_id, CASE kind WHEN 'call' THEN coalesce(answered, false) WHEN 'result' THEN call_turn IS NOT NULL END AS linked,
+        concat_ws('; ', CASE WHEN kind = 'call' THEN CASE WHEN odd % 13 = 0 THEN 'unknown tool' WHEN odd % 17 = 0 THEN 'not an object' WHEN conv_id % 10 = 0 THEN 'type n_words' WHEN odd % 7 = 0 THEN 'missing text; unexpected extra' END END,
+            CASE WHEN kind = 'call' AND NOT coalesce(answered, false) THEN 'no result' END, CASE WHEN kind = 'result' AND call_turn IS NULL THEN 'no call' END, CASE WHEN kind = 'call' AND call_turn < turn THEN 'call_id used before' END,
+            CASE WHEN kind = 'call' AND lost THEN 'waits for unknown call' END, CASE WHEN cyclic THEN 'circle' END) AS problems,
+        CASE WHEN cyclic THEN turn ELSE coalesce(t, turn) END AS pos, CAST(CASE WHEN cyclic THEN 0 ELSE coalesce(steps, 0) END AS INT) AS level,
+        concat('{', CASE WHEN kind = 'call' THEN CASE WHEN odd % 17 = 0 THEN '"arguments":"{",' ELSE concat('"arguments":{', CASE WHEN conv_id % 10 != 0 AND odd % 7 = 0 THEN concat('"extra":', to_json(text), ',') END,
+                '"n_words":', CASE WHEN conv_id % 10 = 0 THEN concat('"', n, '"') ELSE n::VARCHAR END, CASE WHEN conv_id % 10 = 0 OR odd % 7 != 0 THEN concat(',"text":', to_json(text)) END, '},') END END,
             CASE WHEN kind != 'text' THEN concat('"call_id":"', call_id, '",') END, CASE WHEN kind != 'call' THEN concat('"content":', to_json(text), ',') END,
-            '"conv_id":', conv_id, ',"kind":"', kind, '",', CASE WHEN kind = 'call' THEN '"name":"answer",' END, '"role":"', role, '","turn":', turn, '}') AS json FROM x"""
+            '"conv_id":', conv_id, ',"kind":"', kind, '",', CASE WHEN kind = 'call' THEN concat('"name":"', CASE WHEN odd % 13 = 0 THEN 'other' ELSE 'answer' END, '",') END, '"role":"', role, '","turn":', turn, '}') AS json FROM y"""
 
 
 #: The other operators have no SQL equivalent that runs on whole tables; tests hold them against brute force.

@@ -41,6 +41,18 @@ def test_canonical_json(spark):
     assert json.loads(got.json)["arguments"] == json.loads(args)
 
 
+def test_odd_rows(spark):
+    """Malformed arguments stay as text; repeated rows are repeated; a very long content; null everywhere."""
+    rows = [call(1, 0, "a", "{x"), result(1, 1, "a"), result(1, 1, "a"), (1, 2, "text", "user", None, None, None, "long " * 100_000, None), (2, 0, None, None, None, None, None, None, None), call(3, 1, "b", None), call(3, 0, "b")]
+    schemas = spark.createDataFrame(SCHEMAS, "tool string, param string, type string, required boolean")
+    got = C.format_chats(spark.createDataFrame(rows, COLUMNS), schemas).collect()
+    assert len(got) == 7
+    by = {(r.conv_id, r.turn): r for r in got}
+    assert json.loads(by[1, 0].json)["arguments"] == "{x" and by[1, 0].problems == ["not an object"] and by[1, 0].linked
+    assert sum(r.turn == 1 and r.linked for r in got if r.conv_id == 1) == 2 and len(json.loads(by[1, 2].json)["content"]) == 500_000
+    assert json.loads(by[2, 0].json) == {"conv_id": 2, "turn": 0} and by[3, 1].problems == ["not an object", "no result", "call_id used before"]
+
+
 def test_types(spark):
     good = '{"x":1,"y":"s","z":1.5,"o":{},"l":[1],"b":false}'
     bad = '{"x":"1","y":1,"z":"1","o":[],"l":{},"b":0}'
