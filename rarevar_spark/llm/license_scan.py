@@ -1,7 +1,8 @@
-"""License scans: TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory.
+"""License scans: TF-IDF cosine of headers and whole files to templates, then inheritance from the nearest directory.
 
-Terms weigh by how few of the files hold them. A file is licensed by its own header, the line nearest to a template, or by the nearest of its directories (its own first)
-that holds a licence file, one whose whole text is near a template. All of it is joins, sums and column expressions.
+Terms weigh by how few of the files hold them. A file is licensed by its own header, the line or block of lines nearest to a template, or by the nearest of
+its directories (its own first) that holds a licence file: one whose whole text is near a template, or one that is named so and has a header. All
+of it is joins, sums and column expressions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .shared import keep
 
 # Short public licence notices, by SPDX identifier.
-TEMPLATES = [
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -28,6 +29,52 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work, CC0 1.0 Universal."),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 ]
+
+# The standard public texts and multi-line notices, by SPDX identifier.
+TEXTS = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+        OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+        DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
+        provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+        EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+        CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0/."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+]
+TEMPLATES = NOTICES + TEXTS
+#: Names of files that are there to hold a licence.
+LICENCE_NAME = "(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
+#: What stands between the blocks of a text.
+BLANK_LINES = "\\n[ \\t]*\\n"
+#: Blocks come after lines where scores are equal.
+FIRST_BLOCK = 1 << 30
 TERM = "[a-z0-9]+"
 
 
@@ -75,7 +122,8 @@ def anchor_terms(idf: dict[str, float], vectors: list[dict[str, float]], thresho
 
 
 def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """file_id, line (-1: the whole text), template (number) and score of the best template of each segment that reaches ``threshold``.
+    """file_id, line (-1: the whole text; from FIRST_BLOCK on: a block of more than one line), template (number) and score of the best template
+    of each segment that reaches ``threshold``.
 
     Of equal scores the first template wins.
     """
@@ -86,7 +134,8 @@ def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold
     table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in idf], "term string, idf double, w array<double>")
     held = files.select("file_id", F.lower("text").alias("text")).where(F.col("text").rlike(anchors))
     lines = held.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(anchors))
-    segments = lines.unionByName(held.select("file_id", F.lit(-1).alias("line"), "text"))
+    blocks = held.select("file_id", F.posexplode(F.split("text", BLANK_LINES)).alias("block", "text")).where(F.col("text").contains("\n") & F.col("text").rlike(anchors))
+    segments = lines.unionByName(held.select("file_id", F.lit(-1).alias("line"), "text")).unionByName(blocks.select("file_id", (F.col("block") + FIRST_BLOCK).alias("line"), "text"))
     terms = segments.select("file_id", "line", F.explode(F.expr(f"regexp_extract_all(text, '{TERM}', 0)")).alias("term"))
     tf = terms.groupBy("file_id", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = tf.join(F.broadcast(table), "term", "left")  # the terms of the templates
@@ -102,8 +151,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     """The licence of every file of ``files`` (file_id, path, text).
 
     Returns file_id, path, license, how ('header', 'file', 'inherited' or 'none'), score and from_dir (the directory that a
-    licence is inherited from). A file's header is its line of the highest score, the first of equals. A whole text that reaches the threshold makes a
-    licence file, and its directory has the licence of the one of highest score, then least path, then least file_id. Without a header of its own a file takes
+    licence is inherited from). A file's header is its line, or block of lines between blank ones, of the highest score, the first of equals, lines before
+    blocks. A whole text that reaches the threshold makes a licence file, as does a header in a file named LICENSE, COPYING or the like, and its directory has the licence of the one of highest score, then least path, then least file_id. Without a header of its own a file takes
     the licence of its directory or of the nearest one above. Null and empty texts have no header and inherit; a null path is in the
     root directory, as is one without a slash. file_id is a key: rows repeating one with its text and path are repeated.
     An empty table gives no rows; other columns are ignored.
@@ -117,6 +166,8 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
         F.max(F.when(F.col("line") < 0, F.struct("score", "template"))).alias("whole"),
     )
     placed = files.select("file_id", "path", directory.alias("dir")).join(per_file, "file_id", "left")
+    by_name = F.when(F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False)), F.struct("header.score", "header.template"))
+    placed = placed.withColumn("whole", F.coalesce("whole", F.when(F.col("header").isNotNull(), by_name)))
     licences = placed.where("whole is not null").groupBy("dir").agg(F.min(F.struct((-F.col("whole.score")).alias("s"), "path", "file_id", F.col("whole.template").alias("template"))).alias("best"))
     licences = licences.select(F.col("dir").alias("above"), (-F.col("best.s")).alias("dir_score"), F.col("best.template").alias("dir_template"))
     parts = F.split("dir", "/")

@@ -16,9 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a file <source>/<doc_id div 4000>/<doc_id div 400>/<doc_id>.txt."""
+    """Every document as a file: every fortieth as <source>/LICENSE.<doc_id>, other eighths in <source>/<doc_id div 4000>, the rest a directory below."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", F.expr("doc_id div 4000"), F.expr("doc_id div 400"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.expr(
+        "case when doc_id % 40 = 0 then concat(source, '/LICENSE.', doc_id) when doc_id % 8 = 0 then concat(source, '/', doc_id div 4000, '/', doc_id, '.txt')"
+        " else concat(source, '/', doc_id div 4000, '/', doc_id div 400, '/', doc_id, '.txt') end"
+    )
     return license_scan.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
 
 
@@ -100,12 +103,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _license_sql() -> str:
     values = ", ".join(f"({k}, '{t}', {n})" for k, c in enumerate(license_scan.template_terms(license_scan.TEMPLATES)) for t, n in sorted(c.items()))
     spdx = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(license_scan.TEMPLATES))
-    rare = license_scan.RARE
+    rare, block = license_scan.RARE, "\\n[ \\t]*\\n"
     return f"""
     WITH tt(k, term, n) AS (VALUES {values}), spdx(k, license) AS (VALUES {spdx}),
-    line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+        UNION ALL SELECT * FROM (SELECT doc_id, unnest(string_split_regex(text, '{block}')) AS text, generate_subscripts(string_split_regex(text, '{block}'), 1) - 1 + {license_scan.FIRST_BLOCK} AS line FROM documents) WHERE contains(text, chr(10))),
     tok AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM line) GROUP BY ALL),
-    tf AS (SELECT * FROM tok UNION ALL SELECT doc_id, -1 AS line, term, sum(tf) AS tf FROM tok GROUP BY doc_id, term),
+    tf AS (SELECT * FROM tok UNION ALL SELECT doc_id, -1 AS line, term, sum(tf) AS tf FROM tok WHERE line < {license_scan.FIRST_BLOCK} GROUP BY doc_id, term),
     idf AS (SELECT t.term, -ln((coalesce(d.n, 0) / (SELECT count(*)::DOUBLE FROM documents) + {rare}) / (1 + {rare})) AS idf FROM (SELECT DISTINCT term FROM tt) t
         LEFT JOIN (SELECT term, count(DISTINCT doc_id) AS n FROM tok GROUP BY term) d ON d.term = t.term),
     v AS (SELECT k, term, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY k)) AS v FROM tt JOIN idf USING (term)),
@@ -113,10 +117,14 @@ def _license_sql() -> str:
     dot AS (SELECT doc_id, line, k, round(sum(tf * idf * v), 9) AS dot FROM tf JOIN idf USING (term) JOIN v USING (term) GROUP BY doc_id, line, k),
     best AS (SELECT doc_id, line, k, round(dot / norm, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dot DESC, k) AS r FROM dot) JOIN norm USING (doc_id, line) WHERE r = 1 AND round(dot / norm, 6) >= 0.6),
     header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS r FROM best WHERE line >= 0) WHERE r = 1),
-    whole AS (SELECT * FROM best WHERE line = -1),
-    f AS (SELECT doc_id, concat(source, '/', doc_id // 4000, '/', doc_id // 400, '/', doc_id, '.txt') AS path, source AS d1, concat(source, '/', doc_id // 4000) AS d2, concat(source, '/', doc_id // 4000, '/', doc_id // 400) AS d3 FROM documents),
-    near AS (SELECT * FROM (SELECT g.doc_id, l.d3 AS above, w.score, w.k, row_number() OVER (PARTITION BY g.doc_id ORDER BY w.score DESC, l.path, l.doc_id) AS r FROM f g JOIN f l ON l.d3 = g.d3 JOIN whole w ON w.doc_id = l.doc_id) WHERE r = 1)
-    SELECT f.doc_id, f.path, s.license, CASE WHEN w.k IS NOT NULL THEN 'file' WHEN h.k IS NOT NULL THEN 'header' WHEN n.k IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+    f AS (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN source WHEN doc_id % 8 = 0 THEN concat(source, '/', doc_id // 4000) ELSE concat(source, '/', doc_id // 4000, '/', doc_id // 400) END AS dir,
+        CASE WHEN doc_id % 40 = 0 THEN concat('LICENSE.', doc_id) ELSE concat(doc_id, '.txt') END AS name, [source, concat(source, '/', doc_id // 4000), concat(source, '/', doc_id // 4000, '/', doc_id // 400)] AS dirs FROM documents),
+    whole AS (SELECT f.doc_id, coalesce(w.k, h.k) AS k, coalesce(w.score, h.score) AS score, f.dir, concat(f.dir, '/', f.name) AS path FROM f LEFT JOIN (SELECT * FROM best WHERE line = -1) w ON w.doc_id = f.doc_id
+        LEFT JOIN header h ON h.doc_id = f.doc_id AND f.doc_id % 40 = 0 WHERE coalesce(w.k, h.k) IS NOT NULL),
+    licence AS (SELECT dir, score, k FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, doc_id) AS r FROM whole) WHERE r = 1),
+    near AS (SELECT * FROM (SELECT u.doc_id, l.dir AS above, l.score, l.k, row_number() OVER (PARTITION BY u.doc_id ORDER BY length(l.dir) DESC) AS r
+        FROM (SELECT doc_id, dir, unnest(dirs) AS up FROM f) u JOIN licence l ON l.dir = u.up AND starts_with(concat(u.dir, '/'), concat(u.up, '/'))) WHERE r = 1)
+    SELECT f.doc_id, concat(f.dir, '/', f.name) AS path, s.license, CASE WHEN w.k IS NOT NULL THEN 'file' WHEN h.k IS NOT NULL THEN 'header' WHEN n.k IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
         coalesce(w.score, h.score, n.score) AS score, CASE WHEN w.k IS NULL AND h.k IS NULL THEN n.above END AS from_dir
     FROM f LEFT JOIN whole w ON w.doc_id = f.doc_id LEFT JOIN header h ON h.doc_id = f.doc_id LEFT JOIN near n ON n.doc_id = f.doc_id LEFT JOIN spdx s ON s.k = coalesce(w.k, h.k, n.k)"""
 

@@ -188,6 +188,25 @@ def test_license_scan(spark):
     assert S.scan(files.unionByName(files.where("file_id = 1"))).where("file_id = 1").count() == 2
 
 
+def test_license_texts(spark):
+    """Standard texts as LICENSE files, in upper directories, and multi-line headers; files of a name with a notice alone."""
+    texts = {name: text for name, text in S.TEXTS}
+    code = "\n".join(f"call_{i}(value_{i % 7}, other)" for i in range(300))
+    comment = lambda text: "/*\n" + "\n".join(f" * {' '.join(text.split()[i : i + 9])}" for i in range(0, len(text.split()), 9)) + "\n */"
+    notice = [t for name, t in S.TEXTS if name == "GPL-3.0-or-later"][0].split("\n")
+    rows = [
+        (1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + texts["MIT"]), (2, "m/src/deep/er/x.c", code), (3, "m/src/y.c", comment("Copyright 2021 Other. " + texts["Apache-2.0"]) + "\n\n" + code),
+        (4, "b/LICENCE.txt", "Copyright (c) 2019, Name\n" + texts["BSD-3-Clause"]), (5, "b/z.c", code), (6, "g/COPYING", code + "\n\n" + "\n\n".join(notice) + "\n\n" + code), (7, "g/sub/w.c", code),
+        (8, "i/LICENSE-ISC", texts["ISC"]), (9, "i/v.c", code), (10, "n/u.c", code), (11, "b/deep/LICENSE", "nothing of the kind"), (12, "b/deep/t.c", ""), (13, None, "long " * 200_000), (14, "i/v.c", code), (9, "i/v.c", code),
+    ]
+    got = {r.file_id: (r.license, r.how, r.from_dir) for r in S.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got[1] == ("MIT", "file", None) and got[2] == ("MIT", "inherited", "m") and got[3] == ("Apache-2.0", "header", None)
+    assert got[4] == ("BSD-3-Clause", "file", None) and got[5] == ("BSD-3-Clause", "inherited", "b") and got[12] == ("BSD-3-Clause", "inherited", "b")
+    assert got[6] == ("GPL-3.0-or-later", "file", None) and got[7] == ("GPL-3.0-or-later", "inherited", "g")
+    assert got[8] == ("ISC", "file", None) and got[9] == got[14] == ("ISC", "inherited", "i") and got[10] == got[13] == (None, "none", None)
+    assert got[11] == ("BSD-3-Clause", "inherited", "b")
+
+
 def test_license_anchors_lose_nothing():
     rng = random.Random(1)
     terms = sorted({t for c in S.template_terms(S.TEMPLATES) for t in c})
