@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(path)
     return path
