@@ -60,11 +60,11 @@ def read_annotations(t: Tables) -> DataFrame:
     return readers.read_annotations(t.part.sparkSession, _written(t, file, "annotations")).drop("ord")
 
 
-@query("SELECT sample_id, 0 AS phenotype_index, 'acctbal' AS phenotype_name, round(y0, 6) AS y FROM {people} UNION ALL SELECT sample_id, 1 AS phenotype_index, 'totalprice' AS phenotype_name, round(y1, 6) AS y FROM {people}")
+@query("SELECT sample_id, 0 AS phenotype_index, 'acctbal' AS phenotype_name, round(y0 / 7, 7) AS y FROM {people} UNION ALL SELECT sample_id, 1 AS phenotype_index, 'totalprice' AS phenotype_name, round(y1 / 7, 7) AS y FROM {people}")
 def read_phenotypes(t: Tables) -> DataFrame:
     file = t.people.select(F.col("sample_id").alias("person"), F.col("y0").alias("acctbal"), F.coalesce(F.col("y1").cast("string"), F.lit("NA")).alias("totalprice"))
     read = readers.read_phenotypes(t.part.sparkSession, _written(t, file, "phenotypes", ","), "person", PHENOTYPES)
-    return readers.phenotypes_long(read, PHENOTYPES).withColumn("y", F.when(~F.isnan("y"), F.round("y", 6)))
+    return readers.phenotypes_long(read, PHENOTYPES).withColumn("y", F.when(~F.isnan("y"), F.round(F.col("y") / 7, 7)))
 
 
 @query("SELECT ancestry, sample_id, x0, y0 FROM {eligible}")
@@ -140,10 +140,10 @@ def public_variant_list(t: Tables) -> DataFrame:
     return readers.read_public_variant_list(t.part.sparkSession, path).drop("ord")
 
 
-@query(f"WITH counts AS ({COUNTS}) SELECT variant_key FROM counts WHERE site = 'B' AND ac < 5")
+@query(f"WITH counts AS ({COUNTS}) SELECT variant_key FROM counts WHERE site = 'B' AND ac % 3 = 1")
 def cut_list(t: Tables) -> DataFrame:
     path = _place(t, "cut-list")
-    writers.write_cut_list(_counts(t).where("site = 'B' and ac < 5").select("variant_key"), path)
+    writers.write_cut_list(_counts(t).where("site = 'B' and ac % 3 = 1").select("variant_key"), path)
     return readers.read_cut_list(t.part.sparkSession, path)
 
 

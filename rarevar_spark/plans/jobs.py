@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,41 +217,60 @@ def split_cohort(inputs: SiteInputs, ancestries: list[str], shared_rate: float,
     return out
 
 
-def genotype_pca(dosages: DataFrame, sample_table: DataFrame, k: int = 16, driver_samples: int = 10_000) -> DataFrame:
+def genotype_pca(dosages: DataFrame, sample_table: DataFrame, k: int = 16, spare: int = 8, rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
     """sample_id, PC1.. of standardised dosages (sparse rows sample_id, variant_key, dosage); components are unit vectors, signs are arbitrary.
 
-    The sample-by-sample matrix is summed on the executors, variant by variant; only up to ``driver_samples`` samples are solved
-    this way, and more are refused.
+    Block power iteration of ``k + spare`` vectors: dosages are joined with a row for each sample and summed by variant, then joined with these sums and summed by
+    sample. Only small square matrices come to the driver, whatever the number of samples. It ends when the ``k`` largest values change by
+    less than the share ``tolerance``, or after ``rounds``.
     """
-    n_samples = sample_table.count()
-    if n_samples > driver_samples:
-        raise ValueError(f"{n_samples} samples are too many for a dense relationship matrix")
-    d = dosages.where("dosage > 0")
-    stats = d.groupBy("variant_key").agg((F.sum("dosage") / F.lit(2.0 * n_samples)).alias("f")).where("f > 0 and f < 1")
-    ids = sorted(r[0] for r in sample_table.select("sample_id").distinct().collect())
-    at = {s: i for i, s in enumerate(ids)}
-    t = d.join(stats, "variant_key").groupBy("variant_key", "f").agg(F.collect_list(F.struct("sample_id", "dosage")).alias("g"))
-
-    def blocks(frames):
-        m = np.zeros((len(at), len(at)))
-        for frame in frames:
-            for f, g in zip(frame["f"], frame["g"]):
-                v = np.zeros(len(at))
-                for x in g:
-                    v[at[x["sample_id"]]] = x["dosage"]
-                v = (v - 2 * f) / np.sqrt(2 * f * (1 - f))
-                m += np.outer(v, v)
-        i, j = np.triu_indices(len(m))
-        yield pd.DataFrame({"i": i, "j": j, "v": m[i, j]})
-
-    sums = t.mapInPandas(blocks, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    m = np.zeros((len(ids), len(ids)))
-    for r in sums:
-        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    value, vector = np.linalg.eigh(m)
-    top = vector[:, np.argsort(-value)[:k]]
     spark = dosages.sparkSession
-    return spark.createDataFrame([(s, *map(float, top[i])) for i, s in enumerate(ids)], "sample_id string, " + ", ".join(f"PC{i + 1} double" for i in range(top.shape[1])))
+    n = sample_table.select("sample_id").distinct().count()
+    width = min(n, k + spare)
+    q = [f"q{i}" for i in range(width)]
+    d = dosages.where("dosage > 0").select("sample_id", "variant_key", F.col("dosage").cast("double").alias("g"))
+    stats = d.groupBy("variant_key").agg((F.sum("g") / F.lit(2.0 * n)).alias("f")).where("f > 0 and f < 1")
+    d = keep(d.join(stats, "variant_key").select("sample_id", "variant_key", "f", (F.col("g") / F.sqrt(2 * F.col("f") * (1 - F.col("f")))).alias("g")), "standardised")
+    start = [(F.xxhash64("sample_id", F.lit(i)) / F.lit(float(1 << 63))).alias(c) for i, c in enumerate(q)]
+    vectors = keep(sample_table.select("sample_id").distinct().select("sample_id", *start), "pca-vectors")
+
+    def products(t: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
+        row = t.agg(*(F.sum(F.col(x) * F.col(y)) for x in a for y in b)).first()
+        return np.array(row, dtype=float).reshape(len(a), len(b))
+
+    def turned(t: DataFrame, m: np.ndarray, names: list[str], *more: str) -> DataFrame:
+        combined = [sum((F.col(c) * float(m[i, j]) for i, c in enumerate(q)), F.lit(0.0)).alias(name) for j, name in enumerate(names)]
+        return t.select("sample_id", *combined, *more)
+
+    def orthonormal(gram: np.ndarray) -> np.ndarray:
+        value, vector = np.linalg.eigh(gram)
+        ok = value > 1e-12 * value.max()
+        return vector[:, ok] / np.sqrt(value[ok])
+
+    values = None
+    for _ in range(rounds):
+        basis = orthonormal(products(vectors, q, q))
+        if basis.shape[1] < len(q):  # fewer independent vectors than asked for
+            vectors, q = turned(vectors, basis, q[: basis.shape[1]]), q[: basis.shape[1]]
+        else:
+            vectors = turned(vectors, basis, q)
+        total = vectors.agg(*(F.sum(c).alias(c) for c in q)).first()
+        scale = F.first("f")
+        by_variant = d.join(vectors, "sample_id").groupBy("variant_key").agg(scale.alias("f"), *(F.sum(F.col("g") * F.col(c)).alias(c) for c in q))
+        mean = 2 * F.col("f") / F.sqrt(2 * F.col("f") * (1 - F.col("f")))
+        by_variant = keep(by_variant.select("variant_key", mean.alias("m"), *((F.col(c) - mean * F.lit(float(total[c]))).alias(c) for c in q)), "pca-variants")
+        shift = by_variant.agg(*(F.coalesce(F.sum(F.col("m") * F.col(c)), F.lit(0.0)).alias(c) for c in q)).first()
+        next_ = d.select("sample_id", "variant_key", "g").join(by_variant, "variant_key").groupBy("sample_id").agg(*(F.sum(F.col("g") * F.col(c)).alias(f"n_{c}") for c in q))
+        both = vectors.join(next_, "sample_id", "left")
+        both = keep(both.select("sample_id", *q, *((F.coalesce(f"n_{c}", F.lit(0.0)) - F.lit(float(shift[c]))).alias(f"n_{c}") for c in q)), "pca-vectors")
+        value, vector = np.linalg.eigh((h := products(both, q, [f"n_{c}" for c in q])) / 2 + h.T / 2)
+        largest = np.sort(value)[::-1][:k]
+        if values is not None and np.all(np.abs(largest - values) <= tolerance * np.abs(largest).max()) or width == n:
+            break
+        values = largest
+        vectors = both.select("sample_id", *(F.col(f"n_{c}").alias(c) for c in q))
+    top = vector[:, np.argsort(-value)[:k]]
+    return turned(both, top, [f"PC{i + 1}" for i in range(top.shape[1])])
 
 
 def public_cohort_inputs(vcf_calls: DataFrame, vcf_variants: DataFrame, sample_table: DataFrame, intervals: DataFrame, panel: DataFrame, phenotype_names: list[str], k: int = 10, seed: int = 1) -> dict[str, DataFrame]:
