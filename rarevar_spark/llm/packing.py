@@ -133,7 +133,7 @@ class PartEncoder:
             yield b"".join(map(get, ps))
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, remembered: int = 800_000) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, remembered: int = 400_000) -> DataFrame:
     """Each document's token ids plus ``end_id``, cut into pieces of at most ``capacity``.
 
     ``vocabulary`` is the path of a lower-casing tokenizers file whose pre-tokens never span white space, so that a
