@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import keep
-from .textkit import _R, _R_INV, _power, list_array, mix, slices
+from .textkit import _R, _R_INV, _power, mix, prefix_hashes, slices
 
 SPAN = 50
 #: Bits that name a text or a gram where they are only looked for; what is found is compared as bytes.
@@ -77,70 +77,80 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     bounds = np.append(begin, n)
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.repeat(np.arange(len(begin)), np.diff(bounds))
-    group, start, size = rank.tolist(), begin.tolist(), np.diff(bounds).tolist()
-    members = [order[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    # suffixes are numbered from 1; 0 is none, never done and always put
+    group, start, size = [0, *rank.tolist()], begin.tolist(), np.diff(bounds).tolist()
+    numbered = (order + 1).tolist()
+    members: list = [numbered[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]  # a group of one that was split off is its number
     ending = [0] * (n + 1)  # the group that ends there
     for g, e in enumerate(bounds[1:].tolist()):
         ending[e] = g
-    back, done = [-1] * n, bytearray(n + 1)
-
-    def split(g: int, some: list[int]) -> None:
-        """Puts ``some`` of a group into a new one right above what is left of it."""
-        if len(some) == size[g]:
-            return
-        new, end = len(start), start[g] + size[g]
-        size[g] -= len(some)
-        start.append(end - len(some))
-        size.append(len(some))
-        members.append(some)
-        ending[end], ending[end - len(some)] = new, g
-        for p in some:
-            group[p] = new
-
-    end = n
+    back, done = [0] * (n + 1), bytearray(n + 1)
+    groups, end = len(start), n
     while end:
         g = ending[end]
         own = members[g]
-        if len(own) != size[g]:
-            own = [i for i in own if group[i] == g]
-        end = start[g]
-        if len(own) == 1:
-            i = own[0]
+        if size[g] == 1:
+            i = own if own.__class__ is int else own[0] if len(own) == 1 else next(i for i in own if group[i] == g)
+            end -= 1
             done[i] = 1
             p = i - 1
-            while p >= 0 and done[p]:
+            while done[p]:
                 p = back[p]
             back[i] = p
-            if p >= 0 and size[group[p]] > 1:
-                split(group[p], [p])
+            if p:
+                q = group[p]
+                left = size[q] - 1
+                if left:
+                    size[q] = left
+                    left += start[q]
+                    start.append(left)
+                    size.append(1)
+                    members.append(p)
+                    group[p] = ending[left + 1] = groups
+                    ending[left] = q
+                    groups += 1
             continue
+        if len(own) != size[g]:
+            own = [i for i in own if group[i] == g]
+        end = start[g]
         own.sort()
         times: dict[int, int] = {}
         for i in own:
             done[i] = 1
             p = i - 1
-            while p >= 0 and done[p]:
+            while done[p]:
                 p = back[p]
             back[i] = p
-            if p >= 0:
+            if p:
                 times[p] = times.get(p, 0) + 1
         moved: dict[tuple[int, int], list[int]] = {}
         for p, k in times.items():
             moved.setdefault((-k, group[p]), []).append(p)
         for (_, q), some in sorted(moved.items()) if len(moved) > 1 else moved.items():
-            split(q, some)
-    out, free, put = [-1] * n, start, bytearray(n)
-    out[0] = n - 1
-    put[n - 1] = 1
+            left = size[q] - len(some)
+            if not left:  # all that is left of the group
+                continue
+            stop = start[q] + size[q]
+            size[q] = left
+            left += start[q]
+            start.append(left)
+            size.append(len(some))
+            members.append(some)
+            ending[stop], ending[left] = groups, q
+            for p in some:
+                group[p] = groups
+            groups += 1
+    out, free, put = [0] * n, start, bytearray(n + 1)
+    out[0], put[n], put[0] = n, 1, 1
     for i in range(n):
         p = out[i] - 1
-        while p >= 0 and not put[p]:
+        while not put[p]:
             g = group[p]
             out[free[g]] = p
             free[g] += 1
             put[p] = 1
             p = back[p]
-    return np.array(out, dtype=np.int64)
+    return np.array(out, dtype=np.int64) - 1
 
 
 def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder: np.ndarray, span: int) -> np.ndarray:
@@ -152,20 +162,33 @@ def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder
     grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, gram)[off[:-1] + at]).view(f"S{gram}").ravel()
     _, gram_id, alike = np.unique(grams, return_inverse=True, return_counts=True)
     first = np.repeat(holder, count)
+    string_of = np.cumsum(count) - count
     many = np.flatnonzero(alike[gram_id] > 1)  # a piece alone with its gram has nothing to be ordered with
     if not len(many):
         return first
+    # Strings of unequal hashes are unequal: of a piece only the stretch between strings whose hash comes again is ordered.
+    piece = np.repeat(np.arange(len(many)), count[many])
+    nth = np.arange(len(piece)) - np.repeat(np.cumsum(count[many]) - count[many], count[many])
+    _, same, times = np.unique(prefix_hashes(raw)(off[many][piece] + nth, span), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[same] > 1)
+    if not len(again):
+        return first
+    low, high = np.full(len(many), span), np.full(len(many), -1)
+    np.minimum.at(low, piece[again], nth[again])
+    np.maximum.at(high, piece[again], nth[again])
+    some = high >= 0
+    many, low, strings = many[some], low[some], (high - low + 1)[some]
+    place = at[many] - low
     # each piece: bytes before the gram, the gram as one symbol, bytes after it, an end of its own
-    n = size[many] - gram + 2
+    n = strings + span - gram + 1
     begin = np.concatenate([[0], np.cumsum(n)])
     of = np.repeat(np.arange(len(many)), n)
     k = np.arange(begin[-1]) - begin[of]
-    where = at[many][of]
-    source = np.minimum(off[many][of] + np.where(k <= where, k, k + gram - 1), len(raw) - 1)
+    source = np.minimum((off[many] + low)[of] + np.where(k <= place[of], k, k + gram - 1), len(raw) - 1)
     symbols = raw[source].astype(np.int64) + len(many) + 1
-    symbols[begin[:-1] + at[many]] = gram_id[many] + len(many) + 257
+    symbols[begin[:-1] + place] = gram_id[many] + len(many) + 257
     symbols[begin[1:] - 1] = len(many) - np.arange(len(many))
-    is_start = k < count[many][of]
+    is_start = k < strings[of]
     order = suffix_order(symbols)
     order = order[is_start[order]]
     depth = span - gram + 1
@@ -176,10 +199,7 @@ def _first_holders(texts: list[bytes], at: np.ndarray, count: np.ndarray, holder
         new[a : a + len(x) - 1] = (heads[x[1:]] != heads[x[:-1]]).any(axis=1)
     cut = np.flatnonzero(new)
     least = np.minimum.reduceat(holder[many][of[order]], cut)
-    found = np.empty(len(symbols), dtype=holder.dtype)
-    found[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
-    string = np.concatenate([[0], np.cumsum(count)])[many][of] + k
-    first[string[is_start]] = found[is_start]
+    first[(string_of[many] + low)[of[order]] + k[order]] = np.repeat(least, np.diff(np.append(cut, len(order))))
     return first
 
 
