@@ -162,6 +162,47 @@ CHAT_SQL = """
             '"conv_id":', conv_id, ',"kind":"', kind, '",', CASE WHEN kind = 'call' THEN concat('"name":"', CASE WHEN odd % 13 = 0 THEN 'other' ELSE 'answer' END, '",') END, '"role":"', role, '","turn":', turn, '}') AS json FROM y"""
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(table: str, key: str, word: str, k: int) -> str:
+    """The distinct k-word shingles of each text, or its whole sequence where it has fewer words."""
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= {k} THEN [array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM (SELECT {key}, regexp_extract_all({_LOWER}, '{word}') AS w FROM {table})"""
+
+
+ITEMS_SQL = f"""
+    WITH d AS ({_shingles("documents", "doc_id", r"[a-z0-9\x{80}-\x{10FFFF}]+", 5)}), i AS ({_shingles("benchmark", "item_id", r"[a-z0-9\x{80}-\x{10FFFF}]+", 5)}),
+    n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1)
+    SELECT d.doc_id, i.item_id, CAST(count(*) AS INT) AS n_shared, CAST(any_value(n) AS INT) AS n_item, count(*) / any_value(n)::DOUBLE AS containment
+    FROM d JOIN i ON i.s = d.s JOIN n ON n.item_id = i.item_id GROUP BY 1, 2 HAVING 5 * count(*) >= 4 * any_value(n)"""
+
+BYTES_SQL = """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+    f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    m AS (SELECT g.doc_id, g.p FROM g JOIN f ON f.s = g.s WHERE f.first < g.doc_id),
+    o AS (SELECT doc_id, p, CASE WHEN p - lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) > 50 THEN 1 ELSE 0 END AS opens FROM m),
+    r AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM o) GROUP BY doc_id, run),
+    k AS (SELECT doc_id, string_agg(part, '' ORDER BY place) AS kept FROM (SELECT q.doc_id, q.b AS place, substr(h, 2 * before + 1, 2 * (b - before)) AS part
+        FROM (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM r) q JOIN d ON d.doc_id = q.doc_id
+        UNION ALL SELECT d.doc_id, d.n AS place, substr(d.h, 2 * t.e + 1) AS part FROM d JOIN (SELECT doc_id, max(e) AS e FROM r GROUP BY doc_id) t ON t.doc_id = d.doc_id) GROUP BY doc_id),
+    c AS (SELECT doc_id, sum(e - b) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+    SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+JOIN_SQL = f"""
+    WITH RECURSIVE s AS ({_shingles("documents", "doc_id", r"[^\x20\x09-\x0D]+", 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id, coalesce(l.links, 0) AS n_links FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+    LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY 1) l ON l.a = d.doc_id"""
+
+
 #: The other operators have no SQL equivalent that runs on whole tables; tests hold them against brute force.
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": _license_sql(), "op2_chat_formatting": CHAT_SQL}
+    return {
+        "op1_license_scans": _license_sql(), "op2_chat_formatting": CHAT_SQL, "op5_benchmark_decontamination": ITEMS_SQL,
+        "op8_suffix_array_dedup": BYTES_SQL, "op9_ngram_jaccard_join": JOIN_SQL,
+    }
