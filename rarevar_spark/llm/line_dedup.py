@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep
@@ -181,11 +181,11 @@ def repeated_windows(lines: DataFrame) -> DataFrame:
     return later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("pos"))
 
 
-#: A text without the numbered lines, taken apart once, in time that grows with its lines alone.
-WITHOUT_LINES = (
-    "element_at(transform(array(struct(split(text, '\\n', -1) as l, gone_ as g)),"
-    " s -> array_join(transform(array_except(sequence(0, size(s.l) - 1), s.g), i -> get(s.l, i)), '\\n')), 1)"
-)
+def without_lines(text: Column, gone: Column) -> Column:
+    """A text without the numbered lines, taken apart once, in time that grows with its lines alone."""
+    both = F.array(F.struct(F.split(text, "\n", -1).alias("lines"), gone.alias("gone")))
+    left = lambda s: F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"])
+    return F.transform(both, lambda s: F.array_join(F.transform(left(s), lambda i: F.get(s["lines"], i)), "\n"))[0]
 
 
 def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
@@ -200,6 +200,5 @@ def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words:
     """
     gone = lines_to_delete(docs, rare_documents, rare_words, block_words, rare_share).select(F.col("doc_id").alias("gone_id_"), F.col("gone").alias("gone_"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id_"], "left")
-    kept = F.expr(WITHOUT_LINES)
-    cols = [F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_lines_removed"]
-    return joined.select(*cols, F.coalesce(F.size("gone_"), F.lit(0)).alias("n_lines_removed"))
+    cols = [F.when(gone["gone_"].isNull(), docs["text"]).otherwise(without_lines(docs["text"], gone["gone_"])).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_lines_removed"]
+    return joined.select(*cols, F.coalesce(F.size(gone["gone_"]), F.lit(0)).alias("n_lines_removed"))

@@ -39,6 +39,27 @@ def test_stages(spark, tmp_path):
     assert ngram_join.keep_one_of_each(at).count() == at.count()
 
 
+def test_stage_edges(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, a very long text and columns of the operators' own names."""
+    spark.createDataFrame([(1, "five words of one item"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rep long, gone_ array<int>, score double"
+    words = "the and of that water with from house under stone".split()
+    long = "\n".join(" ".join(words[(i * k + k) % 10] for k in range(1, 9)) + f" {i}" for i in range(4000))
+    rows = [(i, " ".join(words[(i + k) % 10] for k in range(30)) + f" number {i}", "en" if i % 5 else None, "s", 99, 1, [1], 0.5) for i in range(20)]
+    rows += [rows[3], (30, long, "en", None, None, None, None, None), (31, None, "en", "s", 0, 1, None, None), (32, "", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        assert ids.count(3) in (0, 2) and 30 in ids, name
+        assert (31 in ids and 32 in ids) == (name != "language"), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.doc_id == 3 for r in packed) == 2 and {31, 32} < {r.doc_id for r in packed}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registered():
     import __spark_entry__ as entry
 
