@@ -130,11 +130,12 @@ def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold
     spark = files.sparkSession
     shares = term_shares(files, sorted({t for c in template_terms(templates) for t in c}))
     idf, vectors, unknown = template_weights(templates, shares)
-    anchors = "(?<![a-z0-9])(?:" + "|".join(anchor_terms(idf, vectors, threshold)) + ")(?![a-z0-9])"
+    anchors = F.array(*map(F.lit, anchor_terms(idf, vectors, threshold)))
+    anchored = F.arrays_overlap(F.split("text", "[^a-z0-9]+"), anchors)  # one pass over a text, whatever the number of anchors
     table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in idf], "term string, idf double, w array<double>")
-    held = files.select("file_id", F.lower("text").alias("text")).where(F.col("text").rlike(anchors))
-    lines = held.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(anchors))
-    blocks = held.select("file_id", F.posexplode(F.split("text", BLANK_LINES)).alias("block", "text")).where(F.col("text").contains("\n") & F.col("text").rlike(anchors))
+    held = files.select("file_id", F.lower("text").alias("text")).where(anchored)
+    lines = held.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(anchored)
+    blocks = held.select("file_id", F.posexplode(F.split("text", BLANK_LINES)).alias("block", "text")).where(F.col("text").contains("\n") & anchored)
     segments = lines.unionByName(held.select("file_id", F.lit(-1).alias("line"), "text")).unionByName(blocks.select("file_id", (F.col("block") + FIRST_BLOCK).alias("line"), "text"))
     terms = segments.select("file_id", "line", F.explode(F.expr(f"regexp_extract_all(text, '{TERM}', 0)")).alias("term"))
     tf = terms.groupBy("file_id", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
