@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .shared import keep
 from .slot_table import SlotTable
 
-TURNS = "conv_id long, part int, at long, turn_digest binary, chars long"
 #: A slot of a shard; or, where ``stretch`` is set and ``slot`` is not, a turn of a conversation of several stretches.
 SLOTS = (
     "shard int, slot int, parent int, depth long, d1 long, d2 long, chars long, n long, conv long, has_child boolean, ends string,"
@@ -37,35 +37,11 @@ def _numbers(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, n
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, at (from 0), turn_digest, chars of every turn, in order of turn (null first), then role and text, written once.
-
-    Turns are dealt by ranges of the whole order, so that a conversation of any length is spread over tasks; what a conversation
-    has in earlier ranges is added from a table of at most one row for each border between ranges.
-    """
+    """conv_id, at (from 0), turn_digest, chars of every turn, in order of turn (null first), then role and text, written once."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     t = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), text("role").alias("role"), text("text").alias("text"))
-    order = ["conv_id", "turn", "role", "text"]
     digest = F.unhex(F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")))
-    t = t.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", digest.alias("turn_digest"), F.length("text").cast("long").alias("chars"))
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, gone = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            c = b.column("conv_id").to_numpy()
-            new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            at = np.arange(len(c)) - np.repeat(new, np.diff(np.append(new, len(c))))
-            if c[0] == last:
-                at[: new[1] if len(new) > 1 else len(c)] += gone
-            last, gone = c[-1], int(at[-1]) + 1
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), pa.array(np.full(len(c), part, np.int32)), pa.array(at), b.column("turn_digest"), b.column("chars")], [f.split()[0] for f in TURNS.split(", ")])
-
-    turns = keep(t.mapInArrow(number, TURNS), "turns")
-    parts = turns.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = parts.select("conv_id", "part", (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("before")).where("before > 0")
-    at = F.col("at") + F.coalesce("before", F.lit(0))
-    return turns.join(F.broadcast(before), ["conv_id", "part"], "left").select("conv_id", at.alias("at"), "turn_digest", "chars")
+    return numbered(t, "conv_id", ["turn", "role", "text"], ["conv_id", digest.alias("turn_digest"), F.length("text").cast("long").alias("chars")], "at")
 
 
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, prefix_trie, quality_mil, repeated_spans
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, phrases, prefix_trie, quality_mil, repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(_table(spark, sf_dir, "conversations"), borrow=6, among=100)
 
@@ -204,9 +208,27 @@ JOIN_SQL = f"""
     LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY 1) l ON l.a = d.doc_id"""
 
 
+def _phrase_sql() -> str:
+    """Phrases as lists of words, counted by all their occurrences; cuts and covers by joins."""
+    spans = " UNION ALL ".join(f"SELECT lang, w[i:i + {n - 1}] AS g FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM piece)" for n in (1, 2, 3, 4))
+    inner = " UNION ALL ".join(f"SELECT lang, g[{i}:{i + m - 1}] AS g, a FROM phrase WHERE len(g) = {n}" for n in (3, 4) for m in range(2, n) for i in range(1, n - m + 2))
+    return f"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER.replace("text", "coalesce(text, '')", 1)}, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM documents),
+    size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY 1),
+    gram AS (SELECT lang, g, count(*) AS f FROM ({spans}) GROUP BY 1, 2 HAVING count(*) >= 30),
+    phrase AS (SELECT lang, g, f AS a FROM gram WHERE len(g) > 1),
+    cut AS (SELECT p.*, x.f AS l, y.f AS r, k, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, len(g))) AS k FROM phrase) p
+        JOIN gram x ON x.lang = p.lang AND x.g = p.g[1:k] JOIN gram y ON y.lang = p.lang AND y.g = p.g[k + 1:]),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS c FROM cut) WHERE c = 1),
+    cover AS (SELECT lang, g, max(a) AS longer FROM ({inner}) GROUP BY 1, 2),
+    kept AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN cover c ON c.lang = b.lang AND c.g = b.g WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+    SELECT p.lang, rank, phrase, a, l, r, n, score FROM placed p JOIN size s ON s.lang = p.lang WHERE rank <= 2000"""
+
+
 #: The other operators have no SQL equivalent that runs on whole tables; tests hold them against brute force.
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scans": _license_sql(), "op2_chat_formatting": CHAT_SQL, "op5_benchmark_decontamination": ITEMS_SQL,
-        "op8_suffix_array_dedup": BYTES_SQL, "op9_ngram_jaccard_join": JOIN_SQL,
+        "op8_suffix_array_dedup": BYTES_SQL, "op9_ngram_jaccard_join": JOIN_SQL, "op11_phrase_collocations": _phrase_sql(),
     }
