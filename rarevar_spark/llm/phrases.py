@@ -59,7 +59,7 @@ def cut_words(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
         yield pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw[inside].tobytes())), opens
 
 
-def word_shards(docs: DataFrame, words_per_shard: int = 1_000_000) -> DataFrame:
+def word_shards(docs: DataFrame, words_per_shard: int = 500_000) -> DataFrame:
     """Texts as numbers of the words in a dictionary for each shard of one language; 0 stands before each piece."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _bitmap(frequent: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def frequent_phrases(sequences: DataFrame, n: int, least: int, shard_bits: int, shorter: DataFrame | None, bits: int = 26, most: int = 4_000_000) -> DataFrame:
+def frequent_phrases(sequences: DataFrame, n: int, least: int, shard_bits: int, shorter: DataFrame | None, bits: int = 26, most: int = 1_000_000) -> DataFrame:
     """lang, g (ids), a (count), probe of every phrase of ``n`` words that comes ``least`` times or more.
 
     Phrases with a part that is surely not in ``shorter`` (those of one word less) are left out before counting; the bitmap that tells has
@@ -189,7 +189,8 @@ def frequent_phrases(sequences: DataFrame, n: int, least: int, shard_bits: int,
         def filters() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 hi, lo = (np.concatenate(x) for x in zip(*parts))
-                got = Q.split(hi, lo, np.ones(len(hi), np.int64), shard_bits, wide)
+                parts.clear()
+                got = Q.split(hi, lo, None, shard_bits, wide)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array([s for s, _ in got], pa.int32()), pa.array([f for _, f in got], pa.binary())], ["lang", "share", "filter"])
             held.clear()
@@ -238,7 +239,7 @@ def score_phrases(phrases: DataFrame, words: DataFrame) -> DataFrame:
     return kept.select("lang", "g", "a", "b.l", "b.r", "b.score")
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, words_per_share: int = 500_000, shard_words: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, words_per_share: int = 500_000, shard_words: int = 500_000) -> DataFrame:
     """The ``top`` phrases of two to ``longest`` (at most 4) words of every language, by score, count, then phrase (order of UTF-8 bytes).
 
     Returns lang, rank (from 1), phrase (words with a blank between), a (its count), l and r (counts of its first part and of the rest), n (words of

@@ -44,14 +44,21 @@ def restore(hi: np.ndarray, lo: np.ndarray, wide: bool) -> tuple[np.ndarray, np.
     return hi, lo
 
 
-def combine(hi: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct pairs with the sums of their counts (int64)."""
-    order = np.lexsort((lo, hi))
-    hi, lo, count = hi[order], lo[order], count[order]
+def combine(hi: np.ndarray, lo: np.ndarray, count: np.ndarray | None, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts (int64; none: one each)."""
+    if wide or count is not None:
+        order = np.lexsort((lo, hi)) if wide else np.argsort(hi, kind="stable")
+        hi, lo = hi[order], lo[order]
+        count = count[order] if count is not None else None
+    else:
+        hi = np.sort(hi)
     new = np.ones(len(hi), dtype=bool)
-    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    new[1:] = hi[1:] != hi[:-1]
+    if wide:
+        new[1:] |= lo[1:] != lo[:-1]
     at = np.flatnonzero(new)
-    return hi[at], lo[at], np.add.reduceat(count, at) if len(at) else count
+    count = np.diff(np.append(at, len(hi))) if count is None else np.add.reduceat(count, at) if len(at) else count
+    return hi[at], lo[at], count
 
 
 def _counts_to_bytes(count: np.ndarray) -> bytes:
@@ -104,9 +111,9 @@ def unpack(data: bytes, shard: int, wide: bool) -> tuple[np.ndarray, np.ndarray,
     return hi, lo, count
 
 
-def split(hi: np.ndarray, lo: np.ndarray, count: np.ndarray, shard_bits: int, wide: bool) -> list[tuple[int, bytes]]:
+def split(hi: np.ndarray, lo: np.ndarray, count: np.ndarray | None, shard_bits: int, wide: bool) -> list[tuple[int, bytes]]:
     """(shard, filter) of each shard that has keys, out of permuted keys in any order with repeats."""
-    hi, lo, count = combine(hi, lo, count)
+    hi, lo, count = combine(hi, lo, count, wide)
     if not len(hi):
         return []
     shard = (hi >> np.uint64(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(hi), np.int64)
@@ -122,5 +129,5 @@ def merge(filters: list[tuple[int, bytes]], wide: bool) -> tuple[np.ndarray, np.
     """
     parts = [unpack(data, shard, wide) for shard, data in filters]
     while len(parts) > 1:
-        parts = [combine(*(np.concatenate(x) for x in zip(*parts[i : i + 16]))) for i in range(0, len(parts), 16)]
+        parts = [combine(*(np.concatenate(x) for x in zip(*parts[i : i + 16])), wide) for i in range(0, len(parts), 16)]
     return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
