@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, phrases, prefix_trie, quality_mil, repeated_spans
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, line_dedup, ngram_join, packing, phrases, prefix_trie, private_data, quality_mil, repeated_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, longest=4, top=2000)
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private_data.find_private(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(private_data.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(private_data.spelt(F.col("base")), 256).alias("base_sha256"), private_data.spelt(F.col("spans")).alias("spans"))
+
+
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(_table(spark, sf_dir, "conversations"), borrow=6, among=100)
 
