@@ -1,14 +1,14 @@
 """Burden and SKAT from additive moments: sums over carriers, then small dense algebra per gene.
 
 Calls are sparse (absent rows are dosage 0). Moments depend neither on the frequency threshold nor on the
-phenotypes' residuals, so they are summed once per ancestry and gene, and thresholds pick their columns. An ALT-major variant
-needs no recoding: with an intercept, 2 - g and -g have the same projection, so its weight is negative.
+phenotypes' residuals, so they are summed once per ancestry and gene, and thresholds pick their columns. Scores of an ALT-major variant
+need no recoding: with an intercept, 2 - g and -g have the same projection, so its weight is negative. Products of variants are summed over minor
+alleles, 2 - g there, so that their number grows with minor carriers whichever allele ALT is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import signed_weight
-from ..functions.pvalues import davies_p, liu_p
+from ..functions.pvalues import skat_p
 
 GENE = ["ancestry", "chrom", "gene_id"]
 
@@ -37,7 +37,7 @@ def null_model_moments(samples: DataFrame, covariates: int, phenotypes: int) ->
 
 
 def fit_null_model(moments: DataFrame) -> DataFrame:
-    """ancestry, n, rank, beta (phenotype, term), omega (pseudo-inverse of XtX) and sigma2 = RSS / (n - rank) by phenotype.
+    """ancestry, n, rank, beta (phenotype, term), omega (pseudo-inverse of XtX), sigma2 = RSS / (n - rank) by phenotype, and sx, the terms' sums.
 
     The moments of all ancestries are a few small matrices; they are solved on the driver, after scaling columns to unit
     length, by eigenvalues, so that collinear covariates lower the rank.
@@ -60,8 +60,8 @@ def fit_null_model(moments: DataFrame) -> DataFrame:
         beta = omega @ xty
         rss = yty - np.einsum("ck,ck->k", xty, beta)
         rank = int(ok.sum())
-        rows.append((r["ancestry"], r["n"], rank, beta.T.tolist(), omega.tolist(), (np.maximum(rss, 0) / max(r["n"] - rank, 1)).tolist()))
-    return moments.sparkSession.createDataFrame(rows, "ancestry string, n long, rank int, beta array<array<double>>, omega array<array<double>>, sigma2 array<double>")
+        rows.append((r["ancestry"], r["n"], rank, beta.T.tolist(), omega.tolist(), (np.maximum(rss, 0) / max(r["n"] - rank, 1)).tolist(), xtx[0].tolist()))
+    return moments.sparkSession.createDataFrame(rows, "ancestry string, n long, rank int, beta array<array<double>>, omega array<array<double>>, sigma2 array<double>, sx array<double>")
 
 
 def gene_moments(gene_calls: DataFrame, samples: DataFrame, covariates: int, phenotypes: int) -> DataFrame:
@@ -74,14 +74,54 @@ def gene_moments(gene_calls: DataFrame, samples: DataFrame, covariates: int, phe
     )
 
 
-def carrier_pairs(gene_calls: DataFrame) -> DataFrame:
+def minor_pairs(gene_calls: DataFrame, weighted: DataFrame, null: DataFrame) -> DataFrame:
+    """ancestry, chrom, gene_id, a, b (a <= b), hth: summed products of minor alleles h, which are 2 - dosage where ALT is major (w < 0).
+
+    ``weighted`` has the variants of each gene with w, ``null`` n by ancestry. A sample's minor alleles of a gene are one small list, taken
+    apart into pairs without joining the calls to themselves: what it carries of other variants, and the ALT-major ones of the gene that it
+    doesn't carry twice. Samples without any call in a gene have two minor alleles of each of its ALT-major variants; they are counted, not listed.
+    """
+    turned = weighted.where("w < 0").select(*GENE, "variant_key")
+    c = gene_calls.where("dosage > 0").join(turned.withColumn("major", F.lit(True)), [*GENE, "variant_key"], "left")
+    d, is_major = F.col("dosage").cast("long"), F.col("major").isNotNull()
+    per = c.groupBy(*GENE, "sample_id").agg(
+        F.collect_list(F.when(~is_major, F.struct("variant_key", d.alias("d")))).alias("v"), F.collect_list(F.when(is_major & (d == 1), F.col("variant_key"))).alias("one"),
+        F.collect_list(F.when(is_major & (d == 2), F.col("variant_key"))).alias("two"),
+    )
+    majors = turned.groupBy(*GENE).agg(F.sort_array(F.collect_set("variant_key")).alias("majors"))
+    per = per.join(majors, GENE, "left")
+    none = F.expr("array_except(array_except(majors, two), one)")
+    of = lambda keys, n: F.transform(keys, lambda k: F.struct(k.alias("variant_key"), F.lit(n).cast("long").alias("d")))
+    minor = F.when(F.col("majors").isNull(), F.col("v")).otherwise(F.concat("v", of(F.col("one"), 1), of(none, 2)))
+    pairs = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 1, size(m)), y -> struct(x.variant_key as a, y.variant_key as b, x.d * y.d as h))))")
+    seen = per.select(*GENE, F.array_sort(minor).alias("m")).select(*GENE, F.explode(pairs).alias("p")).groupBy(*GENE, "p.a", "p.b").agg(F.sum("p.h").alias("hth"))
+    listed = per.where("majors is not null").groupBy(*GENE).agg(F.count(F.lit(1)).alias("listed"))
+    rest = majors.join(listed, GENE, "left").join(F.broadcast(null.select("ancestry", "n")), "ancestry").select(*GENE, "majors", (4 * (F.col("n") - F.coalesce("listed", F.lit(0)))).alias("hth")).where("hth > 0")
+    rest = rest.select(*GENE, F.explode(F.expr("flatten(transform(majors, (x, i) -> transform(slice(majors, i + 1, size(majors)), y -> struct(x as a, y as b))))")).alias("p"), "hth").select(*GENE, "p.a", "p.b", "hth")
+    return seen.unionByName(rest).groupBy(*GENE, "a", "b").agg(F.sum("hth").alias("hth"))
+
+
+def carrier_pairs(gene_calls: DataFrame, weighted: DataFrame, null: DataFrame) -> DataFrame:
     """ancestry, chrom, gene_id, a, b (a <= b), gtg: summed dosage products of variants that a sample carries in a gene.
 
-    A sample's carried variants of a gene are one small list, taken apart into pairs without joining the calls to themselves.
+    By inclusion and exclusion from :func:`minor_pairs` and column sums: with g = 2 - h for one, sum of g f = 2 sum f - sum h f; with both,
+    2 sum g + 2 sum f - 4 n + sum h h. No carrier of a major allele enters a pair.
     """
-    carried = gene_calls.where("dosage > 0").groupBy(*GENE, "sample_id").agg(F.sort_array(F.collect_list(F.struct("variant_key", F.col("dosage").cast("long").alias("d")))).alias("v"))
-    pairs = F.expr("flatten(transform(v, (x, i) -> transform(slice(v, i + 1, size(v)), y -> struct(x.variant_key as a, y.variant_key as b, x.d * y.d as g))))")
-    return carried.select(*GENE, F.explode(pairs).alias("p")).groupBy(*GENE, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("p.g").alias("gtg"))
+    turned = F.col("w") < 0
+    v = weighted.select(*GENE, "variant_key", turned.alias("major"), "ac")
+    majors = v.where("major").select(*GENE, F.col("variant_key").alias("x"))
+    whole = majors.join(v.select(*GENE, F.col("variant_key").alias("y")), GENE).select(*GENE, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = whole.withColumn("hth", F.lit(0).cast("long")).unionByName(minor_pairs(gene_calls, weighted, null)).groupBy(*GENE, "a", "b").agg(F.sum("hth").alias("hth"))
+    side = lambda k: v.select(*GENE, F.col("variant_key").alias(k), F.col("major").alias(f"m{k}"), F.col("ac").alias(f"c{k}"))
+    p = pairs.join(side("a"), [*GENE, "a"]).join(side("b"), [*GENE, "b"]).join(F.broadcast(null.select("ancestry", "n")), "ancestry")
+    gtg = F.expr("case when ma and mb then 2 * ca + 2 * cb - 4 * n + hth when ma then 2 * cb - hth when mb then 2 * ca - hth else hth end")
+    return p.select(*GENE, "a", "b", gtg.alias("gtg")).where("gtg > 0")
+
+
+def minor_coded(weighted: DataFrame, null: DataFrame) -> DataFrame:
+    """``weighted`` by minor alleles: gtx is 2 sx - gtx and w positive where w is negative."""
+    t = weighted.join(F.broadcast(null.select("ancestry", "sx")), "ancestry")
+    return t.withColumn("gtx", F.when(F.col("w") < 0, F.zip_with("sx", "gtx", lambda s, g: 2 * s - g)).otherwise(F.col("gtx"))).withColumn("w", F.abs("w")).drop("sx")
 
 
 def variant_weights(moments: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -103,11 +143,11 @@ def score_statistics(weighted: DataFrame, null: DataFrame, kept: DataFrame) -> D
 
 
 def burden_variance(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame) -> DataFrame:
-    """ancestry, maf_threshold, chrom, gene_id, v = w'(GtG - GtX Omega XtG)w, by sums over the pairs; the projection needs one vector a gene."""
-    w = weighted.join(kept, "variant_key").select(*GENE, "maf_threshold", "variant_key", "w", "gtx")
+    """ancestry, maf_threshold, chrom, gene_id, v = w'(HtH - HtX Omega XtH)w, by sums over the pairs of minor alleles; the projection needs one vector a gene."""
+    w = minor_coded(weighted, null).join(kept, "variant_key").select(*GENE, "maf_threshold", "variant_key", "w", "gtx")
     a, b = w.select(*GENE, "maf_threshold", F.col("variant_key").alias("a"), F.col("w").alias("wa")), w.select(*GENE, "maf_threshold", F.col("variant_key").alias("b"), F.col("w").alias("wb"))
     j = pairs.join(a, [*GENE, "a"]).join(b, [*GENE, "maf_threshold", "b"])
-    full = j.groupBy(*GENE, "maf_threshold").agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(2) * F.col("wa") * F.col("wb") * F.col("gtg")).alias("full"))
+    full = j.groupBy(*GENE, "maf_threshold").agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(2) * F.col("wa") * F.col("wb") * F.col("hth")).alias("full"))
     u = w.select(*GENE, "maf_threshold", F.posexplode(F.transform("gtx", lambda g: g * F.col("w"))).alias("i", "g")).groupBy(*GENE, "maf_threshold", "i").agg(F.sum("g").alias("g"))
     u = u.groupBy(*GENE, "maf_threshold").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "g"))), lambda s: s["g"]).alias("u"))
     t = full.join(u, [*GENE, "maf_threshold"]).join(F.broadcast(null.select("ancestry", "omega")), "ancestry")
@@ -115,20 +155,20 @@ def burden_variance(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept
     return t.select("ancestry", "maf_threshold", "chrom", "gene_id", (F.col("full") - form).alias("v"))
 
 
-def trace_probes(apply, width: int, probes: int, seed: int) -> tuple[float, float, float]:
-    """tr K, tr K^2, tr K^3 of a symmetric K given as a product: exact when the width, padded to a power of two, is no more than the probes."""
+def trace_probes(apply, width: int, probes: int, seed: int) -> tuple[float, float, float, float]:
+    """tr K, tr K^2, tr K^3, tr K^4 of a symmetric K given as a product: exact when the width, padded to a power of two, is no more than the probes."""
     padded = 1 << max(width - 1, 0).bit_length()
     if padded <= probes:
         k = apply(np.eye(width))
-        return float(np.trace(k)), float((k * k).sum()), float((k @ k * k).sum())
+        return kernel_traces(k)
     z = np.random.default_rng(seed).choice([-1.0, 1.0], (width, probes))
     k1 = apply(z)
     k2 = apply(k1)
-    return float((z * k1).sum() / probes), float((k1 * k1).sum() / probes), float((k1 * k2).sum() / probes)
+    return float((z * k1).sum() / probes), float((k1 * k1).sum() / probes), float((k1 * k2).sum() / probes), float((k2 * k2).sum() / probes)
 
 
 def kernel(w: np.ndarray, gtg: np.ndarray, gtx: np.ndarray, omega: np.ndarray, rows: int = 1024) -> np.ndarray:
-    """K = D (GtG - GtX Omega XtG) D / 2, in the place of ``gtg``, by blocks of ``rows``."""
+    """K = D (HtH - HtX Omega XtH) D / 2, in the place of ``gtg`` (HtH), by blocks of ``rows``."""
     right = omega @ gtx.T
     for i in range(0, len(gtg), rows):
         block = gtg[i : i + rows]
@@ -138,10 +178,14 @@ def kernel(w: np.ndarray, gtg: np.ndarray, gtx: np.ndarray, omega: np.ndarray, r
     return gtg
 
 
-def kernel_traces(k: np.ndarray, rows: int = 1024) -> tuple[float, float, float]:
-    """tr K, tr K^2, tr K^3 by blocks of ``rows``."""
-    blocks = [k[i : i + rows] for i in range(0, len(k), rows)]
-    return float(np.trace(k)), sum(float((b * b).sum()) for b in blocks), sum(float(((b @ k) * b).sum()) for b in blocks)
+def kernel_traces(k: np.ndarray, rows: int = 1024) -> tuple[float, float, float, float]:
+    """tr K, tr K^2, tr K^3, tr K^4 by blocks of ``rows``."""
+    s2 = s3 = s4 = 0.0
+    for i in range(0, len(k), rows):
+        b = k[i : i + rows]
+        square = b @ k
+        s2, s3, s4 = s2 + float((b * b).sum()), s3 + float((square * b).sum()), s4 + float((square * square).sum())
+    return float(np.trace(k)), s2, s3, s4
 
 
 def kernel_eigenvalues(k: np.ndarray) -> np.ndarray:
@@ -151,17 +195,17 @@ def kernel_eigenvalues(k: np.ndarray) -> np.ndarray:
     return value[value > positive.mean() / 1e5] if len(positive) else value[:0]
 
 
-KERNEL_SCHEMA = "ancestry string, maf_threshold double, chrom string, gene_id string, v_burden double, s1 double, s2 double, s3 double, eigenvalues array<double>"
+KERNEL_SCHEMA = "ancestry string, maf_threshold double, chrom string, gene_id string, v_burden double, s1 double, s2 double, s3 double, s4 double, eigenvalues array<double>"
 
 
 def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame, widest: int | None = None, probes: int = 50, seed: int = 1) -> DataFrame:
-    """ancestry, maf_threshold, chrom, gene_id, v_burden, s1, s2, s3 (traces of K, K^2, K^3) and eigenvalues of K.
+    """ancestry, maf_threshold, chrom, gene_id, v_burden, s1 to s4 (traces of K to K^4) and eigenvalues of K. ``pairs`` are :func:`minor_pairs`.
 
     A group is one gene's moments: m columns and at most m (m + 1) / 2 pairs, whatever the number of samples; every gene is
     solved as a dense m x m matrix, of which a task holds two. Only where a caller sets ``widest``, a gene of more
     variants gets its traces by random probes of the sparse form and null eigenvalues.
     """
-    w = weighted.join(kept.groupBy("variant_key").agg(F.collect_set("maf_threshold").alias("thresholds")), "variant_key")
+    w = minor_coded(weighted, null).join(kept.groupBy("variant_key").agg(F.collect_set("maf_threshold").alias("thresholds")), "variant_key")
     w = w.join(F.broadcast(null.select("ancestry", "omega")), "ancestry").select(*GENE, "variant_key", "w", "gtx", "thresholds", "omega")
 
     def per_gene(key: tuple, v: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -170,7 +214,7 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
             v = v.sort_values("variant_key").reset_index(drop=True)
             place = pd.Series(v.index, index=v["variant_key"])
             p = p[p["a"].isin(place.index) & p["b"].isin(place.index)]
-            i, j, g = place[p["a"]].to_numpy(), place[p["b"]].to_numpy(), p["gtg"].to_numpy(dtype=float)
+            i, j, g = place[p["a"]].to_numpy(), place[p["b"]].to_numpy(), p["hth"].to_numpy(dtype=float)
             gtx, omega = np.array(v["gtx"].tolist()), np.array(v["omega"].iloc[0].tolist())
             for t in sorted({x for s in v["thresholds"] for x in s}):
                 on = np.array([t in s for s in v["thresholds"]])
@@ -198,33 +242,17 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
                     s = trace_probes(apply, m, probes, seed)
                     v_burden = 2 * float(apply(np.ones((m, 1))).sum())
                 out.append((key[0], t, key[1], key[2], v_burden, *s, values))
-        return pd.DataFrame(out, columns=["ancestry", "maf_threshold", "chrom", "gene_id", "v_burden", "s1", "s2", "s3", "eigenvalues"])
+        return pd.DataFrame(out, columns=["ancestry", "maf_threshold", "chrom", "gene_id", "v_burden", "s1", "s2", "s3", "s4", "eigenvalues"])
 
     pairs = pairs.toDF(*pairs.columns)  # columns of its own, where both come from the same calls
     return w.groupBy(*GENE).cogroup(pairs.groupBy(*GENE)).applyInPandas(per_gene, KERNEL_SCHEMA)
 
 
 def skat_pvalues(stats: DataFrame) -> DataFrame:
-    """``stats`` (with q_skat, eigenvalues) plus p_skat_liu, p_skat_davies, davies_converged.
+    """``stats`` (with q_skat, s1 to s4, eigenvalues) plus p_skat_liu, p_skat_davies, davies_converged.
 
-    A kernel of zeros has an empty list of eigenvalues: p is 1 and convergence null. Null eigenvalues were not computed: all three are null.
+    A kernel of zeros has an empty list of eigenvalues: p is 1 and convergence null. Null eigenvalues were not computed: Liu's value is then that of the
+    traces, the other two are null.
     """
-    schema = stats.drop("eigenvalues").schema
-    for name, kind in (("p_skat_liu", "double"), ("p_skat_davies", "double"), ("davies_converged", "integer")):
-        schema = schema.add(name, kind)
-    names = [f.name for f in schema]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            liu, davies, ok = [], [], []
-            for q, e in zip(d["q_skat"], d["eigenvalues"]):
-                if e is None or len(e) == 0:
-                    p = None if e is None else 1.0
-                    liu.append(p), davies.append(p), ok.append(None)
-                    continue
-                e = np.array(e, dtype=float)
-                p, c = davies_p(q, e)
-                liu.append(liu_p(q, e, False)), davies.append(p), ok.append(c)
-            yield d.drop(columns="eigenvalues").assign(p_skat_liu=pd.array(liu, dtype="Float64"), p_skat_davies=pd.array(davies, dtype="Float64"), davies_converged=pd.array(ok, dtype="Int32"))[names]
-
-    return stats.mapInPandas(rows, schema)
+    t = stats.withColumn("p_", skat_p("q_skat", "eigenvalues", F.array("s1", "s2", "s3", "s4")))
+    return t.withColumns({"p_skat_liu": F.col("p_.liu"), "p_skat_davies": F.col("p_.davies"), "davies_converged": F.col("p_.converged")}).drop("eigenvalues", "p_")

@@ -127,7 +127,7 @@ def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], ph
     moments = assoc.null_model_moments(people, covariates, len(phenotypes))
     null = assoc.fit_null_model(moments)
     weighted = keep(assoc.variant_weights(assoc.gene_moments(calls, people, covariates, len(phenotypes)), null), "gene-moments")
-    pairs = assoc.carrier_pairs(calls)
+    pairs = assoc.minor_pairs(calls, weighted, null)
     stats = assoc.score_statistics(weighted, null, kept)
     kernels = assoc.gene_kernels(weighted, pairs, null, kept)
     key = ["ancestry", "maf_threshold", "chrom", "gene_id"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.pvalues import wilson_hilferty_z
+from .functions.pvalues import normal_sf, skat_p, wilson_hilferty_z
 from .operators import association, checks, compare, resource, samples, variants
 from .plans import jobs
 from .tables import keep
@@ -249,7 +249,8 @@ PAIRS = f"WITH gc AS ({GENE_CALLS}) SELECT a.ancestry, a.chrom, a.gene_id, a.var
 
 @query(PAIRS)
 def carrier_pairs(t: Tables) -> DataFrame:
-    return association.carrier_pairs(_gene_calls(t))
+    null, weighted, _ = _model(t)
+    return association.carrier_pairs(_gene_calls(t), weighted, null)
 
 
 NULL = f"SELECT ancestry, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, var_samp(y0) AS v0, var_samp(y1) AS v1 FROM ({PEOPLE2}) GROUP BY ancestry"
@@ -284,13 +285,13 @@ VARIANCE = f"""WITH counts AS ({COUNTS}), kept AS ({KEPT}), moments AS ({MOMENTS
 @query(f"{VARIANCE} SELECT ancestry, maf_threshold, chrom, gene_id, round(2 * sum(k) / 1e3, 5) AS v FROM k2 GROUP BY 1, 2, 3, 4")
 def burden_variance(t: Tables) -> DataFrame:
     null, weighted, kept = _model(t)
-    v = association.burden_variance(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+    v = association.burden_variance(weighted, association.minor_pairs(_gene_calls(t), weighted, null), null, kept)
     return v.withColumn("v", F.round(F.col("v") / 1e3, 5))
 
 
 def _kernels(t: Tables) -> DataFrame:
     null, weighted, kept = _model(t)
-    return association.gene_kernels(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+    return association.gene_kernels(weighted, association.minor_pairs(_gene_calls(t), weighted, null), null, kept)
 
 
 @query(f"{VARIANCE} SELECT ancestry, maf_threshold, chrom, gene_id, round(sum(k) FILTER (WHERE a = b) / 1e3, 5) AS s1, round(sum(k * k) / 1e6, 5) AS s2 FROM k2 GROUP BY 1, 2, 3, 4")
@@ -306,12 +307,55 @@ def kernel_s1_s2(t: Tables) -> DataFrame:
     FROM (SELECT *, s3 / pow(s2, 1.5) AS g FROM tr JOIN cube USING (ancestry, maf_threshold, chrom, gene_id) JOIN q USING (ancestry, maf_threshold, chrom, gene_id))""")
 def skat_wh_z(t: Tables) -> DataFrame:
     null, weighted, kept = _model(t)
-    k = association.gene_kernels(weighted, association.carrier_pairs(_gene_calls(t)), null, kept)
+    k = association.gene_kernels(weighted, association.minor_pairs(_gene_calls(t), weighted, null), null, kept)
     s = association.score_statistics(weighted, null, kept).where("phenotype_index = 0")
     j = s.join(k, ["ancestry", "maf_threshold", "chrom", "gene_id"])
     return j.select("ancestry", "maf_threshold", "chrom", "gene_id", F.round(wilson_hilferty_z(F.col("q_skat"), F.col("s1"), F.col("s2"), F.col("s3")), 5).alias("z"))
 
 
+def _chi2_cdf(df: str, x: str, j: str = "0") -> str:
+    """The regularised lower incomplete gamma function of (df / 2 + j, x / 2) as a series, for DuckDB."""
+    a = f"({df} / 2 + {j})"
+    return f"list_sum(list_transform(range(0, 400), lambda i: exp(({a} + i) * ln({x} / 2) - {x} / 2 - lgamma({a} + i + 1))))"
+
+
+#: Traces of K to K^4, the statistics of both phenotypes, and from these Liu's match and the Wilson-Hilferty score; a shifted chi-square is a Poisson mixture.
+_SKAT_P = f"""{VARIANCE}, sq AS (SELECT x.ancestry, x.maf_threshold, x.chrom, x.gene_id, x.a, y.b, sum(x.k * y.k) AS k FROM k2 x JOIN k2 y ON x.ancestry = y.ancestry AND x.maf_threshold = y.maf_threshold AND x.chrom = y.chrom AND x.gene_id = y.gene_id AND x.b = y.a GROUP BY 1, 2, 3, 4, 5, 6),
+    tr AS (SELECT ancestry, maf_threshold, chrom, gene_id, sum(k2.k) FILTER (WHERE a = b) AS c1, sum(k2.k * k2.k) AS c2, sum(sq.k * k2.k) AS c3, sum(sq.k * sq.k) AS c4 FROM k2 JOIN sq USING (ancestry, maf_threshold, chrom, gene_id, a, b) GROUP BY 1, 2, 3, 4),
+    q AS (SELECT ancestry, maf_threshold, chrom, gene_id, 0 AS phenotype_index, sum(pow(w * (gty0 - ac * m0), 2)) / (2 * any_value(v0)) AS q FROM wk GROUP BY 1, 2, 3, 4
+        UNION ALL SELECT ancestry, maf_threshold, chrom, gene_id, 1 AS phenotype_index, sum(pow(w * (gty1 - ac * m1), 2)) / (2 * any_value(v1)) AS q FROM wk GROUP BY 1, 2, 3, 4),
+    m AS (SELECT *, c3 / pow(c2, 1.5) AS s1, c4 / pow(c2, 2) AS s2 FROM tr JOIN q USING (ancestry, maf_threshold, chrom, gene_id) WHERE c1 > 0 AND c2 > 0 AND c3 > 0),
+    n AS (SELECT *, s1 * s1 > s2 * (1 + 1e-9) AS shifted, CASE WHEN s1 * s1 > s2 * (1 + 1e-9) THEN 1 / (s1 - sqrt(s1 * s1 - s2)) ELSE 1 / s1 END AS a FROM m),
+    f AS (SELECT *, CASE WHEN shifted THEN a * a * (s1 * a - 1) ELSE 0 END AS ncp, a * a - 2 * CASE WHEN shifted THEN a * a * (s1 * a - 1) ELSE 0 END AS df FROM n),
+    x AS (SELECT *, (q - c1) / sqrt(2 * c2) * sqrt(2) * a + df + ncp AS x, (cbrt(1 + (q - c1) * s1 / sqrt(c2)) - 1 + 2 * s1 * s1 / 9) / sqrt(2 * s1 * s1 / 9) AS z FROM f)
+    SELECT ancestry, maf_threshold, chrom, gene_id, phenotype_index, round(CASE WHEN x <= 0 THEN 1 WHEN ncp = 0 THEN 1 - {_chi2_cdf("df", "x")} ELSE 1 - list_sum(list_transform(range(0, 120), lambda j: exp(j * ln(ncp / 2) - ncp / 2 - lgamma(j + 1)) * {_chi2_cdf("df", "x", "j")})) END, 6) + 0 AS p_skat_liu,
+        round(CASE WHEN z > 0 THEN 1 - {_chi2_cdf("1", "(z * z)")} ELSE 1 + {_chi2_cdf("1", "greatest(z * z, 1e-30)")} END / 2, 6) + 0 AS p_skat_wh FROM x"""
+
+
+@query(_SKAT_P)
+def skat_liu_wh(t: Tables) -> DataFrame:
+    """Liu's and the Wilson-Hilferty p-values of both phenotypes."""
+    null, weighted, kept = _model(t)
+    k = association.gene_kernels(weighted, association.minor_pairs(_gene_calls(t), weighted, null), null, kept)
+    key = ["ancestry", "maf_threshold", "chrom", "gene_id"]
+    p = association.skat_pvalues(association.score_statistics(weighted, null, kept).join(k.where("s1 > 0 and s2 > 0 and s3 > 0"), key))
+    z = wilson_hilferty_z(F.col("q_skat"), F.col("s1"), F.col("s2"), F.col("s3"))
+    return p.select(*key, "phenotype_index", F.round("p_skat_liu", 6).alias("p_skat_liu"), F.round(normal_sf(z), 6).alias("p_skat_wh"))
+
+
+#: Three eigenvalues, each twice, of every variant, and statistics from its mean to far out: the exact tail is a sum of three exponentials.
+_PAIRED = "SELECT variant_key, step, 1.0 + p_partkey % 7 AS a, 0.5 - (p_partkey % 3) / 10.0 AS b, 0.125 AS c, (2.0 + p_partkey % 7) * step * step * 2 AS q FROM {parts}, (SELECT explode(sequence(1, 12)) AS step)"
+
+
+@query(f"""SELECT variant_key, step, round(q / (2 * a) / ln(10) - log10(a * a / ((a - b) * (a - c)) - b * b / ((a - b) * (b - c)) * exp(q / (2 * a) - q / (2 * b)) + c * c / ((a - c) * (b - c)) * exp(q / (2 * a) - q / (2 * c))), 6) AS neg_log10_p, 1 AS converged
+    FROM ({_PAIRED.replace("SELECT explode(sequence(1, 12)) AS step", "SELECT unnest(range(1, 13)) AS step")})""")
+def skat_tail(t: Tables) -> DataFrame:
+    """Davies p-values against closed forms, down to 1e-280 or so."""
+    rows = t.parts.sparkSession.sql(_PAIRED, parts=t.parts).select("variant_key", "step", "q", F.expr("array(a, a, b, b, c, c)").cast("array<double>").alias("e"))
+    p = rows.withColumn("p", skat_p(F.col("q").cast("double"), "e", F.lit(None).cast("array<double>")))
+    return p.select("variant_key", "step", F.round(-F.log10("p.davies"), 6).alias("neg_log10_p"), F.col("p.converged").alias("converged"))
+
+
 # Two-site resource statistics.
 
 SITE = f"""WITH counts AS ({COUNTS}), kept AS ({KEPT}), labels AS (SELECT sample_id, site, ancestry FROM {{eligible}} UNION ALL SELECT sample_id, site, 'ALL' AS ancestry FROM {{eligible}}),
