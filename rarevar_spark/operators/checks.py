@@ -1,4 +1,4 @@
-"""Data-quality checks. Each gives the rows that break a rule; ``strict`` raises on any."""
+"""Data-quality checks. Each gives the rows that break a rule; ``strict`` raises on any. ``findings`` and ``refuse`` take many rules in one job."""
 
 from __future__ import annotations
 
@@ -14,6 +14,72 @@ def violations(df: DataFrame, what: str, strict: bool = False) -> DataFrame:
     return df
 
 
+def findings(rules: dict[str, DataFrame]) -> DataFrame:
+    """rule, n (rows that break it), example (one of them as JSON) of every rule that any row breaks: one job, in which rules share what they read."""
+    rows = [df.select(F.lit(rule).alias("rule"), F.to_json(F.struct("*")).alias("example")) for rule, df in rules.items()]
+    return reduce(DataFrame.unionAll, rows).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("example").alias("example"))
+
+
+def refuse(rules: dict[str, DataFrame]) -> None:
+    """Raises if any row breaks any of the rules, and names each of these with its number of rows and an example."""
+    if found := sorted(map(tuple, findings(rules).collect())):  # a row for each rule at most
+        raise ValueError("; ".join(f"{rule}: {n}, as {example}" for rule, n, example in found))
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """ancestry, chrom, gene_id, variant_key, analysis_ac, missing, carriers, odd_dosages: what rules need of the calls, summed once before any shuffle."""
+    d = F.col("dosage")
+    odd = F.coalesce(~d.isin(-9, 0, 1, 2), F.lit(True))
+    called = F.coalesce(F.col("called"), F.lit(False)) if "called" in calls.columns else F.lit(True)
+    return calls.groupBy("ancestry", "chrom", "gene_id", "variant_key").agg(
+        F.coalesce(F.sum(F.when(called & d.between(1, 2), d.cast("long"))), F.lit(0)).alias("analysis_ac"), F.count_if(~called | (d == -9)).alias("missing"),
+        F.count_if(called & (d > 0)).alias("carriers"), F.count_if(odd).alias("odd_dosages"),
+    )
+
+
+def site_rules(site: str, summary: DataFrame, sizes: DataFrame, counts: DataFrame, cohort_n: int, gene_variants: DataFrame) -> dict[str, DataFrame]:
+    """The rules for one site's calls (:func:`call_summary`), cohort counts (variant_key, ac) and gene variants; ``sizes``: ancestry, n of the site."""
+    wanted = gene_variants.where("variant_key is not null")
+    bounds = summary.join(sizes, "ancestry").join(counts.select("variant_key", F.col("ac").alias("cohort_ac")), "variant_key", "left")
+    bounds = bounds.select("ancestry", "gene_id", "variant_key", "analysis_ac", "cohort_ac", F.lit(cohort_n).alias("cohort_n"), F.col("n").alias("samples"), (F.col("carriers") + F.col("missing")).alias("calls"))
+    odd_counts = counts.where((F.col("ac") < 0) | (F.col("ac") > 2 * cohort_n)).select("variant_key", "ac")
+    per_ancestry = summary.select("analysis_ac", "missing", "carriers", F.concat_ws("/", "ancestry", "variant_key").alias("variant_key"))
+    return {
+        f"{site}: dosage not in -9, 0, 1, 2": summary.where("odd_dosages > 0").select("gene_id", "variant_key", "odd_dosages"),
+        f"{site}: call of a variant that the gene doesn't have": summary.join(wanted.select("chrom", "gene_id", "variant_key"), ["chrom", "gene_id", "variant_key"], "left_anti").select("gene_id", "variant_key"),
+        f"{site}: analysis AC above cohort AC": bounds.where("analysis_ac > cohort_ac or cohort_ac is null"),
+        f"{site}: more calls than samples": bounds.where("calls > samples or samples > cohort_n"),
+        f"{site}: cohort AC above twice the cohort": odd_counts,
+        f"{site}: a variant's counts differ between genes": inconsistent_variants(per_ancestry, ["analysis_ac", "missing", "carriers"]),
+        f"{site}: a variant twice in a gene": repeated_keys(wanted, ["chrom", "gene_id", "variant_key"]),
+        f"{site}: role without a variant": gene_variants.where("variant_key is null and role is not null").select("chrom", "gene_id", "role"),
+        f"{site}: public and private": public_and_private(wanted),
+    }
+
+
+def pair_rules(a_variants: DataFrame, b_variants: DataFrame) -> dict[str, DataFrame]:
+    """The rules for the gene variants of two sites: the genes of B stand as in A, and both have the same public variants in each gene."""
+    gene = ["chrom", "gene_id", "order_index"]
+    public = lambda t: t.where("variant_key is not null and role != 'private'")
+    return {
+        "gene that site A doesn't have in that place": b_variants.select(gene).distinct().join(a_variants.select(gene).distinct(), gene, "left_anti"),
+        "the sites' public variants differ": both_ways(public(a_variants), public(b_variants), ["chrom", "gene_id", "variant_key"]),
+    }
+
+
+def sample_rules(samples: DataFrame, covariates: int | None = None, phenotypes: int | None = None) -> dict[str, DataFrame]:
+    """The rules for both sites' samples (ancestry, site, sample_id, maybe x and y): each once, numbers of the right length, the same ancestries at each site."""
+    rules = {"sample twice in an ancestry": repeated_keys(samples, ["ancestry", "site", "sample_id"])}
+    for column, length in (("x", covariates), ("y", phenotypes)):
+        if column in samples.columns and length is not None:
+            fewer = F.size(column) < length if column == "x" else F.size(column) != length
+            rules[f"{column} has not {length} values"] = samples.where(F.coalesce(fewer, F.lit(True))).select("site", "sample_id", F.size(column).alias("size"))
+    sites = samples.select("site").distinct().agg(F.count(F.lit(1)).alias("sites"))
+    per = samples.groupBy("ancestry").agg(F.count_distinct("site").alias("n"))
+    rules["ancestry that one site lacks"] = per.join(F.broadcast(sites), F.col("n") != F.col("sites")).select("ancestry")
+    return rules
+
+
 def repeated_keys(df: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """keys and n of keys that more than one row has."""
     return violations(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"repeated {', '.join(keys)}", strict)

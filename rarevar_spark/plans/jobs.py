@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import ALL, check_thresholds, clip_missing, local_maf_keep, maf_keep
+from ..functions.columns import ALL, check_thresholds, clip_missing, finite_rows, local_maf_keep, maf_keep
 from ..functions.pvalues import burden_p, normal_sf, wilson_hilferty_z
 from ..operators import association as assoc
 from ..operators import checks, compare, resource, samples, variants
@@ -45,12 +45,23 @@ class Prepared:
 
 
 def analysis_samples(inputs: SiteInputs, site: str, ancestries: list[str], n: int | str = "all", seed: int = 1) -> DataFrame:
-    """ancestry, site, sample_id, ord, x, y of the eligible samples of each ancestry (ALL among them if asked for)."""
-    parts = [samples.eligible_samples(inputs.samples, inputs.phenotypes, inputs.covariates, inputs.ancestries, a).withColumn("ancestry", F.lit(a)) for a in ancestries]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return samples.sample_cohort(out.withColumn("site", F.lit(site)), n, seed)
+    """ancestry, site, sample_id, ord, x, y of the eligible samples of each ancestry (ALL among them if asked for).
+
+    The inputs are joined once, whatever the number of ancestries: a sample comes under its own and under ALL.
+    """
+    wanted = inputs.samples.sparkSession.createDataFrame([(a,) for a in dict.fromkeys(ancestries)], "ancestry string")
+    own = inputs.ancestries.where("ancestry is not null").select("sample_id", "ancestry").distinct()
+    labels = inputs.samples.select("sample_id").distinct().withColumn("ancestry", F.lit(ALL)).unionByName(own.where(F.col("ancestry") != ALL))
+    labels = labels.join(F.broadcast(wanted), "ancestry", "left_semi")
+    cov = inputs.covariates
+    t = inputs.samples.join(inputs.phenotypes.select("sample_id", "y"), "sample_id").join(labels, "sample_id")
+    if "ancestry" in cov.columns:  # covariates of an ancestry of their own
+        c = cov.select("sample_id", "x", F.col("ancestry").alias("of_"))
+        t = t.join(c, "sample_id").where(F.col("of_").isNull() | (F.col("of_") == F.col("ancestry"))).drop("of_")
+    else:
+        t = t.join(cov.select("sample_id", "x"), "sample_id")
+    t = t.where(finite_rows("x") & finite_rows("y")).withColumn("site", F.lit(site))
+    return samples.sample_cohort(t, n, seed)
 
 
 def prepare_site(
@@ -111,14 +122,26 @@ def kept_variants(a: Prepared, b: Prepared | None, thresholds: list[float]) -> D
     return pooled.crossJoin(F.broadcast(t)).where(maf_keep("ac", F.lit(n), F.col("maf_threshold"))).select("variant_key", "maf_threshold")
 
 
+def input_rules(a: Prepared, b: Prepared | None, covariates: int | None = None, phenotypes: int | None = None) -> dict[str, DataFrame]:
+    """All rules for the prepared inputs of an analysis, for :func:`checks.refuse`."""
+    rules = {}
+    for p in (a, b) if b else (a,):
+        sizes = p.samples.groupBy("ancestry").agg(F.count(F.lit(1)).alias("n"))
+        rules |= checks.site_rules(p.site, checks.call_summary(p.calls), sizes, p.counts, p.cohort_size, p.gene_variants)
+    people = a.samples if b is None else a.samples.unionByName(b.samples)
+    rules |= checks.sample_rules(people, covariates, phenotypes)
+    return rules | (checks.pair_rules(a.gene_variants, b.gene_variants) if b else {})
+
+
 def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], phenotypes: list[str], covariates: int) -> DataFrame:
     """One row for each ancestry, threshold, gene and phenotype: statistics and Burden, SKAT-WH, SKAT-Liu and SKAT-Davies p-values.
 
-    ``b`` null analyses site A alone. Genes without kept variants are there with p = 1 and convergence null; a p-value that could not be computed is null.
+    ``b`` null analyses site A alone. Malformed inputs are refused (:func:`input_rules`, one job). Genes without kept variants are there with p = 1 and convergence null; a p-value that could not be computed is null.
     """
     thresholds = check_thresholds(thresholds)
     for t in thresholds:
         checks.threshold_within(t, a.max_maf if b is None else None)
+    checks.refuse(input_rules(a, b, covariates, len(phenotypes)))
     people = a.samples if b is None else a.samples.unionByName(b.samples)
     calls = a.calls if b is None else assoc.pool_sites(a.calls.drop("site"), b.calls.drop("site"))
     calls = calls.select("ancestry", "chrom", "gene_id", "sample_id", "variant_key", clip_missing("dosage").alias("dosage"))
@@ -147,8 +170,12 @@ def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], ph
 
 
 def resource_stats(a: Prepared, b: Prepared, thresholds: list[float], carriers: list[int], bins: list[int], annotation: str = "all", gene_set: str = "all") -> DataFrame:
-    """The eleven-column table of panels A (carrier coverage), B (cumulative counts) and C (variant overlap) by ancestry, threshold and chromosome."""
+    """The eleven-column table of panels A (carrier coverage), B (cumulative counts) and C (variant overlap) by ancestry, threshold and chromosome.
+
+    Malformed inputs are refused (:func:`input_rules`, one job).
+    """
     thresholds = check_thresholds(thresholds)
+    checks.refuse(input_rules(a, b))
     people = a.samples.unionByName(b.samples)
     sizes = keep(people.groupBy("ancestry", "site").agg(F.count(F.lit(1)).alias("n")), "sizes")
     calls = a.calls.drop("site").withColumn("site", F.lit("A")).unionByName(b.calls.drop("site").withColumn("site", F.lit("B")), allowMissingColumns=True)

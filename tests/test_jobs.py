@@ -1,9 +1,13 @@
+from dataclasses import replace
+from functools import reduce
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rarevar_spark.functions.columns import split_role
-from rarevar_spark.operators import compare
+from rarevar_spark.operators import checks, compare
 from rarevar_spark.plans import jobs
 from rarevar_spark.sources import readers, writers
 
@@ -52,6 +56,65 @@ def test_split_prepare_and_run(spark, inputs, tmp_path):
         jobs.run_association(local, None, [0.4], ["y"], 1)
 
 
+@pytest.fixture(scope="module")
+def pair(spark, inputs):
+    split = jobs.split_cohort(inputs, ["EUR", "AFR"], 0.5)
+    a = jobs.prepare_site(split["A"], "A", ["ALL", "EUR"], local_max_maf=0.2)
+    return a, jobs.prepare_site(split["B"], "B", ["ALL", "EUR"], public=a.public, cut=a.cut, local_max_maf=0.2)
+
+
+def changed(df, **columns):
+    return df.withColumns({c: F.expr(e) for c, e in columns.items()})
+
+
+FAULTS = {
+    "gene_order": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, order_index="1 - order_index"))), "gene that site A"),
+    "column_count": (lambda a, b: (a, replace(b, gene_variants=b.gene_variants.join(b.gene_variants.where("role != 'private'").limit(1).select("variant_key"), "variant_key", "left_anti"))), "public variants differ"),
+    "private_rows": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, gene_id="if(role = 'private', 'G2', gene_id)"))), "the gene doesn't have"),
+    "missing_private_keys": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, variant_key="if(role = 'private', null, variant_key)"))), "role without a variant"),
+    "public_and_private": (lambda a, b: (a, replace(b, gene_variants=b.gene_variants.unionByName(changed(b.gene_variants.where("role = 'shared'"), role="'private'", gene_id="'G2'", order_index="2")))), "public and private"),
+    "ac_above_cohort_ac": (lambda a, b: (replace(a, counts=changed(a.counts, ac="ac - 1")), b), "A: analysis AC above"),
+    "cohort_ac_above_cohort": (lambda a, b: (a, replace(b, counts=changed(b.counts, ac="1000L"))), "B: cohort AC above"),
+    "inconsistent_duplicate": (lambda a, b: (replace(a, calls=a.calls.unionByName(changed(a.calls.where("sample_id < 's10'"), gene_id="'G2'"))), b), "counts differ between genes"),
+    "dosage": (lambda a, b: (replace(a, calls=changed(a.calls, dosage="3")), b), "dosage not in"),
+    "repeated_calls": (lambda a, b: (replace(a, calls=reduce(DataFrame.unionAll, [a.calls] * 60)), b), "more calls than samples"),
+    "ancestries": (lambda a, b: (a, replace(b, samples=b.samples.where("ancestry = 'ALL'"))), "one site lacks"),
+    "covariates": (lambda a, b: (a, replace(b, samples=changed(b.samples, x="slice(x, 1, 0)"))), "x has not 1"),
+    "phenotypes": (lambda a, b: (a, replace(b, samples=changed(b.samples, y="concat(y, y)"))), "y has not 1"),
+    "repeated_sample": (lambda a, b: (replace(a, samples=a.samples.unionByName(a.samples.limit(1))), b), "sample twice"),
+}
+
+
+@pytest.mark.parametrize("fault", sorted(FAULTS))
+def test_malformed_inputs_are_refused(pair, fault):
+    change, message = FAULTS[fault]
+    with pytest.raises(ValueError, match=message):
+        jobs.run_association(*change(*pair), [0.5], ["y"], 1)
+
+
+@pytest.mark.parametrize("fault", ["gene_order", "column_count", "ac_above_cohort_ac", "public_and_private", "inconsistent_duplicate"])
+def test_resource_statistics_refuse_them_too(pair, fault):
+    change, message = FAULTS[fault]
+    with pytest.raises(ValueError, match=message):
+        jobs.resource_stats(*change(*pair), [0.5], [5], [5])
+
+
+def test_sound_inputs_break_no_rule(pair):
+    assert checks.findings(jobs.input_rules(*pair, 1, 1)).collect() == []
+    assert checks.findings(jobs.input_rules(pair[0], None, 1, 1)).collect() == []
+
+
+def test_ancestries_are_joined_once(spark, inputs):
+    """As many scans of the inputs for three ancestries as for one, and covariates of an ancestry's own."""
+    plan = lambda a: jobs.analysis_samples(inputs, "A", a)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(["ALL"]).count("Join") == plan(["ALL", "EUR", "AFR"]).count("Join")
+    got = {(r.ancestry, r.sample_id) for r in jobs.analysis_samples(inputs, "A", ["ALL", "EUR"]).collect()}
+    assert got == {("ALL", f"s{i:02d}") for i in range(1, 80)} | {("EUR", f"s{i:02d}") for i in range(80) if i % 4}
+    x = inputs.covariates.withColumn("ancestry", F.lit("EUR")).unionByName(inputs.covariates.select("sample_id", F.array(F.lit(0.0)).alias("x"), F.lit("ALL").alias("ancestry")))
+    own = jobs.analysis_samples(replace(inputs, covariates=x), "A", ["ALL", "EUR"]).collect()
+    assert {(r.ancestry, r.sample_id) for r in own} == got and len(own) == len(got) and all(r.x == [0.0] for r in own if r.ancestry == "ALL")
+
+
 def results(spark, shift):
     rows = [("EUR", "21", i, f"G{i}", k, f"p{k}", min(1.0, (i + 1) / 40 + shift), str(int(i % 5 > 0))) for i in range(20) for k in (0, 1)]
     return spark.createDataFrame(rows, f"ancestry string, chromosome string, gene_index int, gene_id string, phenotype_index int, phenotype_name string, p_{'b' if shift else 'a'} double, converged_{'b' if shift else 'a'} string")
