@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ALL, finite_rows
 from .checks import violations
+from .ranks import ranked
 
 
 def draw_key(seed: int, *keys: str) -> Column:
@@ -40,34 +41,25 @@ def sample_cohort(eligible: DataFrame, n: int | str, seed: int, by: list[str] =
     if int(n) <= 0:
         raise ValueError("the number of samples must be positive")
     violations(eligible.groupBy(*by).count().where(F.col("count") < int(n)), f"fewer than {n} eligible samples", strict=True)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw_key(seed, "sample_id"), "sample_id"))
-    return eligible.withColumn("rank_", rank).where(F.col("rank_") <= int(n)).drop("rank_")
+    return ranked(eligible, by, [draw_key(seed, "sample_id"), "sample_id"], "rank_").where(F.col("rank_") < int(n)).drop("rank_")
 
 
 def split_two_cohorts(eligible: DataFrame, n: int | str, seed: int, by: str = "ancestry") -> DataFrame:
     """``eligible`` with site A or B drawn at random: n for each, or with 'all' one half each, A having the odd one."""
     if n != "all" and int(n) <= 0:
         raise ValueError("the number of samples must be positive")
-    w = Window.partitionBy(by)
-    ranked = eligible.withColumn("rank_", F.row_number().over(w.orderBy(draw_key(seed, "sample_id"), "sample_id"))).withColumn("n_", F.count(F.lit(1)).over(w))
+    t = ranked(eligible, [by], [draw_key(seed, "sample_id"), "sample_id"], "rank_", total="total_")
     if n != "all":
-        violations(ranked.where(F.col("n_") < 2 * int(n)).select(by).distinct(), f"fewer than {2 * int(n)} eligible samples", strict=True)
-    size = F.ceil(F.col("n_") / 2) if n == "all" else F.lit(int(n))
-    last = F.col("n_") if n == "all" else F.lit(2 * int(n))
-    return ranked.where(F.col("rank_") <= last).withColumn("site", F.when(F.col("rank_") <= size, "A").otherwise("B")).drop("rank_", "n_")
+        violations(t.where(F.col("total_") < 2 * int(n)).select(by).distinct(), f"fewer than {2 * int(n)} eligible samples", strict=True)
+    size = F.ceil(F.col("total_") / 2) if n == "all" else F.lit(int(n))
+    last = F.col("total_") if n == "all" else F.lit(2 * int(n))
+    return t.where(F.col("rank_") < last).withColumn("site", F.when(F.col("rank_") < size, "A").otherwise("B")).drop("rank_", "total_")
 
 
 def split_samples(labelled: DataFrame, parties: int = 2) -> DataFrame:
-    """``labelled`` (sample_id, ancestry or null) with party: alternating over the order of ancestry, then sample_id.
-
-    Ranks are taken inside shares of an ancestry (the sample ids' first characters) and offset by the counts before them,
-    so that no task sorts all samples.
-    """
-    t = labelled.withColumn("a_", F.coalesce("ancestry", F.lit(""))).withColumn("s_", F.substring(F.col("sample_id").cast("string"), 1, 3))
-    counts = t.groupBy("a_", "s_").agg(F.count(F.lit(1)).alias("n_"))
-    before = counts.select("a_", "s_", (F.sum("n_").over(Window.orderBy("a_", "s_")) - F.col("n_")).alias("before_"))
-    rank = F.row_number().over(Window.partitionBy("a_", "s_").orderBy(F.col("sample_id").cast("string"))) - 1
-    return t.withColumn("rank_", rank).join(before, ["a_", "s_"]).withColumn("party", ((F.col("rank_") + F.col("before_")) % parties).cast("int")).drop("a_", "s_", "rank_", "before_")
+    """``labelled`` (sample_id, ancestry or null) with party: alternating over the order of ancestry, then sample_id."""
+    order = [F.coalesce("ancestry", F.lit("")), F.col("sample_id").cast("string")]
+    return ranked(labelled, [], order, "rank_").withColumn("party", (F.col("rank_") % parties).cast("int")).drop("rank_")
 
 
 def cohort_sizes(eligible_all: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import PRIVATE, PUBLIC_ONLY, SHARED, clip_missing, local_maf_keep, minor_allele_frequency, split_role, variant_id
 from ..tables import keep
 from .checks import repeated_keys, violations
+from .ranks import ranked
 from .samples import draw_key
 
 
@@ -214,8 +215,7 @@ def variant_gene_overlap(variants: DataFrame, intervals: DataFrame, bin_width: i
 
 def thin_blocks(pairs: DataFrame, order: list[str], block: int = 100, seed: int = 0) -> DataFrame:
     """One random pair of each complete run of ``block`` pairs in order, by chromosome; the last, incomplete run gives none."""
-    n = F.row_number().over(Window.partitionBy("chrom").orderBy(*order)) - 1
-    t = pairs.withColumn("block", F.floor(n / block))
+    t = ranked(pairs, ["chrom"], order, "rank_").withColumn("block", F.floor(F.col("rank_") / block))
     cols = [c for c in pairs.columns if c != "chrom"]
     key = draw_key(seed, "variant_key", "gene_id")
     return t.groupBy("chrom", "block").agg(F.min_by(F.struct(*cols), key).alias("r"), F.count(F.lit(1)).alias("n")).where(F.col("n") == block).select("chrom", "block", "r.*")
@@ -265,26 +265,14 @@ def annotation_summary(ranked: DataFrame) -> DataFrame:
     )
 
 
-def place_in_order(df: DataFrame, by: list[str], position: str, order: list[str], name: str, width: int = 1_000_000) -> DataFrame:
-    """``df`` with ``name``, the one-based place within ``by`` in the order of ``position`` (a number), then ``order``.
-
-    Places are taken inside stretches of ``width`` positions and offset by the counts before them, so that no task orders a whole group.
-    """
-    t = df.withColumn("stretch_", F.floor(F.col(position) / width))
-    counts = t.groupBy(*by, "stretch_").agg(F.count(F.lit(1)).alias("n_"))
-    before = counts.select(*by, "stretch_", (F.sum("n_").over(Window.partitionBy(*by).orderBy("stretch_")) - F.col("n_")).alias("before_"))
-    rank = F.row_number().over(Window.partitionBy(*by, "stretch_").orderBy(position, *order))
-    return t.withColumn("rank_", rank).join(before, [*by, "stretch_"]).withColumn(name, (F.col("rank_") + F.col("before_")).cast("long")).drop("stretch_", "rank_", "before_", "n_")
-
-
 def window_ld_pairs(dosages: DataFrame, samples: int, window: int = 200, least_r2: float = 0.2) -> DataFrame:
     """chrom, a, b, r2 of variants at most ``window - 1`` ranks apart with r2 above ``least_r2``.
 
     ``dosages``: chrom, variant_key, pos, sample_id, dosage of carriers (absent rows are 0), over ``samples`` samples.
     """
     stats = dosages.groupBy("chrom", "variant_key", "pos").agg(F.sum("dosage").alias("s"), F.sum(F.col("dosage") * F.col("dosage")).alias("ss"))
-    ranked = place_in_order(stats, ["chrom"], "pos", ["variant_key"], "rank")
-    d = dosages.join(ranked.select("chrom", "variant_key", "rank", "s", "ss"), ["chrom", "variant_key"]).select("chrom", "sample_id", "rank", "variant_key", "dosage", "s", "ss").withColumn("bin", F.floor(F.col("rank") / window))
+    placed = ranked(stats, ["chrom"], ["pos", "variant_key"], "rank")
+    d = dosages.join(placed.select("chrom", "variant_key", "rank", "s", "ss"), ["chrom", "variant_key"]).select("chrom", "sample_id", "rank", "variant_key", "dosage", "s", "ss").withColumn("bin", F.floor(F.col("rank") / window))
     right = d.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") - 1)))
     x, y = d.alias("x"), right.alias("y")
     j = x.join(y, (F.col("x.chrom") == F.col("y.chrom")) & (F.col("x.sample_id") == F.col("y.sample_id")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("y.rank") - F.col("x.rank") < window))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ALL, check_thresholds, clip_missing, finite_rows, local_maf_keep, maf_keep
 from ..functions.pvalues import burden_p, normal_sf, wilson_hilferty_z
 from ..operators import association as assoc
 from ..operators import checks, compare, resource, samples, variants
+from ..operators.ranks import ranked
 from ..tables import keep
 
 
@@ -235,8 +236,7 @@ def split_cohort(inputs: SiteInputs, ancestries: list[str], shared_rate: float,
         if ALL not in ancestries:  # a site's ALL is then the union of the chosen groups
             own = own.where(F.col("ancestry").isin(ancestries))
         if n != "all":
-            rank = F.row_number().over(Window.partitionBy("ancestry").orderBy(samples.draw_key(seed, "sample_id"), "sample_id"))
-            own = own.withColumn("rank_", rank).where(F.col("rank_") <= int(n)).drop("rank_")
+            own = ranked(own, ["ancestry"], [samples.draw_key(seed, "sample_id"), "sample_id"], "rank_").where(F.col("rank_") < int(n)).drop("rank_")
         seen = variants.hide_role(inputs.variants, site, shared_rate)
         chosen = inputs.samples.join(own.select("sample_id"), "sample_id", "left_semi")
         calls = inputs.calls.join(chosen.select("sample_id"), "sample_id", "left_semi").join(seen.select("variant_key"), "variant_key", "left_semi").withColumn("site", F.lit(site))
