@@ -14,9 +14,33 @@ from .shared import keep
 ID = ["conv_id", "turn"]
 
 
+def canonical_numbers(json: Column) -> Column:
+    """JSON without blanks whose numbers have one form for each value: integers in full; others as the shortest digits that give the same double, without a trailing .0,
+    and with an exponent only from 1e21 on and below 1e-6. Texts in quotes stay."""
+    parts = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++|-'), F.lit(0))
+    plain = r"-?[0-9]+"
+
+    def form(x: Column) -> Column:
+        t = F.regexp_replace(x, "^-", "")
+        point = F.regexp_extract(t, r"^([0-9]+)", 1)
+        after = F.regexp_extract(t, r"^[0-9]+\.([0-9]+)", 1)
+        power = F.coalesce(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+        digits = F.regexp_replace(F.concat(point, after), "^0+|0+$", "")
+        # the value is 0.digits x 10^place
+        place = power + F.length(point) - F.length(F.regexp_extract(F.concat(point, after), "^(0*)", 1))
+        whole = F.when(place >= F.length(digits), F.rpad(digits, place, "0")).when(place > 0, F.concat(F.substring(digits, 1, place), F.lit("."), F.substring(digits, place + 1, F.length(digits))))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), digits)
+        tail = F.substring(digits, F.lit(2), F.length(digits))
+        power_form = F.concat(F.substring(digits, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.when(place > 0, "e+").otherwise("e"), (place - 1).cast("string"))
+        number = F.when(digits == "", "0").when((place > 21) | (place < -5), power_form).when(place > 0, whole).otherwise(small)
+        return F.when((digits == "") | ~x.startswith("-"), number).otherwise(F.concat(F.lit("-"), number))
+
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^-?[0-9]") & (~x.rlike(f"^{plain}$") | (x == "-0")), form(x)).otherwise(x)), "")
+
+
 def canonical_json(text: Column) -> Column:
-    """JSON with sorted keys, no blanks and plain numbers; null where ``text`` is no JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON with sorted keys, no blanks and numbers of one form; null where ``text`` is no JSON."""
+    return canonical_numbers(F.to_json(F.try_parse_json(text)))
 
 
 def _type_fits(kind: str, wanted: str) -> str:
@@ -48,15 +72,51 @@ def validate_arguments(calls: DataFrame, schemas: DataFrame, broadcast_tools: in
     return joined.withColumn("problems", problems).drop("tool_", "spec_", "map_", "args_")
 
 
-def order_keys(edges: DataFrame) -> DataFrame:
+def order_keys(edges: DataFrame, together: int = 2000) -> DataFrame:
     """conv_id, turn, pos, level, cyclic of the messages that cannot stand at their own turn.
 
     ``edges`` (conv_id, turn, dep_turn): a message comes after another of its conversation. Messages are sorted by (pos, level, turn); pos
-    is the turn unless something that must come earlier stands later, then pos is that one's and level one more than its.
-    Only messages that move take part in the rounds, of which there are as many as the longest chain of moved messages; messages that wait for each
+    is the latest turn among all that must come earlier and their own, and level the longest path to that one; messages that wait for each
     other in a circle, or for such, are cyclic and stay at their turns.
+
+    Conversations in which nothing waits for a later message need no keys. Others are ordered as one small array each while at most ``together``
+    messages wait in them, and longer ones in rounds of joins over their edges, as many as the longest chain.
     """
     edges = keep(edges.select("conv_id", "turn", "dep_turn").distinct(), "order-edges")
+    size = edges.groupBy("conv_id").agg(F.count_distinct("turn").alias("size_"), F.max(F.col("dep_turn") >= F.col("turn")).alias("late_")).where("late_")
+    edges = edges.join(size, "conv_id")
+    out = _keys_in_arrays(edges.where(F.col("size_") <= together))
+    if size.where(F.col("size_") > together).limit(1).count():
+        out = out.unionByName(_keys_in_rounds(edges.where(F.col("size_") > together).select(*ID, "dep_turn")))
+    return out
+
+
+def _keys_in_arrays(edges: DataFrame) -> DataFrame:
+    """Order keys by repeated maxima over each conversation's array of waiting messages, as often as it has messages or until nothing changes.
+
+    First the latest turn that each must come after; then, along the edges that keep this turn, the longest path. It has no more steps than messages,
+    so what grows beyond that hangs on a circle.
+    """
+    per = edges.groupBy(*ID).agg(F.sort_array(F.collect_list("dep_turn")).alias("deps")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "deps"))).alias("n"))
+    turns = "transform(n, x -> x.turn)"
+    per = per.withColumn("d", F.expr(f"transform(array({turns}), t -> transform(n, x -> transform(x.deps, y -> struct(y as turn, array_position(t, y) - 1 as at))))[0]"))
+    rounds = "sequence(1, size(n) + 1)"
+    settle = "aggregate({rounds}, struct({start} as v, false as done), (s, k) -> if(s.done, s, transform(array({step}), v -> struct(v, v = s.v as done))[0]), s -> s.v)"
+    later = "transform(d, (deps, i) -> greatest(s.v[i], array_max(transform(deps, y -> if(y.at < 0, y.turn, s.v[y.at])))))"
+    per = per.withColumn("pos", F.expr(settle.format(rounds=rounds, start=turns, step=later)))
+    per = per.withColumn("tight", F.expr("transform(d, (deps, i) -> filter(deps, y -> if(y.at < 0, y.turn, pos[y.at]) = pos[i]))"))
+    longer = "transform(tight, (deps, i) -> coalesce(array_max(transform(deps, y -> if(y.at < 0, 0, s.v[y.at]) + 1)), 0))"
+    per = per.withColumn("level", F.expr(settle.format(rounds=rounds, start="transform(n, x -> 0)", step=longer)))
+    per = per.select("conv_id", F.expr("size(n)").alias("most"), F.explode(F.arrays_zip(F.expr(turns).alias("turn"), "pos", "level")).alias("m")).select("conv_id", "m.turn", "m.pos", "m.level", "most")
+    cyclic = F.col("level") > F.col("most")
+    own = F.col("turn").cast("long")
+    keys = per.select(*ID, F.when(cyclic, own).otherwise(F.col("pos")).alias("pos"), F.when(cyclic, 0).otherwise(F.col("level")).alias("level"), cyclic.alias("cyclic"))
+    return keys.where("cyclic or pos != turn")
+
+
+def _keys_in_rounds(edges: DataFrame) -> DataFrame:
+    """Order keys by rounds of joins; only messages that move take part."""
+    edges = keep(edges, "order-edges")
     no = F.lit(False)
     keys = edges.limit(0).select(*ID, F.lit(0).cast("long").alias("pos"), F.lit(0).alias("level"), no.alias("cyclic"), no.alias("new"))
     while True:
@@ -107,10 +167,10 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
         flag(is_call & (F.col("call_turn") < F.col("turn")), "call_id used before"), flag(is_call & F.coalesce("lost", F.lit(False)), "waits for unknown call"), flag(F.coalesce("cyclic", F.lit(False)), "circle"),
     )
     linked = F.when(is_call, F.coalesce(own & F.col("answered"), F.lit(False))).when(is_result, F.col("call_turn").isNotNull())
-    json = F.expr(
+    json = canonical_numbers(F.expr(
         "to_json(named_struct('arguments', case when kind = 'call' then coalesce(try_parse_json(arguments), cast(arguments as variant)) end, 'call_id', call_id,"
         " 'content', case when kind = 'call' then null else content end, 'conv_id', conv_id, 'kind', kind, 'name', name, 'role', role, 'turn', turn))"
-    )
+    ))
     return out.select(
         "conv_id", "turn", "kind", "call_id", linked.alias("linked"), problems.alias("problems"),
         F.coalesce("pos", "turn").alias("pos"), F.coalesce("level", F.lit(0)).alias("level"), json.alias("json"),

@@ -1,4 +1,8 @@
 import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from rarevar_spark.llm import chat_format as C
 
@@ -37,10 +41,24 @@ def test_canonical_json(spark):
     args = '{ "x": 1, "o": {"b": [1, 2.50, null], "a": {"d": true, "c": 1e2}}, "y": "\\u00e9" }'
     got = chats(spark, [call(1, 0, "a", args)])[1, 0]
     assert got.problems == ["no result"]
-    assert got.json == '{"arguments":{"o":{"a":{"c":100.0,"d":true},"b":[1,2.5,null]},"x":1,"y":"é"},"call_id":"a","conv_id":1,"kind":"call","name":"f","role":"assistant","turn":0}'
+    assert got.json == '{"arguments":{"o":{"a":{"c":100,"d":true},"b":[1,2.5,null]},"x":1,"y":"é"},"call_id":"a","conv_id":1,"kind":"call","name":"f","role":"assistant","turn":0}'
     assert json.loads(got.json)["arguments"] == json.loads(args)
 
 
+def test_numbers_have_one_form(spark):
+    """100, 100.0 and 1e2 are one text; the forms are those that JavaScript prints."""
+    forms = {
+        "100": ["100", "100.0", "1e2", "1E+2", "1000e-1"], "0": ["0", "0.0", "-0", "-0.0", "0e5"], "-2.5": ["-2.5", "-2.50", "-25e-1"], "123456789012345680000": ["1.2345678901234568e20"], "1e+21": ["1e21"], "1.5e+300": ["15e299"],
+        "0.000001": ["1e-6", "0.000001"], "1e-7": ["1e-7", "0.0000001"], "-1.25e-9": ["-1.25e-9"], "12345678901234567890": ["12345678901234567890"], "10000000": ["1e7", "10000000"], "0.1": ["0.1", "1e-1"],
+    }
+    rows = [(want, f'{{"b":{x},"a":["1e2 \\" 1.0",{x}]}}') for want, xs in forms.items() for x in xs]
+    got = spark.createDataFrame(rows, "want string, text string").select("want", "text", C.canonical_json(F.col("text")).alias("json")).collect()
+    for r in got:
+        assert r.json == f'{{"a":["1e2 \\" 1.0",{r.want}],"b":{r.want}}}', r.text
+        assert json.loads(r.json)["b"] == pytest.approx(json.loads(r.text)["b"], rel=1e-15)
+    assert spark.range(1).select(C.canonical_json(F.lit("{x"))).first()[0] is None
+
+
 def test_odd_rows(spark):
     """Malformed arguments stay as text; repeated rows are repeated; a very long content; null everywhere."""
     rows = [call(1, 0, "a", "{x"), result(1, 1, "a"), result(1, 1, "a"), (1, 2, "text", "user", None, None, None, "long " * 100_000, None), (2, 0, None, None, None, None, None, None, None), call(3, 1, "b", None), call(3, 0, "b")]
@@ -78,6 +96,53 @@ def test_order(spark):
     assert "circle" in got[2, 0].problems and "circle" in got[2, 1].problems and "circle" not in got[2, 3].problems
 
 
+def keys_by_hand(edges):
+    """turn: (pos, level, cyclic) by searches from every message."""
+    deps, out = {}, {}
+    for t, d in edges:
+        deps.setdefault(t, set()).add(d)
+
+    def reach(t):
+        seen, todo = set(), [t]
+        while todo:
+            for d in deps.get(todo.pop(), ()):
+                if d not in seen:
+                    seen.add(d), todo.append(d)
+        return seen
+
+    top = {t: max({t} | reach(t)) for t in {x for e in edges for x in e}}
+    tight = {t: {d for d in deps.get(t, ()) if top[d] == top[t]} for t in top}
+    on_circle = {t for t in top if t in reach(t)}
+    longest = lambda t: max((longest(d) + 1 for d in tight[t]), default=0)
+    for t in deps:
+        stuck = bool(on_circle & {x for x in {t} | reach(t) if top[x] == top[t]})
+        if stuck or top[t] != t:
+            out[t] = (t, 0, True) if stuck else (top[t], longest(t), False)
+    return out
+
+
+@pytest.mark.parametrize("together", [2000, 6, 0])
+def test_order_keys(spark, together):
+    """Random graphs, with chains, circles and messages that wait for these, in arrays and in rounds."""
+    rng, graphs = random.Random(3), {}
+    for c in range(60):
+        n = rng.choice([2, 4, 8, 12])
+        graphs[c] = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(rng.choice([1, n // 2, n]))) if a != b}
+    df = spark.createDataFrame([(c, a, b) for c, g in graphs.items() for a, b in g for _ in "xy"], "conv_id long, turn long, dep_turn long")
+    got = {(r.conv_id, r.turn): (r.pos, r.level, r.cyclic) for r in C.order_keys(df, together).collect()}
+    assert got == {(c, t): k for c, g in graphs.items() for t, k in keys_by_hand(g).items()}
+
+
+def test_a_chain_of_500_takes_no_round_of_joins(spark, monkeypatch):
+    written, real = [], C.keep
+    monkeypatch.setattr(C, "keep", lambda df, name: written.append(name) or real(df, name))
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(500)], "conv_id long, turn long, dep_turn long")
+    assert {(r.turn, r.pos, r.level, r.cyclic) for r in C.order_keys(edges).collect()} == {(i, 500, 500 - i, False) for i in range(500)}
+    assert written == ["order-edges"]
+    ring = edges.unionByName(spark.createDataFrame([(1, 500, 0)], edges.schema))
+    assert {(r.turn, r.pos, r.level, r.cyclic) for r in C.order_keys(ring).collect()} == {(i, i, 0, True) for i in range(501)}
+
+
 def test_long_chain_and_empty(spark):
     n = 12
     rows = [call(1, i, f"c{i}", after=[f"c{i + 1}"] if i < n - 1 else None) for i in range(n)]
