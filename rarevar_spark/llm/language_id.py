@@ -2,8 +2,8 @@
 
 A word (a run of letters, lower-cased, with a space before it) is made of vocabulary pieces in any of the ways that spell it. Per
 language every piece has a probability, and the probability of a word is the sum over its segmentations of the product of
-their pieces: the forward algorithm. Piece probabilities are learned by expectation maximisation on the words of a
-bounded sample. The vocabulary has all single bytes, so every word has a segmentation.
+their pieces: the forward algorithm. Piece probabilities are learned by expectation maximisation on all words of a
+sample of documents. The vocabulary has all single bytes, so every word has a segmentation.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import keep
 from .textkit import prefix_hashes, span_hashes
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -136,53 +137,70 @@ def log_likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarr
     return out
 
 
+def expected_counts(words: list[str], weight: np.ndarray, pieces: Pieces, p: np.ndarray, letters: int = 40_000) -> np.ndarray:
+    """How often each piece is expected in ``words`` by language, shape of ``p``, if word i comes ``weight[i, lang]`` times: forward and backward sums.
+
+    Words of a like length go together, some ``letters`` letters at once.
+    """
+    seen = np.zeros_like(p)
+    n_lang = p.shape[1]
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    while order:
+        some = order[-max(1, min(2000, letters // (len(words[order[-1]]) + 1))) :]
+        del order[-len(some) :]
+        of, start, end, piece, length = pieces.edges([words[i] for i in some])
+        last = int(length.max())
+        (ahead, ahead_cuts), (back, back_cuts) = _by(end, last), _by(start, last)
+        every = np.arange(len(length))
+        alpha = np.zeros((len(length), last + 1, n_lang))
+        beta = np.zeros_like(alpha)
+        alpha[:, 0] = 1.0
+        beta[every, length] = 1.0
+        low, high = np.zeros((len(length), last + 1, n_lang)), np.zeros((len(length), last + 1, n_lang))  # logarithms that the sums are scaled by
+
+        def add(to: np.ndarray, scale: np.ndarray, k: np.ndarray, at: np.ndarray, other: np.ndarray, place: int) -> None:
+            """Sums over edges ``k`` into position ``place``, scaled by the largest of their other ends."""
+            base = np.full((len(length), n_lang), -np.inf)
+            np.maximum.at(base, of[k], scale[of[k], other[k]])
+            base[~np.isfinite(base)] = 0.0
+            step = to[of[k], other[k]] * p[piece[k]] * np.exp(scale[of[k], other[k]] - base[of[k]])
+            sums = np.stack([np.bincount(of[k], weights=step[:, lang], minlength=len(length)) for lang in range(n_lang)], axis=1)
+            new = np.unique(of[k])
+            factor = np.where(sums[new] > 0, sums[new], 1.0)
+            to[new, place], scale[new, place] = sums[new] / factor, base[new] + np.log(factor)
+
+        for e in range(1, last + 1):
+            add(alpha, low, ahead[ahead_cuts[e] : ahead_cuts[e + 1]], end, start, e)
+        for i in range(last - 1, -1, -1):
+            add(beta, high, back[back_cuts[i] : back_cuts[i + 1]], start, end, i)
+        total = low[every, length]  # alpha is 1 there
+        share = alpha[of, start] * p[piece] * beta[of, end] * np.exp(low[of, start] + high[of, end] - total[of]) * weight[some][of]
+        for lang in range(n_lang):
+            seen[:, lang] += np.bincount(piece, weights=share[:, lang], minlength=len(p))
+    return seen
+
+
 def learn_pieces(counts: dict[tuple[str, str], int], languages: list[str], vocabulary: dict[bytes, int], rounds: int = 4, smoothing: float = 0.01) -> np.ndarray:
     """Piece probabilities, shape (pieces, languages), by expectation maximisation on word counts per language."""
     size = max(vocabulary.values()) + 1
-    known = Pieces(vocabulary)
-    p = np.full((size, len(languages)), 1.0 / size)
+    pieces, p = Pieces(vocabulary), np.full((size, len(languages)), 1.0 / size)
     words = sorted({w for _, w in counts})
-    weight = np.zeros((len(words), len(languages)))
-    at = {w: i for i, w in enumerate(words)}
-    for (lang, w), n in counts.items():
-        weight[at[w], languages.index(lang)] = n
-    blocks = []
-    for s in range(0, len(words), 2000):
-        edges = known.edges(words[s : s + 2000])
-        last = int(edges[4].max())
-        blocks.append((s, edges, last, _by(edges[2], last), _by(edges[1], last)))
+    weight = np.array([[counts.get((lang, w), 0) for lang in languages] for w in words], dtype=float).reshape(len(words), len(languages))
     for _ in range(rounds):
-        seen = np.zeros_like(p)
-        for s, (of, start, end, piece, length), last, (ahead, ahead_cuts), (back, back_cuts) in blocks:
-            every = np.arange(len(length))
-            alpha = np.zeros((len(length), last + 1, len(languages)))
-            beta = np.zeros_like(alpha)
-            alpha[:, 0] = 1.0
-            beta[every, length] = 1.0
-            for e in range(1, last + 1):
-                k = ahead[ahead_cuts[e] : ahead_cuts[e + 1]]
-                step = alpha[of[k], start[k]] * p[piece[k]]
-                for lang in range(len(languages)):
-                    alpha[:, e, lang] = np.bincount(of[k], weights=step[:, lang], minlength=len(length))
-            for i in range(last - 1, -1, -1):
-                k = back[back_cuts[i] : back_cuts[i + 1]]
-                step = beta[of[k], end[k]] * p[piece[k]]
-                for lang in range(len(languages)):
-                    beta[:, i, lang] += np.bincount(of[k], weights=step[:, lang], minlength=len(length))
-            total = np.maximum(alpha[every, length], 1e-300)
-            share = alpha[of, start] * p[piece] * beta[of, end] / total[of] * weight[of + s]
-            for lang in range(len(languages)):
-                seen[:, lang] += np.bincount(piece, weights=share[:, lang], minlength=size)
-        p = (seen + smoothing) / (seen.sum(axis=0) + smoothing * size)
+        p = _maximised(expected_counts(words, weight, pieces, p), smoothing)
     return p
 
 
-def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language: int = 1000, words: int = 8000, word_bytes: int = 64) -> tuple[list[str], np.ndarray]:
+def _maximised(seen: np.ndarray, smoothing: float) -> np.ndarray:
+    return (seen + smoothing) / (seen.sum(axis=0) + smoothing * len(seen))
+
+
+def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language: int = 1000, rounds: int = 4, smoothing: float = 0.01, stretch: int = 2048) -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities from the text and lang of ``docs``.
 
-    Counts the words of about ``documents_per_language`` documents of each language, chosen by a hash of
-    doc_id, and keeps each language's ``words`` most frequent ones of at most ``word_bytes`` bytes: what reaches the driver is bounded
-    for each language, and a language is learned from its own words however few documents it has.
+    Counts all words of about ``documents_per_language`` documents of each language, chosen by a hash of doc_id; a run of more than
+    ``stretch`` letters counts as stretches of so many. Each round of expectation maximisation sums the expected counts in tasks over the
+    words; the driver gets a number for each piece and language.
     """
     rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -197,13 +215,36 @@ def train(docs: DataFrame, vocabulary: dict[bytes, int], documents_per_language:
         for batch in batches:
             n: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n.update((lang, w) for w in words_of(text))
+                n.update((lang, w[i : i + stretch]) for w in words_of(text) for i in range(0, len(w), stretch))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in n], pa.string()), "word": pa.array([k[1] for k in n], pa.string()), "n": pa.array(list(n.values()), pa.int64())})
 
-    counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counts.where(F.octet_length("word") <= word_bytes).withColumn("rank", rank).where(F.col("rank") <= words).collect()
-    return languages, learn_pieces({(r["lang"], r["word"]): r["n"] for r in top}, languages, vocabulary)
+    counts = keep(chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    size, sc = max(vocabulary.values()) + 1, docs.sparkSession.sparkContext
+    p = np.full((size, len(languages)), 1.0 / size)
+    for _ in range(rounds):
+        sent = sc.broadcast((languages, vocabulary, p))
+
+        def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            languages, vocabulary, p = sent.value
+            pieces, seen = Pieces(vocabulary), np.zeros_like(p)
+            number = {lang: i for i, lang in enumerate(languages)}
+            for batch in batches:
+                lang, word, n = (batch.column(i).to_pylist() for i in range(3))
+                words = sorted(set(word))
+                row = {w: i for i, w in enumerate(words)}
+                weight = np.zeros((len(words), len(languages)))
+                for x, w, k in zip(lang, word, n):
+                    weight[row[w], number[x]] = k
+                if words:
+                    seen += expected_counts(words, weight, pieces, p)
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen.reshape(-1)[at])], ["cell", "seen"])
+
+        sums = counts.mapInArrow(expect, "cell long, seen double").groupBy("cell").agg(F.sum("seen").alias("seen")).toArrow()  # a row for each piece and language at most
+        seen = np.zeros(size * len(languages))
+        seen[sums.column("cell").to_numpy()] = sums.column("seen").to_numpy()
+        p = _maximised(seen.reshape(size, len(languages)), smoothing)
+    return languages, p
 
 
 def identify(docs: DataFrame, languages: list[str], p: np.ndarray, vocabulary: dict[bytes, int], cached_words: int = 300_000) -> DataFrame:

@@ -63,11 +63,26 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in L.language_of(docs.where("lang is null"), VOCABULARY).collect()} == {"und"}, "no language learned"
 
 
+def test_training_in_tasks_equals_training_on_all_counts(spark):
+    """Every word counts, however many there are and however rare and long they are."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdeäß"), rng.integers(1, 9))) for _ in range(60)) + (" " + "abc" * 900 if i == 5 else ""), "xy"[i % 2]) for i in range(300)]
+    docs, vocabulary = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), L.read_vocabulary(VOCABULARY)
+    counts = {}
+    for _, text, lang in rows:
+        for w in L.words_of(text):
+            for i in range(0, len(w), 2048):
+                counts[lang, w[i : i + 2048]] = counts.get((lang, w[i : i + 2048]), 0) + 1
+    assert len(counts) > 8000
+    languages, p = L.train(docs, vocabulary, rounds=2)
+    assert languages == ["x", "y"] and np.allclose(p, L.learn_pieces(counts, languages, vocabulary, rounds=2), rtol=1e-9)
+
+
 def test_languages_are_learned_each_from_its_own_words(spark):
     """A language of few documents keeps its words beside one of many, ties go to the language first by name."""
     rows = [(i, " ".join(f"thing{chr(97 + i % 26)}{chr(97 + k)}" for k in range(26)), "en") for i in range(400)] + [(1000 + i, "fjord skål", "no") for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    languages, p = L.train(docs, L.read_vocabulary(VOCABULARY), words=100)
+    languages, p = L.train(docs, L.read_vocabulary(VOCABULARY))
     assert languages == ["en", "no"]
     got = {r.doc_id: r.lang_pred for r in L.identify(docs, languages, p, L.read_vocabulary(VOCABULARY)).collect()}
     assert all(got[i] == lang for i, _, lang in rows)
