@@ -136,7 +136,7 @@ def aligned_lines(owner: np.ndarray, pos: np.ndarray, other: np.ndarray, rare: n
     return np.unique(np.concatenate(gone)) if gone else np.zeros(0, np.int64)
 
 
-def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
+def lines_to_delete(docs: DataFrame, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
     """doc_id and the numbers of the lines that go, for documents with any."""
     lines = keep(document_lines(docs, block_words), "lines")
     total = lines.agg(F.count_distinct("doc_id")).first()[0]
@@ -152,7 +152,7 @@ def lines_to_delete(docs: DataFrame, rare_documents: int = 50, rare_words: int =
     cols = ["doc_id", "pos", "words", "n", "owner", "other"]
     aligned = mine.join(theirs, ["main", "key"]).withColumnRenamed("main", "owner").select(cols)
     shared = shared.join(main, "doc_id").where("owner != main").select(cols).unionByName(aligned)
-    rare = (F.col("n") <= max(rare_documents, rare_share * total)) & (F.col("words") >= rare_words)
+    rare = (F.col("n") <= rare_share * total) & (F.col("words") >= rare_words)
     shared = shared.select("doc_id", F.struct("owner", "pos", "other", "words", rare.alias("rare")).alias("line"))
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))  # at most the lines of one document
 
@@ -188,17 +188,17 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.transform(both, lambda s: F.array_join(F.transform(left(s), lambda i: F.get(s["lines"], i)), "\n"))[0]
 
 
-def delete_repeated_lines(docs: DataFrame, rare_documents: int = 50, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, rare_words: int = 5, block_words: int = 20, rare_share: float = 0.05) -> DataFrame:
     """``docs`` with the deleted lines gone from ``text``, and n_lines_removed.
 
     Lines are what stands between newlines, compared as they are. A block of aligned lines goes from the later document (of
     larger doc_id) if it has a rare line, one of at least ``rare_words`` words in at most the share ``rare_share`` of the
     documents with lines, or at least ``block_words`` words: lines that are short and common on their own, such as notices, stay.
-    In a table so small that the share is under ``rare_documents``, that many count as rare. Lines without a word are in no block. Texts that lose nothing stay as they are, null ones too; a text that loses all its lines with words
+    The share is the same for a table of any size. Lines without a word are in no block. Texts that lose nothing stay as they are, null ones too; a text that loses all its lines with words
     keeps its blank ones. doc_id is a key: the rows of a repeated one lose the same lines and don't count against
     each other. Other columns stay as they are (an old n_lines_removed is replaced); an empty table gives no rows.
     """
-    gone = lines_to_delete(docs, rare_documents, rare_words, block_words, rare_share).select(F.col("doc_id").alias("gone_id_"), F.col("gone").alias("gone_"))
+    gone = lines_to_delete(docs, rare_words, block_words, rare_share).select(F.col("doc_id").alias("gone_id_"), F.col("gone").alias("gone_"))
     joined = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id_"], "left")
     cols = [F.when(gone["gone_"].isNull(), docs["text"]).otherwise(without_lines(docs["text"], gone["gone_"])).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_lines_removed"]
     return joined.select(*cols, F.coalesce(F.size(gone["gone_"]), F.lit(0)).alias("n_lines_removed"))

@@ -128,7 +128,7 @@ def test_line_dedup(spark):
         (7, f"{d}\n{d}\n{e}"), (8, f"{d}\n{e}\n{d}\n{d}"), (9, f"{c}\n{a}"), (10, "\n\n"),
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id int, text string, owner string").repartition(3)
-    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.delete_repeated_lines(docs).collect()}
+    got = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.delete_repeated_lines(docs, rare_share=0.6).collect()}
     assert got[1] == (rows[0][1], 0) and got[2] == ("", 4)
     assert got[3] == ("new one here\n", 2)
     assert got[4] == (rows[3][1], 0), "a short line that documents share by chance stays"
@@ -148,7 +148,7 @@ def test_line_dedup_of_many_copies(spark):
     assert all(got[i] == rows[i][1] for i in range(0, 200, 2)), "a common line that is no long block stays"
 
 
-@pytest.mark.parametrize("size", [1300, 2600])
+@pytest.mark.parametrize("size", [100, 600, 1300, 6000])
 def test_line_dedup_is_the_same_at_any_size(spark, size):
     often, everywhere = "a repeated line of one in twenty-five", "a notice on every tenth page here"
     rows = [(i, f"page {i} alone\n{often if i % 25 == 1 else everywhere if i % 10 == 0 else i}") for i in range(size)]
@@ -214,8 +214,8 @@ def test_line_dedup_against_all_pairs(spark):
         for _ in range(rng.randint(1, 5)):
             lines += rng.choice(passages) if rng.random() < 0.5 else [f"own line {i} {rng.random()} of some more words"]
         texts[i] = "\n".join(lines)
-    want = lines_of_all_pairs(texts, 50, 5, 20)
-    found = line_dedup.lines_to_delete(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    want = lines_of_all_pairs(texts, 48, 5, 20)
+    found = line_dedup.lines_to_delete(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), rare_share=0.3)
     got = {(r.doc_id, p) for r in found.collect() for p in r.gone}
     earlier = {}
     for i, t in texts.items():
@@ -230,7 +230,7 @@ def test_line_dedup_edges(spark):
     long = "\n".join(f"line {i} of a very long text with words" for i in range(60_000))
     rows = [(1, long), (2, "own start\n" + long), (3, "a line of five words here"), (3, "a line of five words here"), (4, "a line of five words here\nnew"), (5, None)]
     docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, n_lines_removed int")
-    got = sorted((r.doc_id, r.text, r.n_lines_removed) for r in line_dedup.delete_repeated_lines(docs).where("text is not null").collect())
+    got = sorted((r.doc_id, r.text, r.n_lines_removed) for r in line_dedup.delete_repeated_lines(docs, rare_share=0.8).where("text is not null").collect())
     assert [(i, n) for i, _, n in got] == [(1, 0), (2, 60_000), (3, 0), (3, 0), (4, 1)]
     assert got[1][1] == "own start" and got[-1][1] == "new"
 

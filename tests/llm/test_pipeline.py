@@ -64,6 +64,6 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and sum(n.startswith("op") for n in names) == 10
+    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and sum(n.startswith("op") for n in names) == 13
     assert importlib.util.find_spec("corpus_pipeline") is not None and len(corpus_pipeline.STAGES) == 5
     assert set(entry.oracle_sql()) <= names
