@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import PRIVATE, PUBLIC_ONLY, SHARED, clip_missing, local_maf_keep, minor_allele_frequency, split_role, variant_id
+from ..functions.columns import PRIVATE, PUBLIC_ONLY, SHARED, canonical_variant_key, clip_missing, local_maf_keep, minor_allele_frequency, split_role, variant_id, variant_key_parts
 from ..tables import keep
 from .checks import repeated_keys, violations
 from .ranks import ranked
@@ -36,6 +36,31 @@ def invalid_dosages(calls: DataFrame, strict: bool = False) -> DataFrame:
     return violations(calls.where(F.coalesce(~F.col("dosage").isin(-9, 0, 1, 2), F.lit(True))), "dosage not in -9, 0, 1, 2", strict)
 
 
+def key_problems(variants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``variants`` (chrom, pos, ref, alt: one or more with commas, variant_key) that ``wanted`` (variant_key) asks for, by canonical key, with
+    allele_index, the place from 1 of the ALT that the key names, and reason, null where the key fits its row.
+
+    A key fits if it has four parts, the row's chromosome, position and REF, names exactly one of its ALTs, and no other row has it.
+    """
+    keys = wanted.select(canonical_variant_key("variant_key").alias("variant_key")).distinct()
+    t = variants.withColumn("variant_key", canonical_variant_key("variant_key")).join(keys, "variant_key", "left_semi")
+    repeated = t.groupBy("variant_key").agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1")
+    p, alts = variant_key_parts("variant_key"), F.split("alt", ",")
+    plain = lambda c: F.regexp_replace(c, "^chr", "")
+    named_alts = F.size(F.filter(alts, lambda a: a == p[3]))
+    at = F.coalesce((F.size(p) == 4) & (plain(p[0]) == plain(F.col("chrom"))) & (p[1] == F.col("pos").cast("string")), F.lit(False))
+    reason = F.when(~at, "coordinates").when(F.coalesce(p[2] != F.col("ref"), F.lit(True)), "ref").when(F.coalesce(named_alts != 1, F.lit(True)), "alt").when(F.col("n_").isNotNull(), "repeated")
+    t = t.join(repeated, "variant_key", "left")
+    return t.withColumns({"reason": reason, "allele_index": F.when(reason.isNull(), F.array_position(alts, p[3]).cast("int"))}).drop("n_")
+
+
+def requested_variants(variants: DataFrame, wanted: DataFrame) -> DataFrame:
+    """:func:`key_problems` without reason, refused if any key has one."""
+    t = key_problems(variants, wanted)
+    violations(t.where("reason is not null").select("variant_key", "reason"), "keys that don't fit their rows", strict=True)
+    return t.drop("reason")
+
+
 def hide_role(variants: DataFrame, site: str, shared_rate: float) -> DataFrame:
     """What a site of the artificial split sees: A no private variants, B no public-only ones."""
     return variants.where(split_role("variant_key", shared_rate) != (PRIVATE if site == "A" else PUBLIC_ONLY))

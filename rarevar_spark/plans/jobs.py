@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ALL, check_thresholds, clip_missing, finite_rows, local_maf_keep, maf_keep
@@ -244,60 +247,105 @@ def split_cohort(inputs: SiteInputs, ancestries: list[str], shared_rate: float,
     return out
 
 
-def genotype_pca(dosages: DataFrame, sample_table: DataFrame, k: int = 16, spare: int = 8, rounds: int = 30, tolerance: float = 1e-7) -> DataFrame:
+def _gram(t: DataFrame, columns: list[str]) -> np.ndarray:
+    """X'X of the array columns side by side, a row of X for each row: summed within each batch, then by cell."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.concatenate([batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in columns], axis=1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["cell", "x"])
+
+    cells = t.select(*columns).mapInArrow(part, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toArrow().sort_by("cell")
+    x = cells.column("x").to_numpy()
+    return x.reshape(math.isqrt(len(x)), -1)
+
+
+def _combined(v: str, m: np.ndarray) -> Column:
+    """The array column ``v`` times a small matrix."""
+    rows = F.array(*(F.array(*(F.lit(float(x)) for x in m[:, j])) for j in range(m.shape[1])))
+    return F.transform(rows, lambda c: F.aggregate(F.zip_with(v, c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+
+
+def _independent(gram: np.ndarray) -> np.ndarray:
+    """M such that X M is orthonormal, for X with this Gram matrix; dependent directions are left out."""
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    ok = value > max(1e-10 * value.max(), 1e-14)
+    return vector[:, ok] / np.sqrt(value[ok])
+
+
+def genotype_pca(dosages: DataFrame, sample_table: DataFrame, k: int = 16, spare: int = 8, passes: int = 40, tolerance: float = 1e-4, blocks: int = 6, report: dict | None = None) -> DataFrame:
     """sample_id, PC1.. of standardised dosages (sparse rows sample_id, variant_key, dosage); components are unit vectors, signs are arbitrary.
 
-    Block power iteration of ``k + spare`` vectors: dosages are joined with a row for each sample and summed by variant, then joined with these sums and summed by
-    sample. Only small square matrices come to the driver, whatever the number of samples. It ends when the ``k`` largest values change by
-    less than the share ``tolerance``, or after ``rounds``.
+    Block Krylov iteration (Golub and Underwood): a pass joins the newest ``k + spare`` basis vectors with the dosages, sums by variant, joins back and
+    sums by sample; the product is made orthogonal to the whole basis, which stands as one array for each sample. Only matrices of the
+    basis' width come to the driver, whatever the number of samples. Ritz vectors have the residual ||A u - value u|| in the part of the product that the basis doesn't
+    hold, and the iteration ends when the ``k`` largest have one under the share ``tolerance`` of the largest value. After ``blocks``
+    blocks it starts anew from the best vectors. ``report`` gets passes, values, residuals and trace (of A).
     """
-    spark = dosages.sparkSession
-    n = sample_table.select("sample_id").distinct().count()
+    people = sample_table.select("sample_id").distinct()
+    n = people.count()
     width = min(n, k + spare)
-    q = [f"q{i}" for i in range(width)]
     d = dosages.where("dosage > 0").select("sample_id", "variant_key", F.col("dosage").cast("double").alias("g"))
     stats = d.groupBy("variant_key").agg((F.sum("g") / F.lit(2.0 * n)).alias("f")).where("f > 0 and f < 1")
     d = keep(d.join(stats, "variant_key").select("sample_id", "variant_key", "f", (F.col("g") / F.sqrt(2 * F.col("f") * (1 - F.col("f")))).alias("g")), "standardised")
-    start = [(F.xxhash64("sample_id", F.lit(i)) / F.lit(float(1 << 63))).alias(c) for i, c in enumerate(q)]
-    vectors = keep(sample_table.select("sample_id").distinct().select("sample_id", *start), "pca-vectors")
-
-    def products(t: DataFrame, a: list[str], b: list[str]) -> np.ndarray:
-        row = t.agg(*(F.sum(F.col(x) * F.col(y)) for x in a for y in b)).first()
-        return np.array(row, dtype=float).reshape(len(a), len(b))
-
-    def turned(t: DataFrame, m: np.ndarray, names: list[str], *more: str) -> DataFrame:
-        combined = [sum((F.col(c) * float(m[i, j]) for i, c in enumerate(q)), F.lit(0.0)).alias(name) for j, name in enumerate(names)]
-        return t.select("sample_id", *combined, *more)
-
-    def orthonormal(gram: np.ndarray) -> np.ndarray:
-        value, vector = np.linalg.eigh(gram)
-        ok = value > 1e-12 * value.max()
-        return vector[:, ok] / np.sqrt(value[ok])
-
-    values = None
-    for _ in range(rounds):
-        basis = orthonormal(products(vectors, q, q))
-        if basis.shape[1] < len(q):  # fewer independent vectors than asked for
-            vectors, q = turned(vectors, basis, q[: basis.shape[1]]), q[: basis.shape[1]]
-        else:
-            vectors = turned(vectors, basis, q)
-        total = vectors.agg(*(F.sum(c).alias(c) for c in q)).first()
-        scale = F.first("f")
-        by_variant = d.join(vectors, "sample_id").groupBy("variant_key").agg(scale.alias("f"), *(F.sum(F.col("g") * F.col(c)).alias(c) for c in q))
-        mean = 2 * F.col("f") / F.sqrt(2 * F.col("f") * (1 - F.col("f")))
+    mean = 2 * F.col("f") / F.sqrt(2 * F.col("f") * (1 - F.col("f")))
+    trace = d.groupBy("variant_key").agg(F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum("g").alias("g"), F.first("f").alias("f")).agg(F.sum(F.col("gg") - 2 * mean * F.col("g") + n * mean * mean)).first()[0]
+    start = F.array(*((F.xxhash64("sample_id", F.lit(i)) / F.lit(float(1 << 63))) for i in range(width)))
+    t = keep(people.select("sample_id", start.alias("v")), "pca-basis")
+    t = keep(t.select("sample_id", _combined("v", _independent(_gram(t, ["v"]))).alias("v")), "pca-basis")
+    newest, size, done = width, width, 0
+
+    def product(t: DataFrame, size: int, newest: int) -> DataFrame:
+        """sample_id, v, w: A times the newest basis vectors."""
+        q = [f"q{i}" for i in range(newest)]
+        own = t.select("sample_id", *(F.col("v")[size - newest + i].alias(c) for i, c in enumerate(q)))
+        total = own.agg(*(F.sum(c).alias(c) for c in q)).first()
+        by_variant = d.join(own, "sample_id").groupBy("variant_key").agg(F.first("f").alias("f"), *(F.sum(F.col("g") * F.col(c)).alias(c) for c in q))
         by_variant = keep(by_variant.select("variant_key", mean.alias("m"), *((F.col(c) - mean * F.lit(float(total[c]))).alias(c) for c in q)), "pca-variants")
         shift = by_variant.agg(*(F.coalesce(F.sum(F.col("m") * F.col(c)), F.lit(0.0)).alias(c) for c in q)).first()
-        next_ = d.select("sample_id", "variant_key", "g").join(by_variant, "variant_key").groupBy("sample_id").agg(*(F.sum(F.col("g") * F.col(c)).alias(f"n_{c}") for c in q))
-        both = vectors.join(next_, "sample_id", "left")
-        both = keep(both.select("sample_id", *q, *((F.coalesce(f"n_{c}", F.lit(0.0)) - F.lit(float(shift[c]))).alias(f"n_{c}") for c in q)), "pca-vectors")
-        value, vector = np.linalg.eigh((h := products(both, q, [f"n_{c}" for c in q])) / 2 + h.T / 2)
-        largest = np.sort(value)[::-1][:k]
-        if values is not None and np.all(np.abs(largest - values) <= tolerance * np.abs(largest).max()) or width == n:
+        sums = d.select("sample_id", "variant_key", "g").join(by_variant, "variant_key").groupBy("sample_id").agg(*(F.sum(F.col("g") * F.col(c)).alias(c) for c in q))
+        w = F.array(*(F.coalesce(c, F.lit(0.0)) - F.lit(float(shift[c])) for c in q))
+        return t.join(sums, "sample_id", "left").select("sample_id", "v", w.alias("w"))
+
+    small = np.zeros((0, 0))  # V'AV of the blocks whose product is known
+    while True:
+        t = keep(product(t, size, newest), "pca-product")
+        done += 1
+        gram = _gram(t, ["v", "w"])
+        inside = gram[:size, size:]
+        grown = np.zeros((size, size))
+        grown[: len(small), : len(small)] = small
+        grown[:, size - newest :] = inside
+        grown[size - newest :, :] = inside.T
+        small = (grown + grown.T) / 2
+        # what the basis doesn't hold of the product, made orthogonal twice since the first time leaves rounding errors
+        t = keep(t.select("sample_id", "v", F.zip_with("w", _combined("v", inside), lambda a, b: a - b).alias("w")), "pca-product")
+        again = _gram(t, ["v", "w"])
+        rest = again[size:, size:] - again[:size, size:].T @ again[:size, size:]
+        value, vector = np.linalg.eigh(small)
+        order = np.argsort(-value)[: min(k, size)]
+        values, ritz = value[order], vector[:, order]
+        tail = ritz[size - newest :]
+        residuals = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", tail, rest, tail), 0))
+        grown_scale = float(np.trace(rest)) > 1e-20 * max(float(np.abs(values).max(initial=0.0)), 1e-300) ** 2
+        if residuals.max(initial=0.0) <= tolerance * max(float(values.max(initial=0.0)), 1e-300) or not grown_scale or done >= passes or size >= n:
             break
-        values = largest
-        vectors = both.select("sample_id", *(F.col(f"n_{c}").alias(c) for c in q))
-    top = vector[:, np.argsort(-value)[:k]]
-    return turned(both, top, [f"PC{i + 1}" for i in range(top.shape[1])])
+        if size + newest > blocks * width:  # start anew from the best vectors, of which all products are then unknown
+            best = vector[:, np.argsort(-value)[:width]]
+            t, size, newest, small = keep(t.select("sample_id", _combined("v", best).alias("v")), "pca-basis"), width, width, np.zeros((0, 0))
+            continue
+        more = _independent(rest)
+        t = t.select("sample_id", "v", F.zip_with("w", _combined("v", again[:size, size:]), lambda a, b: a - b).alias("w"))
+        t = keep(t.select("sample_id", F.concat("v", _combined("w", more)).alias("v")), "pca-basis")
+        newest, size = more.shape[1], size + more.shape[1]
+    if report is not None:
+        report |= {"passes": done, "values": values.tolist(), "residuals": residuals.tolist(), "trace": float(trace)}
+    u = t.select("sample_id", _combined("v", ritz).alias("u"))
+    return u.select("sample_id", *(F.col("u")[i].alias(f"PC{i + 1}") for i in range(ritz.shape[1])))
 
 
 def public_cohort_inputs(vcf_calls: DataFrame, vcf_variants: DataFrame, sample_table: DataFrame, intervals: DataFrame, panel: DataFrame, phenotype_names: list[str], k: int = 10, seed: int = 1) -> dict[str, DataFrame]:

@@ -249,8 +249,10 @@ PAIRS = f"WITH gc AS ({GENE_CALLS}) SELECT a.ancestry, a.chrom, a.gene_id, a.var
 
 @query(PAIRS)
 def carrier_pairs(t: Tables) -> DataFrame:
-    null, weighted, _ = _model(t)
-    return association.carrier_pairs(_gene_calls(t), weighted, null)
+    calls = _gene_calls(t)
+    sizes = _analysed(t).groupBy("ancestry").agg(F.count(F.lit(1)).alias("n"))
+    ac = calls.groupBy("ancestry", "chrom", "gene_id", "variant_key").agg(F.sum(F.col("dosage").cast("long")).alias("ac")).where("ac > 0")
+    return association.carrier_pairs(calls, association.variant_weights(ac, sizes), sizes)
 
 
 NULL = f"SELECT ancestry, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, var_samp(y0) AS v0, var_samp(y1) AS v1 FROM ({PEOPLE2}) GROUP BY ancestry"

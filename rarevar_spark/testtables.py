@@ -30,6 +30,20 @@ VIEWS = {
         UNION ALL SELECT 'B' AS site, variant_key, chrom FROM {variants} WHERE p_partkey % 10 < 6 OR p_partkey % 10 > 7""",
     "calls": """SELECT c.site, c.sample_id, v.variant_key, CAST(CASE WHEN c.called THEN least(2, c.lines) ELSE 0 END AS INT) AS dosage, c.called
         FROM {raw_calls} c JOIN {variants} v ON c.l_partkey = v.p_partkey JOIN {available} a ON a.variant_key = v.variant_key AND a.site = c.site""",
+    "turned_calls": """SELECT c.site, c.sample_id, c.variant_key, c.dosage, c.called FROM {calls} c JOIN {variants} v ON v.variant_key = c.variant_key WHERE v.p_partkey % 50 != 3
+        UNION ALL SELECT p.site, p.sample_id, a.variant_key, CAST(2 - coalesce(c.dosage, 0) AS INT) AS dosage, TRUE AS called
+        FROM {eligible} p JOIN {available} a ON a.site = p.site JOIN {variants} v ON v.variant_key = a.variant_key AND v.p_partkey % 50 = 3
+        LEFT JOIN {calls} c ON c.site = p.site AND c.sample_id = p.sample_id AND c.variant_key = a.variant_key WHERE coalesce(c.dosage, 0) < 2""",
+    "typed_dosages": """SELECT sample_id, variant_key, CAST(CASE WHEN bought THEN (base + 1) % 3 ELSE base END AS INT) AS dosage FROM
+        (SELECT p.sample_id, y.p_type AS variant_key, (length(p.ancestry) * (ascii(substr(y.p_type, 1, 1)) + 3 * ascii(substr(y.p_type, length(y.p_type), 1)) + length(y.p_type))) % 3 AS base, c.p_type IS NOT NULL AS bought
+            FROM {people} p CROSS JOIN (SELECT DISTINCT p_type FROM {part}) y
+            LEFT JOIN (SELECT DISTINCT r.sample_id, t.p_type FROM {raw_calls} r JOIN {part} t ON t.p_partkey = r.l_partkey) c ON c.sample_id = p.sample_id AND c.p_type = y.p_type)""",
+    "placed_consequences": """SELECT v.chrom, v.pos, v.ref, v.alt, c.gene_id, c.gene_symbol, c.mane, c.lof, c.ord
+        FROM {consequences} c JOIN {variants} v ON c.variant_key = concat('v', CAST(v.p_partkey AS STRING))""",
+    "asked_variants": """SELECT p_partkey, chrom, CASE WHEN p_partkey % 5 = 3 THEN pos + 1 ELSE pos END AS pos, CASE WHEN p_partkey % 5 = 1 THEN 'C' ELSE ref END AS ref,
+        CASE WHEN p_partkey % 7 = 0 THEN 'T,G' WHEN p_partkey % 7 = 1 THEN 'G,G' WHEN p_partkey % 7 = 2 THEN 'T' ELSE alt END AS alt,
+        CASE WHEN p_partkey % 2 = 0 THEN substr(variant_key, 4) ELSE variant_key END AS variant_key FROM {variants}
+        UNION ALL SELECT p_partkey, chrom, pos, ref, alt, variant_key FROM {variants} WHERE p_partkey % 11 = 0""",
     "eligible": "SELECT sample_id, ord, site, ancestry, y0, y1, x0 FROM {people} WHERE y1 IS NOT NULL",
     "consequences": """SELECT concat('v', CAST(l_partkey AS STRING)) AS variant_key, concat('g', CAST(l_suppkey AS STRING)) AS gene_id, concat('s', CAST(l_suppkey AS STRING)) AS gene_symbol,
         CASE WHEN l_linestatus = 'F' THEN 'NM' WHEN l_linenumber % 2 = 0 THEN '.' ELSE '' END AS mane, CASE WHEN l_returnflag = 'R' THEN 'HC' ELSE 'LC' END AS lof, CAST(l_orderkey AS BIGINT) * 100 + l_linenumber AS ord FROM {lineitem}""",
@@ -55,6 +69,12 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._dir, self._seen = spark, sf_dir, {}
 
+    def replaced(self, **tables: DataFrame) -> Tables:
+        """The same tables with some of them replaced."""
+        out = Tables(self._spark, self._dir)
+        out._seen |= tables
+        return out
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -81,6 +101,7 @@ def oracle(sql: str) -> str:
     plain = lambda s: re.sub(r"\{(\w+)\}", lambda m: f"v_{m[1]}" if m[1] in VIEWS else m[1], s)
     ctes = [f"v_{n} AS ({plain(VIEWS[n])})" for n in order]
     body = plain(sql).strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*ctes, body[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join([*ctes, body[len(start) :]])
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

@@ -7,7 +7,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from rarevar_spark import input_queries  # noqa: F401  registers its queries beside the others
+from rarevar_spark import input_queries, job_queries  # noqa: F401  register their queries beside the others
 from rarevar_spark import queries as Q
 from rarevar_spark.operators import checks
 
