@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import signed_weight
 from ..functions.pvalues import skat_p
+from ..tables import keep
 
 GENE = ["ancestry", "chrom", "gene_id"]
 
@@ -37,7 +39,8 @@ def null_model_moments(samples: DataFrame, covariates: int, phenotypes: int) ->
 
 
 def fit_null_model(moments: DataFrame) -> DataFrame:
-    """ancestry, n, rank, beta (phenotype, term), omega (pseudo-inverse of XtX), sigma2 = RSS / (n - rank) by phenotype, and sx, the terms' sums.
+    """ancestry, n, rank, beta (phenotype, term), omega (pseudo-inverse of XtX), sigma2 = RSS / (n - rank) by phenotype, sx, the terms' sums, and half,
+    with half half' = omega.
 
     The moments of all ancestries are a few small matrices; they are solved on the driver, after scaling columns to unit
     length, by eigenvalues, so that collinear covariates lower the rank.
@@ -60,8 +63,8 @@ def fit_null_model(moments: DataFrame) -> DataFrame:
         beta = omega @ xty
         rss = yty - np.einsum("ck,ck->k", xty, beta)
         rank = int(ok.sum())
-        rows.append((r["ancestry"], r["n"], rank, beta.T.tolist(), omega.tolist(), (np.maximum(rss, 0) / max(r["n"] - rank, 1)).tolist(), xtx[0].tolist()))
-    return moments.sparkSession.createDataFrame(rows, "ancestry string, n long, rank int, beta array<array<double>>, omega array<array<double>>, sigma2 array<double>, sx array<double>")
+        rows.append((r["ancestry"], r["n"], rank, beta.T.tolist(), omega.tolist(), (np.maximum(rss, 0) / max(r["n"] - rank, 1)).tolist(), xtx[0].tolist(), half.tolist()))
+    return moments.sparkSession.createDataFrame(rows, "ancestry string, n long, rank int, beta array<array<double>>, omega array<array<double>>, sigma2 array<double>, sx array<double>, half array<array<double>>")
 
 
 def gene_moments(gene_calls: DataFrame, samples: DataFrame, covariates: int, phenotypes: int) -> DataFrame:
@@ -198,13 +201,19 @@ def kernel_eigenvalues(k: np.ndarray) -> np.ndarray:
 KERNEL_SCHEMA = "ancestry string, maf_threshold double, chrom string, gene_id string, v_burden double, s1 double, s2 double, s3 double, s4 double, eigenvalues array<double>"
 
 
-def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame, widest: int | None = None, probes: int = 50, seed: int = 1) -> DataFrame:
+def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame, widest: int | None = None, probes: int | None = None, seed: int = 1) -> DataFrame:
     """ancestry, maf_threshold, chrom, gene_id, v_burden, s1 to s4 (traces of K to K^4) and eigenvalues of K. ``pairs`` are :func:`minor_pairs`.
 
     A group is one gene's moments: m columns and at most m (m + 1) / 2 pairs, whatever the number of samples; every gene is
     solved as a dense m x m matrix, of which a task holds two. Only where a caller sets ``widest``, a gene of more
-    variants gets its traces by random probes of the sparse form and null eigenvalues.
+    variants gets null eigenvalues, and its traces exactly by :func:`sparse_traces`, or with ``probes`` by that many random probes of the sparse form.
     """
+    if widest is not None and probes is None:
+        sizes = weighted.groupBy(*GENE).agg(F.count(F.lit(1)).alias("m_"))
+        wide = sizes.where(F.col("m_") > widest).select(*GENE)
+        narrow = gene_kernels(weighted.join(wide, GENE, "left_anti"), pairs.join(wide, GENE, "left_anti"), null, kept)
+        rest = sparse_traces(weighted.join(wide, GENE, "left_semi"), pairs.join(wide, GENE, "left_semi"), null, kept).drop("variants")
+        return narrow.unionByName(rest.withColumn("eigenvalues", F.lit(None).cast("array<double>")))
     w = minor_coded(weighted, null).join(kept.groupBy("variant_key").agg(F.collect_set("maf_threshold").alias("thresholds")), "variant_key")
     w = w.join(F.broadcast(null.select("ancestry", "omega")), "ancestry").select(*GENE, "variant_key", "w", "gtx", "thresholds", "omega")
 
@@ -248,6 +257,61 @@ def gene_kernels(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: D
     return w.groupBy(*GENE).cogroup(pairs.groupBy(*GENE)).applyInPandas(per_gene, KERNEL_SCHEMA)
 
 
+@F.pandas_udf(StructType([StructField(f"s{i}", DoubleType()) for i in (1, 2, 3, 4)]))
+def _projected_traces(a: pd.Series, m0: pd.Series, m1: pd.Series, m2: pd.Series, m3: pd.Series) -> pd.DataFrame:
+    """Traces of the powers of A - B B' from those of A and the small matrices B'B, B'AB, B'AAB and B'AAAB."""
+    out = []
+    for t, *flat in zip(a, m0, m1, m2, m3):
+        r = math.isqrt(len(flat[0]))
+        p, x, y, z = (np.array(f, dtype=float).reshape(r, r) for f in flat)
+        s2 = t[1] - 2 * np.trace(x) + (p * p).sum()
+        s3 = t[2] - 3 * np.trace(y) + 3 * (x * p).sum() - np.trace(p @ p @ p)
+        s4 = t[3] - 4 * np.trace(z) + 4 * (y * p).sum() + 2 * (x * x).sum() - 4 * (x * (p @ p)).sum() + np.trace(p @ p @ p @ p)
+        out.append((t[0] - np.trace(p), s2, s3, s4))
+    return pd.DataFrame(out, columns=["s1", "s2", "s3", "s4"])
+
+
+def sparse_traces(weighted: DataFrame, pairs: DataFrame, null: DataFrame, kept: DataFrame) -> DataFrame:
+    """ancestry, maf_threshold, chrom, gene_id, variants, v_burden, s1 to s4 as in :func:`gene_kernels`, for genes of any width without a matrix of the gene.
+
+    K = A - B B' with the sparse A = D HtH D / 2 and a few columns B = D HtX half / sqrt 2. A and A A are tables of their entries, made by joins over
+    the pairs, so that no task holds a gene; what is left per gene are matrices of the number of terms. The work is that of the sparse product: it suits rare
+    variants, of which few pairs have a common carrier.
+    """
+    key = [*GENE, "maf_threshold"]
+    w = minor_coded(weighted, null).join(kept, "variant_key").join(F.broadcast(null.select("ancestry", "half")), "ancestry")
+    b = F.expr("transform(sequence(0, size(half[0]) - 1), j -> w / sqrt(2.0D) * aggregate(zip_with(gtx, half, (g, h) -> g * h[j]), 0.0D, (s, x) -> s + x))")
+    v = keep(w.select(*key, "variant_key", "w", b.alias("b")), "kernel-columns")
+    side = lambda k: v.select(*key, F.col("variant_key").alias(k), F.col("w").alias(f"w{k}"))
+    entry = pairs.join(side("a"), [*GENE, "a"]).join(side("b"), [*key, "b"]).select(*key, "a", "b", (F.col("wa") * F.col("wb") * F.col("hth") / 2).alias("x"))
+    a = keep(entry.unionByName(entry.where("a != b").select(*key, F.col("b").alias("a"), F.col("a").alias("b"), "x")), "kernel-entries")
+    square = a.select(*key, F.col("a").alias("i"), F.col("b").alias("k"), "x").join(a.select(*key, F.col("a").alias("k"), F.col("b").alias("j"), F.col("x").alias("y")), [*key, "k"])
+    square = keep(square.groupBy(*key, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("y")), "kernel-squares")
+    both = square.join(a.select(*key, F.col("a").alias("i"), F.col("b").alias("j"), "x"), [*key, "i", "j"], "left")
+    higher = both.groupBy(*key).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("t3"), F.sum(F.col("y") * F.col("y")).alias("t4"))
+    lower = a.groupBy(*key).agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0.0)).alias("t1"), F.sum(F.col("x") * F.col("x")).alias("t2"), F.sum("x").alias("all"))
+
+    def times(t: DataFrame, name: str, out: str) -> DataFrame:
+        """A times the columns ``name`` of ``t``, as one row for each variant and column, summed, and put together again."""
+        rows = a.join(t.select(*key, F.col("variant_key").alias("b"), F.posexplode(name).alias("c", "y")), [*key, "b"])
+        sums = rows.groupBy(*key, "a", "c").agg(F.sum(F.col("x") * F.col("y")).alias("y"))
+        return sums.groupBy(*key, F.col("a").alias("variant_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "y"))), lambda s: s["y"]).alias(out))
+
+    y1 = keep(times(v, "b", "y1"), "kernel-products")
+    t = v.join(y1, [*key, "variant_key"], "left").join(times(y1.withColumnRenamed("y1", "y"), "y", "y2"), [*key, "variant_key"], "left")
+    zero = F.transform("b", lambda x: F.lit(0.0))
+    t = t.select(*key, "b", F.coalesce("y1", zero).alias("y1"), F.coalesce("y2", zero).alias("y2"))
+    outer = lambda p, q: F.flatten(F.transform(p, lambda x: F.transform(q, lambda y: x * y)))
+    cells = t.select(*key, F.array(outer(F.col("b"), F.col("b")), outer(F.col("b"), F.col("y1")), outer(F.col("y1"), F.col("y1")), outer(F.col("y1"), F.col("y2"))).alias("m"))
+    cells = cells.select(*key, F.posexplode("m").alias("m", "x")).select(*key, "m", F.posexplode("x").alias("c", "x")).groupBy(*key, "m", "c").agg(F.sum("x").alias("x"))
+    small = cells.groupBy(*key, "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("x"))  # matrices of the number of terms
+    small = small.groupBy(*key).agg(*(F.max(F.when(F.col("m") == i, F.col("x"))).alias(f"m{i}") for i in range(4)))
+    ones = v.select(*key, F.posexplode("b").alias("c", "x")).groupBy(*key, "c").agg(F.sum("x").alias("x")).groupBy(*key).agg(F.sum(F.col("x") * F.col("x")).alias("low"))
+    t = lower.join(higher, key).join(small, key).join(ones, key).join(v.groupBy(*key).agg(F.count(F.lit(1)).alias("variants")), key)
+    s = _projected_traces(F.array("t1", "t2", "t3", "t4"), "m0", "m1", "m2", "m3")
+    return t.withColumn("s", s).select("ancestry", "maf_threshold", "chrom", "gene_id", "variants", (2 * (F.col("all") - F.col("low"))).alias("v_burden"), "s.s1", "s.s2", "s.s3", "s.s4")
+
+
 def skat_pvalues(stats: DataFrame) -> DataFrame:
     """``stats`` (with q_skat, s1 to s4, eigenvalues) plus p_skat_liu, p_skat_davies, davies_converged.
 

@@ -345,6 +345,18 @@ def skat_liu_wh(t: Tables) -> DataFrame:
     return p.select(*key, "phenotype_index", F.round("p_skat_liu", 6).alias("p_skat_liu"), F.round(normal_sf(z), 6).alias("p_skat_wh"))
 
 
+@query(f"""{VARIANCE}, sq AS (SELECT x.ancestry, x.maf_threshold, x.chrom, x.gene_id, x.a, y.b, sum(x.k * y.k) AS k FROM k2 x JOIN k2 y ON x.ancestry = y.ancestry AND x.maf_threshold = y.maf_threshold AND x.chrom = y.chrom AND x.gene_id = y.gene_id AND x.b = y.a GROUP BY 1, 2, 3, 4, 5, 6)
+    SELECT ancestry, maf_threshold, chrom, gene_id, count(*) FILTER (WHERE a = b) AS variants, round(2 * sum(k2.k) / 1e3, 4) AS v_burden, round(sum(k2.k) FILTER (WHERE a = b) / 1e3, 5) AS s1, round(sum(k2.k * k2.k) / 1e6, 4) AS s2, round(sum(sq.k * k2.k) / 1e9, 4) AS s3, round(sum(sq.k * sq.k) / 1e12, 4) AS s4
+    FROM k2 JOIN sq USING (ancestry, maf_threshold, chrom, gene_id, a, b) GROUP BY 1, 2, 3, 4""")
+def sparse_traces(t: Tables) -> DataFrame:
+    """Traces of kernels of any width, by sparse products."""
+    null, weighted, kept = _model(t)
+    weighted = keep(weighted, "gene-moments")
+    s = association.sparse_traces(weighted, association.minor_pairs(_gene_calls(t), weighted, null), null, kept)
+    scaled = [("v_burden", 1e3, 4), ("s1", 1e3, 5), ("s2", 1e6, 4), ("s3", 1e9, 4), ("s4", 1e12, 4)]
+    return s.select("ancestry", "maf_threshold", "chrom", "gene_id", "variants", *((F.round(F.col(c) / x, d) + 0.0).alias(c) for c, x, d in scaled))
+
+
 #: Three eigenvalues, each twice, of every variant, and statistics from its mean to far out: the exact tail is a sum of three exponentials.
 _PAIRED = "SELECT variant_key, step, 1.0 + p_partkey % 7 AS a, 0.5 - (p_partkey % 3) / 10.0 AS b, 0.125 AS c, (2.0 + p_partkey % 7) * step * step * 2 AS q FROM {parts}, (SELECT explode(sequence(1, 12)) AS step)"
 

@@ -72,6 +72,21 @@ def test_moments_equal_dense(spark, random_case):
     assert (w.s1, w.s2, w.s3, w.s4, w.v_burden) == pytest.approx((r.s1, r.s2, r.s3, r.s4, v), rel=1e-8) and w.eigenvalues is None
 
 
+def test_traces_without_the_matrix(spark, random_case):
+    """Sparse products and small matrices give the traces of the dense kernels, with covariates and ALT-major variants, by threshold."""
+    null, weighted, pairs, kept = fitted(spark, random_case)
+    kept = kept.unionByName(kept.where("variant_key != 'v6'").withColumn("maf_threshold", F.lit(0.2)))
+    dense_ = {(r.gene_id, r.maf_threshold): r for r in A.gene_kernels(weighted, pairs, null, kept).collect()}
+    sparse = {(r.gene_id, r.maf_threshold): r for r in A.sparse_traces(weighted, pairs, null, kept).collect()}
+    assert sparse.keys() == dense_.keys() and sparse["g", 0.5].variants == 7
+    for k, r in sparse.items():
+        d = dense_[k]
+        assert (r.v_burden, r.s1, r.s2, r.s3, r.s4) == pytest.approx((d.v_burden, d.s1, d.s2, d.s3, d.s4), rel=1e-8)
+    mixed = {(r.gene_id, r.maf_threshold): r for r in A.gene_kernels(weighted, pairs, null, kept, widest=2).collect()}
+    assert mixed.keys() == dense_.keys() and mixed["g", 0.5].eigenvalues is None and len(mixed["h", 0.5].eigenvalues) == 2
+    assert mixed["g", 0.2].s4 == pytest.approx(dense_["g", 0.2].s4, rel=1e-8)
+
+
 def test_pairs_of_minor_alleles(spark, random_case):
     """Variants 3 and 4 are ALT-major: their pairs are those of 2 - g, and no carrier of the major allele enters one."""
     g, x, y, (people, calls) = random_case
