@@ -115,9 +115,15 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text is the text with its last ``floor(n_chars / 4)`` code points replaced by the first as many (or all) of
     the next document's, by ascending doc_id; after the last comes the first. Null counts as empty. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint (hexadecimal; '' without a word), near_edited, near_next. A repeated
-    doc_id counts once, with its least text. An empty table gives no rows; other columns are ignored.
+    doc_id counts once, with its least text. A null doc_id is one too, before all others. Texts of any length count whole. An empty table gives
+    no rows; other columns are ignored.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if base.where("doc_id is null").limit(1).count():
+        least = base.agg(F.min("doc_id")).first()[0]
+        nobody = 0 if least is None else least - 1
+        out = edited_fingerprints(base.withColumn("doc_id", F.coalesce("doc_id", F.lit(nobody))))
+        return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(nobody)))
     sizes = keep(base.select("doc_id", F.length("text").cast("long").alias("n")), "sizes")
     ids = sizes.select(F.col("doc_id").alias("id")).distinct()
     if sizes.count() != ids.count():

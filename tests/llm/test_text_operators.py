@@ -158,6 +158,12 @@ def test_fingerprints(spark):
     repeated = fingerprints.edited_fingerprints(docs.unionByName(docs.where("doc_id = 0")))
     assert repeated.count() == len(rows)
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
+    null = spark.createDataFrame([(None, "text of no id at all", "x"), (None, "text of no id at all", "x")], docs.schema)
+    more = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs.unionByName(null)).collect()}
+    assert len(more) == len(rows) + 1 and more[None].n_chars == 20 and more[0].fingerprint == got[0].fingerprint
+    first = rows[0][1] or ""
+    assert more[None].edited_sha256 == hashlib.sha256(("text of no id at all"[:15] + first[:5]).encode()).hexdigest()
+    assert [r.doc_id for r in fingerprints.edited_fingerprints(null).collect()] == [None]
 
 
 def test_low_bits_do_not_bias(spark):
