@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import association, checks, variants
 from .plans import jobs
-from .queries import COUNTS, GENE_VARIANTS, PAIRS, U, VARIANCE, _analysed, _gene_calls, _gene_variants, _kernels, query
+from .queries import COUNTS, GENE_VARIANTS, PAIRS, SEED, U, VARIANCE, _analysed, _gene_calls, _gene_variants, _kernels, _normal, query
 from .tables import keep
 from .testtables import Tables
 
@@ -130,6 +130,25 @@ def annotation_job(t: Tables) -> DataFrame:
     )
 
 
+@query(f"""WITH hits AS (SELECT v.chrom, v.variant_key, v.ord, i.gene_id FROM {{typed_variants}} v JOIN {{intervals}} i ON i.chrom = v.chrom AND v.pos BETWEEN i.start AND i."end"),
+    blocks AS (SELECT *, (row_number() OVER (PARTITION BY chrom ORDER BY ord, gene_id) - 1) // 100 AS block, sha256(concat('{SEED}:', variant_key, ':', gene_id)) AS h FROM hits)
+    SELECT 'annotation' AS kind, arg_min(variant_key, h) AS name, arg_min(gene_id, h) AS of, NULL::DOUBLE AS number FROM blocks GROUP BY chrom, block HAVING count(*) = 100
+    UNION ALL SELECT 'gene' AS kind, gene_id AS name, chrom AS of, row_number() OVER (PARTITION BY chrom ORDER BY start, gene_id) - 1 AS number FROM {{intervals}}
+    UNION ALL SELECT 'ancestry' AS kind, sample_id AS name, ancestry AS of, 2 AS number FROM {{people}}
+    UNION ALL SELECT 'phenotype' AS kind, sample_id AS name, 'p1' AS of, p1 AS number FROM (SELECT sample_id, {_normal("p1")} FROM {{people}})""")
+def public_cohort(t: Tables) -> DataFrame:
+    """Thinned annotations, genes, ancestries with two components of the pruned common variants, and a simulated phenotype of a public cohort."""
+    place = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "gene_id")) - 1
+    calls = keep(t.typed_dosages.where("dosage > 0").withColumn("called", F.lit(True)), "public-calls")
+    panel = t.people.select("sample_id", F.col("ancestry").alias("super_pop"))
+    out = jobs.public_cohort_inputs(calls, t.typed_variants, t.people.select("sample_id"), t.intervals.withColumn("order_index", place), panel, ["p1"], k=2, seed=SEED)
+    row = lambda df, kind, name, of, number: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), of.alias("of"), number.cast("double").alias("number"))
+    return (
+        row(out["annotations"], "annotation", "variant_key", F.col("gene_id"), F.lit(None)).unionByName(row(out["genes"], "gene", "gene_id", F.col("chrom"), F.col("order_index")))
+        .unionByName(row(out["ancestries"], "ancestry", "sample_id", F.col("ancestry"), F.json_array_length("pca_features"))).unionByName(row(out["phenotypes"], "phenotype", "sample_id", F.lit("p1"), F.round("p1", 7)))
+    )
+
+
 _FAULTY = f"""WITH counts AS (SELECT c.variant_key, CAST(CASE WHEN v.p_partkey % 43 = 0 THEN 1000000000 WHEN v.p_partkey % 41 = 0 THEN 0 ELSE c.ac END AS BIGINT) AS ac FROM (SELECT variant_key, sum(ac) AS ac FROM ({COUNTS}) GROUP BY 1) c JOIN {{variants}} v ON v.variant_key = c.variant_key),
     people AS (SELECT sample_id, ancestry FROM {{eligible}} UNION ALL SELECT sample_id, 'ALL' AS ancestry FROM {{eligible}}), sizes AS (SELECT ancestry, count(*) AS n FROM people GROUP BY 1), total AS (SELECT count(*) AS n FROM {{eligible}}),
     gv AS (SELECT chrom, gene_id, variant_key FROM ({GENE_VARIANTS}) WHERE variant_key IS NOT NULL),

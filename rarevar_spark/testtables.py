@@ -38,6 +38,7 @@ VIEWS = {
         (SELECT p.sample_id, y.p_type AS variant_key, (length(p.ancestry) * (ascii(substr(y.p_type, 1, 1)) + 3 * ascii(substr(y.p_type, length(y.p_type), 1)) + length(y.p_type))) % 3 AS base, c.p_type IS NOT NULL AS bought
             FROM {people} p CROSS JOIN (SELECT DISTINCT p_type FROM {part}) y
             LEFT JOIN (SELECT DISTINCT r.sample_id, t.p_type FROM {raw_calls} r JOIN {part} t ON t.p_partkey = r.l_partkey) c ON c.sample_id = p.sample_id AND c.p_type = y.p_type)""",
+    "typed_variants": """SELECT p_type AS variant_key, CAST(21 + length(p_type) % 2 AS STRING) AS chrom, CAST(1000 + 10 * min(p_partkey) AS BIGINT) AS pos, CAST(min(p_partkey) AS BIGINT) AS ord FROM {part} GROUP BY p_type""",
     "placed_consequences": """SELECT v.chrom, v.pos, v.ref, v.alt, c.gene_id, c.gene_symbol, c.mane, c.lof, c.ord
         FROM {consequences} c JOIN {variants} v ON c.variant_key = concat('v', CAST(v.p_partkey AS STRING))""",
     "asked_variants": """SELECT p_partkey, chrom, CASE WHEN p_partkey % 5 = 3 THEN pos + 1 ELSE pos END AS pos, CASE WHEN p_partkey % 5 = 1 THEN 'C' ELSE ref END AS ref,
