@@ -6,6 +6,8 @@ is the major allele nearly every sample is a carrier; such carriers are counted
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,23 +36,34 @@ def cumulative_mac(minor: DataFrame, gene_variants: DataFrame) -> DataFrame:
     return t.groupBy("ancestry", "maf_threshold", "chrom", "gene_id", "site").agg(F.sum("minor").alias("cmac"))
 
 
-def carrier_counts(calls: DataFrame, minor: DataFrame, gene_variants: DataFrame, sizes: DataFrame) -> DataFrame:
+def carrier_counts(calls: DataFrame, minor: DataFrame, gene_variants: DataFrame, sizes: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
     """ancestry, maf_threshold, chrom, gene_id, site, carriers: samples with a minor allele of a kept variant, each once.
 
     ``calls``: ancestry, site, sample_id, variant_key, dosage, called (dosage not 0, or not called). In a gene with f flipped variants a sample is no
-    carrier only if it has f stored rows of them with dosage 2 or not called, and no minor allele of another variant.
+    carrier only if it has f stored rows of them with dosage 2 or not called, and no minor allele of another variant. The ``thresholds`` (those of
+    ``minor`` if not given, at most 62) are bits of one number for each variant, so that calls are joined and grouped by sample once, whatever their number.
     """
-    group = ["ancestry", "maf_threshold", "chrom", "gene_id", "site"]
+    if thresholds is None:
+        thresholds = sorted(r[0] for r in minor.select("maf_threshold").distinct().collect())  # a few
+    gene = ["ancestry", "chrom", "gene_id", "site"]
+    bits = [F.lit(1 << i).cast("long") for i in range(len(thresholds))]
     v = minor.join(gene_variants.select("chrom", "gene_id", "variant_key").distinct(), ["chrom", "variant_key"])
-    flips = v.groupBy(*group).agg(F.count_if("flipped").alias("f"))
-    rows = calls.join(v.select(*group, "variant_key", "flipped"), ["ancestry", "site", "variant_key"])
+    flips = v.groupBy("maf_threshold", *gene).agg(F.count_if("flipped").alias("f"))
+    bit = reduce(lambda out, x: F.when(F.col("maf_threshold") == x[0], x[1]).otherwise(out), zip(thresholds, bits), F.lit(0).cast("long"))
+    v = v.groupBy(*gene, "variant_key", "flipped").agg(F.bit_or(bit).alias("kept"))
+    rows = calls.join(v, ["ancestry", "site", "variant_key"])
+    zero = F.lit(0).cast("long")
     seen = ~F.col("flipped") & F.col("called") & (F.col("dosage") > 0)
     shield = F.col("flipped") & (~F.col("called") | (F.col("dosage") == 2))
-    per = rows.groupBy(*group, "sample_id").agg(F.max(seen).alias("seen"), F.count_if(shield).alias("shields"))
-    per = per.join(flips, group).groupBy(*group).agg(F.count_if("seen").alias("seen"), F.count_if(~F.col("seen") & (F.col("shields") == F.col("f"))).alias("none"))
-    t = flips.join(per, group, "left").join(F.broadcast(sizes), ["ancestry", "site"])
+    shields = [F.count_if(shield & (F.col("kept").bitwiseAND(x) != 0)).alias(f"shields{i}") for i, x in enumerate(bits)]
+    per = rows.groupBy(*gene, "sample_id").agg(F.bit_or(F.when(seen, F.col("kept")).otherwise(zero)).alias("seen"), *shields)
+    f = flips.groupBy(*gene).agg(*(F.max(F.when(F.col("maf_threshold") == x, F.col("f"))).alias(f"f{i}") for i, x in enumerate(thresholds)))
+    has = lambda i: F.col("seen").bitwiseAND(bits[i]) != 0
+    counts = [F.struct(F.lit(x).alias("maf_threshold"), F.count_if(has(i)).alias("seen"), F.count_if(~has(i) & (F.col(f"shields{i}") == F.col(f"f{i}"))).alias("none")) for i, x in enumerate(thresholds)]
+    per = per.join(f, gene).groupBy(*gene).agg(F.array(*counts).alias("c")).select(*gene, F.explode("c").alias("c")).select("c.maf_threshold", *gene, "c.seen", "c.none")
+    t = flips.join(per, ["maf_threshold", *gene], "left").join(F.broadcast(sizes), ["ancestry", "site"])
     carriers = F.when(F.col("f") > 0, F.col("n") - F.coalesce("none", F.lit(0))).otherwise(F.coalesce("seen", F.lit(0)))
-    return t.select(*group, carriers.cast("long").alias("carriers"))
+    return t.select("ancestry", "maf_threshold", "chrom", "gene_id", "site", carriers.cast("long").alias("carriers"))
 
 
 def by_gene(genes: DataFrame, strata: DataFrame, carriers: DataFrame, cmac: DataFrame) -> DataFrame:

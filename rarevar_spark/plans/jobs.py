@@ -197,7 +197,7 @@ def resource_stats(a: Prepared, b: Prepared, thresholds: list[float], carriers:
     both = a.gene_variants.select("chrom", "gene_id", "variant_key").unionByName(b.gene_variants.select("chrom", "gene_id", "variant_key")).where("variant_key is not null").distinct()
     cells = strata.crossJoin(a.counts.sparkSession.createDataFrame([(t,) for t in thresholds], "maf_threshold double"))
     genes = a.gene_variants.select("chrom", "gene_id").distinct()
-    by_gene = keep(resource.by_gene(genes, cells, resource.carrier_counts(calls, minor, both, sizes), resource.cumulative_mac(minor, both)), "by-gene")
+    by_gene = keep(resource.by_gene(genes, cells, resource.carrier_counts(calls, minor, both, sizes, thresholds), resource.cumulative_mac(minor, both)), "by-gene")
     out = resource.carrier_coverage(by_gene, carriers).unionByName(resource.cmac_histogram(by_gene, bins)).unionByName(resource.variant_overlap(minor, both, cells, genes))
     return out.select(
         "ancestry", "maf_threshold", F.lit(annotation).alias("annotation"), F.col("chrom").alias("chromosome"), F.lit(gene_set).alias("gene_set"),

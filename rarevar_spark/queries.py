@@ -405,7 +405,7 @@ def _site_parts(t: Tables) -> dict[str, DataFrame]:
 @query(SITE + " SELECT * FROM carriers")
 def carrier_counts(t: Tables) -> DataFrame:
     p = _site_parts(t)
-    return resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"]).where("carriers > 0")
+    return resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"], THRESHOLDS).where("carriers > 0")
 
 
 @query(SITE + " SELECT * FROM cmac")
@@ -416,7 +416,7 @@ def cmac(t: Tables) -> DataFrame:
 
 def _by_gene(t: Tables) -> DataFrame:
     p = _site_parts(t)
-    return resource.by_gene(t.genes, p["strata"], resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"]), resource.cumulative_mac(p["minor"], p["gv"]))
+    return resource.by_gene(t.genes, p["strata"], resource.carrier_counts(p["calls"], p["minor"], p["gv"], p["sizes"], THRESHOLDS), resource.cumulative_mac(p["minor"], p["gv"]))
 
 
 _PANEL = "SELECT ancestry, maf_threshold, chrom, '{panel}' AS panel, s.series, s.lower, s.upper, count(*) FILTER (WHERE {cond}) AS count FROM {source} CROSS JOIN ({cells}) s GROUP BY 1, 2, 3, 4, 5, 6, 7"
