@@ -52,7 +52,7 @@ def site_rules(site: str, summary: DataFrame, sizes: DataFrame, counts: DataFram
         f"{site}: cohort AC above twice the cohort": odd_counts,
         f"{site}: a variant's counts differ between genes": inconsistent_variants(per_ancestry, ["analysis_ac", "missing", "carriers"]),
         f"{site}: a variant twice in a gene": repeated_keys(wanted, ["chrom", "gene_id", "variant_key"]),
-        f"{site}: role without a variant": gene_variants.where("variant_key is null and role is not null").select("chrom", "gene_id", "role"),
+        f"{site}: private role without a variant": gene_variants.where("variant_key is null and role = 'private'").select("chrom", "gene_id", "role"),
         f"{site}: public and private": public_and_private(wanted),
     }
 

@@ -71,7 +71,7 @@ FAULTS = {
     "gene_order": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, order_index="1 - order_index"))), "gene that site A"),
     "column_count": (lambda a, b: (a, replace(b, gene_variants=b.gene_variants.join(b.gene_variants.where("role != 'private'").limit(1).select("variant_key"), "variant_key", "left_anti"))), "public variants differ"),
     "private_rows": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, gene_id="if(role = 'private', 'G2', gene_id)"))), "the gene doesn't have"),
-    "missing_private_keys": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, variant_key="if(role = 'private', null, variant_key)"))), "role without a variant"),
+    "missing_private_keys": (lambda a, b: (a, replace(b, gene_variants=changed(b.gene_variants, variant_key="if(role = 'private', null, variant_key)"))), "private role without a variant"),
     "public_and_private": (lambda a, b: (a, replace(b, gene_variants=b.gene_variants.unionByName(changed(b.gene_variants.where("role = 'shared'"), role="'private'", gene_id="'G2'", order_index="2")))), "public and private"),
     "ac_above_cohort_ac": (lambda a, b: (replace(a, counts=changed(a.counts, ac="ac - 1")), b), "A: analysis AC above"),
     "cohort_ac_above_cohort": (lambda a, b: (a, replace(b, counts=changed(b.counts, ac="1000L"))), "B: cohort AC above"),
