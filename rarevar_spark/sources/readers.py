@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_variant_key, is_finite, packed_covariate, parse_attribute, parse_missing
 from ..operators.checks import violations
+from .blocks import text_lines
 
 
 def _header(spark: SparkSession, path: str, starts: str = "") -> str:
@@ -118,13 +119,16 @@ def read_ancestries(spark: SparkSession, path: str, id_col: str, label_col: str)
 def read_vcf(spark: SparkSession, path: str, keep_samples: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(variants, samples, calls) of a VCF text: PASS records of one ALT, and calls that are not homozygous for the reference.
 
-    A compressed file is one split, so its lines are dealt out before they are taken apart.
+    A block-compressed file is read split by split as a plain one is (``blocks``); any other compressed file is one task.
     """
-    names = _header(spark, path, "#CHROM").split("\t")[9:]
+    text = text_lines(spark, path)
+    header = text.where(F.col("value").startswith("#CHROM")).first()
+    if header is None:
+        raise ValueError(f"{path}: no header line")
+    names = header["value"].split("\t")[9:]
     wanted = [i for i, s in enumerate(names) if keep_samples is None or s in set(keep_samples)]
     samples = spark.createDataFrame([(names[i], k) for k, i in enumerate(wanted)], "sample_id string, ord long")
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where(~F.col("value").startswith("#"))
-    lines = lines.repartition(F.xxhash64("ord"))
+    lines = text.where(~F.col("value").startswith("#"))
     c = F.split("value", "\t")
     rows = lines.select("ord", F.regexp_replace(c[0], "^chr", "").alias("chrom"), c[1].cast("long").alias("pos"), c[3].alias("ref"), c[4].alias("alt"), c[6].alias("filter"), c.alias("c"))
     rows = rows.where(F.col("filter").isin("PASS", ".") & ~F.col("alt").contains(","))
