@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine of headers and whole files to templates, then inheritance from the nearest directory.
 
 Terms weigh by how few of the files hold them. A file is licensed by its own header, the line or block of lines nearest to a template, or by the nearest of
-its directories (its own first) that holds a licence file: one whose whole text is near a template, or one that is named so and has a header. All
-of it is joins, sums and column expressions.
+its directories (its own first) that holds a licence file: one whose whole text is near a template, one with the title of a licence, or one that is
+named so and has a header. All of it is joins, sums and column expressions.
 """
 
 from __future__ import annotations
@@ -69,6 +69,32 @@ TEXTS = [
         source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
 ]
 TEMPLATES = NOTICES + TEXTS
+
+# The titles, with version and date, that licences of many pages stand under, by SPDX identifier.
+TITLES = [
+    ("GPL-1.0-only", "GNU General Public License Version 1, February 1989"),
+    ("GPL-2.0-only", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0-only", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.0-only", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0-only", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GFDL-1.1-only", "GNU Free Documentation License Version 1.1, March 2000"),
+    ("GFDL-1.2-only", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3-only", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-1.0", "Mozilla Public License Version 1.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("Artistic-1.0-Perl", "The \"Artistic License\""),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+]
+#: The least cosine of a line or block that is taken for a title: with less, another version or a sentence about the licence would do.
+TITLE_SCORE = 0.9
 #: Names of files that are there to hold a licence.
 LICENCE_NAME = "(?i)(^|/)(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 #: What stands between the blocks of a text.
@@ -105,7 +131,7 @@ def template_weights(templates: list[tuple[str, str]], shares: dict[str, float])
 
 
 def anchor_terms(idf: dict[str, float], vectors: list[dict[str, float]], threshold: float) -> list[str]:
-    """Terms of which a text has at least one if its cosine to a template is at least ``threshold``.
+    """Terms of which a text has at least one if its cosine to one of ``vectors`` is at least ``threshold``.
 
     Of each template, its rarest terms (the longest of equals, since short words are common in texts), as many as leave terms whose
     vector is shorter than the threshold: without the anchors the cosine cannot reach it.
@@ -121,16 +147,18 @@ def anchor_terms(idf: dict[str, float], vectors: list[dict[str, float]], thresho
     return sorted(anchors)
 
 
-def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold: float, titles: list[tuple[str, str]] = TITLES) -> DataFrame:
     """file_id, line (-1: the whole text; from FIRST_BLOCK on: a block of more than one line), template (number) and score of the best template
-    of each segment that reaches ``threshold``.
+    of each segment that reaches ``threshold``, or TITLE_SCORE for titles, which have the numbers after the templates.
 
     Of equal scores the first template wins.
     """
-    spark = files.sparkSession
+    spark, n_texts = files.sparkSession, len(templates)
+    templates = templates + titles
     shares = term_shares(files, sorted({t for c in template_terms(templates) for t in c}))
     idf, vectors, unknown = template_weights(templates, shares)
-    anchors = F.array(*map(F.lit, anchor_terms(idf, vectors, threshold)))
+    least = lambda k: threshold if k < n_texts else TITLE_SCORE
+    anchors = F.array(*map(F.lit, sorted({*anchor_terms(idf, vectors[:n_texts], threshold), *anchor_terms(idf, vectors[n_texts:], TITLE_SCORE)})))
     anchored = F.arrays_overlap(F.split("text", "[^a-z0-9]+"), anchors)  # one pass over a text, whatever the number of anchors
     table = spark.createDataFrame([(t, idf[t], [v.get(t, 0.0) for v in vectors]) for t in idf], "term string, idf double, w array<double>")
     held = files.select("file_id", F.lower("text").alias("text")).where(anchored)
@@ -143,29 +171,34 @@ def segment_scores(files: DataFrame, templates: list[tuple[str, str]], threshold
     dots = [F.round(F.sum(F.col("tf") * F.col("idf") * F.col("w")[k]), 9).alias(f"dot{k}") for k in range(len(templates))]
     norm = F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(unknown)), 2)))
     summed = weighed.groupBy("file_id", "line").agg(norm.alias("norm"), *dots)
-    best = F.array_max(F.array(*(F.struct(F.coalesce(F.col(f"dot{k}"), F.lit(0.0)).alias("dot"), F.lit(-k).alias("k")) for k in range(len(templates)))))
-    scored = summed.select("file_id", "line", best.alias("best"), "norm")
-    return scored.select("file_id", "line", (-F.col("best.k")).alias("template"), F.round(F.col("best.dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    score = lambda dot: F.round(dot / F.col("norm"), 6)
+    near = [F.when(score(F.col(f"dot{k}")) >= least(k), F.struct(F.col(f"dot{k}").alias("dot"), F.lit(-k).alias("k"))) for k in range(len(templates))]
+    scored = summed.select("file_id", "line", F.array_max(F.array(*near)).alias("best"), "norm").where("best is not null")
+    return scored.select("file_id", "line", (-F.col("best.k")).alias("template"), score(F.col("best.dot")).alias("score"))
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.6, titles: list[tuple[str, str]] = TITLES) -> DataFrame:
     """The licence of every file of ``files`` (file_id, path, text).
 
     Returns file_id, path, license, how ('header', 'file', 'inherited' or 'none'), score and from_dir (the directory that a
     licence is inherited from). A file's header is its line, or block of lines between blank ones, of the highest score, the first of equals, lines before
-    blocks. A whole text that reaches the threshold makes a licence file, as does a header in a file named LICENSE, COPYING or the like, and its directory has the licence of the one of highest score, then least path, then least file_id. Without a header of its own a file takes
-    the licence of its directory or of the nearest one above. Null and empty texts have no header and inherit; a null path is in the
+    blocks; a title goes before any other. A whole text that reaches the threshold makes a licence file, as does a title (before the whole text) under any name, or a
+    header in a file named LICENSE, COPYING or the like, and its directory has the licence of the one of highest score, then least path, then least file_id. Without a
+    header of its own a file takes the licence of its directory or of the nearest one above. Very long texts are read to their end. Null and empty texts have no header and inherit; a null path is in the
     root directory, as is one without a slash. file_id is a key: rows repeating one with its text and path are repeated.
     An empty table gives no rows; other columns are ignored.
     """
-    spdx = F.array(*(F.lit(name) for name, _ in templates))
+    spdx = F.array(*(F.lit(name) for name, _ in templates + titles))
     directory = F.regexp_replace(F.coalesce("path", F.lit("")), "/?[^/]*$", "")
     files = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    scores = keep(segment_scores(files, templates, threshold).distinct(), "licence-scores")
+    scores = keep(segment_scores(files, templates, threshold, titles).distinct(), "licence-scores")
+    title = (F.col("template") >= len(templates)).alias("title")
+    place = F.struct(title, "score", (-F.col("line")).alias("line"), "template")
     per_file = scores.groupBy("file_id").agg(
-        F.max(F.when(F.col("line") >= 0, F.struct("score", (-F.col("line")).alias("line"), "template"))).alias("header"),
-        F.max(F.when(F.col("line") < 0, F.struct("score", "template"))).alias("whole"),
+        F.max(F.when(F.col("line") >= 0, place)).alias("header"), F.max(F.when((F.col("line") < 0) | title, place)).alias("whole")
     )
+    per_file = per_file.select("file_id", "header", F.struct("whole.score", "whole.template").alias("text"), F.col("whole").isNotNull().alias("is_text"))
+    per_file = per_file.select("file_id", "header", F.when(F.col("is_text"), F.col("text")).alias("whole"))
     placed = files.select("file_id", "path", directory.alias("dir")).join(per_file, "file_id", "left")
     by_name = F.when(F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False)), F.struct("header.score", "header.template"))
     placed = placed.withColumn("whole", F.coalesce("whole", F.when(F.col("header").isNotNull(), by_name)))

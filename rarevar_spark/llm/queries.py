@@ -115,8 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"({k}, '{t}', {n})" for k, c in enumerate(license_scan.template_terms(license_scan.TEMPLATES)) for t, n in sorted(c.items()))
-    spdx = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(license_scan.TEMPLATES))
+    templates = license_scan.TEMPLATES + license_scan.TITLES
+    values = ", ".join(f"({k}, '{t}', {n})" for k, c in enumerate(license_scan.template_terms(templates)) for t, n in sorted(c.items()))
+    spdx = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(templates))
+    titles = len(license_scan.TEMPLATES)
     rare, block = license_scan.RARE, "\\n[ \\t]*\\n"
     return f"""
     WITH tt(k, term, n) AS (VALUES {values}), spdx(k, license) AS (VALUES {spdx}),
@@ -129,11 +131,13 @@ def _license_sql() -> str:
     v AS (SELECT k, term, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY k)) AS v FROM tt JOIN idf USING (term)),
     norm AS (SELECT doc_id, line, sqrt(sum(pow(tf * coalesce(idf, -ln({rare} / (1 + {rare}))), 2))) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY doc_id, line),
     dot AS (SELECT doc_id, line, k, round(sum(tf * idf * v), 9) AS dot FROM tf JOIN idf USING (term) JOIN v USING (term) GROUP BY doc_id, line, k),
-    best AS (SELECT doc_id, line, k, round(dot / norm, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dot DESC, k) AS r FROM dot) JOIN norm USING (doc_id, line) WHERE r = 1 AND round(dot / norm, 6) >= 0.6),
-    header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS r FROM best WHERE line >= 0) WHERE r = 1),
+    reached AS (SELECT doc_id, line, k, dot, round(dot / norm, 6) AS score FROM dot JOIN norm USING (doc_id, line) WHERE round(dot / norm, 6) >= CASE WHEN k < {titles} THEN 0.6 ELSE {license_scan.TITLE_SCORE} END),
+    best AS (SELECT doc_id, line, k, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY dot DESC, k) AS r FROM reached) WHERE r = 1),
+    header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k >= {titles} DESC, score DESC, line) AS r FROM best WHERE line >= 0) WHERE r = 1),
+    body AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k >= {titles} DESC, score DESC, line) AS r FROM best WHERE line = -1 OR k >= {titles}) WHERE r = 1),
     f AS (SELECT doc_id, CASE WHEN doc_id % 40 = 0 THEN source WHEN doc_id % 8 = 0 THEN concat(source, '/', doc_id // 4000) ELSE concat(source, '/', doc_id // 4000, '/', doc_id // 400) END AS dir,
         CASE WHEN doc_id % 40 = 0 THEN concat('LICENSE.', doc_id) ELSE concat(doc_id, '.txt') END AS name, [source, concat(source, '/', doc_id // 4000), concat(source, '/', doc_id // 4000, '/', doc_id // 400)] AS dirs FROM documents),
-    whole AS (SELECT f.doc_id, coalesce(w.k, h.k) AS k, coalesce(w.score, h.score) AS score, f.dir, concat(f.dir, '/', f.name) AS path FROM f LEFT JOIN (SELECT * FROM best WHERE line = -1) w ON w.doc_id = f.doc_id
+    whole AS (SELECT f.doc_id, coalesce(w.k, h.k) AS k, coalesce(w.score, h.score) AS score, f.dir, concat(f.dir, '/', f.name) AS path FROM f LEFT JOIN body w ON w.doc_id = f.doc_id
         LEFT JOIN header h ON h.doc_id = f.doc_id AND f.doc_id % 40 = 0 WHERE coalesce(w.k, h.k) IS NOT NULL),
     licence AS (SELECT dir, score, k FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path, doc_id) AS r FROM whole) WHERE r = 1),
     near AS (SELECT * FROM (SELECT u.doc_id, l.dir AS above, l.score, l.k, row_number() OVER (PARTITION BY u.doc_id ORDER BY length(l.dir) DESC) AS r

@@ -213,6 +213,26 @@ def test_license_texts(spark):
     assert got[11] == ("BSD-3-Clause", "inherited", "b")
 
 
+def test_license_titles(spark):
+    """Licences of many pages by their titles: any name, versions apart, inherited; sentences about a licence and parts of titles are none."""
+    page = "\n\n".join(" ".join(f"term{(i * 7 + j) % 91}" for j in range(60)) for i in range(40))
+    notice = dict(S.TEXTS)["GPL-3.0-or-later"]
+    rows, want = [], {}
+    for k, (name, title) in enumerate(S.TITLES):
+        cut = title.index(" Version") if " Version" in title else None
+        head = title.upper() if cut is None else f"   {title[:cut].upper()}\n      {title[cut:]}"
+        # further in: a notice of another licence, and a line that is a notice by itself
+        rows += [(k, f"d{k}/page-{k}.md", f"\n{head}\n\n{page}\n\n{notice}\n\nAll rights reserved.\n\n{page}"), (1000 + k, f"d{k}/src/a.c", "int main")]
+        want |= {k: (name, "file", None), 1000 + k: (name, "inherited", f"d{k}")}
+    prose = "people say much about the GNU General Public License version 2 of June 1991 and other such texts in long sentences like this one here"
+    rows += [(2000, "p/a.txt", f"{page}\n{prose}"), (2001, "p/b.txt", f"{page}\nGNU General Public License\n{page}"), (2002, "q/LICENSE", notice)]
+    want |= {2000: (None, "none", None), 2001: (None, "none", None), 2002: ("GPL-3.0-or-later", "file", None)}
+    rows += [(3000, "r/long.txt", ("words of a very long text\n" * 100_000) + "\n\nMozilla Public License Version 1.1\n")]
+    want |= {3000: ("MPL-1.1", "file", None)}
+    got = {r.file_id: (r.license, r.how, r.from_dir) for r in S.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_license_anchors_lose_nothing():
     rng = random.Random(1)
     terms = sorted({t for c in S.template_terms(S.TEMPLATES) for t in c})
