@@ -75,7 +75,8 @@ def prepare_site(
     """Prepare a site: eligible samples, PASS variants, cohort counts, the local MAF cut, genes, roles and calls.
 
     ``mode`` 'local' is a site alone, laid out as site A. In 'joint' mode site A publishes its gene variants and cut list, and site B gets these as
-    ``public`` and ``cut``. Counts are over the site's ALL cohort whatever the ancestry.
+    ``public`` and ``cut``. Counts are over the site's ALL cohort whatever the ancestry. Tables that later steps read more than once are kept, so
+    that no plan holds the steps before it.
     """
     passing = variants.pass_variants(inputs.variants)
     cohort = samples.eligible_samples(inputs.samples, inputs.phenotypes, inputs.covariates, inputs.ancestries, ALL).withColumn("site", F.lit(site))
@@ -90,9 +91,10 @@ def prepare_site(
             raise ValueError("site B needs the public list and the cut list of site A")
         allowed = variants.minus_cut_list(passing, cut)
         candidates = variants.gene_variants(panel, passing, inputs.annotations, allowed)
-        candidates = candidates.join(public.select("gene_id").distinct(), "gene_id", "left_semi")
+        candidates = keep(candidates.join(public.select("gene_id").distinct(), "gene_id", "left_semi"), "candidates")
         keys = variants.countable_keys(passing, candidates, public)
     else:
+        candidates = keep(candidates, "candidates")
         keys = variants.countable_keys(passing, candidates)
     present = keys.withColumn("site", F.lit(site))
     counts = keep(variants.allele_counts(inputs.calls, present, cohort), "counts")
@@ -101,15 +103,14 @@ def prepare_site(
     if site == "B" and mode == "joint":
         roles = variants.site_roles_b(public, passing, candidates.join(kept, "variant_key", "left_semi"))
         ordered = roles.join(passing.select("variant_key", "ord"), "variant_key", "left").join(panel.select("chrom", "gene_id", "order_index"), ["chrom", "gene_id"])
-        gene_table = variants.column_index(ordered)
+        gene_table = keep(variants.column_index(ordered), "gene-variants")
     else:
         gene_table = variants.gene_variants(panel, passing, inputs.annotations, kept)
         if genes_per_chromosome:
             gene_table = gene_table.join(variants.sample_genes(gene_table, genes_per_chromosome, seed).select("chrom", "gene_id"), ["chrom", "gene_id"], "left_semi")
-        gene_table = variants.site_roles_a(gene_table)
+        gene_table = keep(variants.site_roles_a(gene_table), "gene-variants")
         local_cut = variants.local_cut_variants(candidates.where("variant_key is not null").join(gene_table.select("gene_id").distinct(), "gene_id", "left_semi"), counts, n, local_max_maf)
-        public = gene_table
-    gene_table = keep(gene_table, "gene-variants")
+        local_cut, public = keep(local_cut, "cut"), gene_table
     calls = variants.extract_calls(inputs.calls.drop("ancestry"), chosen.select("ancestry", "sample_id"), gene_table)
     return Prepared(site, chosen, gene_table, keep(calls, "gene-calls"), counts, n, public, local_cut, local_max_maf)
 
@@ -131,7 +132,8 @@ def input_rules(a: Prepared, b: Prepared | None, covariates: int | None = None,
     rules = {}
     for p in (a, b) if b else (a,):
         sizes = p.samples.groupBy("ancestry").agg(F.count(F.lit(1)).alias("n"))
-        rules |= checks.site_rules(p.site, checks.call_summary(p.calls), sizes, p.counts, p.cohort_size, p.gene_variants)
+        summary = keep(checks.call_summary(p.calls), "call-summary")  # several rules read it
+        rules |= checks.site_rules(p.site, summary, sizes, p.counts, p.cohort_size, p.gene_variants)
     people = a.samples if b is None else a.samples.unionByName(b.samples)
     rules |= checks.sample_rules(people, covariates, phenotypes)
     return rules | (checks.pair_rules(a.gene_variants, b.gene_variants) if b else {})
