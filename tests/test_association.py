@@ -257,3 +257,14 @@ def test_kernels_without_spectrum_keep_their_traces(spark, random_case):
     for k, r in full.items():
         assert bare[k].eigenvalues is None and r.eigenvalues == full[(k[0], 0.5)].eigenvalues
         assert all(math.isclose(bare[k][c], r[c], rel_tol=1e-6) for c in ("v_burden", "s1", "s2", "s3", "s4"))
+
+
+def test_equal_rows_are_worked_out_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "davies_p", lambda q, e, f=P.davies_p: seen.append(q) or f(q, e))
+    P._liu_davies.cache_clear()
+    q, e = [3.0, 9.0] * 50, [[2.0, 2.0, 0.5]] * 100
+    import pandas as pd
+
+    got = P.skat_p.func(pd.Series(q), pd.Series(e), pd.Series([None] * 100))
+    assert len(seen) == 2 and got["davies"][0] == got["davies"][98] != got["davies"][1]
