@@ -139,11 +139,12 @@ def input_rules(a: Prepared, b: Prepared | None, covariates: int | None = None,
     return rules | (checks.pair_rules(a.gene_variants, b.gene_variants) if b else {})
 
 
-def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], phenotypes: list[str], covariates: int, widest: int | None = None, probes: int | None = None) -> DataFrame:
+def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], phenotypes: list[str], covariates: int, widest: int | None = None, probes: int | None = None, spectrum: bool = True) -> DataFrame:
     """One row for each ancestry, threshold, gene and phenotype: statistics and Burden, SKAT-WH, SKAT-Liu and SKAT-Davies p-values.
 
     ``b`` null analyses site A alone. Malformed inputs are refused (:func:`input_rules`, one job). Genes without kept variants are there with p = 1 and convergence null; a p-value that could not be computed is null.
     Genes of more than ``widest`` variants get all but the Davies p-value, by traces that no task needs the whole kernel for (``probes``: by random probes).
+    Without ``spectrum`` no gene's eigenvalues are worked out: all Davies p-values are null, and Liu's are those of the traces.
     """
     thresholds = check_thresholds(thresholds)
     for t in thresholds:
@@ -153,13 +154,13 @@ def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], ph
     calls = a.calls if b is None else assoc.pool_sites(a.calls.drop("site"), b.calls.drop("site"))
     calls = calls.select("ancestry", "chrom", "gene_id", "sample_id", "variant_key", clip_missing("dosage").alias("dosage"))
     kept = keep(kept_variants(a, b, thresholds), "kept")
-    calls = calls.join(kept.select("variant_key").distinct(), "variant_key", "left_semi")
+    calls = keep(calls.join(kept.select("variant_key").distinct(), "variant_key", "left_semi"), "kept-calls")
     moments = assoc.null_model_moments(people, covariates, len(phenotypes))
     null = assoc.fit_null_model(moments)
     weighted = keep(assoc.variant_weights(assoc.gene_moments(calls, people, covariates, len(phenotypes)), null), "gene-moments")
     pairs = assoc.minor_pairs(calls, weighted, null)
     stats = assoc.score_statistics(weighted, null, kept)
-    kernels = assoc.gene_kernels(weighted, pairs, null, kept, widest, probes)
+    kernels = assoc.gene_kernels(weighted, pairs, null, kept, widest, probes, spectrum=spectrum)
     key = ["ancestry", "maf_threshold", "chrom", "gene_id"]
     t = assoc.skat_pvalues(stats.join(kernels, key))
     z = wilson_hilferty_z(F.col("q_skat"), F.col("s1"), F.col("s2"), F.col("s3"))
