@@ -65,7 +65,7 @@ def leaves(df):
     return df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString(" ")
 
 
-@pytest.mark.parametrize("name", ["sparse_traces"])
+@pytest.mark.parametrize("name", ["sparse_traces", "panel_a", "planted_violations"])
 def test_last_plan_reads_kept_tables_alone(spark, name):
     assert "l_partkey" not in leaves(Q.queries()[name](spark, DIR))
 
