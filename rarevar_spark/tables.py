@@ -21,6 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def dealt(df: DataFrame, rows: int, *keys: str, most: int = 500_000) -> DataFrame:
+    """``df`` dealt by ``keys`` to the session's shuffle partitions, or to more if ``rows``, its number, would put above ``most`` in one of them: what a task sorts and
+    groups then stays the same, however large the table."""
+    return df.repartition(max(-(-rows // most), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
