@@ -289,3 +289,43 @@ def test_equal_rows_are_worked_out_once(monkeypatch):
 
     got = P.skat_p.func(pd.Series(q), pd.Series(e), pd.Series([None] * 100))
     assert len(seen) == 2 and got["davies"][0] == got["davies"][98] != got["davies"][1]
+
+
+@pytest.mark.parametrize("block, together", [(7, 1), (64, 512)])
+def test_tails_of_moments_equal_those_of_eigenvalues(block, together):
+    rng = np.random.default_rng(4)
+    n, m = 3000, 400
+    h = np.zeros((n, m))
+    for v in range(m):
+        h[rng.choice(n, rng.integers(1, 9), replace=False), v] = rng.integers(1, 3)
+    w, x = rng.uniform(15, 25, m), h.T @ np.column_stack([np.ones(n), rng.normal(0, 1, n)])
+    omega = np.diag([1 / n, 1 / n])
+    hth = h.T @ h
+    i, j = np.nonzero(hth)
+    moments = A.spectral_moments(m, i, j, w[i] * w[j] * hth[i, j] / 2, w[:, None] * (x @ A.half_of(omega)) / math.sqrt(2), block, together)
+    e = np.linalg.eigvalsh(A.kernel(w, hth.copy(), x, omega))
+    e = e[e > 1e-12 * e.max()]
+    for sd in (-4, -1, 0, 1, 3, 5):
+        q = e.sum() + sd * math.sqrt(2 * (e * e).sum())
+        assert P.inverted_p(q, P.TracedSpectrum(np.array(moments))) == pytest.approx(P.inverted_p(q, e), rel=1e-9)
+    assert P.inverted_p(e.sum() + 60 * math.sqrt(2 * (e * e).sum()), P.TracedSpectrum(np.array(moments))) is None
+
+
+def test_wide_sparse_gene_has_p_values_without_its_matrix(spark):
+    rng = np.random.default_rng(8)
+    n, m = 900, 300
+    x, y = rng.normal(0, 1, (n, 1)), rng.normal(0, 1, (n, 2))
+    g = np.zeros((n, m), dtype=int)
+    for v in range(m):
+        g[rng.choice(n, 2, replace=False), v] = 1
+    y[:, 1] += 100 * g[:, ::3].sum(axis=1)  # far out
+    null, weighted, pairs, kept = fitted(spark, (g, x, y, tables(spark, g, x, y, {"g": range(m)})), 1)
+    stats, key = A.score_statistics(weighted, null, kept), ["ancestry", "maf_threshold", "chrom", "gene_id"]
+    rows = lambda below: {r.phenotype_index: r for r in A.skat_pvalues(stats.join(A.gene_kernels(weighted, pairs, null, kept, solved_below=below), key)).collect()}
+    got, want = rows(200), rows(None)
+    assert got[0].traced and not want[0].traced
+    for k in range(2):
+        for c in ("s1", "s2", "s3", "s4", "v_burden"):
+            assert got[k][c] == pytest.approx(want[k][c], rel=1e-9)
+    assert got[0].p_skat_davies == pytest.approx(want[0].p_skat_davies, rel=1e-8) and got[0].davies_converged == 1
+    assert got[0].p_skat_liu == pytest.approx(want[0].p_skat_liu, rel=1e-8)
