@@ -128,20 +128,44 @@ def read_vcf(spark: SparkSession, path: str, keep_samples: list[str] | None = No
     names = header["value"].split("\t")[9:]
     wanted = [i for i, s in enumerate(names) if keep_samples is None or s in set(keep_samples)]
     samples = spark.createDataFrame([(names[i], k) for k, i in enumerate(wanted)], "sample_id string, ord long")
-    lines = text.where(~F.col("value").startswith("#"))
-    c = F.split("value", "\t")
-    rows = lines.select("ord", F.regexp_replace(c[0], "^chr", "").alias("chrom"), c[1].cast("long").alias("pos"), c[3].alias("ref"), c[4].alias("alt"), c[6].alias("filter"), c.alias("c"))
-    rows = rows.where(F.col("filter").isin("PASS", ".") & ~F.col("alt").contains(","))
-    rows = rows.withColumn("variant_key", canonical_variant_key(F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")))
+    rows = _vcf_rows(text.where(~F.col("value").startswith("#")), "ord")
     # a row for each cell, whatever the number of samples; the plan stays as it is
-    cells = rows.select("variant_key", F.posexplode(F.slice("c", 10, max(len(names), 1))).alias("place", "cell")).where(~F.col("cell").startswith("0/0") & ~F.col("cell").startswith("0|0"))
+    cells = _vcf_cells(rows.select("variant_key", F.slice("c", 10, max(len(names), 1)).alias("cells")), "variant_key")
     place = spark.createDataFrame([(i, names[i]) for i in wanted], "place int, sample_id string")
-    calls = cells.withColumn("gt", F.split("cell", ":")[0]).join(place, "place")
-    alleles = F.split("gt", "[/|]")
+    return rows.select("variant_key", "chrom", "pos", "ref", "alt", "filter", "ord"), samples, _vcf_calls(cells.join(place, "place"))
+
+
+def _vcf_rows(lines: DataFrame, *others: str) -> DataFrame:
+    """The PASS records of one ALT with their fields, c."""
+    c = F.split("value", "\t")
+    rows = lines.select(*others, F.regexp_replace(c[0], "^chr", "").alias("chrom"), c[1].cast("long").alias("pos"), c[3].alias("ref"), c[4].alias("alt"), c[6].alias("filter"), c.alias("c"))
+    rows = rows.where(F.col("filter").isin("PASS", ".") & ~F.col("alt").contains(","))
+    return rows.withColumn("variant_key", canonical_variant_key(F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")))
+
+
+def _vcf_cells(rows: DataFrame, *key: str) -> DataFrame:
+    """key, place, cell of the array ``cells`` where these are not homozygous for the reference."""
+    return rows.select(*key, F.posexplode("cells").alias("place", "cell")).where(~F.col("cell").startswith("0/0") & ~F.col("cell").startswith("0|0"))
+
+
+def _vcf_calls(cells: DataFrame) -> DataFrame:
+    calls = cells.withColumn("gt", F.split("cell", ":")[0])
     missing = F.col("gt").contains(".")
-    dosage = F.aggregate(alleles, F.lit(0), lambda s, a: s + a.try_cast("int"))
+    dosage = F.aggregate(F.split("gt", "[/|]"), F.lit(0), lambda s, a: s + a.try_cast("int"))
     calls = calls.select("variant_key", "sample_id", F.when(missing, 0).otherwise(dosage).cast("tinyint").alias("dosage"), (~missing).alias("called"))
-    return rows.select("variant_key", "chrom", "pos", "ref", "alt", "filter", "ord"), samples, calls.where("dosage != 0 or not called")
+    return calls.where("dosage != 0 or not called")
+
+
+def read_vcf_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(variants, samples, calls) as :func:`read_vcf`, without ord, of a folder of plain VCF texts: each names samples of its own in its header, and has the
+    records that any of these carries. No header comes to the driver; samples are joined by file and place.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    fields = F.split("value", "\t")
+    heads = text.where(F.col("value").startswith("#CHROM")).select("file", F.posexplode(F.slice(fields, 10, F.size(fields))).alias("place", "sample_id"))
+    rows = _vcf_rows(text.where(~F.col("value").startswith("#")), "file")
+    cells = _vcf_cells(rows.select("file", "variant_key", F.slice("c", 10, F.size("c")).alias("cells")), "file", "variant_key")
+    return rows.select("variant_key", "chrom", "pos", "ref", "alt", "filter").distinct(), heads.select("sample_id").distinct(), _vcf_calls(cells.join(heads, ["file", "place"]))
 
 
 def read_gene_intervals(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,15 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from rarevar_spark import input_queries
 from rarevar_spark.operators import checks, samples, variants
 from rarevar_spark.plans import jobs
 from rarevar_spark.sources import readers, writers
+from rarevar_spark.testtables import Tables
+
+DIR = "/root/testdata/sf0.001"
 
 
 def put(tmp_path, name, text):
@@ -62,6 +68,25 @@ def test_vcf_and_gtf(spark, tmp_path):
     assert {(r.pos, r.gene_id) for r in hits.collect()} == {(5, "G1"), (5, "G3"), (8, "G1"), (8, "G3")}
 
 
+def test_vcf_batches_have_samples_of_their_own(spark, tmp_path):
+    head = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "v").mkdir()
+    put(tmp_path / "v", "a.vcf", "##x\n" + head + "s1\ts2\n21\t5\t.\tA\tG\t.\tPASS\t.\tGT\t0|1\t./.\n21\t6\t.\tA\tG,T\t.\tPASS\t.\tGT\t1|1\t0/0\n")
+    put(tmp_path / "v", "b.vcf", head + "s4\ts3\ts0\n21\t5\t.\tA\tG\t.\tPASS\t.\tGT:DP\t0/0:1\t1|1:1\t0|0:3\n21\t7\t.\tA\tC\t.\tlow\t.\tGT\t1|1\t0/0\t0/1\n")
+    v, s, c = readers.read_vcf_batches(spark, str(tmp_path / "v"))
+    assert [r.variant_key for r in v.collect()] == ["chr21:5:A:G"] and {r[0] for r in s.collect()} == {"s0", "s1", "s2", "s3", "s4"}
+    assert {tuple(r) for r in c.collect()} == {("chr21:5:A:G", "s1", 1, True), ("chr21:5:A:G", "s2", 0, False), ("chr21:5:A:G", "s3", 2, True)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_records_of_read_vcf_have_no_cell_for_each_person(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(input_queries, "_place", lambda t, name, f=input_queries._place: seen.append(f(t, name)) or seen[-1])
+    input_queries.read_vcf(Tables(spark, DIR))
+    cells = spark.read.text(seen[-1]).where("value not like '##%'").agg(F.max(F.size(F.split("value", "\t")) - 9), F.min(F.size(F.split("value", "\t")) - 9)).first()
+    assert 0 < cells[1] and cells[0] < spark.read.parquet(f"{DIR}/customer.parquet").count() // 2
+
+
 def test_lists_round_trip(spark, tmp_path):
     genes = spark.createDataFrame([("21", "G1", "S1", 0), ("21", "G2", "S2", 1)], "chrom string, gene_id string, gene_symbol string, order_index int")
     gv = spark.createDataFrame([("21", "G1", "chr21:7:A:G", 7, 1), ("21", "G1", "chr21:5:A:G", 5, 0)], "chrom string, gene_id string, variant_key string, pos int, col_index int")
