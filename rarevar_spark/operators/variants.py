@@ -100,10 +100,16 @@ def extract_calls(calls: DataFrame, samples: DataFrame, gene_variants: DataFrame
 
     With ``available`` every wanted variant must be among these keys.
     """
-    wanted = gene_variants.where("variant_key is not null").select("chrom", "gene_id", "variant_key", "col_index", *(c for c in ("role",) if c in gene_variants.columns))
     if available is not None:
-        violations(wanted.select("variant_key").distinct().join(available, "variant_key", "left_anti"), "variants that the site doesn't have", strict=True)
-    return calls.join(samples.select("sample_id", *(c for c in ("ancestry",) if c in samples.columns)), "sample_id").join(wanted, "variant_key")
+        wanted = gene_variants.where("variant_key is not null").select("variant_key").distinct()
+        violations(wanted.join(available, "variant_key", "left_anti"), "variants that the site doesn't have", strict=True)
+    return in_genes(calls.join(samples.select("sample_id", *(c for c in ("ancestry",) if c in samples.columns)), "sample_id"), gene_variants)
+
+
+def in_genes(calls: DataFrame, gene_variants: DataFrame) -> DataFrame:
+    """``calls`` of the genes' variants, one for each gene of the variant."""
+    wanted = gene_variants.where("variant_key is not null").select("chrom", "gene_id", "variant_key", "col_index", *(c for c in ("role",) if c in gene_variants.columns))
+    return calls.join(wanted, "variant_key")
 
 
 def site_roles_a(public: DataFrame) -> DataFrame:
@@ -142,8 +148,12 @@ def allele_counts(calls: DataFrame, present: DataFrame, cohort: DataFrame) -> Da
 
     ``present`` has the (site, variant_key) that count, ``cohort`` the (site, sample_id).
     """
-    kept = calls.join(cohort.select("site", "sample_id"), ["site", "sample_id"], "left_semi")
-    sums = kept.groupBy("site", "variant_key").agg(F.sum(clip_missing("dosage").cast("long")).alias("ac"))
+    return cohort_counts(calls.join(cohort.select("site", "sample_id"), ["site", "sample_id"], "left_semi"), present)
+
+
+def cohort_counts(calls: DataFrame, present: DataFrame) -> DataFrame:
+    """:func:`allele_counts` of calls that are all of the cohort."""
+    sums = calls.groupBy("site", "variant_key").agg(F.sum(clip_missing("dosage").cast("long")).alias("ac"))
     return present.select("site", "variant_key").join(sums, ["site", "variant_key"], "left").select("site", "variant_key", F.coalesce("ac", F.lit(0)).cast("long").alias("ac"))
 
 

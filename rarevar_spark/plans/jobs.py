@@ -16,7 +16,7 @@ from ..functions.pvalues import burden_p, normal_sf, wilson_hilferty_z
 from ..operators import association as assoc
 from ..operators import checks, compare, resource, samples, variants
 from ..operators.ranks import ranked
-from ..tables import keep
+from ..tables import dealt, keep
 
 
 @dataclass
@@ -35,7 +35,8 @@ class SiteInputs:
 
 @dataclass
 class Prepared:
-    """A site ready for analysis. ``calls`` are by ancestry, chromosome and gene; ``counts`` over the ALL cohort of ``cohort_size``."""
+    """A site ready for analysis. ``calls`` are by ancestry, chromosome and gene, maybe with strata, all ancestries that the sample comes under; ``counts`` over the
+    ALL cohort of ``cohort_size``."""
 
     site: str
     samples: DataFrame
@@ -76,7 +77,8 @@ def prepare_site(
 
     ``mode`` 'local' is a site alone, laid out as site A. In 'joint' mode site A publishes its gene variants and cut list, and site B gets these as
     ``public`` and ``cut``. Counts are over the site's ALL cohort whatever the ancestry. Tables that later steps read more than once are kept, so
-    that no plan holds the steps before it.
+    that no plan holds the steps before it. Calls are joined with the samples once, for counting and extracting, and kept once whatever the number of
+    ancestries: those of :attr:`Prepared.calls` are spread as they are read.
     """
     passing = variants.pass_variants(inputs.variants)
     cohort = samples.eligible_samples(inputs.samples, inputs.phenotypes, inputs.covariates, inputs.ancestries, ALL).withColumn("site", F.lit(site))
@@ -97,7 +99,10 @@ def prepare_site(
         candidates = keep(candidates, "candidates")
         keys = variants.countable_keys(passing, candidates)
     present = keys.withColumn("site", F.lit(site))
-    counts = keep(variants.allele_counts(inputs.calls, present, cohort), "counts")
+    people = chosen.select("sample_id", "ancestry", F.lit(False).alias("counted")).unionByName(cohort.select("sample_id", F.lit(None).cast("string").alias("ancestry"), F.lit(True).alias("counted")))
+    people = people.groupBy("sample_id").agg(F.sort_array(F.collect_list("ancestry")).alias("strata"), F.max("counted").alias("counted"))
+    own = keep(inputs.calls.drop("ancestry").join(people, "sample_id"), "site-calls")
+    counts = keep(variants.cohort_counts(own.where(F.col("counted") & (F.col("site") == site)), present), "counts")
     kept = counts.where(local_maf_keep("ac", F.lit(n), local_max_maf)).select("variant_key")
     local_cut = None
     if site == "B" and mode == "joint":
@@ -111,8 +116,8 @@ def prepare_site(
         gene_table = keep(variants.site_roles_a(gene_table), "gene-variants")
         local_cut = variants.local_cut_variants(candidates.where("variant_key is not null").join(gene_table.select("gene_id").distinct(), "gene_id", "left_semi"), counts, n, local_max_maf)
         local_cut, public = keep(local_cut, "cut"), gene_table
-    calls = variants.extract_calls(inputs.calls.drop("ancestry"), chosen.select("ancestry", "sample_id"), gene_table)
-    return Prepared(site, chosen, gene_table, keep(calls, "gene-calls"), counts, n, public, local_cut, local_max_maf)
+    calls = keep(variants.in_genes(own.where("size(strata) > 0").drop("counted"), gene_table), "gene-calls")
+    return Prepared(site, chosen, gene_table, calls.withColumn("ancestry", F.explode("strata")), counts, n, public, local_cut, local_max_maf)
 
 
 def kept_variants(a: Prepared, b: Prepared | None, thresholds: list[float]) -> DataFrame:
@@ -191,19 +196,25 @@ def run_association(a: Prepared, b: Prepared | None, thresholds: list[float], ph
 def resource_stats(a: Prepared, b: Prepared, thresholds: list[float], carriers: list[int], bins: list[int], annotation: str = "all", gene_set: str = "all") -> DataFrame:
     """The eleven-column table of panels A (carrier coverage), B (cumulative counts) and C (variant overlap) by ancestry, threshold and chromosome.
 
-    Malformed inputs are refused (:func:`input_rules`, one job).
+    Malformed inputs are refused (:func:`input_rules`, one job). A call is dealt once, with the strata of its sample, whatever their number; a call that is there twice counts once.
     """
     thresholds = check_thresholds(thresholds)
     checks.refuse(input_rules(a, b))
+
+    def once(p: Prepared, site: str) -> DataFrame:
+        calls = p.calls.where(F.col("ancestry") == F.col("strata")[0]) if "strata" in p.calls.columns else p.calls.withColumn("strata", F.array("ancestry"))
+        return calls.select("strata", F.lit(site).alias("site"), "sample_id", "variant_key", clip_missing("dosage").alias("dosage"), "called")
+
     people = a.samples.unionByName(b.samples)
     sizes = keep(people.groupBy("ancestry", "site").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    calls = a.calls.drop("site").withColumn("site", F.lit("A")).unionByName(b.calls.drop("site").withColumn("site", F.lit("B")), allowMissingColumns=True)
-    calls = keep(calls.select("ancestry", "site", "sample_id", "variant_key", clip_missing("dosage").alias("dosage"), "called").distinct(), "calls")
+    calls = once(a, "A").unionByName(once(b, "B"))
     at = lambda p: p.gene_variants.where("variant_key is not null").select("chrom", "variant_key").distinct()
     has_b = b.gene_variants.where("variant_key is not null and role != 'public_only'").select("chrom", "variant_key").distinct()
     has = at(a).withColumn("site", F.lit("A")).unionByName(has_b.withColumn("site", F.lit("B")))
     strata = a.samples.select("ancestry").unionByName(b.samples.select("ancestry")).distinct()
-    sums = calls.groupBy("ancestry", "site", "variant_key").agg(F.sum(F.when(F.col("called"), F.col("dosage").cast("long"))).alias("ac"), F.count_if(~F.col("called")).alias("missing"))
+    single = dealt(calls, calls.count(), "variant_key").distinct()  # dealt by variant for that and both sums
+    sums = single.groupBy("strata", "site", "variant_key").agg(F.sum(F.when(F.col("called"), F.col("dosage").cast("long"))).alias("ac"), F.count_if(~F.col("called")).alias("missing"))
+    sums = sums.select(F.explode("strata").alias("ancestry"), "site", "variant_key", "ac", "missing").groupBy("ancestry", "site", "variant_key").agg(F.sum("ac").alias("ac"), F.sum("missing").alias("missing"))
     site_counts = has.join(sizes, "site").join(sums, ["ancestry", "site", "variant_key"], "left")
     site_counts = site_counts.select("ancestry", "chrom", "site", "variant_key", F.coalesce("ac", F.lit(0)).alias("ac"), (F.col("n") - F.coalesce("missing", F.lit(0))).alias("called"))
     kept = kept_variants(a, b, thresholds)

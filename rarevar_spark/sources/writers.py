@@ -14,7 +14,7 @@ STAT_COLUMNS = ["ancestry", "maf_threshold", "annotation", "chromosome", "gene_s
 
 def write_prepared(gene_calls: DataFrame, path: str) -> None:
     """Prepared calls by ancestry and chromosome; missing dosages become 0 and callability is kept; refuses a path in use."""
-    gene_calls.withColumn("dosage", clip_missing("dosage").cast("tinyint")).repartition("ancestry", "chrom", F.pmod(F.xxhash64("sample_id"), F.lit(16))).write.partitionBy("ancestry", "chrom").mode("error").parquet(path)
+    gene_calls.drop("strata").withColumn("dosage", clip_missing("dosage").cast("tinyint")).repartition("ancestry", "chrom", F.pmod(F.xxhash64("sample_id"), F.lit(16))).write.partitionBy("ancestry", "chrom").mode("error").parquet(path)
 
 
 def _text(df: DataFrame, path: str, sep: str = "\t") -> None:

@@ -82,10 +82,10 @@ class Tables:
     def _dealt_calls(self) -> DataFrame:
         """The view calls, in as many tasks as the order lines need: these are dealt by order, then once by part, for both grouping them and joining the variants."""
         rows = self.lineitem.count()  # from the files' footers
-        lines = dealt(self.lineitem.select("l_orderkey", "l_partkey", "l_linestatus", "l_returnflag", "l_linenumber"), rows, "l_orderkey")
-        c = lines.join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         last = F.expr("l_linestatus = 'F' AND l_returnflag = 'R' AND l_linenumber = 7")
-        c = dealt(c.select("o_custkey", "l_partkey", last.alias("last")), rows, "l_partkey").groupBy("o_custkey", "l_partkey").agg((~F.bool_and("last")).alias("called"), F.count(F.lit(1)).alias("lines"))
+        lines = dealt(self.lineitem.select("l_orderkey", "l_partkey", last.alias("last")), rows, "l_orderkey")
+        c = lines.join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        c = dealt(c.select("o_custkey", "l_partkey", "last"), rows, "l_partkey").groupBy("o_custkey", "l_partkey").agg((~F.bool_and("last")).alias("called"), F.count(F.lit(1)).alias("lines"))
         c = c.withColumn("at", F.expr("CASE WHEN o_custkey % 2 = 0 THEN 'A' ELSE 'B' END"))
         have = self.variants.select("p_partkey", "variant_key").join(self.available.select("site", "variant_key"), "variant_key")
         # not an equality of the sites, by which the calls would be dealt anew

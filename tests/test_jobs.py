@@ -115,6 +115,18 @@ def test_ancestries_are_joined_once(spark, inputs):
     assert {(r.ancestry, r.sample_id) for r in own} == got and len(own) == len(got) and all(r.x == [0.0] for r in own if r.ancestry == "ALL")
 
 
+def test_calls_are_joined_with_samples_and_kept_once(spark, inputs, monkeypatch):
+    """Counting and extracting read the same joined calls, and what is kept doesn't grow with the ancestries."""
+    seen = []
+    monkeypatch.setattr(jobs, "keep", lambda df, n, f=jobs.keep: seen.append((n, df)) or f(df, n))
+    a = jobs.prepare_site(inputs, "A", ["ALL", "EUR", "AFR"])
+    joins = {n: df._jdf.queryExecution().optimizedPlan().toString().count("Join") for n, df in seen}
+    assert joins["gene-calls"] == 1 and joins["counts"] <= 4
+    kept = dict(seen)["gene-calls"].count()
+    by = {r.ancestry: r["count"] for r in a.calls.groupBy("ancestry").count().collect()}
+    assert by["ALL"] == by["EUR"] + by["AFR"] == kept and a.calls.count() == 2 * kept
+
+
 def results(spark, shift):
     rows = [("EUR", "21", i, f"G{i}", k, f"p{k}", min(1.0, (i + 1) / 40 + shift), str(int(i % 5 > 0))) for i in range(20) for k in (0, 1)]
     return spark.createDataFrame(rows, f"ancestry string, chromosome string, gene_index int, gene_id string, phenotype_index int, phenotype_name string, p_{'b' if shift else 'a'} double, converged_{'b' if shift else 'a'} string")

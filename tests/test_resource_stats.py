@@ -2,8 +2,10 @@
 
 import math
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from rarevar_spark.operators import resource
 from rarevar_spark.plans import jobs
@@ -97,3 +99,21 @@ def test_resource_stats_against_a_count_by_hand(spark, seed):
         resource.sum_chromosomes(stats.where("not (chromosome = '9' and panel = 'C')"))
     with pytest.raises(ValueError):
         resource.cmac_histogram(stats, [25, 9])
+
+
+def test_strata_of_a_call_are_counted_at_once(spark):
+    """Calls with all strata of their samples give what calls by ancestry do, in genes with flipped variants and without; what is there twice counts once."""
+    data, counted = dosages(3), {}
+    for form in ("by ancestry", "with strata"):
+        sites = []
+        for site in "AB":
+            p = prepared(spark, site, data, ("7",))
+            own = p.calls.withColumn("strata", F.array(F.lit("ALL"), F.col("ancestry")))
+            if form == "with strata":
+                own = own.unionByName(own.where("not called and variant_key = '7-common'"))
+            spread = own.withColumn("ancestry", F.explode("strata"))
+            people = p.samples.unionByName(p.samples.withColumn("ancestry", F.lit("ALL")))
+            sites.append(replace(p, samples=people, calls=spread if form == "with strata" else spread.drop("strata")))
+        counted[form] = sorted(map(tuple, jobs.resource_stats(*sites, THRESHOLDS, CARRIERS, EDGES).collect()))
+    assert {r[0] for r in counted["with strata"]} == {"ALL", "N", "S"} and any(r[-2] for r in counted["with strata"] if r[0] == "ALL")
+    assert counted["with strata"] == counted["by ancestry"]
