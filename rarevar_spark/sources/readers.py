@@ -157,7 +157,7 @@ def _vcf_calls(cells: DataFrame) -> DataFrame:
 
 
 def read_vcf_batches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(variants, samples, calls) as :func:`read_vcf`, without ord, of a folder of plain VCF texts: each names samples of its own in its header, and has the
+    """(variants, samples, calls) as :func:`read_vcf`, without ord, of a folder of VCF texts, plain or compressed: each names samples of its own in its header, and has the
     records that any of these carries. No header comes to the driver; samples are joined by file and place.
     """
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")

@@ -1,4 +1,6 @@
+import gzip
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,25 @@ def test_records_of_read_vcf_have_no_cell_for_each_person(spark, monkeypatch):
     assert 0 < cells[1] and cells[0] < spark.read.parquet(f"{DIR}/customer.parquet").count() // 2
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_files_of_read_vcf_are_small_and_whole(spark, monkeypatch):
+    """Each file is compressed and begins with the header of its batch, records follow by position; calls are dealt by batch before they are text."""
+    seen, dealt_ = [], []
+    monkeypatch.setattr(input_queries, "_place", lambda t, name, f=input_queries._place: seen.append(f(t, name)) or seen[-1])
+    monkeypatch.setattr(input_queries, "dealt", lambda df, *a, f=input_queries.dealt: dealt_.append(df.columns) or f(df, *a))
+    input_queries.read_vcf(Tables(spark, DIR))
+    assert len(dealt_) == 2 and all("value" not in c for c in dealt_)
+    files = list(Path(seen[-1].removeprefix("file://")).glob("batch=*/[!.]*"))
+    assert files and all(f.name.endswith(".txt.gz") for f in files) and len({f.parent for f in files}) == len(files)
+    names = []
+    for f in files:
+        lines = [x.split("\t") for x in gzip.decompress(f.read_bytes()).decode().splitlines()]
+        assert lines[0][0] == "#CHROM" and all(x[0].startswith("chr") and len(x) == len(lines[0]) for x in lines[1:])
+        assert [int(x[1]) for x in lines[1:]] == sorted(int(x[1]) for x in lines[1:])
+        names += lines[0][9:]
+    assert sorted(names) == sorted(str(r[0]) for r in spark.read.parquet(f"{DIR}/customer.parquet").select("c_custkey").collect())
+
+
 def test_lists_round_trip(spark, tmp_path):
     genes = spark.createDataFrame([("21", "G1", "S1", 0), ("21", "G2", "S2", 1)], "chrom string, gene_id string, gene_symbol string, order_index int")
     gv = spark.createDataFrame([("21", "G1", "chr21:7:A:G", 7, 1), ("21", "G1", "chr21:5:A:G", 5, 0)], "chrom string, gene_id string, variant_key string, pos int, col_index int")
