@@ -360,3 +360,21 @@ def test_wide_sparse_gene_has_p_values_without_its_matrix(spark):
             assert got[k][c] == pytest.approx(want[k][c], rel=1e-9)
     assert got[0].p_skat_davies == pytest.approx(want[0].p_skat_davies, rel=1e-8) and got[0].davies_converged == 1
     assert got[0].p_skat_liu == pytest.approx(want[0].p_skat_liu, rel=1e-8)
+
+
+def test_sparse_gene_of_middling_width_is_not_solved(spark):
+    """Between ``traced_from`` and ``solved_below`` variants: moments where a short order reaches the tails, with the p-values of the eigenvalues; else eigenvalues."""
+    rng = np.random.default_rng(9)
+    n, m = 6000, 600
+    x, y = rng.normal(0, 1, (n, 1)), rng.normal(0, 1, (n, 2))
+    g = np.zeros((n, m), dtype=int)
+    for v in range(m):
+        g[rng.choice(n, 2, replace=False), v] = 1
+    null, weighted, pairs, kept = fitted(spark, (g, x, y, tables(spark, g, x, y, {"g": range(m)})), 1)
+    stats, key = A.score_statistics(weighted, null, kept), ["ancestry", "maf_threshold", "chrom", "gene_id"]
+    rows = lambda **how: {r.phenotype_index: r for r in A.skat_pvalues(stats.join(A.gene_kernels(weighted, pairs, null, kept, **how), key)).collect()}
+    got, want, short = rows(traced_from=512), rows(solved_below=None), rows(traced_from=512, longest=4)
+    assert got[0].traced and not want[0].traced and not short[0].traced
+    for k in range(2):
+        for c in ("p_skat_davies", "p_skat_liu", "s1", "s2", "s3", "s4", "v_burden"):
+            assert got[k][c] == pytest.approx(want[k][c], rel=1e-8) and short[k][c] == pytest.approx(want[k][c], rel=1e-8)
